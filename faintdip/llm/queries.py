@@ -31,7 +31,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op5_byte_bpe)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE_KINDS, scan, span_text
+
+    base = f"x.order < {len(BASE_KINDS)}"
+    counts = (F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k, *_ in BASE_KINDS)
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(span_text("spans", base), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op5_byte_bpe, op9_secret_scan)}
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
