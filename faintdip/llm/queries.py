@@ -31,6 +31,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_format
+
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE_KINDS, scan, span_text
 
@@ -39,7 +51,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(span_text("spans", base), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op5_byte_bpe, op9_secret_scan)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .state import shared_folder
+    from .token_files import token_counts, write_token_files
+
+    path = shared_folder(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_counts(spark, path).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "doc", "n_tokens")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op5_byte_bpe, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
@@ -53,4 +74,12 @@ places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op7_chat_format": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rank, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+p AS (SELECT conv_id, rank, n, md5(CAST(list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY rank) AS VARCHAR)) AS h FROM r),
+whole AS (SELECT h, min(conv_id) AS conv_id FROM p WHERE rank = n GROUP BY h),
+kept AS (SELECT conv_id FROM whole WHERE h NOT IN (SELECT h FROM p WHERE rank < n))
+SELECT conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY rank) AS chat
+FROM r WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id""",
 }

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed now and written to spark.checkpoint.dir.
-
-    A folder of this machine is set only where that setting is missing, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir; a folder of this machine only where that is not set, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed now and written to spark.checkpoint.dir."""
+    shared_folder(df.sparkSession, "")
     return df.checkpoint(eager=True)
