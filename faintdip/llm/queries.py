@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_substring import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -60,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, path).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "doc", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op5_byte_bpe, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality_rules, op5_byte_bpe, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
