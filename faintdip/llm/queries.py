@@ -37,6 +37,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import chat_format
 
@@ -66,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, path).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "doc", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality_rules, op5_byte_bpe, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality_rules, op5_byte_bpe, op6_pitman_yor, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
