@@ -29,6 +29,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, path).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "doc", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality_rules, op5_byte_bpe, op6_pitman_yor, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality_rules, op4_html_extraction, op5_byte_bpe, op6_pitman_yor, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
