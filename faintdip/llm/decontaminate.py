@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .state import cut
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] in lower-cased text; these part them, before and after lower-casing.
+BETWEEN_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words looked up in one pass over the corpus; more take more passes.
@@ -23,7 +25,14 @@ PASS = 20_000
 
 def words_of(text: Column) -> Column:
     """The words of a text with A-Z lower-cased; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN, -1), "")
+
+
+def word_count(text: Column) -> Column:
+    """How many words a text has."""
+    parts = F.split(F.coalesce(text, F.lit("")), BETWEEN_RAW, -1)
+    # only the first and last part can be empty
+    return F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
 
 
 def _within(name: str, words: list[str]) -> str:
@@ -60,7 +69,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10) -> Dat
     document clean. Repeated documents give repeated rows, repeated items count once for an
     id. Other columns are ignored.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), words_of(F.col("text")).alias("w"))
+    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), word_count(F.col("text")).alias("count"), words_of(F.col("text")).alias("w"))
     windows = item_windows(items, window)
     vocabulary = [r[0] for r in windows.select(F.explode("win").alias("word")).distinct().collect()]  # words of the benchmark
     prefixes: list[str] = []
@@ -71,7 +80,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10) -> Dat
     for some in _passes(sorted(prefixes)):
         part = places(docs, some, window).join(windows, "word").filter(verified()).select("rid", (F.col("at") - F.col("shift")).alias("start"), F.size("win").alias("long"), "item_id")
         found = part if found is None else found.unionByName(part)
-    base = docs.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"))
+    base = docs.select("rid", "doc_id", F.col("count").cast("long").alias("n_words"))
     if found is None:
         found = base.select("rid", F.lit(0).alias("start"), F.lit(0).alias("long"), F.lit("").alias("item_id")).limit(0)
     rows = base.select("rid", "doc_id", "n_words", *(F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("long", "int"), ("item_id", "string"))))
