@@ -234,9 +234,10 @@ def decode(docs: DataFrame, ranks: str, *, id_col: str = "doc_id", ids_col: str
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` long, decoded binary")
 
 
-def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, texts: bool = False) -> DataFrame:
+def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, texts: bool = False, lists: bool = False) -> DataFrame:
     """One row for each row of docs: id, n_tokens, ids_sha256 (little-endian unsigned 32-bit
-    ids) and decoded_sha256 of the ids' pieces joined; with texts also decoded (binary) itself.
+    ids) and decoded_sha256 of the ids' pieces joined; with texts also decoded (binary) itself,
+    with lists also ids (array<int>).
 
     Edge cases are those of encode().
     """
@@ -249,6 +250,10 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str
             pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(end, end[1:])]),
             pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
         ]
-        return ["n_tokens", "ids_sha256", "decoded_sha256", *["decoded"] * texts], cols + [pa.array(decoded, pa.binary())] * texts
+        if texts:
+            cols.append(pa.array(decoded, pa.binary()))
+        if lists:
+            cols.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32())))
+        return ["n_tokens", "ids_sha256", "decoded_sha256", *["decoded"] * texts, *["ids"] * lists], cols
 
-    return _encoded(docs, ranks, pattern, id_col, text_col, block, build, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded binary" * texts)
+    return _encoded(docs, ranks, pattern, id_col, text_col, block, build, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded binary" * texts + ", ids array<int>" * lists)

@@ -61,7 +61,7 @@ def word_counts(docs: DataFrame, words: list[str]) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, item_ids
+    """One row for each row of docs (doc_id, text): rid (its place), doc_id, n_words, n_hit, n_items, item_ids
     (array<string>, sorted), contaminated.
 
     items has item_id and text. Null and empty texts have no words, so they are clean and
@@ -96,7 +96,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10) -> Dat
         "aggregate(hits, struct(0L as n, 0L as upto), (a, h) -> struct(a.n + greatest(h.start + h.long - greatest(a.upto, h.start), 0L) as n, "
         "greatest(a.upto, h.start + h.long) as upto)).n"
     )
-    return rows.select("doc_id", "n_words", covered.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.size("hits") > 0).alias("contaminated"))
+    return rows.select("rid", "doc_id", "n_words", covered.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.size("hits") > 0).alias("contaminated"))
 
 
 def rarest_words(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -121,3 +121,9 @@ def places(docs: DataFrame, words: list[str], window: int) -> DataFrame:
 def verified() -> Column:
     """Whether the window lies within the document there, and has its words."""
     return F.expr("at - shift >= 0 and at - shift + size(win) <= n and slice(around, at - shift - first + 1, size(win)) = win")
+
+
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of docs that hold no window of any item."""
+    bad = decontaminate(docs, items, **options).filter("contaminated").select(F.col("rid").alias("__rid"))
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(bad, "__rid", "left_anti").select(*docs.columns)

@@ -313,3 +313,13 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     joined = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     out = about.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without near-duplicates: of each component the smallest doc_id stays, once.
+
+    Rows with a null doc_id link with nothing and stay.
+    """
+    stays = jaccard_components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
+    known = docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
