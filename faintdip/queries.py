@@ -621,3 +621,26 @@ def rank_train_score(spark, d):
     rows = ranking.split(ranking.impute(ranking.candidate_features(labelled_of(spark, d).drop("ml_score"))), ["id"])
     model = ranking.train(rows.filter("not is_test"))
     return ranking.score(model, rows.filter("is_test")).select("id", "label", F.round("ml_score", 6).alias("ml_score"))
+
+
+@query()
+def full_run_statistics(spark, d):
+    from .plans.pipeline import run
+
+    return run(lc_of(spark, d), pairs_of(spark, d), window=WINDOW, many=MANY, fits=False).statistics
+
+
+@query()
+def stream_window_dips(spark, d):
+    """The stream of events run to its end, as a table."""
+    import tempfile
+    import uuid
+
+    from .streaming.scan import read_samples, window_dips
+
+    name = f"dips_{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint")
+    out = window_dips(read_samples(spark, f"{d}/events*.parquet")).writeStream.format("memory").queryName(name).outputMode("append")
+    q = out.option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
