@@ -29,8 +29,8 @@ def finite(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """A lenient number: null where c is no finite number."""
-    return finite(F.trim(c.cast("string")).try_cast("double"))
+    """A lenient number: null where c is no finite number. c is written out once, as it may be long."""
+    return F.get(F.filter(F.array(F.trim(c.cast("string")).try_cast("double")), lambda x: F.abs(x) < float("inf")), F.lit(0))
 
 
 def truthy(c: Column, default: bool = False) -> Column:

@@ -644,3 +644,81 @@ def stream_window_dips(spark, d):
     q = out.option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+# ---- samples and sheets -----------------------------------------------------------------------------------
+
+
+@query("""SELECT events0.event_id, coalesce(pool.ra, stars.ra) AS ra, coalesce(pool.dec, stars.dec) AS "dec" FROM events0 LEFT JOIN stars ON stars.id = star LEFT JOIN pool ON pool.id = star""")
+def attach_coords(spark, d):
+    from .operators import review
+
+    one, two = (view(spark, d, n).select(F.col("id").alias("star"), "ra", "dec") for n in ("stars", "pool"))
+    return review.attach_positions(events_of(spark, d).select("event_id", "star"), one, two).select("event_id", "ra", "dec")
+
+
+@query("SELECT event_id, coalesce(c_name, 'TIC ' || star) AS star_name FROM events0 LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = star")
+def attach_names(spark, d):
+    from .operators import review
+
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("star"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("name"))
+    return review.attach_names(events_of(spark, d).select("event_id", "star"), names).select("event_id", "star_name")
+
+
+@query("""SELECT event_id, printf('depth %.0f ppm', depth_ppm) || chr(10) || printf('S/N %.1f', local_snr) || coalesce(chr(10) || 'flags: ' || nullif(concat_ws(', ', CASE WHEN flag_low_snr THEN 'low_snr' END, CASE WHEN flag_edge_event THEN 'edge_event' END,
+CASE WHEN flag_single_point_like THEN 'single_point_like' END, CASE WHEN flag_likely_flare_shape THEN 'likely_flare_shape' END, CASE WHEN flag_poor_asymmetry_fit THEN 'poor_asymmetry_fit' END), ''), '') AS annotation FROM vetted""")
+def event_annotation(spark, d):
+    from .operators import review
+
+    return review.annotation(vetted_of(spark, d)).select("event_id", "annotation")
+
+
+@query("SELECT star, event_id, automated_vetting_status, '' AS manual_disposition FROM scored")
+def vetting_sheet(spark, d):
+    from .operators import review
+
+    return review.vetting_sheet(scored_of(spark, d)).select("star", "event_id", "automated_vetting_status", "manual_disposition")
+
+
+@query(f"""WITH t AS ({TARGETS}), c AS ({CONTROLS}), k AS (SELECT c.id, t.id AS target_id, row_number() OVER (PARTITION BY t.id ORDER BY abs(c.tmag - t.tmag), c.id) AS k FROM t JOIN c ON abs(c.tmag - t.tmag) <= 0.5 AND c.teff BETWEEN greatest(t.teff - 300, 2500) AND t.teff + 300)
+SELECT id, min(target_id) AS target_id FROM k WHERE k <= 3 GROUP BY id""")
+def range_scan(spark, d):
+    from .plans import samples
+
+    t, c = photometry(table(spark, d, "customer"), "c_custkey", "c_acctbal"), photometry(table(spark, d, "supplier"), "s_suppkey", "s_acctbal")
+    return samples.range_scan(t, c, each=3).select("id", "target_id")
+
+
+@query()
+def target_sample(spark, d):
+    from .plans import samples
+
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    one = c.filter(k % 2 == 0).select(F.col("c_name").alias("name"), ((k * 137.508) % 360).alias("ra"), ((k * 53.13) % 160 - 80).alias("dec"), k.alias("tic"))
+    two = c.filter(k % 3 == 0).select(F.col("c_name").alias("Star"), ((k * 137.508) % 360).cast("string").alias("RAJ2000"), ((k * 53.13) % 160 - 80).cast("string").alias("DEJ2000"))
+    return samples.target_sample({"cotten_song_2016": one, "chen_2014": two}).select("target_name", "source_catalog", "ra_deg", "dec_deg", "sample_role")
+
+
+@query()
+def random_stars(spark, d):
+    from .plans import samples
+
+    return samples.some_stars(lc_of(spark, d).select("star").distinct(), 10)
+
+
+@query("SELECT sample_role, least(floor((tmag + 1) / 11 * 20), 19)::INT AS bin, count(*) AS n FROM (SELECT 'target' AS sample_role, tmag FROM stars UNION ALL SELECT 'control', tmag FROM pool) WHERE tmag BETWEEN -1 AND 10 GROUP BY ALL")
+def balance_histogram(spark, d):
+    both = view(spark, d, "stars").select(F.lit("target").alias("sample_role"), "tmag").unionByName(view(spark, d, "pool").select(F.lit("control").alias("sample_role"), "tmag"))
+    return consolidate.histogram(both, "tmag", -1.0, 10.0, 20, "sample_role")
+
+
+@query("SELECT sample_role, automated_vetting_status, count(*) AS n FROM scored GROUP BY ALL")
+def candidates_by_role(spark, d):
+    return scored_of(spark, d).groupBy("sample_role", "automated_vetting_status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT star, n_events, round(max_score, 6) AS max_score FROM summary ORDER BY max_score DESC, star LIMIT 5")
+def top_scores_by_star(spark, d):
+    s = consolidate.star_summary(scored_of(spark, d), MANY)
+    return rounded(s.orderBy(F.desc("max_score"), "star").limit(5).select("star", "n_events", "max_score"))
