@@ -1,11 +1,11 @@
 """n-gram Jaccard join on count vectors.
 
 A text's set of word shingles is hashed into groups. Two sets that are similar enough differ
-in so few shingles that some group is equal in both, if there is one group more than
+in so few shingles that some group is equal in both, if there are more groups than
 differences; equal groups bring texts together, and never miss a pair. Among those that met,
 an R-tree over the vectors of group counts bounds each overlap by the summed coordinate
-minima, node against node and then point against point; surviving pairs are verified on the
-whole sets, unless they are already in one component.
+minima, node against node and then point against point; what it leaves is verified on the
+whole sets, unless it is already in one component.
 """
 
 from __future__ import annotations
@@ -20,21 +20,44 @@ from .components import components
 from .state import cut
 from .flat import LOWER, mix, neighbours, prefix_hash, ranges, shingle_hash, slices, span_hash, words
 
-#: Coordinates of a count vector, points in a leaf, leaves under an inner node, and texts of a
-#: page: larger clusters are joined page by page.
-DIMENSIONS, LEAF, FANOUT, PAGE = 32, 32, 16, 4096
+#: Shingles for each coordinate of a count vector, and its least coordinates; points in a leaf, leaves under
+#: an inner node, and texts of a page: larger clusters are joined page by page.
+#: With about so many shingles a coordinate, unrelated sets differ by 0.4 of their size or more,
+#: similar ones by 0.2 or less, whatever their size.
+EACH, LEAST, LEAF, FANOUT, PAGE = 8, 32, 32, 16, 4096
 #: Keys that a task gathers before it hands them on.
 GATHER = 1 << 21
 
 
-def bands(percent: int, most: int) -> np.ndarray:
-    """Sizes where bands begin: similar sets are in one band or in neighbours."""
-    out = [0, 1]
-    while out[-1] <= most:
-        out.append(out[-1] * 100 // percent + 1)
-    out.append(out[-1] * 100 // percent + 1)
-    out.append(out[-1] * 100 // percent + 1)
-    return np.array(out)
+class Grouping:
+    """How many groups the sets of each size band are hashed into.
+
+    A tag stands for a band of sizes and for the smaller sizes that are similar to some in it.
+    Its sets differ in at most `apart` shingles if they are similar, so at least groups - apart
+    groups are equal in both. That is more than the groups that are empty in nearly every set, so
+    some equal group is not empty, and empty ones need not be looked at.
+    """
+
+    def __init__(self, percent: int, most: int = 1 << 40):
+        self.percent = percent
+        edges = [1]
+        while edges[-1] <= most:
+            edges.append(int(edges[-1] * (100 / percent) ** 1.5) + 1)
+        self.edges = np.array([*edges, edges[-1] * 4], np.int64)
+        largest = self.edges[1:] - 1
+        self.apart = 2 * largest * (100 - percent) // (100 + percent)
+        least = self.edges[:-1] * percent / 100
+        groups = self.apart + 1.0
+        for _ in range(8):
+            groups = self.apart + 3 + np.ceil(1.3 * groups * np.exp(-least / groups))
+        # where sets are small all of a set is one group, if similar sets can't differ at all
+        self.groups = np.where(self.apart == 0, 1, groups).astype(np.int64)
+
+    def tags(self, n: np.ndarray) -> list[np.ndarray]:
+        """The tags of sets of n shingles: their band's, and the next where a similar set can be in it; -1 for none."""
+        band = np.searchsorted(self.edges, n, "right") - 1
+        reach = n * 100 // self.percent >= self.edges[np.minimum(band + 1, len(self.edges) - 1)]
+        return [np.where(n > 0, band, -1), np.where((n > 0) & reach, band + 1, -1)]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,35 +97,62 @@ def signatures(e: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([totals(mix(e + np.uint64(11)), at), totals(mix(e ^ np.uint64(0x5851F42D4C957F2D)), at)], 1)
 
 
-def group_keys(e: np.ndarray, at: np.ndarray, percent: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all equal-group signatures, and the text of each."""
+def group_keys(e: np.ndarray, at: np.ndarray, grouping: Grouping) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the groups of all sets, and the set of each."""
     n = np.diff(at)
-    band = np.searchsorted(edges, n, "right") - 1
+    of = np.repeat(np.arange(len(n)), n)
     keys, owners = [], []
-    for tag in (band - 1, band):  # a tag is for its band and the next
-        groups = np.where(n > 0, 2 * (edges[np.maximum(tag, 0) + 2] - 1) * (100 - percent) // (100 + percent) + 1, 0)
+    for tag in grouping.tags(n):
+        groups = np.where(tag >= 0, grouping.groups[tag], 0)
         base = np.cumsum(groups) - groups
-        of = np.repeat(np.arange(len(n)), n)
+        use = tag[of] >= 0
         salt = mix(tag.astype(np.uint64) + np.uint64(77))
-        g = (mix(e ^ salt[of]) % groups[of].astype(np.uint64)).astype(np.int64)
+        x, set_of = e[use], of[use]
+        g = base[set_of] + (mix(x ^ salt[set_of]) % groups[set_of].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(groups.sum()), np.uint64)
-        np.add.at(total, base[of] + g, mix(e + np.uint64(5)))
+        np.add.at(total, g, mix(x + np.uint64(5)))
+        full = np.zeros(len(total), bool)
+        full[g] = True
         owner = np.repeat(np.arange(len(n)), groups)
-        keys.append(mix(total ^ mix(salt[owner] + ranges(groups).astype(np.uint64))))
+        empty = groups - np.bincount(owner[full], minlength=len(n))
+        full |= (empty > groups - grouping.apart[tag] - 1)[owner]  # rare: here empty groups count too
+        owner, number = owner[full], ranges(groups)[full]
+        keys.append(mix(total[full] ^ mix(salt[owner] + number.astype(np.uint64))))
         owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def count_vectors(e: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many of each set's elements fall in each of the groups: (n, DIMENSIONS) uint32."""
-    n = len(at) - 1
-    of = np.repeat(np.arange(n), np.diff(at))
-    g = (mix(e + np.uint64(3)) % np.uint64(DIMENSIONS)).astype(np.int64)
-    return np.bincount(of * DIMENSIONS + g, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.uint32)
+def dimensions(n: np.ndarray) -> np.ndarray:
+    """Coordinates of the count vectors of sets of n: powers of two, so that a longer vector folds into a shorter."""
+    return np.maximum(LEAST, 2 ** np.ceil(np.log2(np.maximum(n, 1) / EACH)).astype(np.int64).clip(0))
+
+
+def count_vectors(e: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of each set's elements fall in each of its groups, one set after another, and where each begins."""
+    d = dimensions(np.diff(at))
+    begin = np.concatenate([[0], np.cumsum(d)])
+    of = np.repeat(np.arange(len(d)), np.diff(at))
+    g = (mix(e + np.uint64(3)) & (d[of] - 1).astype(np.uint64)).astype(np.int64)
+    return np.bincount(begin[of] + g, minlength=int(begin[-1])), begin
+
+
+def folded(flat: np.ndarray, begin: np.ndarray, which: np.ndarray, d: int) -> np.ndarray:
+    """The count vectors of some sets at d coordinates: those of longer vectors that agree modulo d are added."""
+    own = np.diff(begin)[which]
+    out = np.zeros((len(which), d), np.int32)
+    for k in np.unique(own):
+        at = np.flatnonzero(own == k)
+        out[at] = flat[begin[which[at]][:, None] + np.arange(k)].reshape(len(at), k // d, d).sum(1)
+    return out
+
+
+def width(n: int):
+    """The type of counts of a set of n."""
+    return np.uint16 if n < 1 << 16 else np.uint32
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, sig): sig is null for an empty set."""
+    """(doc_id, n_shingles, sig, vec): signature and count vector, null for an empty set."""
 
     def run(batches):
         for batch in batches:
@@ -110,9 +160,11 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                 e, at = shingle_sets(buf, off, size)
                 n = np.diff(at)
                 sig = pa.array([bytes(x) if k else None for x, k in zip(signatures(e, at).view(np.uint8).reshape(len(n), 16), n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n), sig], ["doc_id", "n_shingles", "sig"])
+                flat, begin = count_vectors(e, at)
+                vec = pa.array([flat[a:b].astype(width(k)).tobytes() if k else None for a, b, k in zip(begin, begin[1:], n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n), sig, vec], ["doc_id", "n_shingles", "sig", "vec"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, vec binary")
 
 
 def meetings(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
@@ -136,14 +188,17 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFram
         order = np.argsort(bucket, kind="stable")
         keys, owners, bucket = keys[order], owners[order], bucket[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.array([0])
-        rows = [(int(bucket[a]), keys[a:b].tobytes(), owners[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+        # 40 bits beside the bucket tell keys apart; a chance match only costs a comparison
+        rest = (keys // np.uint64(buckets) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        small = np.int32 if len(owners) and owners.min() > -(1 << 31) and owners.max() < 1 << 31 else np.int64
+        rows = [(int(bucket[a]), rest[a:b].tobytes(), owners[a:b].astype(small).tobytes()) for a, b in zip(cut, cut[1:])]
         for k in range(0, len(pairs), 1 << 16):
             some = np.ascontiguousarray(pairs[k : k + (1 << 16)].T)
             rows.append((-1 - int(some.sum() % buckets), some[0].tobytes(), some[1].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "keys", "owners"]) if rows else None
 
     def send(batches):
-        edges, held, many, signs = bands(percent, 1 << 40), [], 0, set()
+        grouping, held, many, signs = Grouping(percent), [], 0, set()
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0))
             known = ~np.asarray(batch.column(0).is_null())
@@ -157,7 +212,7 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFram
                 at = np.concatenate([[0], np.cumsum(n[use])])
                 if not len(e):
                     continue
-                keys, owners = group_keys(e, at, percent, edges)
+                keys, owners = group_keys(e, at, grouping)
                 held.append((keys, ids[i : i + len(off) - 1][use][owners]))
                 many += len(keys)
                 if many > GATHER:
@@ -172,11 +227,13 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFram
             for bucket, keys, owners in zip(*(c.to_pylist() for c in batch.columns)):
                 runs.setdefault(bucket, []).append((keys, owners))
         for bucket, parts in runs.items():
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in parts])
-            owners = np.concatenate([np.frombuffer(o, np.int64) for _, o in parts])
             if bucket < 0:
-                pairs = np.stack([keys.view(np.int64), owners], 1)
+                pairs = np.stack([np.frombuffer(b"".join(x), np.int64) for x in zip(*parts)], 1)
             else:
+                owners = np.concatenate([np.frombuffer(o, np.int32 if 5 * len(o) == 4 * len(k) else np.int64).astype(np.int64) for k, o in parts])
+                keys = np.zeros((len(owners), 8), np.uint8)
+                keys[:, :5] = np.frombuffer(b"".join(k for k, _ in parts), np.uint8).reshape(-1, 5)
+                keys = keys.view("<u8").ravel()
                 order = np.lexsort((owners, keys))
                 keys, owners = keys[order], owners[order]
                 first = np.ones(len(keys), bool)
@@ -204,55 +261,86 @@ class Forest:
         return True
 
 
-def rtree_join(sets: list[np.ndarray], vec: np.ndarray, page: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Verified links (numbers of points) that span the components of the points' similarity graph.
+class Tree:
+    """An R-tree of two storeys: leaves are runs of points sorted by size and count vector, inner nodes runs of leaves.
 
-    Leaves are runs of points sorted by size and count vector; inner nodes are runs of leaves.
-    A node's box is its coordinate maxima, and its least size. page is 0 or 1; if both occur, only
-    pairs across are looked at, as the pairs within have tasks of their own.
+    A node's box is its coordinate maxima, and its least size.
     """
-    n = np.array([len(s) for s in sets])
-    order = np.lexsort((*vec.T[::-1], n))
-    across = len(np.unique(page)) > 1
-    forest, links = Forest(len(sets)), []
 
-    def boxes(width):
-        cut = np.arange(0, len(order), width)
-        return np.maximum.reduceat(vec[order], cut), np.minimum.reduceat(n[order], cut), cut
+    def __init__(self, points: np.ndarray, n: np.ndarray, vec: np.ndarray):
+        order = np.lexsort((*vec.T[:8][::-1], n[points]))
+        self.points, self.vec, self.n = points[order], vec[order], n[points[order]]
+        self.leaves, self.inner = self.boxes(LEAF), self.boxes(LEAF * FANOUT)
+
+    def boxes(self, run: int):
+        cut = np.arange(0, len(self.points), run)
+        return np.maximum.reduceat(self.vec, cut), np.minimum.reduceat(self.n, cut)
+
+    def leaf(self, k: int):
+        s = slice(k * LEAF, (k + 1) * LEAF)
+        return self.points[s], (self.vec[s], self.n[s])
 
-    def may(top_a, low_a, top_b, low_b):
+
+def meeting_leaves(a: Tree, b: Tree, percent: int, same: bool):
+    """Pairs of leaves, and which of their points the bound lets meet."""
+
+    def may(x, y):
         # the needed overlap of two sets is percent / (100 + percent) of their summed sizes
-        return (100 + percent) * np.minimum(top_a[:, None], top_b[None]).sum(2, dtype=np.int64) >= percent * (low_a[:, None] + low_b[None])
-
-    inner, leaves = boxes(LEAF * FANOUT), boxes(LEAF)
-    pairs = may(inner[0], inner[1], inner[0], inner[1])
-    for i, j in zip(*np.nonzero(np.triu(pairs))):
-        a, b = (slice(k * FANOUT, (k + 1) * FANOUT) for k in (i, j))
-        hit = may(leaves[0][a], leaves[1][a], leaves[0][b], leaves[1][b])
-        for x, y in zip(*np.nonzero(hit)):
+        most = np.minimum(x[0][:, None], y[0][None]).sum(2, dtype=np.int64)
+        return (100 + percent) * most >= percent * (x[1][:, None] + y[1][None])
+
+    above = may(a.inner, b.inner)
+    for i, j in zip(*np.nonzero(np.triu(above) if same else above)):
+        s, t = (slice(k * FANOUT, (k + 1) * FANOUT) for k in (i, j))
+        for x, y in zip(*np.nonzero(may([v[s] for v in a.leaves], [v[t] for v in b.leaves]))):
             p, q = i * FANOUT + x, j * FANOUT + y
-            if p > q:
+            if not same or p <= q:
+                (u, box_u), (v, box_v) = a.leaf(p), b.leaf(q)
+                yield u, v, may(box_u, box_v)
+
+
+def rtree_join(n: np.ndarray, flat: np.ndarray, begin: np.ndarray, page: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links (numbers of points) that span the components of the points' similarity graph.
+
+    Points are sets of n shingles with count vectors (flat, begin). There is a tree for each number of
+    coordinates; trees of different numbers meet at the smaller. With sets, links are verified on
+    them; without, a link says no more than that the bound allows it. page is 0 or 1; if both
+    occur, only pairs across are looked at, as the pairs within have tasks of their own.
+    """
+    across = len(np.unique(page)) > 1
+    forest, links = Forest(len(n)), []
+    d = np.diff(begin)
+    kinds = np.unique(d)
+    for i, small in enumerate(kinds):
+        mine = np.flatnonzero(d == small)
+        tree = Tree(mine, n, folded(flat, begin, mine, small))
+        for large in kinds[i:]:
+            others = np.flatnonzero(d == large)
+            if 100 * n[mine].max() < percent * n[others].min():
                 continue
-            u, v = order[p * LEAF : (p + 1) * LEAF], order[q * LEAF : (q + 1) * LEAF]
-            ok = may(vec[u], n[u], vec[v], n[v]) & (forest.label[u][:, None] != forest.label[v][None])
-            if across:
-                ok &= page[u][:, None] != page[v][None]
-            for r in np.flatnonzero(ok.any(1)):
-                for c in np.flatnonzero(ok[r]):
+            other = tree if large == small else Tree(others, n, folded(flat, begin, others, small))
+            for u, v, ok in meeting_leaves(tree, other, percent, large == small):
+                ok &= forest.label[u][:, None] != forest.label[v][None]
+                if across:
+                    ok &= page[u][:, None] != page[v][None]
+                for r, c in zip(*np.nonzero(ok)):
                     s, t = int(u[r]), int(v[c])
-                    if s == t or forest.label[s] == forest.label[t]:
+                    if forest.label[s] == forest.label[t]:
                         continue
-                    both = len(np.intersect1d(sets[s], sets[t], assume_unique=True))
-                    if 100 * both >= percent * (len(sets[s]) + len(sets[t]) - both) and forest.join(s, t):
-                        links.append((s, t))
+                    if sets is not None:
+                        both = len(np.intersect1d(sets[s], sets[t], assume_unique=True))
+                        if 100 * both < percent * (n[s] + n[t] - both):
+                            continue
+                    forest.join(s, t)
+                    links.append((s, t))
     return links
 
 
-def verified_links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the components, within clusters of documents that met.
+def paged(members: DataFrame, percent: int) -> DataFrame:
+    """members (doc_id, cluster, n_shingles, ...) dealt out to tasks (cluster, p, q), with their page.
 
-    members has doc_id, cluster and n_shingles. A cluster is dealt out in pages by size; every
-    two pages whose sizes can be similar are one task, so a task's memory is bounded.
+    A cluster's pages are cut by size; every two pages whose sizes can be similar are one task, so
+    a task's memory is bounded, however large the cluster is.
     """
     order = W.partitionBy("cluster").orderBy("n_shingles", "doc_id")
     members = members.withColumn("page", F.floor((F.row_number().over(order) - 1) / PAGE).cast("int"))
@@ -261,7 +349,28 @@ def verified_links(docs: DataFrame, members: DataFrame, size: int, percent: int)
     near = (F.col("p.cluster") == F.col("q.cluster")) & (F.col("p.page") <= F.col("q.page")) & (100 * F.col("p.high") >= percent * F.col("q.low"))
     tasks = p.join(q, near).select(F.col("p.cluster").alias("cluster"), F.col("p.page").alias("p"), F.col("q.page").alias("q"))
     mine = F.explode(F.array_distinct(F.array("p", "q"))).alias("page")
-    placed = members.join(tasks.select("cluster", "p", "q", mine), ["cluster", "page"]).groupBy("doc_id").agg(F.collect_set(F.struct("cluster", "p", "q", "page")).alias("tasks"))
+    return members.join(tasks.select("cluster", "p", "q", mine), ["cluster", "page"])
+
+
+def _pairs(ids: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": ids[a], "b": ids[b]})
+
+
+def bounded_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span what the bound on count vectors leaves of each cluster; members have vec."""
+
+    def join(t: pa.Table) -> pa.Table:
+        n = np.asarray(t["n_shingles"])
+        flat = np.concatenate([np.frombuffer(x, width(k)) for x, k in zip(t["vec"].to_pylist(), n)])
+        return _pairs(np.asarray(t["doc_id"]), rtree_join(n, flat, np.concatenate([[0], np.cumsum(dimensions(n))]), np.asarray(t["page"]), percent))
+
+    return paged(members, percent).select("cluster", "p", "q", "page", "doc_id", "n_shingles", "vec").groupBy("cluster", "p", "q").applyInArrow(join, "a long, b long")
+
+
+def verified_links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components, verified on whole sets, within clusters of members."""
+    placed = paged(members, percent).groupBy("doc_id").agg(F.collect_set(F.struct("cluster", "p", "q", "page")).alias("tasks"))
 
     def sets(batches):
         for batch in batches:
@@ -276,12 +385,10 @@ def verified_links(docs: DataFrame, members: DataFrame, size: int, percent: int)
     rows = found.select("doc_id", "shingles", F.inline("tasks"))
 
     def join(t: pa.Table) -> pa.Table:
-        ids = np.asarray(t["doc_id"])
         some = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in some])])
-        links = rtree_join(some, count_vectors(np.concatenate(some), at), np.asarray(t["page"]), percent)
-        a, b = np.array(links, np.int64).reshape(-1, 2).T
-        return pa.table({"a": ids[a], "b": ids[b]})
+        n = np.array([len(x) for x in some])
+        vectors = count_vectors(np.concatenate(some), np.concatenate([[0], np.cumsum(n)]))
+        return _pairs(np.asarray(t["doc_id"]), rtree_join(n, *vectors, np.asarray(t["page"]), percent, some))
 
     return rows.groupBy("cluster", "p", "q").applyInArrow(join, "a long, b long")
 
@@ -307,9 +414,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     for side in ("a", "b"):
         met = met.join(copies.select(F.col("doc_id").alias(side), F.col("rep").alias("__rep")), side, "left").withColumn(side, F.coalesce("__rep", side)).drop("__rep")
     clusters = components(met.select("a", "b"))
+    label = lambda c: c.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    # a doc_id that rows of different texts share takes part with each
+    members = label(clusters).join(keyed.select("doc_id", "n_shingles", "vec").distinct(), "doc_id")
+    tight = label(components(bounded_links(members, percent)))
     sizes = keyed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, "doc_id")
-    links = verified_links(docs, members, words, percent)
+    links = verified_links(docs, tight.join(sizes, "doc_id"), words, percent)
     joined = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     out = about.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
