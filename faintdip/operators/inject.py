@@ -65,16 +65,16 @@ def recovery(lc: DataFrame, n: int = 10, sigma: float = 4.0, window: float = 1.0
     truth = trials(span, n, seed)
 
     def run(key, series, dips):
-        if not len(series) or not len(dips):
-            return pd.DataFrame(columns=["star", "trial", "event_time", "depth_ppm", "local_snr"])
+        names = ["star", "trial", "event_time", "depth_ppm", "local_snr"]
         t, f = series.t.to_numpy(), series.flux.to_numpy()
         out = []
         for d in dips.itertuples():
             x, rise, fall, deep = t - d.at, d.ingress_hours / 24, d.egress_hours / 24, d.depth_ppm / 1e6
             lost = deep * np.clip(np.where(x < 0, 1 + x / rise, 1 - x / fall), 0, 1)
-            e = detector(t, f - lost, sigma, window, False)[["event_time", "depth_ppm", "local_snr"]]
-            out.append(e.assign(star=key[0], trial=d.trial))
-        return pd.concat(out)[["star", "trial", "event_time", "depth_ppm", "local_snr"]]
+            e = detector(t, f - lost, sigma, window, False)
+            if len(e):
+                out.append(e[names[2:]].assign(star=key[0], trial=d.trial))
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
     found = samples.groupBy("star").cogroup(truth.groupBy("star")).applyInPandas(run, "star long, trial int, event_time double, depth_ppm double, local_snr double")
     return match_detections(truth.drop("first", "last", "n"), found, tolerance_hours)
