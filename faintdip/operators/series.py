@@ -29,11 +29,18 @@ def clean_normalize(lc: DataFrame, sigma: float = 10.0) -> DataFrame:
     return lc.withColumn("flux", F.try_divide(F.col("flux"), F.median("flux").over(star))).drop("med", "sd")
 
 
+def _robust(n, mad, sd):
+    """The scaled median deviation, or the population deviation where that is not positive."""
+    return F.when((mad > 0) | (n <= 1), MAD_TO_SIGMA * mad).otherwise(sd)
+
+
 def noise(lc: DataFrame) -> DataFrame:
-    """(star, n, baseline, noise): robust noise, the population deviation where that is not positive."""
+    """(star, n, baseline, noise, first, last): robust noise and the ends of each series."""
     lc = finite_samples(lc).withColumn("med", F.median("flux").over(W.partitionBy("star")))
-    g = lc.groupBy("star").agg(F.count("*").alias("n"), F.first("med").alias("baseline"), (MAD_TO_SIGMA * F.median(F.abs(F.col("flux") - F.col("med")))).alias("mad"), F.stddev_pop("flux").alias("sd"))
-    return g.select("star", "n", "baseline", F.when((F.col("mad") > 0) | (F.col("n") <= 1), F.col("mad")).otherwise(F.col("sd")).alias("noise"))
+    g = lc.groupBy("star").agg(
+        F.count("*").alias("n"), F.first("med").alias("baseline"), F.median(F.abs(F.col("flux") - F.col("med"))).alias("mad"), F.stddev_pop("flux").alias("sd"), F.min("t").alias("first"), F.max("t").alias("last")
+    )
+    return g.select("star", "n", "baseline", _robust(F.col("n"), F.col("mad"), F.col("sd")).alias("noise"), "first", "last")
 
 
 def cadence(lc: DataFrame) -> DataFrame:
@@ -47,16 +54,17 @@ def local_minima(lc: DataFrame, sigma: float = 4.0) -> DataFrame:
 
     A run of equal values counts as one sample at its middle; ends of a series are none.
     """
-    order = W.partitionBy("star").orderBy("t")
+    # windows over the star and over parts of it share one shuffle
+    star, order = W.partitionBy("star"), W.partitionBy("star").orderBy("t")
+    run = W.partitionBy("star", "run")
+    before, after = F.lag("flux").over(order), F.lead("flux").over(order)
     lc = finite_samples(lc).select("star", "t", "flux")
-    lc = lc.withColumns({"i": F.row_number().over(order), "new": (F.coalesce(F.lag("flux").over(order) != F.col("flux"), F.lit(True))).cast("int")})
-    lc = lc.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    runs = lc.groupBy("star", "run").agg(F.first("flux").alias("flux"), F.floor((F.min("i") + F.max("i")) / 2).alias("mid"))
-    by_run = W.partitionBy("star").orderBy("run")
-    low = runs.withColumns({"before": F.lag("flux").over(by_run), "after": F.lead("flux").over(by_run)}).filter("before > flux and after > flux")
-    found = low.join(noise(lc), "star").filter(F.col("baseline") - F.col("flux") >= sigma * F.col("noise")).filter("noise > 0")
-    times = lc.select("star", F.col("i").alias("mid"), "t")
-    return found.join(times, ["star", "mid"]).select("star", "t", "flux", "baseline", "noise")
+    lc = lc.withColumns({"i": F.row_number().over(order), "before": before, "after": after, "n": F.count("*").over(star), "baseline": F.median("flux").over(star), "sd": F.stddev_pop("flux").over(star)})
+    lc = lc.withColumn("run", F.sum(F.coalesce(F.col("before") != F.col("flux"), F.lit(True)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    lc = lc.withColumn("noise", _robust(F.col("n"), F.median(F.abs(F.col("flux") - F.col("baseline"))).over(star), F.col("sd")))
+    lc = lc.withColumns({"a": F.min("i").over(run), "b": F.max("i").over(run), "before": F.min_by("before", "i").over(run), "after": F.max_by("after", "i").over(run)})
+    low = (F.col("before") > F.col("flux")) & (F.col("after") > F.col("flux")) & (F.col("i") == F.floor((F.col("a") + F.col("b")) / 2))
+    return lc.filter(low & (F.col("noise") > 0) & (F.col("baseline") - F.col("flux") >= sigma * F.col("noise"))).select("star", "t", "flux", "baseline", "noise")
 
 
 def window_samples(lc: DataFrame, events: DataFrame, window: float) -> DataFrame:
@@ -86,8 +94,7 @@ def window_features(lc: DataFrame, events: DataFrame, window: float = 1.0) -> Da
         F.count_if(F.col("flux") < F.col("base") - F.greatest(F.col("base") - F.col("least"), F.lit(0.0)) / 2).alias("below"),
         F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"),
     )
-    span = finite_samples(lc).groupBy("star").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    g = g.join(span, "star").join(noise(lc).select("star", F.col("noise").alias("global")), "star")
+    g = g.join(noise(lc).select("star", F.col("noise").alias("global"), "first", "last"), "star")
     enough = F.col("n") >= 3
     local = F.when(F.col("mad") > 0, F.col("mad")).when(F.col("sd") > 0, F.col("sd")).when(F.col("global") > 0, F.col("global"))
     depth = F.greatest(F.col("base") - F.col("least"), F.lit(0.0))

@@ -148,7 +148,7 @@ def lc_clean_normalize(spark, d):
 
 @query("SELECT star, n, round(baseline, 9) AS baseline, round(noise, 9) AS noise FROM noise")
 def lc_noise_mad(spark, d):
-    return rounded(series.noise(lc_of(spark, d)), 9)
+    return rounded(series.noise(lc_of(spark, d)).select("star", "n", "baseline", "noise"), 9)
 
 
 @query("SELECT star, count(*) AS n, round(median(step), 6) AS cadence FROM (SELECT star, t - lag(t) OVER (PARTITION BY star ORDER BY t) AS step FROM lc) GROUP BY star")
