@@ -53,3 +53,8 @@ def meaningful(c: Column) -> Column:
 
 def same_or_missing(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def beside(df: DataFrame, one: DataFrame, prefix: str = "") -> DataFrame:
+    """df with the columns of a table of one row, as scalar subqueries: no join is planned."""
+    return df.withColumns({prefix + c: one.select(c).scalar() for c in one.columns})

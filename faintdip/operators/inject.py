@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import beside
 from .detect import scan_series
 from .series import finite_samples
 
@@ -91,7 +92,7 @@ def recovery_by_depth(rows: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, recovered, fraction) over log-spaced depths from the least, at least 10, to 1.05 times the greatest."""
     rows = rows.filter("depth_ppm is not null")
     span = rows.agg(F.greatest(F.min("depth_ppm"), F.lit(10.0)).alias("low"), (F.max("depth_ppm") * 1.05).alias("high"))
-    x = rows.join(F.broadcast(span))  # one row
+    x = beside(rows, span)
     b = F.floor((F.log("depth_ppm") - F.log("low")) / (F.log("high") - F.log("low")) * bins)
     return x.withColumn("bin", b).filter(f"bin between 0 and {bins - 1}").groupBy("bin").agg(F.count("*").alias("n"), F.count_if("recovered").alias("recovered"), F.avg(F.col("recovered").cast("int")).alias("fraction"))
 
@@ -100,7 +101,7 @@ def recovery_heatmap(rows: DataFrame, depth_bins: int = 8, egress_bins: int = 6)
     """(depth_bin, egress_bin, n, fraction): depth log-spaced, egress linear from .95 of the least to 1.05 of the greatest."""
     rows = rows.filter("depth_ppm is not null and egress_hours is not null")
     span = rows.agg(F.greatest(F.min("depth_ppm"), F.lit(10.0)).alias("low"), (F.max("depth_ppm") * 1.05).alias("high"), (F.min("egress_hours") * 0.95).alias("e0"), (F.max("egress_hours") * 1.05).alias("e1"))
-    x = rows.join(F.broadcast(span))  # one row
+    x = beside(rows, span)
     d = F.floor((F.log("depth_ppm") - F.log("low")) / (F.log("high") - F.log("low")) * depth_bins)
     e = F.floor((F.col("egress_hours") - F.col("e0")) / (F.col("e1") - F.col("e0")) * egress_bins)
     x = x.withColumns({"depth_bin": d, "egress_bin": e}).filter(f"depth_bin between 0 and {depth_bins - 1} and egress_bin between 0 and {egress_bins - 1}")

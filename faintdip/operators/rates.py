@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import beside
+
 
 def upper_gamma(a: float, x: float) -> float:
     """The regularised upper incomplete gamma function, by series or continued fraction."""
@@ -95,8 +97,7 @@ def yield_by_role(events: DataFrame, pairs: DataFrame, scanned: DataFrame | None
     stars = scanned.select("star", "sample_role") if scanned is not None else targets.withColumn("sample_role", F.lit("target")).unionByName(controls.withColumn("sample_role", F.lit("control")))
     one = lambda r: F.greatest(F.count_distinct(F.when(F.col("sample_role") == r, F.col("star"))), F.lit(1)).cast("double").alias(f"{r}_exposure")
     exposure = stars.agg(one("target"), one("control"))
-    # one row each
-    return counts.join(F.broadcast(exposure)).withColumn("exposure_source", F.lit("scan_meta_actual" if scanned is not None else "matched_pairs_total"))
+    return beside(counts, exposure).withColumn("exposure_source", F.lit("scan_meta_actual" if scanned is not None else "matched_pairs_total"))
 
 
 def rate_point(yields: DataFrame) -> DataFrame:
