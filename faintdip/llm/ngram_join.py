@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .components import components
 from .state import cut
@@ -339,11 +338,17 @@ def rtree_join(n: np.ndarray, flat: np.ndarray, begin: np.ndarray, page: np.ndar
 def paged(members: DataFrame, percent: int) -> DataFrame:
     """members (doc_id, cluster, n_shingles, ...) dealt out to tasks (cluster, p, q), with their page.
 
-    A cluster's pages are cut by size; every two pages whose sizes can be similar are one task, so
-    a task's memory is bounded, however large the cluster is.
+    A cluster of more than PAGE texts is cut by size, and a size with many of them by hash; every two
+    pages whose sizes can be similar are one task. So a task's memory is bounded, however large
+    the cluster is, and no task sees all of a cluster to cut it.
     """
-    order = W.partitionBy("cluster").orderBy("n_shingles", "doc_id")
-    members = members.withColumn("page", F.floor((F.row_number().over(order) - 1) / PAGE).cast("int"))
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) * 4).cast("int")
+    members = members.withColumn("level", level)
+    sizes = members.groupBy("cluster", "level").agg(F.count("*").alias("here"))
+    whole = sizes.groupBy("cluster").agg(F.sum("here").alias("all")).filter(F.col("all") > PAGE)
+    sizes = sizes.join(whole.select("cluster"), "cluster").select("cluster", "level", F.ceil(F.col("here") / PAGE).alias("cuts"))
+    page = F.col("level") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.col("cuts"))
+    members = members.join(sizes, ["cluster", "level"], "left").withColumn("page", F.coalesce(page, F.lit(0)).cast("int")).drop("level", "cuts")
     span = members.groupBy("cluster", "page").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     p, q = span.alias("p"), span.alias("q")
     near = (F.col("p.cluster") == F.col("q.cluster")) & (F.col("p.page") <= F.col("q.page")) & (100 * F.col("p.high") >= percent * F.col("q.low"))
