@@ -531,9 +531,9 @@ def scan_plan(spark, d):
     return scans.scan_plan(pairs_of(spark, d))
 
 
-@query("""SELECT star, sample_role FROM (SELECT target_id AS star, 'target' AS sample_role FROM pairs WHERE target_id <> 0 UNION ALL SELECT control_id, 'control' FROM pairs) WHERE star NOT IN (SELECT star FROM status WHERE success AND n_candidates = 3)""")
+@query("""SELECT star, sample_role FROM (SELECT target_id AS star, 'target' AS sample_role FROM pairs WHERE target_id <> 0 UNION ALL SELECT control_id, 'control' FROM pairs) WHERE star NOT IN (SELECT star FROM status WHERE success AND n_candidates = 3 AND star % 3 = 0)""")
 def scan_resume(spark, d):
-    return scans.still_to_do(scans.scan_plan(pairs_of(spark, d)), status_of(spark, d).filter("n_candidates = 3")).select("star", "sample_role")
+    return scans.still_to_do(scans.scan_plan(pairs_of(spark, d)), status_of(spark, d).filter("n_candidates = 3 and star % 3 = 0")).select("star", "sample_role")
 
 
 @query("SELECT star, success, n_candidates, scan_timestamp FROM (SELECT *, row_number() OVER (PARTITION BY star ORDER BY scan_timestamp DESC, success DESC) AS k FROM status) WHERE k = 1")
