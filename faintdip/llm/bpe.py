@@ -25,7 +25,7 @@ from .flat import ranges, slices
 
 #: Bytes of text in a block, whose distinct pieces are encoded once, and the longest piece that is merged together
 #: with others, in as many rounds as it has merges; longer ones take a heap each.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 FOLD = 64
 #: Slots (a prime) of each half of the merge table, and the factors that spread right and left over either half.
 SLOTS, SPREAD = 262_139, ((1, 65_536), (74_713, 31_337))

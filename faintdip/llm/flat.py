@@ -71,6 +71,8 @@ def slices(column, limit: int = SLICE):
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    # workers are reused: what Arrow keeps of earlier batches would count against the executor
+    pa.default_memory_pool().release_unused()
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from .flat import LOWER, mix, neighbours, prefix_hash, ranges, shingle_hash, sli
 #: similar ones by 0.2 or less, whatever their size.
 EACH, LEAST, LEAF, FANOUT, PAGE = 8, 32, 32, 16, 4096
 #: Keys that a task gathers before it hands them on.
-GATHER = 1 << 21
+GATHER = 1 << 19
 
 
 class Grouping:
