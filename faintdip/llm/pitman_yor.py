@@ -1,23 +1,27 @@
 """Scoring texts with a hierarchical Pitman-Yor model learned from the corpus.
 
-A text is its tokens and an end. Restaurants share parents on three storeys:
+A text is its tokens and an end. Restaurants share parents on four storeys:
 
 * a restaurant for each text, whose customers are the tokens so far: what a text has used before,
   it is likely to use again;
-* its parent, the restaurant of the whole corpus, a dish for every token known from training and
-  one for all others, as in the base score;
+* its parent, at each token, the restaurant of the context, which is the previous word; a text's
+  first token has a context of its own. Its customers are all training tokens after that word;
+* the restaurant of the whole corpus, a dish for every token known from training and one for all
+  others, as in the base score. Its customers are the tables of the contexts' restaurants;
 * the spelling of tokens, which tells rare tokens apart; what it gives to spellings that training
-  doesn't have is the probability of the dish of unknown tokens. A byte is drawn in two steps, its
-  class (32 of them; letters are their own) after the last four classes, then the byte within its
-  class after the byte before and the class before that. Both are trees of restaurants: the
-  context that lacks the oldest item is the parent.
-
-The corpus storey and the spelling learn from all training texts. Customers of a dish are taken
-out and seated again by the Chinese-restaurant process, Gibbs sweep by sweep, each new table
-sending a customer to the parent; predictive probabilities are averaged over the sweeps after
-burn-in. Spelling contexts are at most 32**4 whatever the corpus, so that part of the model has
-a fixed bound and can be sent to all tasks; the corpus storey grows with the vocabulary and is
-dealt out by token, each part of the texts getting back the dishes that it uses.
+  doesn't have is the probability of the dish of unknown tokens. A byte is drawn in two steps, its class (32 of them; letters are
+  their own) after the last four classes, then the byte within its class after the byte before
+  and the class before that. Both are trees of restaurants: the context that lacks the oldest item
+  is the parent.
+
+A context's restaurant seats c customers of a dish at c ** discount tables, the power law that a
+Pitman-Yor process follows, so that a table count needs no parent's probability. In the corpus
+restaurant and in the spelling customers of a dish are taken out and seated again by the
+Chinese-restaurant process, Gibbs sweep by sweep; within the spelling each new table sends a
+customer to the parent, and predictive probabilities are averaged over the sweeps after burn-in.
+Spelling contexts are at most 32**4 whatever the corpus, so that part of the model has a fixed
+bound and can be sent to all tasks; the corpus and context storeys grow with the corpus and are
+dealt out by token and by context, each part of the texts getting back what it uses.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import LOWER, prefix_hash, ranges, slices, span_hash, words
+from .flat import LOWER, mix, prefix_hash, ranges, slices, span_hash, words
 from .state import cut
 
 #: Classes of bytes: space, a to z, end, digits, first and further bytes of longer characters, the rest.
@@ -50,13 +54,19 @@ SPELL = CLASSES ** (DEPTH + 1)  # keys of the second step come after those of th
 
 #: Discount and strength of spelling contexts, of the corpus restaurant and of a text's.
 DISCOUNT, STRENGTH = 0.4, 1.0
+#: The same of a context of one previous word.
+CONTEXT = (0.8, 1.0)
 CORPUS = (0.6, 100.0)
 TEXT = (0.5, 500.0)
 SWEEPS, BURN_IN, SEED = 6, 2, 7
 #: Share of a dish's seated customers that the next run of customers has at most.
 RUN = 0.05
 #: Bytes of text in a part.
-PART = 8 << 20
+PART = 12 << 20
+#: Buckets that tokens and contexts are dealt to, and those for spelling; fixed, so that no setting changes scores.
+SHARDS, TYPES = 256, 128
+#: Bytes of a token's hash that travel with a pair, and the context of a text's first token.
+WORD, FIRST = 6, np.uint64(0)
 
 
 def stream(low: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -206,6 +216,54 @@ def byte_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def distinct(x: np.ndarray):
+    """As np.unique: sorted values, the index of one of each, and the place of each."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = y[1:] != y[:-1]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return y[new], order[new], at
+
+
+def runs(bucket: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+
+
+def narrow(n: np.ndarray) -> bytes:
+    """Counts in the least of 1, 4 and 8 bytes that holds them all; first all lowest bytes, so that the others' zeros compress."""
+    top = n.max() if len(n) else 0
+    width = 1 if top < 256 else 4 if top < 1 << 31 else 8
+    return np.ascontiguousarray(n.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def wide(raw: bytes, many: int) -> np.ndarray:
+    """The counts that narrow packed."""
+    out = np.zeros((many, 8), np.uint8)
+    if many:
+        out[:, : len(raw) // many] = np.frombuffer(raw, np.uint8).reshape(-1, many).T
+    return out.reshape(-1).view("<i8").astype(np.int64)
+
+
+def short(w: np.ndarray) -> bytes:
+    """The lower WORD bytes of hashes."""
+    return np.ascontiguousarray(w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD]).tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    """The hashes that short packed, with zeros above."""
+    out = np.zeros((len(raw) // WORD, 8), np.uint8)
+    out[:, :WORD] = np.frombuffer(raw, np.uint8).reshape(-1, WORD)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash for a context and a token."""
+    return mix(u * np.uint64(0xD6E8FEB86659FD93) + w)
+
+
 class Model:
     """Predictive probabilities of both steps: log10, by context and outcome.
 
@@ -300,7 +358,7 @@ def scored(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, buckets = max(partitions, -(-total // PART)), 4 * partitions
+    parts = max(partitions, -(-total // PART))
     model = learn(docs)
     part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("long").alias("part")
     placed = docs.select(part, "doc_id", "text").repartition(partitions, "part")
@@ -308,97 +366,147 @@ def scored(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def vocabulary(t):
-        """Distinct tokens of a part by bucket and value, their numbers in training texts, their spelling's log10 probability."""
+        """Distinct tokens of a part and FIRST, by bucket: values, their numbers in training texts, their spelling's log10 probability.
+        Pairs of a context and a token, as context * tokens + token, and their numbers. Of each token in order: text, token, pair."""
         keep = ~held_out(t["doc_id"].combine_chunks())
-        held = []
+        seen, spelled, held, texts = np.array([FIRST]), np.zeros(1), [], []
         for i, buf, off in slices(t["text"]):
             low, start, end, text, w = tokens(buf, off)
-            value, first, at = np.unique(w, return_index=True, return_inverse=True)
-            n = np.bincount(at, keep[i : i + len(off) - 1][text], len(value)).astype(np.int64)
-            held.append((value, n, sent.value.log10(*stream(low, start[first], end[first]))))
-        w, n, spelled = (np.concatenate(x) for x in zip(*held))
-        value, first, at = np.unique(w, return_index=True, return_inverse=True)
-        n = np.bincount(at, n, len(value)).astype(np.int64)
-        bucket = (value % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return value[order], n[order], bucket[order], spelled[first][order]
-
-    def runs(bucket):
-        return np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-
-    def narrow(n):
-        return n.astype(np.int32 if n.max() < 1 << 31 else np.int64).tobytes()
-
-    def wide(raw, many):
-        return np.frombuffer(raw, np.int32 if len(raw) == 4 * many else np.int64)
+            value, one, _ = distinct(w)
+            fresh = seen[np.minimum(np.searchsorted(seen, value), len(seen) - 1)] != value
+            value, one = value[fresh], one[fresh]
+            seen, spelled = np.append(seen, value), np.append(spelled, sent.value.log10(*stream(low, start[one], end[one])))
+            order = np.argsort(seen)
+            seen, spelled = seen[order], spelled[order]
+            held.append(w)
+            texts.append(text + i)
+        text = np.concatenate(texts)
+        at = distinct(np.concatenate(held))[2] + 1  # FIRST is the least
+        order = np.argsort(seen % np.uint64(SHARDS), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at, value, spelled = rank[at], seen[order], spelled[order]
+        u = np.append(0, at[:-1])
+        u[np.flatnonzero(np.append(True, text[1:] != text[:-1]))] = rank[0]
+        both, _, pairs = distinct(u * len(value) + at)
+        trains = keep[text]
+        n, m = np.bincount(at, trains, len(value)).astype(np.int64), np.bincount(pairs, trains, len(both)).astype(np.int64)
+        return (value, n, spelled), (both, m), (text, at, pairs)
+
+    def spans(value):
+        """Begin and end of each bucket's run."""
+        bucket = (value % np.uint64(SHARDS)).astype(np.int64)
+        at = runs(bucket)
+        return {int(bucket[a]): (int(a), int(b)) for a, b in zip(at, at[1:])}
 
     def tell(key, t):
-        value, n, bucket, spelled = vocabulary(t)
-        at = runs(bucket)
-        pairs = list(zip(at, at[1:]))
-        return pa.table({
-            "part": pa.array([key[0].as_py()] * len(pairs), pa.int64()), "bucket": pa.array([int(bucket[a]) for a, _ in pairs], pa.int64()),
-            "value": pa.array([value[a:b].tobytes() for a, b in pairs], pa.binary()), "n": pa.array([narrow(n[a:b]) for a, b in pairs], pa.binary()),
-            "spelled": pa.array([spelled[a:b].astype(np.float32).tobytes() for a, b in pairs], pa.binary()),
-        })
-
-    def count(batches):
-        """Sums and tables of each bucket's tokens, back to the parts that told of them; sums over all under part -1."""
-        held: dict[int, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                value = np.frombuffer(r["value"], np.uint64)
-                held.setdefault(r["bucket"], []).append((r["part"], value, wide(r["n"], len(value)), np.frombuffer(r["spelled"], np.float32)))
-        for bucket, some in held.items():
-            every = np.concatenate([v for _, v, _, _ in some])
-            value, first, at = np.unique(every, return_index=True, return_inverse=True)
-            sums = np.bincount(at, np.concatenate([n for _, _, n, _ in some]), len(value)).astype(np.int64)
-            spelled = 10.0 ** np.concatenate([p for *_, p in some])[first].astype(float)
-            t = sampled_tables(sums, spelled, buckets, SEED + bucket)
-            cut_at = np.cumsum([0, *(len(v) for _, v, _, _ in some)])
-            back, seats = sums[at], t.astype(np.float32)[at]
-            rows = [(-1, None, None, None, int(sums.sum()), int((sums > 0).sum()), float(t.sum()), float(spelled[sums > 0].sum()))]
-            rows += [(p, bucket, narrow(back[a:b]), seats[a:b].tobytes(), 0, 0, 0.0, 0.0) for (p, *_), a, b in zip(some, cut_at, cut_at[1:])]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "bucket", "n", "t", "tokens", "types", "tables", "spelled"])
-
-    told = placed.groupBy("part").applyInArrow(tell, "part long, bucket long, value binary, n binary, spelled binary")
-    counted = cut(told.repartition("bucket").mapInArrow(count, "part long, bucket long, n binary, t binary, tokens long, types long, tables double, spelled double"))
-    n_all, n_types, n_tables, n_spelled = (x or 0 for x in counted.filter("part = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("tables"), F.sum("spelled")).first())
-    share = np.log10(n_all + 0.1 * (n_types + 1))
+        (value, n, spelled), (both, m), _ = vocabulary(t)
+        size = np.bincount(both // len(value), minlength=len(value))
+        ends, w = np.append(0, np.cumsum(size)), value[both % len(value)]
+        rows = []
+        for k, (a, b) in spans(value).items():
+            c, d = ends[a], ends[b]
+            rows.append((key[0].as_py(), k, value[a:b].tobytes(), narrow(n[a:b]), spelled[a:b].astype(np.float32).tobytes(), narrow(size[a:b]), short(w[c:d]), narrow(m[c:d])))
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "bucket", "value", "n", "spelled", "size", "word", "m"])
+
+    def restaurants(some):
+        """A bucket's tokens and those that follow them: hashes, one entry of each, each entry's place; the place of each pair told; tokens, customers and contexts of the pairs."""
+        value, first, at = distinct(np.concatenate([np.frombuffer(r["value"], np.uint64) for r in some]))
+        context = np.repeat(at, np.concatenate([wide(r["size"], len(r["value"]) // 8) for r in some]))
+        w = np.concatenate([long(r["word"]) for r in some])
+        m = np.concatenate([wide(r["m"], len(r["word"]) // WORD) for r in some])
+        _, one, place = distinct(pair(context.astype(np.uint64), w))
+        return (value, first, at), place, w[one], np.bincount(place, m, len(one)), context[one]
+
+    def send(key, t):
+        """What the context restaurants of a bucket send to the corpus restaurant: each token's tables, by its bucket."""
+        _, _, w, c, _ = restaurants(t.to_pylist())
+        w, c = w[c > 0], c[c > 0]
+        w, _, at = distinct(w)
+        seats = np.bincount(at, c ** CONTEXT[0], len(w))
+        order = np.argsort(w % np.uint64(SHARDS), kind="stable")
+        w, seats = w[order], seats[order]
+        rows = [(k, short(w[a:b]), seats[a:b].astype(np.float32).tobytes()) for k, (a, b) in spans(w).items()]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "word": pa.array([r[1] for r in rows], pa.binary()), "seats": pa.array([r[2] for r in rows], pa.binary())})
+
+    names = {"part": "long", "bucket": "long", "n": "binary", "left": "binary", "tables_after": "binary", "c": "binary", "tokens": "long", "types": "long", "customers": "long", "tables": "double", "spelled": "double"}
+
+    def count(key, t, sums_of):
+        """Customers and tables of a bucket's tokens, contexts and pairs, back to the parts that told of them; the bucket's sums to every part."""
+        bucket, some = key[0].as_py(), t.to_pylist()
+        (value, first, at), place, _, c, context = restaurants(some)
+        sizes = [len(r["value"]) // 8 for r in some]
+        n = np.bincount(at, np.concatenate([wide(r["n"], k) for r, k in zip(some, sizes)]), len(value)).astype(np.int64)
+        spelled = 10.0 ** np.concatenate([np.frombuffer(r["spelled"], np.float32) for r in some])[first].astype(float)
+        got = sums_of.to_pylist()
+        k = np.zeros(len(value))
+        if got:
+            w = np.concatenate([long(r["word"]) for r in got])
+            seats = np.concatenate([np.frombuffer(r["seats"], np.float32) for r in got])
+            w, _, of = distinct(w)
+            seats = np.bincount(of, seats, len(w))
+            mine = value & np.uint64((1 << 8 * WORD) - 1)
+            where = np.minimum(np.searchsorted(w, mine), len(w) - 1)
+            k = np.where(w[where] == mine, seats[where], 0.0)
+        k = np.where(n > 0, np.maximum(np.rint(k), 1), 0).astype(np.int64)
+        tables = sampled_tables(k, spelled, SHARDS, SEED + bucket)
+        sums = (int(n.sum()), int((n > 0).sum()), int(k.sum()), float(tables.sum()), float(spelled[n > 0].sum()))
+        left = (k - CORPUS[0] * tables).astype(np.float32)
+        after, c = np.bincount(context, c ** CONTEXT[0], len(value)).astype(np.float32), c.astype(np.int64)
+        rows, i, j = [], 0, 0
+        for r, size in zip(some, sizes):
+            a, b = at[i : i + size], place[j : j + len(r["word"]) // WORD]
+            i, j = i + len(a), j + len(b)
+            rows.append((r["part"], bucket, narrow(n[a]), left[a].tobytes(), after[a].tobytes(), narrow(c[b]), *sums))
+        rows += [(p, bucket, *[None] * 4, *sums) for p in set(range(parts)) - {r["part"] for r in some}]
+        kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+        return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows), names.values())], list(names))
+
+    # one job, so that the texts and what is told of them are dealt out once each
+    told = placed.groupBy("part").applyInArrow(tell, "part long, bucket long, value binary, n binary, spelled binary, size binary, word binary, m binary").repartition(partitions, "bucket")
+    tables = told.groupBy("bucket").applyInArrow(send, "bucket long, word binary, seats binary")
+    counted = told.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(count, ", ".join(f"{n} {k}" for n, k in names.items()))
 
     def score(key, t, notes):
-        value, _, bucket, spelled = vocabulary(t)
-        known, seats = np.zeros(len(value), np.int64), np.zeros(len(value))
-        at = runs(bucket)
-        begin = {int(bucket[a]): (a, b) for a, b in zip(at, at[1:])}
-        for r in notes.to_pylist():
-            a, b = begin[r["bucket"]]
-            known[a:b], seats[a:b] = wide(r["n"], b - a), np.frombuffer(r["t"], np.float32)
-        order = np.argsort(value)
-        value, known, seats, spelled = value[order], known[order], seats[order], spelled[order]
-        log = np.log10(known + 0.1)
+        if not t.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        (value, _, spelled), (both, _), (text, at, pairs) = vocabulary(t)
+        u, ones = both // len(value), spans(value)
+        ends = np.append(0, np.cumsum(np.bincount(u, minlength=len(value))))
+        known, left, after, c = np.zeros(len(value), np.int64), np.zeros(len(value)), np.zeros(len(value)), np.zeros(len(both))
+        notes = sorted(notes.to_pylist(), key=lambda r: r["bucket"])
+        n_all, n_types, n_customers, n_tables, n_spelled = (sum(r[k] for r in notes) for k in ("tokens", "types", "customers", "tables", "spelled"))
+        for r in notes:
+            if r["n"] is not None:
+                a, b = ones[r["bucket"]]
+                known[a:b], left[a:b], after[a:b] = wide(r["n"], b - a), np.frombuffer(r["left"], np.float32), np.frombuffer(r["tables_after"], np.float32)
+                c[ends[a] : ends[b]] = wide(r["c"], ends[b] - ends[a])
+        log, share = np.log10(known + 0.1), np.log10(n_all + 0.1 * (n_types + 1))
         d, strength = CORPUS
         spelled = np.where(known > 0, 10.0**spelled, max(1 - n_spelled, 1e-9))
-        dish = (known - d * seats + (strength + d * n_tables) * spelled) / (strength + n_all)
+        dish = (left + (strength + d * n_tables) * spelled) / (strength + n_customers)
+        # every token but an end has one after it; a text's first comes after FIRST, as often as there are ends
+        customers = np.where(value == FIRST, known[at[-1]], known)
+        parent = in_context(c, customers[u], after[u], dish[both % len(value)])
         ids = t["doc_id"].combine_chunks()
-        n_tokens, n_known, base, model_score = (np.zeros(len(ids), k) for k in (np.int64, np.int64, float, float))
-        for i, buf, off in slices(t["text"]):
-            _, _, _, text, w = tokens(buf, off)
-            n, at = len(off) - 1, np.searchsorted(value, w)
-            some = slice(i, i + n)
-            n_tokens[some] = np.bincount(text, minlength=n)
-            n_known[some] = np.bincount(text, known[at] > 0, n).astype(np.int64)
-            base[some] = np.bincount(text, log[at], n) - n_tokens[some] * share
-            model_score[some] = np.bincount(text, np.log10(in_text(text, np.where(known[at] > 0, at, len(value)), dish[at])), n)
+        n = len(ids)
+        n_tokens, n_known = np.bincount(text, minlength=n), np.bincount(text, known[at] > 0, n).astype(np.int64)
+        base = np.bincount(text, log[at], n) - n_tokens * share
+        model_score = np.bincount(text, np.log10(in_text(text, np.where(known[at] > 0, at, len(value)), parent[pairs])), n)
         return pa.table({"doc_id": ids, "held_out": held_out(ids), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(ids), n_all), "base_score": base, "score": model_score})
 
-    notes = counted.filter("part >= 0").select(F.col("part").alias("part"), "bucket", "n", "t")
-    return placed.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(
+    return placed.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
+def in_context(c: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Predictive probability of tokens after their contexts; c of a context's customers have the token, seated at c ** discount tables."""
+    d, strength = CONTEXT
+    return (c - d * c**d * (c > 0) + (strength + d * tables) * parent) / (strength + customers)
+
+
 def sampled_tables(count: np.ndarray, spelled: np.ndarray, buckets: int, seed: int) -> np.ndarray:
     """Tables of each dish of the corpus restaurant, averaged over sweeps.
 

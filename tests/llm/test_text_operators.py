@@ -374,3 +374,17 @@ def test_token_files(spark, docs, tmp_path):
     for block in (4, 8, 12, 100):
         got = sorted((r["file"][-5:], r["doc"], r["n_tokens"]) for r in token_counts(spark, str(tmp_path / "b"), kind="<u4", block=block).collect())
         assert got == [("a.bin", 0, 2), ("a.bin", 1, 0), ("a.bin", 2, 7), ("a.bin", 3, 2), ("b.bin", 0, 5), ("d.bin", 0, 0)]
+
+
+def test_pitman_yor_knows_previous_words(spark):
+    from faintdip.llm.pitman_yor import scored
+
+    rng = random.Random(3)
+    names = ["w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40)]
+    rows = [(i, " ".join(names[(s + k) % 40] for k in range(20))) for i, s in enumerate(rng.randrange(40) for _ in range(300))]
+    in_order = names[:20]
+    mixed = rng.sample(in_order, 20)
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    both = [*rows, (held[0], " ".join(in_order)), (held[1], " ".join(mixed))]
+    got = {r["doc_id"]: r["score"] for r in scored(spark.createDataFrame(both, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 10
