@@ -9,7 +9,8 @@ A text is its tokens and an end. Restaurants share parents on four storeys:
 * the restaurant of the whole corpus, a dish for every token known from training and one for all
   others, as in the base score. Its customers are the tables of the contexts' restaurants;
 * the spelling of tokens, which tells rare tokens apart; what it gives to spellings that training
-  doesn't have is the probability of the dish of unknown tokens. A byte is drawn in two steps, its class (32 of them; letters are
+  doesn't have is the probability of the dish of unknown tokens. Its customers are the distinct
+  training tokens, each once. A byte is drawn in two steps, its class (32 of them; letters are
   their own) after the last four classes, then the byte within its class after the byte before
   and the class before that. Both are trees of restaurants: the context that lacks the oldest item
   is the parent.
@@ -183,37 +184,72 @@ def held_out(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids.to_pylist()], bool)
 
 
-def byte_counts(docs: DataFrame) -> DataFrame:
-    """(key, n) of both steps of spelling, over the training texts."""
+def token_types(docs: DataFrame) -> DataFrame:
+    """(bucket, size, bytes): spellings of the distinct tokens of training texts, packed; one may come from several tasks."""
 
     def run(batches):
         held, many = [], 0
-        empty = (np.empty(0, np.int64), np.empty(0, np.int64))
 
         def merged():
-            k, n = (np.concatenate(x) for x in zip(*held)) if held else empty
-            value, at = np.unique(k, return_inverse=True)
-            return value, np.bincount(at, n, len(value)).astype(np.int64)
+            value, size, raw = (np.concatenate(x) for x in zip(*held))
+            one = np.unique(value, return_index=True)[1]
+            start = np.cumsum(size) - size
+            return value[one], size[one], raw[np.repeat(start[one], size[one]) + ranges(size[one])]
+
+        def rows():
+            value, size, raw = merged()
+            order = np.argsort(value % np.uint64(TYPES), kind="stable")
+            start = (np.cumsum(size) - size)[order]
+            bucket, size = (value[order] % np.uint64(TYPES)).astype(np.int64), size[order]
+            raw, ends = raw[np.repeat(start, size) + ranges(size)], np.append(0, np.cumsum(size))
+            at = runs(bucket)
+            pairs = list(zip(at, at[1:]))
+            columns = [[int(bucket[i]) for i, _ in pairs], [narrow(size[i:j]) for i, j in pairs], [raw[ends[i] : ends[j]].tobytes() for i, j in pairs], [j - i for i, j in pairs]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "size", "bytes", "many"])
 
         for batch in batches:
             keep = pa.array(~held_out(batch.column(0)))
             for _, buf, off in slices(batch.column(1).filter(keep)):
                 low, start, end, _, value = tokens(buf, off)
-                one = np.unique(value, return_index=True)[1]  # a table for each distinct token of a slice
-                _, context, w, second = keys(*stream(low, start[one], end[one]))
-                k = np.concatenate([context * CLASSES + w, SPELL + second[second >= 0]]).astype(np.int32)
-                k.sort()
-                new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                held.append((k[new].astype(np.int64), np.diff(np.append(new, len(k)))))
-                many += len(new)
-                if many > 1 << 22:
+                value, one, _ = distinct(value)
+                size = (end - start)[one]
+                held.append((value, size, low[np.repeat(start[one], size) + ranges(size)]))
+                many += len(value)
+                if many > 1 << 20:
                     held = [merged()]
                     many = len(held[0][0])
-        k, n = merged()
-        for i in range(0, len(k), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["key", "n"])
+                    if many > 1 << 19:
+                        yield rows()
+                        held, many = [], 0
+        if held:
+            yield rows()
+
+    return docs.mapInArrow(run, "bucket long, size binary, bytes binary, many long")
 
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+def byte_counts(docs: DataFrame) -> DataFrame:
+    """(key, n) of both steps of spelling, over the distinct tokens of the training texts, each once."""
+
+    def run(key, t):
+        some = t.to_pylist()
+        size = np.concatenate([wide(r["size"], r["many"]) for r in some])
+        low = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in some])
+        stop = np.cumsum(size)
+        start, value = stop - size, []
+        for i in range(0, len(size), 1 << 16):
+            a, b = start[i : i + (1 << 16)], stop[i : i + (1 << 16)]
+            value.append(span_hash(prefix_hash(low[a[0] : b[-1]]), a - a[0], b - a[0]))
+        one = distinct(np.concatenate(value))[1]
+        held = []
+        for i in range(0, len(one), 1 << 16):
+            at = one[i : i + (1 << 16)]
+            _, context, w, second = keys(*stream(low, start[at], stop[at]))
+            held.append(np.unique(np.concatenate([context * CLASSES + w, SPELL + second[second >= 0]]), return_counts=True))
+        k, n = (np.concatenate(x) for x in zip(*held))
+        k, at = np.unique(k, return_inverse=True)
+        return pa.table({"key": k.astype(np.int64), "n": np.bincount(at, n, len(k)).astype(np.int64)})
+
+    return token_types(docs).groupBy("bucket").applyInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def distinct(x: np.ndarray):

@@ -388,3 +388,18 @@ def test_pitman_yor_knows_previous_words(spark):
     both = [*rows, (held[0], " ".join(in_order)), (held[1], " ".join(mixed))]
     got = {r["doc_id"]: r["score"] for r in scored(spark.createDataFrame(both, "doc_id long, text string")).collect()}
     assert got[held[0]] > got[held[1]] + 10
+
+
+def test_pitman_yor_ignores_order_and_settings(spark, sf):
+    from faintdip.llm.pitman_yor import byte_counts, scored
+
+    some = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    spelled = lambda d: {r["key"]: r["n"] for r in byte_counts(d).collect()}
+    assert spelled(some.repartition(1).orderBy("doc_id")) == spelled(some.repartition(3, "text"))
+    scores = lambda d: {r["doc_id"]: round(r["score"], 3) for r in scored(d).collect()}
+    one = scores(some)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert scores(some.repartition(3, "text")) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
