@@ -5,7 +5,9 @@ elements, with their class and id, that leads to it. Its importance comes from e
 text that most of the pages repeat under a node tells nothing, a text of one page tells
 much, and a node shown in one way everywhere counts through what it holds. Branches of low
 importance go from every page, as do elements whose kind or name says that they are no
-part of the article; where a page marks its article, that is what stays.
+part of the article; where a page marks its article, that is what stays of it, less the
+branches of low importance below the mark. Only what a mark holds as a whole is protected: where
+the marked element itself is of low importance, as on a host of copies, nothing in it is judged.
 """
 
 from __future__ import annotations
@@ -54,9 +56,9 @@ PAGES, LEAST = 8, 0.3
 
 
 class Element:
-    """main is 2 within an article, 1 within another element that marks the page's content, else 0."""
+    """main is 2 within an article, 1 within another element that marks the page's content, else 0; root is the outermost of these."""
 
-    __slots__ = ("name", "tag", "path", "barred", "main")
+    __slots__ = ("name", "tag", "path", "barred", "main", "root")
 
     def __init__(self, tag: str, rest: str, up: Element | None):
         named = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
@@ -80,6 +82,7 @@ class Element:
         article = tag == "article" or named.get("role", "").lower() == "article" or named.get("itemprop", "").lower() == "articlebody"
         marked = tag == "main" or named.get("role", "").lower() == "main" or (not plain and bool(MAIN_NAME.search(label)))
         self.main = max(inside, 2 * article, int(marked))
+        self.root = up.root if inside else self if self.main else None
 
 
 def blocks(page: str):
@@ -144,11 +147,19 @@ def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
         whole = 2 * sum(len(t) for _, t in article) >= sum(len(t) for _, t in marked)
         # content that is marked without its headline gets it back
         found = article if whole else [(e, t) for e, t in found if e and (e.main or e.tag == "h1")]
-    elif low:
-        found = [(e, t) for e, t in found if not (e and any(p in low for p in prefixes(e.path)))]
+    if low:
+        found = [(e, t) for e, t in found if not (e and minor(e, low))]
     return "\n".join(t for _, t in found)
 
 
+def minor(e: Element, low: frozenset[str]) -> bool:
+    """Whether a branch of little importance holds the element; within marked content, a branch below the mark."""
+    if e.root is None:
+        return any(p in low for p in prefixes(e.path))
+    mark = e.root.path
+    return mark not in low and any(p in low for p in prefixes(e.path) if len(p) > len(mark))
+
+
 def prefixes(path: str) -> list[str]:
     at = [i for i, c in enumerate(path) if c == "/"]
     return [path[:i] for i in at[1:]] + [path]

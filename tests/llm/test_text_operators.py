@@ -167,6 +167,17 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert {r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string"), bound=0).collect()} == {f"Story {i} of many" for i in range(30)}
 
 
+def test_style_tree_judges_marked_content(spark):
+    from faintdip.llm.html_text import extract
+
+    page = "<body><article><p>{}</p><div class=x><p>Read us each day</p></div></article></body>"
+    rows = [(i, "http://site.example/p", page.format(f"Story {i} of many")) for i in range(30)]
+    rows += [(100 + i, "http://copies.example/p", page.format("One story")) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} of many" for i in range(30))
+    assert got[100] == "One story\nRead us each day"
+
+
 def bpe():
     import public_tokenizers as P
     import tiktoken
