@@ -33,12 +33,14 @@ BLOCK = frozenset(
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 NO_P = BLOCK - frozenset("button option optgroup select legend caption td th tr tbody thead tfoot".split())
 NOT_MAIN = frozenset("nav aside footer form button select dialog menu head search fieldset".split())
-NOT_MAIN_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|footer\w*|foot|masthead|topbar|cookies?\w*|consent|gdpr|notices?|"
+NAMES = (
+    r"ads?|adv|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|footer\w*|foot|masthead|topbar|cookies?\w*|consent|gdpr|notices?|"
     r"notifications?|alert|popup|modal|overlay|newsletter|subscri\w+|sign-?up|log-?in|search\w*|share|sharing|social\w*|comments?|commentlist|disqus|replies|respond|related|recommend\w*|"
-    r"widgets?|toolbar|pagination|pager|paywall|disclaimer|copyright|legal|outbrain|taboola)(?=$|[\s_-])",
-    re.I,
+    r"widgets?|toolbar|pagination|pager|paywall|disclaimer|copyright|legal|outbrain|taboola"
 )
+#: Words beside a name in a class or id that don't change what it says; "has", "no", "with" and all others do.
+BESIDE = r"site|page|main|global|top|bottom|left|right|primary|secondary|first|last|post|posts|entry|article|articles|story|stories|box|bar|block|section|area|container|wrapper|wrap|inner|list|items?|links?|text|title|form|buttons?|icons?|unit|slot|header|content|\d+"
+NOT_MAIN_NAME = re.compile(rf"(?:(?:{BESIDE})[_-]+)*(?:{NAMES})(?:[_-]+(?:{NAMES}|{BESIDE}))*", re.I)
 HEADER_NAME = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top|web)[_-]?)?header(?=$|[\s_-])", re.I)
 MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|story|post|entry)[\s_-]?(?:body|content|text)(?=$|[\s_-])", re.I)
 NOT_MAIN_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -51,14 +53,21 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", re.I)
 
+#: A form, or an element that only its name bars, with more than this share of a page's text is a wrapper of the whole.
+WRAPPER = 0.75
+LOOSE = frozenset("form fieldset".split())
 #: Nodes of fewer pages aren't judged, and branches below this importance go.
 PAGES, LEAST = 8, 0.3
 
 
 class Element:
-    """main is 2 within an article, 1 within another element that marks the page's content, else 0; root is the outermost of these."""
+    """main is 2 within an article, 1 within another element that marks the page's content, else 0; root is the outermost of these.
 
-    __slots__ = ("name", "tag", "path", "barred", "main", "root")
+    barred says that an element's kind or role bars it or one around it, loose has those around it, and
+    itself, that a form or a name bars: content() decides on these.
+    """
+
+    __slots__ = ("name", "tag", "path", "barred", "loose", "main", "root")
 
     def __init__(self, tag: str, rest: str, up: Element | None):
         named = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
@@ -69,16 +78,16 @@ class Element:
         inside = up.main if up is not None else 0
         plain = tag in ("html", "body")
         barred = not plain and (
-            tag in NOT_MAIN
+            (tag in NOT_MAIN and tag not in LOOSE)
             or (tag == "header" and not inside)
             or named.get("role", "").lower() in NOT_MAIN_ROLE
             or "hidden" in named
             or named.get("aria-hidden", "").lower() == "true"
-            or (tag not in ("article", "main") and bool(NOT_MAIN_NAME.search(label)))
-            or (not inside and bool(HEADER_NAME.search(label)))
             or (tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|related|teaser|promo)(?=$|[\s_-])", label, re.I)))
         )
+        loose = not plain and (tag in LOOSE or (tag not in ("article", "main") and any(NOT_MAIN_NAME.fullmatch(x) for x in label.split())) or (not inside and bool(HEADER_NAME.search(label))))
         self.barred = barred or (up.barred if up else False)
+        self.loose = (up.loose if up else ()) + ((self,) if loose else ())
         article = tag == "article" or named.get("role", "").lower() == "article" or named.get("itemprop", "").lower() == "articlebody"
         marked = tag == "main" or named.get("role", "").lower() == "main" or (not plain and bool(MAIN_NAME.search(label)))
         self.main = max(inside, 2 * article, int(marked))
@@ -132,6 +141,40 @@ def blocks(page: str):
     return out
 
 
+def content(page: str):
+    """The blocks that are not barred.
+
+    A loosely barred element with most of the page's text is a wrapper and bars nothing. Of articles
+    and other marked contents in loosely barred elements the longest stays, if it is longer than all
+    that is marked outside of them: others are teasers or comments.
+    """
+    found = blocks(page)
+    total, held, marks, roots = 0, {}, 0, {}
+    for e, t in found:
+        total += len(t)
+        for x in e.loose if e else ():
+            held[x] = held.get(x, 0) + len(t)
+    if not held:
+        return [(e, t) for e, t in found if not (e and e.barred)]
+    bars = {x for x, n in held.items() if n <= WRAPPER * total}
+    out = []
+    for e, t in found:
+        root = e.root if e else None
+        if e and (e.barred or any(x in bars for x in e.loose)):
+            if root and not e.barred and not any(x in bars for x in e.loose if x.root is root and x is not root):
+                roots[root] = roots.get(root, 0) + len(t)
+            continue
+        marks += len(t) if root else 0
+    best = max(roots, key=roots.get, default=None)
+    if best is not None and roots[best] <= marks:
+        best = None
+    for e, t in found:
+        if e and (e.barred or any(x in bars and not (best is not None and e.root is best and (x.root is not best or x is best)) for x in e.loose)):
+            continue
+        out.append((e, t))
+    return out
+
+
 def host_of(url: str | None) -> str:
     m = HOST.match(url or "")
     return m[1].lower() if m else ""
@@ -139,7 +182,7 @@ def host_of(url: str | None) -> str:
 
 def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
     """The article's blocks, joined by line ends. low holds the style nodes of little importance."""
-    found = [(e, t) for e, t in blocks(page or "") if not (e and e.barred)]
+    found = content(page or "")
     marked = [(e, t) for e, t in found if e and e.main]
     if marked:
         article = [(e, t) for e, t in marked if e.main == 2]
@@ -174,8 +217,8 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(url)
                 mine = set()
-                for e, text in blocks(page or ""):
-                    if e and not e.barred:
+                for e, text in content(page or ""):
+                    if e:
                         f = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=7).digest(), "big") + 1
                         for p in prefixes(e.path):
                             mine.add((host, p, f))

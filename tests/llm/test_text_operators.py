@@ -178,6 +178,20 @@ def test_style_tree_judges_marked_content(spark):
     assert got[100] == "One story\nRead us each day"
 
 
+def test_wrappers_do_not_bar_an_article():
+    from faintdip.llm.html_text import main_text
+
+    text = "The whole story of the day, told at length"
+    for name in ("with-sidebar", "has-sidebar", "no-sidebar", "two-side"):
+        assert main_text(f"<div class={name}><article><p>{text}</article></div>") == main_text(f"<div class={name}><p>{text}</div>") == text
+    page = "<form>{}<nav>menu</nav><div class=ad>buy</div></form>"
+    assert main_text(page.format(f"<article><p>{text}</article>")) == main_text(page.format(f"<p>{text}</p>")) == text
+    assert main_text(f"<div class=sidebar><main><p>{text}<div class=ad>buy</div></main></div><p>{text}") == text
+    related = "<div class=related><article><p>Another</article><article><p>One more</article></div>"
+    assert main_text(f"<article><p>{text}</article>{related}") == text
+    assert main_text(f"<p>{text}<div class='site-footer'>foot</div><div class='cookie-notice left'>ok</div><form>name</form>") == text
+
+
 def bpe():
     import public_tokenizers as P
     import tiktoken
