@@ -555,7 +555,7 @@ def scan_metadata(spark, d):
 
 @query()
 def scan_outcomes(spark, d):
-    return scans.scan_stars(scans.scan_plan(pairs_of(spark, d)), lc_of(spark, d), window=WINDOW, fits=False)
+    return scans.scan_stars(scans.scan_plan(pairs_of(spark, d)), lc_of(spark, d), window=WINDOW)
 
 
 YIELD = "SELECT count(*) FILTER (sample_role = 'target') AS target_candidates, count(*) FILTER (sample_role = 'control') AS control_candidates, CAST(0 AS BIGINT) AS unknown_candidates, (SELECT count(DISTINCT target_id) FROM pairs)::DOUBLE AS target_exposure, (SELECT count(DISTINCT control_id) FROM pairs)::DOUBLE AS control_exposure FROM scored"
@@ -627,7 +627,7 @@ def rank_train_score(spark, d):
 def full_run_statistics(spark, d):
     from .plans.pipeline import run
 
-    return run(lc_of(spark, d), pairs_of(spark, d), window=WINDOW, many=MANY, fits=False).statistics
+    return run(lc_of(spark, d), pairs_of(spark, d), window=WINDOW, many=MANY).statistics
 
 
 @query()

@@ -54,3 +54,15 @@ def test_whole_run_and_resume(spark, sf):
     assert one.stars.agg(F.sum("n_events")).first()[0] == one.events.count()
     again = pipeline.run(lc, pairs, status=one.status, window=5.0, many=3, fits=False)
     assert again.events.count() == 0
+
+
+def test_registered_runs_fit_models(spark, sf, monkeypatch):
+    from faintdip import queries
+    from faintdip.plans import pipeline
+
+    deltas = [r["delta_chi2"] for r in queries.scan_outcomes(spark, sf).filter("status is null").collect()]
+    assert any(x is not None and x == x for x in deltas)
+    seen, run = [], pipeline.run
+    monkeypatch.setattr(pipeline, "run", lambda *a, **b: seen.append(run(*a, **b)) or seen[-1])
+    assert queries.full_run_statistics(spark, sf).count() == 2
+    assert seen[0].events.filter("delta_chi2 is not null and not isnan(delta_chi2)").count() > 0
