@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..columns import truthy
 from .sky import clusters
 
+#: Cells of the pool for targets that have no criterion.
+CELLS = 64
+
 
 def usable(pool: DataFrame) -> DataFrame:
     """Controls that have data and are no disk; a criterion without its column is skipped."""
@@ -33,16 +36,29 @@ def candidates(targets: DataFrame, pool: DataFrame, *, tmag: float = 1.0, color:
     """(target_id, control_id, score) of all pairs that pass every criterion.
 
     Both sides have id, tmag, bp_rp, teff and parallax. Colour decides where the target has one, else
-    temperature. score sums the differences over their tolerances.
+    temperature. score sums the differences over their tolerances. A target that lacks all of them
+    has every control as a candidate, with score 0.
     """
     t = targets.select(*(F.col(c).alias(f"t_{c}") for c in ("id", "tmag", "bp_rp", "teff", "parallax")))
     c = pool.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "tmag", "bp_rp", "teff", "parallax")))
     band = lambda x: F.floor(x / tmag)
     near = t.filter("t_tmag is not null").withColumn("band", F.explode(F.array(*(band(F.col("t_tmag")) + i for i in (-1, 0, 1)))))
     pairs = near.join(c.filter("c_tmag is not null").withColumn("band", band(F.col("c_tmag"))), "band").drop("band")
-    # targets without a magnitude are few; they meet the pool on colour bands, or all of it if they lack that too
+    # targets without a magnitude are few; they meet the pool on bands of the first criterion that they have
     rest = t.filter("t_tmag is null and t_bp_rp is not null").withColumn("band", F.explode(F.array(*(F.floor(F.col("t_bp_rp") / color) + i for i in (-1, 0, 1)))))
     pairs = pairs.unionByName(rest.join(c.filter("c_bp_rp is not null").withColumn("band", F.floor(F.col("c_bp_rp") / color)), "band").drop("band"))
+    plain = t.filter("t_tmag is null and t_bp_rp is null")
+    warm = plain.filter("t_teff is not null").withColumn("band", F.explode(F.array(*(F.floor(F.col("t_teff") / teff) + i for i in (-1, 0, 1)))))
+    pairs = pairs.unionByName(warm.join(c.filter("c_teff is not null").withColumn("band", F.floor(F.col("c_teff") / teff)), "band").drop("band"))
+    plain = plain.filter("t_teff is null")
+    banded = F.coalesce(F.col("t_parallax") > 0, F.lit(False)) & F.lit(parallax < 1)
+    # a parallax's tolerance is a share of it, so bands are octaves
+    low, high = (F.floor(F.log2(F.col("t_parallax") * (1 + x) * (1 + e))) for x, e in ((-parallax, -1e-9), (parallax, 1e-9)))
+    far = plain.filter(banded).withColumn("band", F.explode(F.sequence(low, high)))
+    pairs = pairs.unionByName(far.join(c.filter("c_parallax > 0").withColumn("band", F.floor(F.log2("c_parallax"))), "band").drop("band"))
+    # every control is a candidate of a target without criteria; its copies meet the pool in cells of about even size
+    bare = plain.filter(~banded).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    pairs = pairs.unionByName(bare.join(c.withColumn("cell", F.pmod(F.xxhash64("c_id"), F.lit(CELLS)).cast("int")), "cell").drop("cell"))
     col = F.col
     by_color = col("t_bp_rp").isNotNull()
     positive = F.when(col("t_parallax") > 0, col("t_parallax"))

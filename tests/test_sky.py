@@ -90,3 +90,22 @@ def test_greedy_assignment_is_the_sequential_one(spark):
 def test_usable_controls(spark):
     pool = spark.createDataFrame([(1, "yes", "0"), (2, "no", "0"), (3, "1", "true"), (4, "1", None)], "id int, has_tess_lightcurve string, ir_excess_flag string")
     assert [r["id"] for r in matching.usable(pool).collect()] == [1]
+
+
+def test_candidates_of_targets_without_magnitude_and_colour(spark):
+    import random
+
+    kind = "id long, tmag double, bp_rp double, teff double, parallax double"
+    rng = random.Random(5)
+    maybe = lambda x, p=0.2: None if rng.random() < p else x
+    pool = [(i, maybe(rng.uniform(5, 9)), maybe(rng.uniform(0, 2)), maybe(rng.uniform(3000, 9000)), maybe(rng.uniform(-1, 20))) for i in range(200)]
+    targets = [(1000 + i, None, None, maybe(rng.uniform(3000, 9000), 0.4), maybe(rng.uniform(-5, 20), 0.3)) for i in range(40)] + [(2000, None, None, None, None), (2001, None, None, None, 8.0), (2002, None, None, None, -1.0)]
+    want = set()
+    for t in targets:
+        for c in pool:
+            warm = t[3] is None or (c[3] is not None and abs(c[3] - t[3]) <= 400)
+            far = t[4] is None or t[4] <= 0 or (c[4] is not None and abs(c[4] - t[4]) / t[4] <= 0.5)
+            if warm and far:
+                want.add((t[0], c[0]))
+    got = [(r["target_id"], r["control_id"]) for r in matching.candidates(spark.createDataFrame(targets, kind), spark.createDataFrame(pool, kind)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and sum(t == 2000 for t, _ in got) == 200
