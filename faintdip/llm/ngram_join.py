@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .state import cut
-from .flat import LOWER, mix, neighbours, prefix_hash, ranges, shingle_hash, slices, span_hash, words
+from .flat import LOWER, mix, neighbours, ranges, shingle_hash, slices, span_hash, words
 
 #: Shingles for each coordinate of a count vector, and its least coordinates; points in a leaf, leaves under
 #: an inner node, and texts of a page: larger clusters are joined page by page.
@@ -64,7 +64,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
     n = len(off) - 1
     low = LOWER[buf]
     start, end, text = words(low, off)
-    word = span_hash(prefix_hash(low), start, end)
+    word = span_hash(low, start, end)
     full = neighbours(text, size)
     e, of = (shingle_hash(word, size)[full], text[: len(full)][full]) if len(full) else (word[:0], text[:0])
     count = np.bincount(text, minlength=n)

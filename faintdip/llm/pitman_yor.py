@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import LOWER, mix, prefix_hash, ranges, slices, span_hash, words
+from .flat import LOWER, mix, ranges, slices, span_hash, words
 from .state import cut
 
 #: Classes of bytes: space, a to z, end, digits, first and further bytes of longer characters, the rest.
@@ -95,7 +95,7 @@ def tokens(buf: np.ndarray, off: np.ndarray):
     at = np.cumsum(np.bincount(text, minlength=n))
     start, end = np.insert(start, at, len(buf)), np.insert(end, at, len(buf) + 1)
     text = np.insert(text, at, np.arange(n))
-    return low, start, end, text, span_hash(prefix_hash(low), start, end)
+    return low, start, end, text, span_hash(low, start, end)
 
 
 def keys(out: np.ndarray, begin: np.ndarray, stop: np.ndarray):
@@ -238,7 +238,7 @@ def byte_counts(docs: DataFrame) -> DataFrame:
         start, value = stop - size, []
         for i in range(0, len(size), 1 << 16):
             a, b = start[i : i + (1 << 16)], stop[i : i + (1 << 16)]
-            value.append(span_hash(prefix_hash(low[a[0] : b[-1]]), a - a[0], b - a[0]))
+            value.append(span_hash(low[a[0] : b[-1]], a - a[0], b - a[0]))
         one = distinct(np.concatenate(value))[1]
         held = []
         for i in range(0, len(one), 1 << 16):

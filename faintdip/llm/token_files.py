@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .flat import prefix_hash, slices, span_hash, words
+from .flat import slices, span_hash, words
 
 #: Two-byte ids; 0 ends a document.
 KIND, END = "<u2", 0
@@ -33,7 +33,7 @@ def write_token_files(docs: DataFrame, path: str) -> None:
         for batch in batches:
             for _, buf, off in slices(batch.column(0)):
                 start, end, text = words(buf, off)
-                ids = (span_hash(prefix_hash(buf), start, end) % np.uint64(65535) + np.uint64(1)).astype(KIND)
+                ids = (span_hash(buf, start, end) % np.uint64(65535) + np.uint64(1)).astype(KIND)
                 n = np.bincount(text, minlength=len(off) - 1)
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32) * 2
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids.tobytes())])], ["ids"])
