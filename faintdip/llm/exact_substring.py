@@ -134,12 +134,29 @@ def _ragged(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 def _by_bucket(batches):
-    """(bucket, rows) for packed runs that were dealt out by bucket."""
-    held: dict[int, list] = {}
+    """(bucket, rows) for packed runs that were dealt out and sorted by bucket; one bucket is held at a time."""
+    held: list = []
     for batch in batches:
         for row in batch.to_pylist():
-            held.setdefault(row["bucket"], []).append(row)
-    yield from held.items()
+            if held and held[-1]["bucket"] != row["bucket"]:
+                yield held[-1]["bucket"], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[-1]["bucket"], held
+
+
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which byte ranges of these sizes, none of them zero, are equal at a and at b."""
+    out = np.ones(len(size), bool)
+    upto = np.cumsum(size)
+    i = 0
+    while i < len(size):  # SORT bytes at a time
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SORT, "right")))
+        same = _ragged(raw, a[i:j], size[i:j]) == _ragged(raw, b[i:j], size[i:j])
+        out[i:j] = np.logical_and.reduceat(same, np.cumsum(size[i:j]) - size[i:j])
+        i = j
+    return out
 
 
 def _part(texts: pa.Table, notes: pa.Table):
@@ -147,9 +164,11 @@ def _part(texts: pa.Table, notes: pa.Table):
     order = pc.sort_indices(texts, [("doc_id", "ascending"), ("text", "ascending")])
     column = binary(texts["text"].take(order))
     ids = texts["doc_id"].combine_chunks().take(order)
-    flags = notes.filter(pc.is_valid(notes["md5"]))
-    known = set(zip(flags["copy_id"].to_pylist(), flags["md5"].to_pylist()))
-    copy = np.array([(d, hashlib.md5(x.as_buffer()).digest()) in known for d, x in zip(ids.to_pylist(), column)], bool) if known else np.zeros(len(ids), bool)
+    flags = notes.filter(pc.is_valid(notes["digest"]))
+    least = dict(zip(flags["digest"].to_pylist(), flags["least"].to_pylist()))
+    copy = np.zeros(len(ids), bool)
+    if least:
+        copy[:] = [d is not None and least.get(hashlib.sha256(x.as_buffer()).digest(), d) < d for d, x in zip(ids.to_pylist(), column)]
     return ids, column, copy, ~copy & np.asarray(ids.is_valid())
 
 
@@ -179,14 +198,15 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, gram: int = 20, texts
     part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("long").alias("part")
     placed = docs.select(part, "doc_id", "text").repartition(partitions, "part")
 
-    # exact copies of a text with a smaller id are told by their digest and need no windows
-    digest = docs.select(part, "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5")).filter("doc_id is not null").distinct()
-    least = digest.groupBy("md5").agg(F.min("doc_id").alias("least"))
-    copies = digest.join(least, "md5").filter("doc_id > least").select(F.col("part").alias("part"), F.col("doc_id").alias("copy_id"), "md5")
+    # all windows of a text whose SHA-256 a smaller id has too repeat, so one of each group of copies takes part for all;
+    # a part is told once of a digest, however many copies it has
+    digest = docs.filter("doc_id is not null").groupBy(part, F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    least = digest.groupBy("digest").agg(F.min("low").alias("least"))
+    copies = digest.join(least, "digest").filter("high > least").select("part", "digest", "least")
 
     def joined(notes: DataFrame, names: list[str]) -> DataFrame:
         """Notes for parts, with the copies, of which some rows have all other columns null."""
-        return notes.unionByName(copies, allowMissingColumns=True).select("part", *names, "copy_id", "md5")
+        return notes.unionByName(copies, allowMissingColumns=True).select("part", *names, "digest", "least")
 
     def pack(anchor):
         """Bucket, and 32 bits of what else the anchor's hash says."""
@@ -241,7 +261,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, gram: int = 20, texts
                 h = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k)
                 if len(h):
                     size = count[h] + window - 1
-                    same = span_hash(prefix_hash(buf), first[h], first[h] + size)
+                    same = span_hash(buf, first[h], first[h] + size)
                     got.append((row[h], place[h], count[h], bucket[h], k[h], same, _ragged(buf, first[h], size)))
             if got:
                 row, place, count, bucket, k, same, raw = map(np.concatenate, zip(*got))
@@ -249,14 +269,16 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, gram: int = 20, texts
                 begin = np.cumsum(size) - size
                 # the smallest document of a part stands for all of its equal stretches
                 order = np.lexsort((owner[row], same))
-                s, o = same[order], owner[row[order]]
+                s = same[order]
                 new = np.concatenate([[True], s[1:] != s[:-1]])
-                least = np.empty(len(order), np.int64)
-                least[order] = o[np.flatnonzero(new)][np.cumsum(new) - 1]
-                known = np.flatnonzero(owner[row] > least)
+                chief = np.empty(len(order), np.int64)
+                chief[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+                # hashes only propose: bytes decide
+                known = np.flatnonzero((owner[row] > owner[row[chief]]) & (size == size[chief]))
+                known = known[_equal(raw, begin[known], begin[chief[known]], size[known])]
                 if len(known):
                     rows.append((-1 - me % buckets, row[known], place[known], count[known], None, None, None))
-                rest = np.flatnonzero(owner[row] == least)
+                rest = np.setdiff1d(np.arange(len(row)), known)
                 order, runs = _runs(bucket[rest])
                 for b, x, y in runs:
                     at = rest[order[x:y]]
@@ -311,11 +333,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, gram: int = 20, texts
 
     mine = placed.groupBy("part")
     digits = mine.cogroup(copies.groupBy("part")).applyInArrow(first_digit, "part long, bucket long, low binary, shared binary")
-    again = digits.repartition("bucket").mapInArrow(meet, "part long, bucket long, low binary")
+    again = digits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "part long, bucket long, low binary")
     sent = mine.cogroup(joined(again, ["bucket", "low"]).groupBy("part")).applyInArrow(
         stretches, "part long, bucket long, row binary, place binary, count binary, owner binary, anchor binary, raw binary"
     )
-    windows = sent.repartition("bucket").mapInArrow(sort, "part long, row binary, place binary, count binary")
+    windows = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "part long, row binary, place binary, count binary")
     return mine.cogroup(joined(windows, ["row", "place", "count"]).groupBy("part")).applyInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     )
