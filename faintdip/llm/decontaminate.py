@@ -5,6 +5,9 @@ rarest word occurs, so that one word is the necessary prefix of the window's wor
 by rarity over the corpus. Documents look up each of their words among the prefix words,
 bounds on position and length drop places where the window can't lie, and what is left is
 compared word by word.
+
+Rows are numbered and cut into words once, in a table of the shared folder; all steps read that
+table, so it does not matter whether the input's rows come in the same order twice.
 """
 
 from __future__ import annotations
@@ -12,81 +15,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .state import cut
+from .state import SMALL, cut, is_small, written
 
-#: Words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] in lower-cased text; these part them, before and after lower-casing.
-BETWEEN_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] in lower-cased text; these part them.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Words looked up in one pass over the corpus; more take more passes.
-PASS = 20_000
-
 
 def words_of(text: Column) -> Column:
     """The words of a text with A-Z lower-cased; null has none."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN, -1), "")
 
 
-def word_count(text: Column) -> Column:
-    """How many words a text has."""
-    parts = F.split(F.coalesce(text, F.lit("")), BETWEEN_RAW, -1)
-    # only the first and last part can be empty
-    return F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """Distinct (item_id, win) of the items' windows; a shorter item is one window."""
+    w = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    starts = F.expr(f"sequence(1, greatest(size(w) - {size} + 1, 1))")
+    return w.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.expr(f"slice(w, i, {size})").alias("win")).distinct()
 
 
-def _within(name: str, words: list[str]) -> str:
-    """Membership in a list of words, which have no quotes or backslashes, as the optimizer's hash set."""
-    return f"{name} in ({', '.join(f'{chr(39)}{w}{chr(39)}' for w in words)})"
+def numbered(docs: DataFrame, *carry: Column) -> DataFrame:
+    """(rid, n_words, w, ...): every row of docs with a number, its words, and what is to be carried along."""
+    w = words_of(F.col("text")).alias("w")
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), w, *carry).withColumn("n_words", F.size("w").cast("long")), "words")
 
 
-def _passes(words: list[str]) -> list[list[str]]:
-    return [words[i : i + PASS] for i in range(0, len(words), PASS)]
+def word_counts(rows: DataFrame, vocabulary: DataFrame, bound: int) -> DataFrame:
+    """How often each word of the vocabulary occurs in the corpus; words that don't occur are left out."""
+    every = rows.select(F.explode("w").alias("word"))
+    if is_small(vocabulary, F.octet_length("word") + 32, bound):
+        return every.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    return every.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left_semi")
 
 
-def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """Distinct (item_id, win) of the items' windows; a shorter item is one window."""
-    w = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    starts = F.expr(f"sequence(1, greatest(size(w) - {size} + 1, 1))")
-    return w.select("item_id", "w", F.explode(starts).alias("i")).select("item_id", F.expr(f"slice(w, i, {size})").alias("win")).distinct()
+def rarest_words(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_id, win, word, shift): each window's rarest word and where in it that first is.
 
+    A window with a word that the corpus lacks is dropped: it can't occur.
+    """
+    each = windows.select("item_id", "win", F.posexplode("win").alias("shift", "word")).join(counts, "word")
+    best = each.groupBy("item_id", "win").agg(F.count("*").alias("m"), F.min(F.struct("n", "word", "shift")).alias("best"))
+    return best.filter(F.col("m") == F.size("win")).select("item_id", "win", "best.word", "best.shift")
 
-def word_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """How often each of these words occurs in the corpus."""
-    out = None
-    for some in _passes(words):
-        found = docs.select(F.explode(F.expr(f"filter(w, x -> {_within('x', some)})")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        out = found if out is None else out.unionByName(found)
-    return out
 
+def matches(rows: DataFrame, items: DataFrame, window: int, bound: int = SMALL) -> DataFrame:
+    """(rid, start, long, item_id): where windows occur in numbered() rows.
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataFrame:
-    """One row for each row of docs (doc_id, text): rid (its place), doc_id, n_words, n_hit, n_items, item_ids
+    The corpus is read once to count the benchmark's words and once to look up the prefixes,
+    whatever the size of the benchmark. Its vocabulary and its prefixes are broadcast while
+    they stay under bound bytes; beyond it the corpus meets them by shuffles.
+    """
+    windows = cut(item_windows(items, window))
+    vocabulary = cut(windows.select(F.explode("win").alias("word")).distinct())
+    prefixes = cut(rarest_words(windows, word_counts(rows, vocabulary, bound)))
+    inside = F.expr("at >= shift and at - shift + size(win) <= n_words")
+    same = F.expr("slice(w, at - shift + 1, size(win)) = win")
+    found = (F.col("rid"), (F.col("at") - F.col("shift")).alias("start"), F.size("win").alias("long"), F.col("item_id"))
+    if is_small(prefixes, F.octet_length("item_id") + F.octet_length(F.array_join("win", " ")) + 128, bound):
+        places = rows.select("rid", "n_words", "w", F.posexplode("w").alias("at", "word"))
+        return places.join(F.broadcast(prefixes), "word").filter(inside & same).select(*found)
+    places = rows.select("rid", "n_words", F.posexplode("w").alias("at", "word")).join(prefixes, "word").filter(inside)
+    return places.join(rows.select("rid", "w"), "rid").filter(same).select(*found)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, bound: int = SMALL) -> DataFrame:
+    """One row for each row of docs (doc_id, text): rid (a number of the row), doc_id, n_words, n_hit, n_items, item_ids
     (array<string>, sorted), contaminated.
 
     items has item_id and text. Null and empty texts have no words, so they are clean and
     no item's window; items without an id are skipped; an empty benchmark leaves every
     document clean. Repeated documents give repeated rows, repeated items count once for an
-    id. Other columns are ignored.
+    id. Other columns are ignored. bound is that of matches().
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), word_count(F.col("text")).alias("count"), words_of(F.col("text")).alias("w"))
-    windows = item_windows(items, window)
-    vocabulary = [r[0] for r in windows.select(F.explode("win").alias("word")).distinct().collect()]  # words of the benchmark
-    prefixes: list[str] = []
-    if vocabulary:
-        windows = cut(rarest_words(windows, word_counts(docs, vocabulary)))
-        prefixes = [r[0] for r in windows.select("word").distinct().collect()]
-    found = None
-    for some in _passes(sorted(prefixes)):
-        part = places(docs, some, window).join(windows, "word").filter(verified()).select("rid", (F.col("at") - F.col("shift")).alias("start"), F.size("win").alias("long"), "item_id")
-        found = part if found is None else found.unionByName(part)
-    base = docs.select("rid", "doc_id", F.col("count").cast("long").alias("n_words"))
-    if found is None:
-        found = base.select("rid", F.lit(0).alias("start"), F.lit(0).alias("long"), F.lit("").alias("item_id")).limit(0)
-    rows = base.select("rid", "doc_id", "n_words", *(F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("long", "int"), ("item_id", "string"))))
-    rows = rows.unionByName(found.select("rid", F.lit(None).cast(base.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("n_words"), "start", "long", "item_id"))
+    rows = numbered(docs, F.col("doc_id"))
+    found = matches(rows, items, window, bound)
+    base = rows.select("rid", "doc_id", "n_words", *(F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("long", "int"), ("item_id", "string"))))
+    every = base.unionByName(found.select("rid", F.lit(None).cast(base.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("n_words"), "start", "long", "item_id"))
     # nulls are left out of the sets
-    rows = rows.groupBy("rid").agg(
+    every = every.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "long")))).alias("hits"),
@@ -96,34 +102,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10) -> Dat
         "aggregate(hits, struct(0L as n, 0L as upto), (a, h) -> struct(a.n + greatest(h.start + h.long - greatest(a.upto, h.start), 0L) as n, "
         "greatest(a.upto, h.start + h.long) as upto)).n"
     )
-    return rows.select("rid", "doc_id", "n_words", covered.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.size("hits") > 0).alias("contaminated"))
+    return every.select("rid", "doc_id", "n_words", covered.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.size("hits") > 0).alias("contaminated"))
 
 
-def rarest_words(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, win, word, shift): each window's rarest word and where in it that first is.
+def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, bound: int = SMALL) -> DataFrame:
+    """The rows of docs that hold no window of any item, with all their columns, whatever their names.
 
-    A window with a word that the corpus lacks is dropped: it can't occur.
+    Null and empty texts and an empty benchmark are clean, as in decontaminate(); repeated
+    rows stay or go together; an empty table stays empty.
     """
-    each = windows.select("item_id", "win", F.posexplode("win").alias("shift", "word")).join(counts, "word")
-    best = each.groupBy("item_id", "win").agg(F.count("*").alias("m"), F.min(F.struct("n", "word", "shift")).alias("best"))
-    return best.filter(F.col("m") == F.size("win")).select("item_id", "win", "best.word", "best.shift")
-
-
-def places(docs: DataFrame, words: list[str], window: int) -> DataFrame:
-    """(rid, n, at, word, around, first): where documents have one of the words, and the words around."""
-    found = (
-        f"transform(filter(sequence(0, size(w) - 1), i -> {_within('get(w, i)', words)}), i -> struct(i as at, get(w, i) as word, "
-        f"greatest(i - {window - 1}, 0) as first, slice(w, greatest(i - {window - 1}, 0) + 1, {2 * window - 1}) as around))"
-    )
-    return docs.filter(F.size("w") > 0).select("rid", F.size("w").alias("n"), F.inline(F.expr(found)))
-
-
-def verified() -> Column:
-    """Whether the window lies within the document there, and has its words."""
-    return F.expr("at - shift >= 0 and at - shift + size(win) <= n and slice(around, at - shift - first + 1, size(win)) = win")
-
-
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no window of any item."""
-    bad = decontaminate(docs, items, **options).filter("contaminated").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(bad, "__rid", "left_anti").select(*docs.columns)
+    rows = numbered(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    bad = cut(matches(rows, items, window, bound).select("rid").distinct())
+    bad = F.broadcast(bad) if is_small(bad, F.lit(16), bound) else bad
+    return rows.join(bad, "rid", "left_anti").select("row.*")

@@ -5,17 +5,55 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes up to which a table is broadcast.
+SMALL = 32 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; a folder of this machine only where that is not set, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new path in spark.checkpoint.dir.
+
+    Where that is not set, as in tests, a folder of this machine serves a local session; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed now and written to spark.checkpoint.dir."""
     shared_folder(df.sparkSession, "")
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written now as a Parquet table of the shared folder, of which later steps read the columns they use.
+
+    The table goes when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    forget(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the session's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def broadcast_if_small(df: DataFrame, size: Column, bound: int = SMALL) -> DataFrame:
+    """df, to be broadcast if its rows, of size bytes each, are fewer than bound bytes in all. df should be cut: it is read for this."""
+    return F.broadcast(df) if is_small(df, size, bound) else df
+
+
+def is_small(df: DataFrame, size: Column, bound: int = SMALL) -> bool:
+    return (df.agg(F.sum(size)).first()[0] or 0) < bound
