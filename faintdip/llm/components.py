@@ -7,18 +7,30 @@ from pyspark.sql import functions as F
 
 from .state import cut
 
+#: Edges from which a node counts as hot in a small graph; in a larger one it has this share of all edges or more.
+HOT = 2000
+
 
 def _fingerprint(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """edges (a, b) with m of their a. Nodes of so many edges that few can have as many meet it by broadcast, so none is a hot key."""
+    many = max(HOT, count // HOT)
+    hot = F.broadcast(least.filter(F.col("n") > many).select("a", "m"))  # at most 2 * HOT nodes
+    rest = least.filter(F.col("n") <= many).select("a", "m")
+    return edges.join(hot, "a").unionByName(edges.join(hot, "a", "left_anti").join(rest, "a"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is its smallest reachable node.
 
     Each round hangs all larger neighbours of a node on its smallest neighbour, then the
     node and its smaller neighbours too, until the graph is stars; rounds grow with the
     logarithm of a component's size. Nulls, loops and repeated edges do no harm. Minima are
-    taken before any shuffle, so a node with many neighbours is no hot key there.
+    taken before any shuffle, and hot nodes are joined by broadcast, so a node with many
+    neighbours is no hot key.
     """
     e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e)
@@ -27,10 +39,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.filter("b > a"), least, seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, seen[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         e = cut(small.filter("a <> b").distinct())
         now = _fingerprint(e)
         if now == seen:

@@ -1,11 +1,11 @@
 """n-gram Jaccard join on count vectors.
 
-A text's set of word shingles is hashed into groups. Two sets that are similar enough differ
-in so few shingles that some group is equal in both, if there are more groups than
-differences; equal groups bring texts together, and never miss a pair. Among those that met,
-an R-tree over the vectors of group counts bounds each overlap by the summed coordinate
-minima, node against node and then point against point; what it leaves is verified on the
-whole sets, unless it is already in one component.
+A text is its set of word shingles. Shingles are in one order for all texts: those known to be
+frequent come last. Two sets that are similar enough share a shingle among the first few of
+either; such shingles bring texts together, and never miss a pair. Among those that met, an
+R-tree over the vectors that count each set's shingles by hashed group bounds each overlap by the
+summed coordinate minima, node against node and then point against point; what it leaves is
+verified on the whole sets, unless it is already in one component.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .state import cut
+from .state import broadcast_if_small, cut, written
 from .flat import LOWER, mix, neighbours, ranges, shingle_hash, slices, span_hash, words
 
 #: Shingles for each coordinate of a count vector, and its least coordinates; points in a leaf, leaves under
@@ -24,39 +24,32 @@ from .flat import LOWER, mix, neighbours, ranges, shingle_hash, slices, span_has
 #: With about so many shingles a coordinate, unrelated sets differ by 0.4 of their size or more,
 #: similar ones by 0.2 or less, whatever their size.
 EACH, LEAST, LEAF, FANOUT, PAGE = 8, 32, 32, 16, 4096
-#: Keys that a task gathers before it hands them on.
-GATHER = 1 << 19
+#: Shingles that a task gathers before it hands their keys on.
+GATHER = 1 << 21
+#: Frequent shingles: in so many texts of a gathering at least, so many of a gathering, and of the corpus, at most.
+#: Which ones are known only changes how many texts meet for nothing.
+OFTEN, SOME, FREQUENT = 2, 1 << 17, 1 << 20
 
 
-class Grouping:
-    """How many groups the sets of each size band are hashed into.
+def first_shingles(e: np.ndarray, at: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the first shingles of each set, the set of each, and the set's size class.
 
-    A tag stands for a band of sizes and for the smaller sizes that are similar to some in it.
-    Its sets differ in at most `apart` shingles if they are similar, so at least groups - apart
-    groups are equal in both. That is more than the groups that are empty in nearly every set, so
-    some equal group is not empty, and empty ones need not be looked at.
+    Similar sets overlap in percent / 100 of the larger at least, so each has a common shingle
+    among all but that many less one, in any order that is the same for all sets. Sizes of similar
+    sets are in the same class or in neighbouring ones.
     """
-
-    def __init__(self, percent: int, most: int = 1 << 40):
-        self.percent = percent
-        edges = [1]
-        while edges[-1] <= most:
-            edges.append(int(edges[-1] * (100 / percent) ** 1.5) + 1)
-        self.edges = np.array([*edges, edges[-1] * 4], np.int64)
-        largest = self.edges[1:] - 1
-        self.apart = 2 * largest * (100 - percent) // (100 + percent)
-        least = self.edges[:-1] * percent / 100
-        groups = self.apart + 1.0
-        for _ in range(8):
-            groups = self.apart + 3 + np.ceil(1.3 * groups * np.exp(-least / groups))
-        # where sets are small all of a set is one group, if similar sets can't differ at all
-        self.groups = np.where(self.apart == 0, 1, groups).astype(np.int64)
-
-    def tags(self, n: np.ndarray) -> list[np.ndarray]:
-        """The tags of sets of n shingles: their band's, and the next where a similar set can be in it; -1 for none."""
-        band = np.searchsorted(self.edges, n, "right") - 1
-        reach = n * 100 // self.percent >= self.edges[np.minimum(band + 1, len(self.edges) - 1)]
-        return [np.where(n > 0, band, -1), np.where((n > 0) & reach, band + 1, -1)]
+    n = np.diff(at)
+    of = np.repeat(np.arange(len(n)), n)
+    known, rank = frequent
+    if len(known):
+        where = np.minimum(np.searchsorted(known, e), len(known) - 1)
+        last = np.where(known[where] == e, rank[where], 0).astype(np.int64)
+        if last.any():
+            e = e[np.argsort(of * 64 + last, kind="stable")]
+    first = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+    set_of = np.repeat(np.arange(len(n)), first)
+    size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(max(100 / percent, 1.01)) + 1e-9).astype(np.int64)
+    return mix(e[at[:-1][set_of] + ranges(first)] + np.uint64(5)), set_of, size_class[set_of]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,31 +89,6 @@ def signatures(e: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([totals(mix(e + np.uint64(11)), at), totals(mix(e ^ np.uint64(0x5851F42D4C957F2D)), at)], 1)
 
 
-def group_keys(e: np.ndarray, at: np.ndarray, grouping: Grouping) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the groups of all sets, and the set of each."""
-    n = np.diff(at)
-    of = np.repeat(np.arange(len(n)), n)
-    keys, owners = [], []
-    for tag in grouping.tags(n):
-        groups = np.where(tag >= 0, grouping.groups[tag], 0)
-        base = np.cumsum(groups) - groups
-        use = tag[of] >= 0
-        salt = mix(tag.astype(np.uint64) + np.uint64(77))
-        x, set_of = e[use], of[use]
-        g = base[set_of] + (mix(x ^ salt[set_of]) % groups[set_of].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(int(groups.sum()), np.uint64)
-        np.add.at(total, g, mix(x + np.uint64(5)))
-        full = np.zeros(len(total), bool)
-        full[g] = True
-        owner = np.repeat(np.arange(len(n)), groups)
-        empty = groups - np.bincount(owner[full], minlength=len(n))
-        full |= (empty > groups - grouping.apart[tag] - 1)[owner]  # rare: here empty groups count too
-        owner, number = owner[full], ranges(groups)[full]
-        keys.append(mix(total[full] ^ mix(salt[owner] + number.astype(np.uint64))))
-        owners.append(owner)
-    return np.concatenate(keys), np.concatenate(owners)
-
-
 def dimensions(n: np.ndarray) -> np.ndarray:
     """Coordinates of the count vectors of sets of n: powers of two, so that a longer vector folds into a shorter."""
     return np.maximum(LEAST, 2 ** np.ceil(np.log2(np.maximum(n, 1) / EACH)).astype(np.int64).clip(0))
@@ -151,53 +119,95 @@ def width(n: int):
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, vec): signature and count vector, null for an empty set."""
+    """(task, doc_id, n_shingles, sig, vec, often, times): signature and count vector, null for an empty set; and for each
+    gathering of a task a row without these that has its frequent shingles, and in how many different sets they are."""
 
     def run(batches):
+        held, many, signs = [], 0, set()
+
+        def frequent():
+            e, n = np.unique(np.concatenate(held), return_counts=True)
+            some = np.flatnonzero(n >= OFTEN)
+            some = some[np.argsort(-n[some], kind="stable")[:SOME]]
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([e[some].tobytes()]), pa.array([n[some].astype(np.int64).tobytes()])], names)
+
         for batch in batches:
             for i, buf, off in slices(batch.column(1)):
                 e, at = shingle_sets(buf, off, size)
                 n = np.diff(at)
-                sig = pa.array([bytes(x) if k else None for x, k in zip(signatures(e, at).view(np.uint8).reshape(len(n), 16), n)], pa.binary())
+                sig = [bytes(x) if k else None for x, k in zip(signatures(e, at).view(np.uint8).reshape(len(n), 16), n)]
                 flat, begin = count_vectors(e, at)
                 vec = pa.array([flat[a:b].astype(width(k)).tobytes() if k else None for a, b, k in zip(begin, begin[1:], n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n), sig, vec], ["doc_id", "n_shingles", "sig", "vec"])
+                new = np.array([s is not None and not (s in signs or signs.add(s)) for s in sig], bool)
+                held.append(e[np.repeat(new, n)])
+                many += len(held[-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n), pa.array(sig, pa.binary()), vec, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names)
+                if many > GATHER:
+                    yield frequent()
+                    held, many, signs = [], 0, set()
+        if many:
+            yield frequent()
+
+    names = ["doc_id", "n_shingles", "sig", "vec", "often", "times"]
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, vec binary, often binary, times binary").withColumn("task", F.spark_partition_id())
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, vec binary")
+def frequent_shingles(about: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most FREQUENT shingles, sorted, and the rank of each: the logarithm of how many sets are known to have it."""
+
+    def run(batches):
+        for batch in batches:
+            for often, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(often, np.int64)), pa.array(np.frombuffer(times, np.int64))], ["e", "n"])
+
+    each = about.filter("often is not null").select("often", "times").mapInArrow(run, "e long, n long")
+    counted = cut(each.groupBy("e").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n"))))
+    room, least = FREQUENT, 64
+    for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # at most 64 rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    got = counted.filter(F.col("level") >= least).select("e", "n").toArrow()
+    e, n = np.asarray(got["e"]).view(np.uint64), np.asarray(got["n"])
+    order = np.argsort(e)
+    return e[order], np.minimum(1 + np.floor(np.log2(np.maximum(n[order], 1))), 63).astype(np.uint8)
 
 
-def meetings(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between documents that share a group: every document of a group with the smallest.
+def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Edges (a, b) between documents that share one of their first shingles, and are near in size.
 
-    Keys travel in packed runs. A task passes on one document for each key, and hangs its
-    other documents with that key on it directly, so a key that a third of all documents
-    share is a few entries a task.
+    Keys travel in packed runs. A task passes on one document for each key and size class, and
+    hangs its other documents with that key on it directly, so a key that a third of all
+    documents share is a few entries a task.
     """
 
-    def packed(keys, owners):
-        """Rows of (bucket, keys, owners), and local edges under negative buckets."""
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
+    def packed(keys, owners, classes):
+        """Rows of (bucket, keys, owners, classes), and local edges under negative buckets."""
+        order = np.lexsort((owners, classes, keys))
+        keys, owners, classes = keys[order], owners[order], classes[order]
         first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
+        first[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
         root = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
         pairs = np.unique(np.stack([owners, root], 1)[owners != root], axis=0)
-        keys, owners = keys[first], owners[first]
+        keys, owners, classes = keys[first], owners[first], classes[first]
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        keys, owners, bucket = keys[order], owners[order], bucket[order]
+        keys, owners, classes, bucket = keys[order], owners[order], classes[order], bucket[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.array([0])
         # 40 bits beside the bucket tell keys apart; a chance match only costs a comparison
         rest = (keys // np.uint64(buckets) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         small = np.int32 if len(owners) and owners.min() > -(1 << 31) and owners.max() < 1 << 31 else np.int64
-        rows = [(int(bucket[a]), rest[a:b].tobytes(), owners[a:b].astype(small).tobytes()) for a, b in zip(cut, cut[1:])]
+        rows = [(int(bucket[a]), rest[a:b].tobytes(), owners[a:b].astype(small).tobytes(), classes[a:b].astype(np.uint16).tobytes()) for a, b in zip(cut, cut[1:])]
         for k in range(0, len(pairs), 1 << 16):
             some = np.ascontiguousarray(pairs[k : k + (1 << 16)].T)
-            rows.append((-1 - int(some.sum() % buckets), some[0].tobytes(), some[1].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "keys", "owners"]) if rows else None
+            rows.append((-1 - int(some.sum() % buckets), some[0].tobytes(), some[1].tobytes(), None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names) if rows else None
+
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT entries
 
     def send(batches):
-        grouping, held, many, signs = Grouping(percent), [], 0, set()
+        held, many, signs = [], 0, set()
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0))
             known = ~np.asarray(batch.column(0).is_null())
@@ -208,42 +218,54 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFram
                 use = np.array([bool(k) and not (s in signs or signs.add(s)) for k, s in zip((np.diff(at) > 0) & known[i : i + len(off) - 1], sig)], bool)
                 n = np.diff(at)
                 e = e[np.repeat(use, n)]
-                at = np.concatenate([[0], np.cumsum(n[use])])
                 if not len(e):
                     continue
-                keys, owners = group_keys(e, at, grouping)
-                held.append((keys, ids[i : i + len(off) - 1][use][owners]))
-                many += len(keys)
+                at = np.concatenate([[0], np.cumsum(n[use])])
+                keys, owners, classes = first_shingles(e, at, percent, sent.value)
+                held.append((keys, ids[i : i + len(off) - 1][use][owners], classes))
+                many += len(e)
                 if many > GATHER:
                     yield packed(*map(np.concatenate, zip(*held)))
                     held, many, signs = [], 0, set()
         if held:
             yield packed(*map(np.concatenate, zip(*held)))
 
+    def met(rows):
+        """Edges of one bucket's rows."""
+        if rows[0]["bucket"] < 0:
+            return np.concatenate([np.stack([np.frombuffer(r["keys"], np.int64), np.frombuffer(r["owners"], np.int64)], 1) for r in rows])
+        owners = np.concatenate([np.frombuffer(r["owners"], np.int32 if 5 * len(r["owners"]) == 4 * len(r["keys"]) else np.int64).astype(np.int64) for r in rows])
+        classes = np.concatenate([np.frombuffer(r["classes"], np.uint16) for r in rows]).astype(np.int64)
+        keys = np.zeros((len(owners), 8), np.uint8)
+        keys[:, :5] = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, 5)
+        keys = keys.view("<u8").ravel()
+        order = np.lexsort((owners, classes, keys))
+        keys, owners, classes = keys[order], owners[order], classes[order]
+        near = (keys[1:] == keys[:-1]) & (classes[1:] - classes[:-1] <= 1)
+        # a run of near sizes hangs on its first document
+        first = np.concatenate([[True], ~near])
+        root = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
+        return np.stack([owners, root], 1)[owners != root]
+
     def meet(batches):
-        runs: dict[int, list] = {}
+        held: list = []
+
+        def edges():
+            pairs = np.unique(met(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
         for batch in batches:
-            for bucket, keys, owners in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(bucket, []).append((keys, owners))
-        for bucket, parts in runs.items():
-            if bucket < 0:
-                pairs = np.stack([np.frombuffer(b"".join(x), np.int64) for x in zip(*parts)], 1)
-            else:
-                owners = np.concatenate([np.frombuffer(o, np.int32 if 5 * len(o) == 4 * len(k) else np.int64).astype(np.int64) for k, o in parts])
-                keys = np.zeros((len(owners), 8), np.uint8)
-                keys[:, :5] = np.frombuffer(b"".join(k for k, _ in parts), np.uint8).reshape(-1, 5)
-                keys = keys.view("<u8").ravel()
-                order = np.lexsort((owners, keys))
-                keys, owners = keys[order], owners[order]
-                first = np.ones(len(keys), bool)
-                first[1:] = keys[1:] != keys[:-1]
-                root = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
-                pairs = np.stack([owners, root], 1)[owners != root]
-            pairs = np.unique(pairs, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    runs = docs.mapInArrow(send, "bucket long, keys binary, owners binary")
-    return runs.repartition("bucket").mapInArrow(meet, "a long, b long")
+            for row in batch.to_pylist():  # sorted by bucket: one is held at a time
+                if held and held[-1]["bucket"] != row["bucket"]:
+                    yield edges()
+                    held = []
+                held.append(row)
+        if held:
+            yield edges()
+
+    names = ["bucket", "keys", "owners", "classes"]
+    runs = docs.mapInArrow(send, "bucket long, keys binary, owners binary, classes binary")
+    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
 class Forest:
@@ -412,29 +434,41 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     about = cut(described(docs, words))
     keyed = about.filter("doc_id is not null and sig is not null")
-    first = keyed.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    copies = keyed.join(first, "sig").filter("doc_id <> rep").select("doc_id", "rep").distinct()
-    met = meetings(docs, words, percent, buckets)
-    # equal sets stand for one another
-    for side in ("a", "b"):
-        met = met.join(copies.select(F.col("doc_id").alias(side), F.col("rep").alias("__rep")), side, "left").withColumn(side, F.coalesce("__rep", side)).drop("__rep")
-    clusters = components(met.select("a", "b"))
+    # equal sets stand for one another; tasks collapse them first, so that no set's copies all meet in one task
+    held = keyed.groupBy("sig", "task").agg(F.min("doc_id").alias("low"))
+    first = held.groupBy("sig").agg(F.min("low").alias("rep"))
+    held = cut(held.join(first, "sig"))
+    # a doc_id that rows of different texts share is one node with the links of each
+    texts = keyed.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).filter("x <> y").select("doc_id")
+    shared = keyed.join(texts, "doc_id", "left_semi").select("doc_id", "sig", "task").distinct().join(held, ["sig", "task"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    met = meetings(docs, words, percent, buckets, frequent_shingles(about))
+    # a task's smallest document of a set stands for it there; it is known by the set's smallest
+    local = held.filter("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    clusters = components(met.unionByName(local))
     label = lambda c: c.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    # a doc_id that rows of different texts share takes part with each
-    members = label(clusters).join(keyed.select("doc_id", "n_shingles", "vec").distinct(), "doc_id")
+    one = held.select(F.col("rep").alias("doc_id"), "sig").distinct()
+    members = label(clusters).join(keyed.select("doc_id", "sig", "n_shingles", "vec").join(one, ["doc_id", "sig"], "left_semi").distinct(), "doc_id")
     tight = label(components(bounded_links(members, percent)))
-    sizes = keyed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = members.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     links = verified_links(docs, tight.join(sizes, "doc_id"), words, percent)
-    joined = components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    out = about.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    joined = components(links.unionByName(shared))
+    sets = held.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "task", F.coalesce("component", "rep").alias("component"))
+    out = about.filter("n_shingles is not null").join(sets, ["sig", "task"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: of each component the smallest doc_id stays, once.
+    """docs without near-duplicates: one row of each component stays, with all columns, whatever their names.
 
-    Rows with a null doc_id link with nothing and stay.
+    That is the row with the smallest doc_id; of equal ids the one whose columns have the smallest
+    xxhash64. Rows that repeat a doc_id with texts that are not similar each stay, as do rows with a
+    null doc_id, and all with a null or empty text; an empty table stays empty.
     """
-    stays = jaccard_components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "rows")
+    found = jaccard_components(rows.select(F.col("rid").alias("doc_id"), F.when(F.col("row.doc_id").isNotNull(), F.col("row.text")).alias("text")), **options)
+    linked = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("rid"), F.col("component_id").alias("one"))
+    members = cut(linked.unionByName(linked.select(F.col("one").alias("rid"), "one").distinct()))
+    best = F.min(F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row").alias("hash"), F.col("rid")))
+    stays = rows.join(members, "rid").groupBy("one").agg(best.alias("best")).select("best.rid")
+    goes = cut(members.select("rid").join(stays, "rid", "left_anti"))
+    return rows.join(broadcast_if_small(goes, F.lit(16)), "rid", "left_anti").select("row.*")
