@@ -46,6 +46,8 @@ def merge_table(pieces: list[bytes]) -> np.ndarray:
 
     Every way to part a piece into two pieces is a merge with the rank of the whole.
     """
+    if len(pieces) >= 1 << 16:
+        raise ValueError("a merge table holds ranks of 16 bits; longer vocabularies are merged piece by piece")
     rank = {p: i for i, p in enumerate(pieces) if p}
     table = [0] * (2 * SLOTS)
     for p, r in rank.items():
@@ -158,18 +160,18 @@ class Encoder:
 
         self.find = regex.compile(pattern).findall
         self.rank = {p: i for i, p in enumerate(pieces) if p}
-        self.table = merge_table(pieces)
+        self.table = merge_table(pieces) if len(pieces) < 1 << 16 else None
         self.single = np.array([self.rank[bytes([i])] for i in range(256)])
 
     def pieces_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
-        short = [len(w) <= FOLD for w in words]
+        short = [self.table is not None and len(w) <= FOLD for w in words]
         raw = np.frombuffer(b"".join(w for w, s in zip(words, short) if s), np.uint8)
         off = np.concatenate([[0], np.cumsum([len(w) for w, s in zip(words, short) if s], dtype=np.int64)])
         ids, count = merge_together(raw, off, self.table, self.single)
         if all(short):
             return ids, count
-        lists = iter(np.split(ids, np.cumsum(count)[:-1]))
+        lists = iter(np.split(ids, np.cumsum(count)[:-1]) if len(count) else ())
         lists = [next(lists) if s else np.array(merge_with_heap(w, self.rank)) for w, s in zip(words, short)]
         return np.concatenate(lists), np.array([len(x) for x in lists])
 
@@ -222,13 +224,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
 def decode(docs: DataFrame, ranks: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row for each row of docs: the id, and decoded (binary), the pieces of its ids joined.
 
-    A null list gives null; unknown ids raise an error.
+    A null list gives null; an unknown or null id raises an error. Ties and repeated rows pass
+    through, an empty table gives none, other columns are ignored.
     """
-    pieces = read_ranks(ranks)
+    piece = {i: p for i, p in enumerate(read_ranks(ranks)) if p}
 
     def run(batches):
         for batch in batches:
-            out = [None if x is None else b"".join(map(pieces.__getitem__, x)) for x in batch.column(1).to_pylist()]
+            out = [None if x is None else b"".join(map(piece.__getitem__, x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` long, decoded binary")

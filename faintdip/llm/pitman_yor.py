@@ -15,11 +15,10 @@ A text is its tokens and an end. Restaurants share parents on four storeys:
   and the class before that. Both are trees of restaurants: the context that lacks the oldest item
   is the parent.
 
-A context's restaurant seats c customers of a dish at c ** discount tables, the power law that a
-Pitman-Yor process follows, so that a table count needs no parent's probability. In the corpus
-restaurant and in the spelling customers of a dish are taken out and seated again by the
-Chinese-restaurant process, Gibbs sweep by sweep; within the spelling each new table sends a
-customer to the parent, and predictive probabilities are averaged over the sweeps after burn-in.
+In all restaurants but a text's own, customers of a dish are taken out and seated again by the
+Chinese-restaurant process, Gibbs sweep by sweep, and table counts or predictive probabilities are
+averaged over the sweeps after burn-in. Tables send customers to the parent. Contexts of a bucket
+are seated together; the parent's probability of a token is there its share of their tables.
 Spelling contexts are at most 32**4 whatever the corpus, so that part of the model has a fixed
 bound and can be sent to all tasks; the corpus and context storeys grow with the corpus and are
 dealt out by token and by context, each part of the texts getting back what it uses.
@@ -62,10 +61,13 @@ TEXT = (0.5, 500.0)
 SWEEPS, BURN_IN, SEED = 6, 2, 7
 #: Share of a dish's seated customers that the next run of customers has at most.
 RUN = 0.05
+#: The same of contexts, which are many.
+CONTEXT_SWEEPS, CONTEXT_BURN_IN = 3, 1
 #: Bytes of text in a part.
 PART = 12 << 20
-#: Buckets that tokens and contexts are dealt to, and those for spelling; fixed, so that no setting changes scores.
-SHARDS, TYPES = 256, 128
+#: Buckets that tokens and contexts are dealt to, and those for spelling. They double with every doubling of the
+#: texts beyond so many bytes, so that a bucket's size has a bound, and hang on nothing else, so that no setting changes scores.
+SHARDS, TYPES, PLAIN = 256, 128, 4 << 30
 #: Bytes of a token's hash that travel with a pair, and the context of a text's first token.
 WORD, FIRST = 6, np.uint64(0)
 
@@ -184,7 +186,12 @@ def held_out(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids.to_pylist()], bool)
 
 
-def token_types(docs: DataFrame) -> DataFrame:
+def doublings(total: int) -> int:
+    """How often the numbers of buckets double for texts of total bytes."""
+    return max(0, -(-total // PLAIN) - 1).bit_length()
+
+
+def token_types(docs: DataFrame, types: int = TYPES) -> DataFrame:
     """(bucket, size, bytes): spellings of the distinct tokens of training texts, packed; one may come from several tasks."""
 
     def run(batches):
@@ -198,9 +205,9 @@ def token_types(docs: DataFrame) -> DataFrame:
 
         def rows():
             value, size, raw = merged()
-            order = np.argsort(value % np.uint64(TYPES), kind="stable")
+            order = np.argsort(value % np.uint64(types), kind="stable")
             start = (np.cumsum(size) - size)[order]
-            bucket, size = (value[order] % np.uint64(TYPES)).astype(np.int64), size[order]
+            bucket, size = (value[order] % np.uint64(types)).astype(np.int64), size[order]
             raw, ends = raw[np.repeat(start, size) + ranges(size)], np.append(0, np.cumsum(size))
             at = runs(bucket)
             pairs = list(zip(at, at[1:]))
@@ -227,7 +234,7 @@ def token_types(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, size binary, bytes binary, many long")
 
 
-def byte_counts(docs: DataFrame) -> DataFrame:
+def byte_counts(docs: DataFrame, types: int = TYPES) -> DataFrame:
     """(key, n) of both steps of spelling, over the distinct tokens of the training texts, each once."""
 
     def run(key, t):
@@ -249,7 +256,7 @@ def byte_counts(docs: DataFrame) -> DataFrame:
         k, at = np.unique(k, return_inverse=True)
         return pa.table({"key": k.astype(np.int64), "n": np.bincount(at, n, len(k)).astype(np.int64)})
 
-    return token_types(docs).groupBy("bucket").applyInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return token_types(docs, types).groupBy("bucket").applyInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def distinct(x: np.ndarray):
@@ -343,9 +350,9 @@ class Model:
         return sums[ends] - sums[ends - (stop - begin)]
 
 
-def learn(docs: DataFrame) -> Model:
+def learn(docs: DataFrame, types: int = TYPES) -> Model:
     """The model of (doc_id, text): Gibbs sampling runs in a task for each newest class, of at most 32**4 cells."""
-    counts = cut(byte_counts(docs))
+    counts = cut(byte_counts(docs, types))
     # the root shares one measure: in how many contexts each class occurs
     seen = counts.filter(F.col("key") < SPELL).select((F.col("key") % CLASSES).alias("w"), F.floor(F.col("key") / CLASSES**3).alias("u")).distinct().groupBy("w").count().collect()
     base = np.ones(CLASSES)
@@ -395,7 +402,8 @@ def scored(docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions, -(-total // PART))
-    model = learn(docs)
+    shards = SHARDS << doublings(total)
+    model = learn(docs, TYPES << doublings(total))
     part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("long").alias("part")
     placed = docs.select(part, "doc_id", "text").repartition(partitions, "part")
 
@@ -418,7 +426,7 @@ def scored(docs: DataFrame) -> DataFrame:
             texts.append(text + i)
         text = np.concatenate(texts)
         at = distinct(np.concatenate(held))[2] + 1  # FIRST is the least
-        order = np.argsort(seen % np.uint64(SHARDS), kind="stable")
+        order = np.argsort(seen % np.uint64(shards), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         at, value, spelled = rank[at], seen[order], spelled[order]
@@ -431,7 +439,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def spans(value):
         """Begin and end of each bucket's run."""
-        bucket = (value % np.uint64(SHARDS)).astype(np.int64)
+        bucket = (value % np.uint64(shards)).astype(np.int64)
         at = runs(bucket)
         return {int(bucket[a]): (int(a), int(b)) for a, b in zip(at, at[1:])}
 
@@ -457,21 +465,22 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def send(key, t):
         """What the context restaurants of a bucket send to the corpus restaurant: each token's tables, by its bucket."""
-        _, _, w, c, _ = restaurants(t.to_pylist())
-        w, c = w[c > 0], c[c > 0]
+        _, _, w, c, context = restaurants(t.to_pylist())
+        tables = context_tables(context, w, c, SEED + key[0].as_py())[0]
+        w, tables = w[c > 0], tables[c > 0]
         w, _, at = distinct(w)
-        seats = np.bincount(at, c ** CONTEXT[0], len(w))
-        order = np.argsort(w % np.uint64(SHARDS), kind="stable")
+        seats = np.bincount(at, tables, len(w))
+        order = np.argsort(w % np.uint64(shards), kind="stable")
         w, seats = w[order], seats[order]
         rows = [(k, short(w[a:b]), seats[a:b].astype(np.float32).tobytes()) for k, (a, b) in spans(w).items()]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "word": pa.array([r[1] for r in rows], pa.binary()), "seats": pa.array([r[2] for r in rows], pa.binary())})
 
-    names = {"part": "long", "bucket": "long", "n": "binary", "left": "binary", "tables_after": "binary", "c": "binary", "tokens": "long", "types": "long", "customers": "long", "tables": "double", "spelled": "double"}
+    names = {"part": "long", "bucket": "long", "n": "binary", "left": "binary", "tables_after": "binary", "c": "binary", "many": "binary", "tokens": "long", "types": "long", "customers": "long", "tables": "double", "spelled": "double"}
 
     def count(key, t, sums_of):
         """Customers and tables of a bucket's tokens, contexts and pairs, back to the parts that told of them; the bucket's sums to every part."""
         bucket, some = key[0].as_py(), t.to_pylist()
-        (value, first, at), place, _, c, context = restaurants(some)
+        (value, first, at), place, w_of, c, context = restaurants(some)
         sizes = [len(r["value"]) // 8 for r in some]
         n = np.bincount(at, np.concatenate([wide(r["n"], k) for r, k in zip(some, sizes)]), len(value)).astype(np.int64)
         spelled = 10.0 ** np.concatenate([np.frombuffer(r["spelled"], np.float32) for r in some])[first].astype(float)
@@ -486,16 +495,17 @@ def scored(docs: DataFrame) -> DataFrame:
             where = np.minimum(np.searchsorted(w, mine), len(w) - 1)
             k = np.where(w[where] == mine, seats[where], 0.0)
         k = np.where(n > 0, np.maximum(np.rint(k), 1), 0).astype(np.int64)
-        tables = sampled_tables(k, spelled, SHARDS, SEED + bucket)
+        tables = sampled_tables(k, spelled, shards, SEED + bucket)
         sums = (int(n.sum()), int((n > 0).sum()), int(k.sum()), float(tables.sum()), float(spelled[n > 0].sum()))
         left = (k - CORPUS[0] * tables).astype(np.float32)
-        after, c = np.bincount(context, c ** CONTEXT[0], len(value)).astype(np.float32), c.astype(np.int64)
+        seats, share = context_tables(context, w_of, c, SEED + bucket)
+        after, c = np.bincount(context, seats, len(value)).astype(np.float32), c.astype(np.int64)
         rows, i, j = [], 0, 0
         for r, size in zip(some, sizes):
             a, b = at[i : i + size], place[j : j + len(r["word"]) // WORD]
             i, j = i + len(a), j + len(b)
-            rows.append((r["part"], bucket, narrow(n[a]), left[a].tobytes(), after[a].tobytes(), narrow(c[b]), *sums))
-        rows += [(p, bucket, *[None] * 4, *sums) for p in set(range(parts)) - {r["part"] for r in some}]
+            rows.append((r["part"], bucket, narrow(n[a]), left[a].tobytes(), after[a].tobytes(), narrow(c[b]), share[b][c[b] > 1].tobytes(), *sums))
+        rows += [(p, bucket, *[None] * 5, *sums) for p in set(range(parts)) - {r["part"] for r in some}]
         kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
         return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows), names.values())], list(names))
 
@@ -510,21 +520,23 @@ def scored(docs: DataFrame) -> DataFrame:
         (value, _, spelled), (both, _), (text, at, pairs) = vocabulary(t)
         u, ones = both // len(value), spans(value)
         ends = np.append(0, np.cumsum(np.bincount(u, minlength=len(value))))
-        known, left, after, c = np.zeros(len(value), np.int64), np.zeros(len(value)), np.zeros(len(value)), np.zeros(len(both))
+        known, left, after, c, seats = np.zeros(len(value), np.int64), np.zeros(len(value)), np.zeros(len(value)), np.zeros(len(both)), np.zeros(len(both))
         notes = sorted(notes.to_pylist(), key=lambda r: r["bucket"])
         n_all, n_types, n_customers, n_tables, n_spelled = (sum(r[k] for r in notes) for k in ("tokens", "types", "customers", "tables", "spelled"))
         for r in notes:
             if r["n"] is not None:
                 a, b = ones[r["bucket"]]
                 known[a:b], left[a:b], after[a:b] = wide(r["n"], b - a), np.frombuffer(r["left"], np.float32), np.frombuffer(r["tables_after"], np.float32)
-                c[ends[a] : ends[b]] = wide(r["c"], ends[b] - ends[a])
+                here = slice(ends[a], ends[b])
+                c[here] = wide(r["c"], ends[b] - ends[a])
+                seats[here] = unpacked_tables(c[here], np.frombuffer(r["many"], np.uint8))
         log, share = np.log10(known + 0.1), np.log10(n_all + 0.1 * (n_types + 1))
         d, strength = CORPUS
         spelled = np.where(known > 0, 10.0**spelled, max(1 - n_spelled, 1e-9))
         dish = (left + (strength + d * n_tables) * spelled) / (strength + n_customers)
         # every token but an end has one after it; a text's first comes after FIRST, as often as there are ends
         customers = np.where(value == FIRST, known[at[-1]], known)
-        parent = in_context(c, customers[u], after[u], dish[both % len(value)])
+        parent = in_context(c, seats, customers[u], after[u], dish[both % len(value)])
         ids = t["doc_id"].combine_chunks()
         n = len(ids)
         n_tokens, n_known = np.bincount(text, minlength=n), np.bincount(text, known[at] > 0, n).astype(np.int64)
@@ -537,10 +549,34 @@ def scored(docs: DataFrame) -> DataFrame:
     )
 
 
-def in_context(c: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Predictive probability of tokens after their contexts; c of a context's customers have the token, seated at c ** discount tables."""
+def in_context(c: np.ndarray, seats: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Predictive probability of tokens after their contexts; c of a context's customers have the token, at so many of its tables."""
     d, strength = CONTEXT
-    return (c - d * c**d * (c > 0) + (strength + d * tables) * parent) / (strength + customers)
+    return (c - d * seats + (strength + d * tables) * parent) / (strength + customers)
+
+
+def context_tables(context: np.ndarray, w: np.ndarray, c: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of each pair of a context and a token that c customers have, averaged over sweeps; and where c is above one, what they
+    are of the most that they can be, in 255ths, which is as exact as they are told."""
+    t = (c > 0).astype(float)
+    share, many = np.zeros(len(c), np.uint8), np.flatnonzero(c > 1)
+    if len(many):
+        dish, rng, total = distinct(w)[2], np.random.default_rng(seed), np.zeros(len(many))
+        for sweep in range(CONTEXT_SWEEPS):
+            served = np.bincount(dish, t)
+            t[many] = seat(c[many].astype(float), (served / served.sum())[dish[many]], t[many], np.bincount(context, t)[context[many]], rng, *CONTEXT)
+            if sweep >= CONTEXT_BURN_IN:
+                total += t[many]
+        total /= CONTEXT_SWEEPS - CONTEXT_BURN_IN
+        share[many] = np.rint(255 * (total - 1) / (c[many] - 1))
+    return unpacked_tables(c, share[many]), share
+
+
+def unpacked_tables(c: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Tables of pairs with c customers; share is for those with more than one."""
+    t, many = (c > 0).astype(float), c > 1
+    t[many] = 1 + share / 255 * (c[many] - 1)
+    return t
 
 
 def sampled_tables(count: np.ndarray, spelled: np.ndarray, buckets: int, seed: int) -> np.ndarray:
