@@ -17,10 +17,12 @@ def _fingerprint(edges: DataFrame):
 
 def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
     """edges (a, b) with m of their a. Nodes of so many edges that few can have as many meet it by broadcast, so none is a hot key."""
-    many = max(HOT, count // HOT)
-    hot = F.broadcast(least.filter(F.col("n") > many).select("a", "m"))  # at most 2 * HOT nodes
-    rest = least.filter(F.col("n") <= many).select("a", "m")
-    return edges.join(hot, "a").unionByName(edges.join(hot, "a", "left_anti").join(rest, "a"))
+    hot = [(r["a"], r["m"]) for r in least.filter(F.col("n") > max(HOT, count // HOT)).select("a", "m").collect()]  # at most 2 * HOT nodes
+    rest = least.select("a", "m")
+    if not hot:
+        return edges.join(rest, "a")
+    some = F.broadcast(edges.sparkSession.createDataFrame(hot, "a long, m long"))
+    return edges.join(some, "a").unionByName(edges.join(some, "a", "left_anti").join(rest, "a"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
