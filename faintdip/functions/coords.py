@@ -20,21 +20,24 @@ def sexagesimal(value: Column, is_ra: bool) -> Column:
     text = F.trim(F.regexp_replace(value, "[hmsd:,]", " "))
     parts = F.split(text, r"\s+")
     a, b, c = (number(F.get(parts, F.lit(i))) for i in range(3))
+    if is_ra:
+        return (a + b / 60 + c / 3600) * 15
     size = F.abs(a) + b / 60 + c / 3600
-    return size * 15 if is_ra else F.when(text.startswith("-"), -size).otherwise(size)
+    return F.when(text.startswith("-"), -size).otherwise(size)
 
 
 def from_parts(a: Column, b: Column, c: Column, is_ra: bool, sign: Column | None = None) -> Column:
     """Degrees from separate columns; a sign column overrides the sign of the degrees."""
     a, b, c = number(a), number(b), number(c)
-    size = F.abs(a) + b / 60 + c / 3600
     if is_ra:
-        return size * 15
+        return (a + b / 60 + c / 3600) * 15
+    size = F.abs(a) + b / 60 + c / 3600
     minus = F.trim(sign) == "-" if sign is not None else a < 0
     return F.when(minus, -size).otherwise(size)
 
 
 def clean_id(value: Column) -> Column:
-    """An identifier as a whole number: from a number, or from text with a TIC prefix."""
+    """An identifier as a whole number: from a number, of which a fraction is cut off, or from text with a TIC prefix."""
     text = F.trim(F.regexp_replace(value.cast("string"), "(?i)TIC", ""))
-    return F.coalesce(text.try_cast("bigint"), F.floor(text.try_cast("double")).try_cast("bigint"))
+    x = text.try_cast("double")
+    return F.coalesce(text.try_cast("bigint"), F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).try_cast("bigint"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .series import EDGE_DAYS, MAD_TO_SIGMA, finite_samples
+from .series import EDGE_DAYS, MAD_TO_SIGMA, finite_samples, half_depth_crossings
 
 VERSION = "scan_v1"
 FEATURES = (
@@ -171,3 +172,59 @@ def scan(lc: DataFrame, sigma: float = 4.0, window: float = 1.0, fits: bool = Tr
         return out
 
     return finite_samples(lc).select("star", "t", "flux").groupBy("star").applyInPandas(one, f"star long, {FEATURES}")
+
+
+#: What the first, simple detector says of an event.
+FIRST_FEATURES = (
+    "event_time double, depth double, depth_ppm double, local_noise double, local_snr double, n_points_window long, window_start double, window_end double, "
+    "single_point_like boolean, ingress_days double, egress_days double, asymmetry_score double"
+)
+FIRST_NAMES = [x.split()[0] for x in FIRST_FEATURES.split(", ")]
+
+
+def first_series(t: np.ndarray, f: np.ndarray, sigma: float = 4.0, min_distance: int = 5, window: float = 0.5) -> pd.DataFrame:
+    """Events of one series by the first detector, deepest first: peaks at least min_distance samples apart.
+
+    The depth is that of the peak's own sample below its window's median, or below the series' where that is not positive.
+    """
+    if sigma <= 0 or min_distance < 1 or window <= 0:
+        raise ValueError("sigma and window must be positive, min_distance at least 1")
+    order = np.argsort(t, kind="stable")
+    t, f = t[order], f[order]
+    s = robust_noise(f)
+    rows = []
+    height = np.median(f) - f if len(f) else f
+    for i in peaks(height, sigma * s, min_distance) if len(t) >= 5 and s > 0 else ():
+        a, b = np.searchsorted(t, t[i] - window / 2, "left"), np.searchsorted(t, t[i] + window / 2, "right")
+        lt, lf = t[a:b], f[a:b]
+        if len(lt) < 3:
+            continue
+        base = float(np.median(lf))
+        depth = base - float(f[i])
+        depth = depth if depth > 0 else float(height[i])
+        local = robust_noise(lf)
+        local = local if np.isfinite(local) and local > 0 else s
+        ingress, egress, ratio, _ = crossings(lt, lf)
+        rows.append((float(t[i]), depth, depth * 1e6, local, depth / local, len(lt), t[i] - window / 2, t[i] + window / 2, bool(np.count_nonzero(lf < base - depth / 2) <= 1), ingress / 24, egress / 24, ratio))
+    return pd.DataFrame(rows, columns=FIRST_NAMES).sort_values(["depth", "event_time"], ascending=[False, True], ignore_index=True)
+
+
+def first_scan(lc: DataFrame, sigma: float = 4.0, min_distance: int = 5, window: float = 0.5) -> DataFrame:
+    """Events of every star of (star, t, flux) by the first detector. Null and infinite samples are left out; a star without events has no row."""
+    if sigma <= 0 or min_distance < 1 or window <= 0:
+        raise ValueError("sigma and window must be positive, min_distance at least 1")
+
+    def one(key, pdf):
+        out = first_series(pdf.t.to_numpy(), pdf.flux.to_numpy(), sigma, min_distance, window)
+        out.insert(0, "star", key[0])
+        return out
+
+    return finite_samples(lc).select("star", "t", "flux").groupBy("star").applyInPandas(one, f"star long, {FIRST_FEATURES}")
+
+
+def asymmetry_scores(events: DataFrame, lc: DataFrame, window: float = 0.5) -> DataFrame:
+    """events (star, event_time, ...) with ingress_days, egress_days and asymmetry_score measured anew on lc; other columns stay."""
+    names = FIRST_NAMES[-3:]
+    at = events.select("star", F.col("event_time").alias("event")).filter("event is not null")
+    got = half_depth_crossings(lc, at, window).select("star", F.col("event").alias("event_time"), (F.col("ingress_hours") / 24).alias(names[0]), (F.col("egress_hours") / 24).alias(names[1]), F.col("ratio").alias(names[2]))
+    return events.drop(*names).join(got, ["star", "event_time"], "left")

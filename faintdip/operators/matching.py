@@ -1,17 +1,20 @@
-"""Matched controls: a band join for candidates, then greedy assignment without reuse.
+"""Matched controls: band joins for candidates, then greedy assignment without reuse.
 
-Candidates come from an equi-join on magnitude bands. The greedy choice depends on order, so
-it is one kernel; bands that no candidate links are independent of each other and run apart.
+Candidates come from equi-joins on bands of all criteria that a target has. The greedy choice
+depends on the order of the targets; it is the only stable one where every control prefers the
+target that comes first, so rounds of proposals find it without a task that sees all edges.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..columns import truthy
-from .sky import clusters
+from ..lineage import cut
 
 #: Cells of the pool for targets that have no criterion.
 CELLS = 64
@@ -32,6 +35,23 @@ def _criterion(target: Column, delta: Column, tolerance: float, strict: bool):
     return target.isNull() | F.coalesce(ok, F.lit(False)), F.coalesce(delta / tolerance, F.lit(0.0))
 
 
+def _banded(t: DataFrame, c: DataFrame, *keys: tuple[str, float]) -> DataFrame:
+    """Pairs of targets and controls in the same or neighbouring bands of every key; without keys each target and all of the pool, in cells."""
+    if not keys:
+        # every control is a candidate; copies of the target meet the pool in cells of about even size
+        t = t.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+        return t.join(c.withColumn("cell", F.pmod(F.xxhash64("c_id"), F.lit(CELLS)).cast("int")), "cell").drop("cell")
+    for name, size in keys:
+        t = t.withColumn(f"band_{name}", F.explode(F.array(*(F.floor(F.col(f"t_{name}") / size) + i for i in (-1, 0, 1)))))
+        c = c.withColumn(f"band_{name}", F.floor(F.col(f"c_{name}") / size))
+    names = [f"band_{name}" for name, _ in keys]
+    return t.join(c, names).drop(*names)
+
+
+def _sides(targets: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.select(*(F.col(x).alias(f"{side}_{x}") for x in ("id", "tmag", "bp_rp", "teff", "parallax"))) for df, side in ((targets, "t"), (pool, "c")))
+
+
 def candidates(targets: DataFrame, pool: DataFrame, *, tmag: float = 1.0, color: float = 0.35, teff: float = 400.0, parallax: float = 0.5, strict: bool = False) -> DataFrame:
     """(target_id, control_id, score) of all pairs that pass every criterion.
 
@@ -39,26 +59,23 @@ def candidates(targets: DataFrame, pool: DataFrame, *, tmag: float = 1.0, color:
     temperature. score sums the differences over their tolerances. A target that lacks all of them
     has every control as a candidate, with score 0.
     """
-    t = targets.select(*(F.col(c).alias(f"t_{c}") for c in ("id", "tmag", "bp_rp", "teff", "parallax")))
-    c = pool.select(*(F.col(x).alias(f"c_{x}") for x in ("id", "tmag", "bp_rp", "teff", "parallax")))
-    band = lambda x: F.floor(x / tmag)
-    near = t.filter("t_tmag is not null").withColumn("band", F.explode(F.array(*(band(F.col("t_tmag")) + i for i in (-1, 0, 1)))))
-    pairs = near.join(c.filter("c_tmag is not null").withColumn("band", band(F.col("c_tmag"))), "band").drop("band")
-    # targets without a magnitude are few; they meet the pool on bands of the first criterion that they have
-    rest = t.filter("t_tmag is null and t_bp_rp is not null").withColumn("band", F.explode(F.array(*(F.floor(F.col("t_bp_rp") / color) + i for i in (-1, 0, 1)))))
-    pairs = pairs.unionByName(rest.join(c.filter("c_bp_rp is not null").withColumn("band", F.floor(F.col("c_bp_rp") / color)), "band").drop("band"))
-    plain = t.filter("t_tmag is null and t_bp_rp is null")
-    warm = plain.filter("t_teff is not null").withColumn("band", F.explode(F.array(*(F.floor(F.col("t_teff") / teff) + i for i in (-1, 0, 1)))))
-    pairs = pairs.unionByName(warm.join(c.filter("c_teff is not null").withColumn("band", F.floor(F.col("c_teff") / teff)), "band").drop("band"))
-    plain = plain.filter("t_teff is null")
-    banded = F.coalesce(F.col("t_parallax") > 0, F.lit(False)) & F.lit(parallax < 1)
-    # a parallax's tolerance is a share of it, so bands are octaves
-    low, high = (F.floor(F.log2(F.col("t_parallax") * (1 + x) * (1 + e))) for x, e in ((-parallax, -1e-9), (parallax, 1e-9)))
-    far = plain.filter(banded).withColumn("band", F.explode(F.sequence(low, high)))
-    pairs = pairs.unionByName(far.join(c.filter("c_parallax > 0").withColumn("band", F.floor(F.log2("c_parallax"))), "band").drop("band"))
-    # every control is a candidate of a target without criteria; its copies meet the pool in cells of about even size
-    bare = plain.filter(~banded).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-    pairs = pairs.unionByName(bare.join(c.withColumn("cell", F.pmod(F.xxhash64("c_id"), F.lit(CELLS)).cast("int")), "cell").drop("cell"))
+    t, c = _sides(targets, pool)
+    has = lambda n: F.col(f"t_{n}").isNotNull()
+    parts = []
+    for bright, first in ((has("tmag"), [("tmag", tmag)]), (~has("tmag"), [])):
+        parts.append(_banded(t.filter(bright & has("bp_rp")), c, *first, ("bp_rp", color)))
+        parts.append(_banded(t.filter(bright & ~has("bp_rp") & has("teff")), c, *first, ("teff", teff)))
+        plain = t.filter(bright & ~has("bp_rp") & ~has("teff"))
+        if first:
+            parts.append(_banded(plain, c, *first))
+            continue
+        banded = F.coalesce(F.col("t_parallax") > 0, F.lit(False)) & F.lit(parallax < 1)
+        # a parallax's tolerance is a share of it, so bands are octaves
+        low, high = (F.floor(F.log2(F.col("t_parallax") * (1 + x) * (1 + e))) for x, e in ((-parallax, -1e-9), (parallax, 1e-9)))
+        far = plain.filter(banded).withColumn("band", F.explode(F.sequence(low, high)))
+        parts.append(far.join(c.filter("c_parallax > 0").withColumn("band", F.floor(F.log2("c_parallax"))), "band").drop("band"))
+        parts.append(_banded(plain.filter(~banded), c))
+    pairs = reduce(DataFrame.unionByName, parts)
     col = F.col
     by_color = col("t_bp_rp").isNotNull()
     positive = F.when(col("t_parallax") > 0, col("t_parallax"))
@@ -74,34 +91,78 @@ def candidates(targets: DataFrame, pool: DataFrame, *, tmag: float = 1.0, color:
     return pairs.select(col("t_id").alias("target_id"), col("c_id").alias("control_id"), score.alias("score"))
 
 
-def assign(edges: DataFrame, ratio: int = 1) -> DataFrame:
+def assign(edges: DataFrame, ratio: int = 1, rounds: int = 10_000) -> DataFrame:
     """(target_id, control_id, match_rank, score): targets in order of id take their best unused controls.
 
-    Ties go to the smaller control id. Choices in one connected part of the edges don't touch
-    another, so each part is assigned in a task of its own.
+    edges has target_id, control_id and score, and may have fallback and fits: fallback edges count
+    only while a target has no other free one, and edges that don't fit are never taken, but are free.
+    Ties go to the smaller control id. In each round all targets take what they like best of what is left
+    to them, and a control that two take is left to the first of them and those before it; that
+    never takes back a choice of the greedy order, which is reached when no two take the same.
     """
     if ratio < 1:
         raise ValueError("ratio must be at least 1")
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        rows = []
-        for target, g in pdf.sort_values(["target_id", "score", "control_id"]).groupby("target_id", sort=True):
-            free = g[~g.control_id.isin(used)].head(ratio)
-            used.update(free.control_id)
-            rows += [(target, c, k, s) for k, (c, s) in enumerate(zip(free.control_id, free.score), 1)]
-        return pd.DataFrame(rows, columns=["target_id", "control_id", "match_rank", "score"])
-
-    # targets are even and controls odd nodes
-    nodes = edges.select((F.col("target_id") * 2).alias("a"), (F.col("control_id") * 2 + 1).alias("b"))
-    part = clusters(nodes)
-    keyed = edges.withColumn("a", F.col("target_id") * 2).join(part, "a").select("cluster", "target_id", "control_id", "score")
-    return keyed.groupBy("cluster").applyInPandas(greedy, "target_id long, control_id long, match_rank int, score double")
+    own = lambda n, other: F.col(n) if n in edges.columns else F.lit(other)
+    e = cut(edges.select("target_id", "control_id", "score", own("fallback", False).alias("fallback"), own("fits", True).alias("fits")))
+    left = e.count()
+    best = W.partitionBy("target_id").orderBy("score", "control_id")
+    for _ in range(rounds):
+        open_to = e.withColumn("other", F.min("fallback").over(W.partitionBy("target_id"))).filter(F.col("fits") & (F.col("fallback") == F.col("other")))
+        taken = open_to.withColumn("match_rank", F.row_number().over(best)).filter(F.col("match_rank") <= ratio).select("target_id", "control_id", "match_rank", "score")
+        holder = taken.groupBy("control_id").agg(F.min("target_id").alias("holder"))
+        now = cut(e.join(holder, "control_id", "left").filter(F.col("holder").isNull() | (F.col("target_id") <= F.col("holder"))).drop("holder"))
+        n = now.count()
+        if n == left:
+            return taken
+        e, left = now, n
+    raise RuntimeError("the assignment did not settle")
+
+
+def strict_edges(targets: DataFrame, pool: DataFrame, *, tmag: float = 0.5, color: float = 0.15, teff: float = 300.0, parallax: float = 0.5) -> DataFrame:
+    """Edges for assign() under strict bands: (target_id, control_id, score, fallback, fits).
+
+    Where no free control has a target's colour, its temperature decides (fallback), and without one its
+    magnitude alone. Parallax is asked of what these leave, so a control that only lacks it still counts as
+    free (fits is false). A value that the control lacks counts one in the score.
+    """
+    t, c = _sides(targets, pool)
+    has = lambda n: F.col(f"t_{n}").isNotNull()
+    delta = lambda n: F.abs(F.col(f"c_{n}") - F.col(f"t_{n}"))
+    positive = F.when(F.col("t_parallax") > 0, F.col("t_parallax"))
+    away = F.abs(F.col("c_parallax") - positive) / positive
+    fits = positive.isNull() | F.coalesce(away < parallax, F.lit(False))
+    score = F.when(has("tmag"), delta("tmag") / tmag).otherwise(0.0)
+    score = score + F.when(has("bp_rp"), F.coalesce(delta("bp_rp") / color, F.lit(1.0))).when(has("teff"), F.coalesce(delta("teff") / teff, F.lit(1.0))).otherwise(0.0)
+    score = score + F.when(positive.isNotNull(), F.coalesce(away / parallax, F.lit(1.0))).otherwise(0.0)
+    modes = [
+        (has("bp_rp"), [("bp_rp", color)], False), (has("bp_rp") & has("teff"), [("teff", teff)], True), (has("bp_rp") & ~has("teff"), [], True),
+        (~has("bp_rp") & has("teff"), [("teff", teff)], False), (~has("bp_rp") & ~has("teff"), [], False),
+    ]
+    parts = []
+    for bright, first in ((has("tmag"), [("tmag", tmag)]), (~has("tmag"), [])):
+        for mode, keys, fallback in modes:
+            pairs = _banded(t.filter(bright & mode), c, *first, *keys)
+            for name, tolerance in (*first, *keys):
+                pairs = pairs.filter(delta(name) < tolerance)
+            parts.append(pairs.withColumn("fallback", F.lit(fallback)))
+    pairs = reduce(DataFrame.unionByName, parts)
+    return pairs.select(F.col("t_id").alias("target_id"), F.col("c_id").alias("control_id"), score.alias("score"), "fallback", fits.alias("fits"))
+
+
+def eligible(targets: DataFrame) -> DataFrame:
+    """Targets with data, where they say so."""
+    return targets.filter(truthy(F.col("has_tess_lightcurve"))) if "has_tess_lightcurve" in targets.columns else targets
 
 
 def matched_pairs(targets: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs one to one under strict bands; match_quality_score is the candidate score."""
-    edges = candidates(targets, usable(pool), tmag=0.5, color=0.15, teff=300.0, parallax=0.5, strict=True)
-    return assign(edges, 1).withColumnRenamed("score", "match_quality_score")
+    """(target_id, control_id, match_rank, match_quality_score): pairs one to one under strict bands, in order of the targets' ids."""
+    return assign(strict_edges(eligible(targets), usable(pool)), 1).withColumnRenamed("score", "match_quality_score")
+
+
+def unmatched(targets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: how many targets with data there are, and how many have no control."""
+    found = eligible(targets).select("id").join(pairs.select(F.col("target_id").alias("id"), F.lit(1).alias("one")).distinct(), "id", "left")
+    return found.agg(F.count("*").alias("n_targets"), F.count_if(F.col("one").isNull()).alias("n_unmatched"))
 
 
 def pair_balance(pairs: DataFrame, names: tuple[str, ...] = ("tmag", "bp_rp", "parallax")) -> DataFrame:

@@ -84,6 +84,18 @@ def crossmatch(left: DataFrame, right: DataFrame, radius_arcsec: float, prefix:
     return left.join(got, "id", "left").withColumn(f"{prefix}_status", status).drop("__tried")
 
 
+def approximate_controls(targets: DataFrame, pool: DataFrame, radius_arcsec: float = 30.0, limit: int | None = None) -> DataFrame:
+    """(target_id, separation_arcsec, all columns of pool): the nearest of the pool to each target within the radius.
+
+    Only stars of a real pool with coordinates are returned, none is made up. With limit only the
+    first pairs by target id stay. Both sides have id, ra, dec.
+    """
+    near = nearest(targets, pool, radius_arcsec).select(F.col("left_id").alias("target_id"), F.col("right_id").alias("id"), "separation_arcsec")
+    if limit is not None:
+        near = near.orderBy("target_id").limit(limit)
+    return near.join(pool, "id").select("target_id", "separation_arcsec", *pool.columns)
+
+
 def deduplicate(df: DataFrame, radius_arcsec: float = 3.0, keep: str = "first") -> DataFrame:
     """df (id, ra, dec, ...) without points within the radius of a kept one, taken in order of id.
 

@@ -34,18 +34,31 @@ def still_to_do(plan: DataFrame, status: DataFrame) -> DataFrame:
     return plan.join(status.filter("success and star is not null").select("star").distinct(), "star", "left_anti")
 
 
-def scan_stars(plan: DataFrame, lc: DataFrame, sigma: float = 4.0, window: float = 1.0, fits: bool = True, least: int = 10, detector=scan_series) -> DataFrame:
+def scan_stars(plan: DataFrame, lc: DataFrame, sigma: float = 4.0, window: float = 1.0, fits: bool = True, least: int = 10, detector=scan_series, failures: DataFrame | None = None) -> DataFrame:
     """One row for each event, and one for each star with its outcome in status; events have a null status.
 
-    Outcomes: no_data, too_few_points:n, no_candidates, ok:n, detector_failed:error.
+    Outcomes: download_failed:error for stars of failures (star, error), missing_columns for all where lc lacks t or
+    flux, no_data, too_few_points:n, no_candidates, ok:n, detector_failed:error.
     """
     import pandas as pd
 
+    complete = {"t", "flux"} <= set(lc.columns)
+    if not complete:
+        lc = lc.select("star", *(F.lit(None).cast("double").alias(c) for c in ("t", "flux")))
+    if failures is None:
+        plan = plan.select("star", F.lit(None).cast("string").alias("error"))
+    else:
+        plan = plan.select("star").join(failures.groupBy("star").agg(F.min(F.coalesce("error", F.lit(""))).alias("error")), "star", "left")
+
     def one(key, mine, series):
         if not len(mine):
             return pd.DataFrame(columns=["star", "status", *NAMES])
         t, f, events = series.t.to_numpy(), series.flux.to_numpy(), None
-        if not len(t):
+        if mine.error.notna().any():
+            status = f"download_failed:{mine.error.dropna().iloc[0]}"
+        elif not complete:
+            status = "missing_columns"
+        elif not len(t):
             status = "no_data"
         elif len(t) < least:
             status = f"too_few_points:{len(t)}"
@@ -54,12 +67,12 @@ def scan_stars(plan: DataFrame, lc: DataFrame, sigma: float = 4.0, window: float
                 events = detector(t, f, sigma, window, fits)
                 status = f"ok:{len(events)}" if len(events) else "no_candidates"
             except Exception as e:  # one bad series must not end a survey
-                status = f"detector_failed:{type(e).__name__}"
+                status = f"detector_failed:{type(e).__name__}: {e}"
         rows = [pd.DataFrame({"status": [status]})] + ([events] if events is not None and len(events) else [])
         return pd.concat(rows).assign(star=key[0])[["star", "status", *NAMES]] if len(rows) > 1 else rows[0].assign(star=key[0]).reindex(columns=["star", "status", *NAMES])
 
     samples = finite_samples(lc).select("star", "t", "flux")
-    return plan.select("star").groupBy("star").cogroup(samples.groupBy("star")).applyInPandas(one, f"star long, status string, {FEATURES}")
+    return plan.groupBy("star").cogroup(samples.groupBy("star")).applyInPandas(one, f"star long, status string, {FEATURES}")
 
 
 def status_rows(outcomes: DataFrame, plan: DataFrame, at) -> DataFrame:

@@ -39,15 +39,25 @@ PARTS = dict(SQL) | {
         FROM (SELECT shape.*, first, last, CASE WHEN mad > 0 THEN mad WHEN sd > 0 THEN sd WHEN noise > 0 THEN noise END AS s FROM shape JOIN span USING (star) JOIN noise USING (star)) WHERE n >= 3""",
     "crossings": """SELECT star, event, (any_value(low.t) - max(t) FILTER (t <= low.t AND flux >= base - (base - low.f) / 2)) * 24 AS ingress_hours,
         (min(t) FILTER (t >= low.t AND flux >= base - (base - low.f) / 2) - any_value(low.t)) * 24 AS egress_hours FROM based WHERE cnt >= 5 AND base > low.f GROUP BY star, event""",
+    "fwhm": """SELECT star, event, CASE WHEN b > a THEN (b - a) * 24 END AS fwhm_hours FROM (SELECT star, event,
+        max({'t': t, 'x': t + (half - flux) / (f1 - flux) * (t1 - t)}) FILTER (flux >= half AND t < low.t).x AS a, min({'t': t, 'x': t0 + (half - f0) / (flux - f0) * (t - t0)}) FILTER (flux >= half AND t > low.t).x AS b
+        FROM (SELECT *, base - (base - low.f) / 2 AS half, lead(t) OVER w AS t1, lead(flux) OVER w AS f1, lag(t) OVER w AS t0, lag(flux) OVER w AS f0 FROM based WINDOW w AS (PARTITION BY star, event ORDER BY t)) WHERE cnt >= 4 AND base > low.f GROUP BY star, event)""",
+    "cadence": "SELECT star, count(*) AS n, median(step) AS dt FROM (SELECT star, t - lag(t) OVER (PARTITION BY star ORDER BY t) AS step FROM lc) GROUP BY star",
+    "peaks": """SELECT minima.star, numbered.i, numbered.t, baseline - minima.flux AS height, CASE WHEN dt > 0 THEN greatest(3, floor(floor(5.0::DOUBLE / (2 * dt)) / 2)) ELSE 3 END AS apart, cadence.n,
+        row_number() OVER (PARTITION BY minima.star ORDER BY baseline - minima.flux DESC, numbered.i DESC) AS k FROM minima JOIN numbered ON numbered.star = minima.star AND numbered.t = minima.t JOIN cadence ON cadence.star = minima.star""",
+    "thinning": """SELECT DISTINCT star, 0::BIGINT AS k, []::BIGINT[] AS scanned, []::BIGINT[] AS first FROM peaks UNION ALL
+        SELECT peaks.star, peaks.k, CASE WHEN len(list_filter(scanned, lambda x: abs(x - i) < apart)) = 0 THEN list_append(scanned, i) ELSE scanned END, CASE WHEN len(list_filter(first, lambda x: abs(x - i) < 5)) = 0 THEN list_append(first, i) ELSE first END
+        FROM thinning JOIN peaks ON peaks.star = thinning.star AND peaks.k = thinning.k + 1""",
+    "thinned": "SELECT star, arg_max(scanned, k) AS scanned, arg_max(first, k) AS first FROM thinning GROUP BY star",
     "events0": """SELECT feats.star, feats.event AS event_time, feats.star * 1000 + row_number() OVER (PARTITION BY feats.star ORDER BY feats.event) AS event_id, CASE WHEN feats.star % 2 = 0 THEN 'target' ELSE 'control' END AS sample_role,
         'star-' || feats.star AS target_name, depth_ppm, local_snr, n_points_window, edge_event, single_point_like, skewness, kurtosis, ingress_hours, egress_hours, CASE WHEN ingress_hours > 0 THEN egress_hours / ingress_hours END AS egress_ingress_ratio,
-        CAST(NULL AS DOUBLE) AS delta_chi2 FROM feats LEFT JOIN crossings USING (star, event)""",
+        CASE WHEN feats.star % 5 <> 0 THEN (feats.star * 7 + row_number() OVER (PARTITION BY feats.star ORDER BY feats.event)) % 41 * 3.0::DOUBLE - 10 END AS delta_chi2 FROM feats LEFT JOIN crossings USING (star, event)""",
     "flagged": """SELECT *, coalesce(local_snr < 5, false) AS flag_low_snr, edge_event AS flag_edge_event, single_point_like AS flag_single_point_like, coalesce(skewness > 0 AND egress_ingress_ratio < 1, false) AS flag_likely_flare_shape,
-        false AS flag_low_delta_chi2, egress_ingress_ratio IS NULL OR egress_ingress_ratio BETWEEN 0.9 AND 1.1 AS flag_poor_asymmetry_fit FROM events0""",
+        coalesce(delta_chi2 < 5, false) AS flag_low_delta_chi2, egress_ingress_ratio IS NULL OR egress_ingress_ratio BETWEEN 0.9 AND 1.1 AS flag_poor_asymmetry_fit FROM events0""",
     "vetted": """SELECT *, flag_low_snr OR flag_edge_event OR flag_single_point_like OR flag_likely_flare_shape OR flag_low_delta_chi2 OR flag_poor_asymmetry_fit AS needs_manual_review,
         CASE WHEN flag_low_snr OR flag_edge_event OR flag_single_point_like OR flag_likely_flare_shape OR flag_low_delta_chi2 OR flag_poor_asymmetry_fit THEN 'flagged' ELSE 'pass' END AS automated_vetting_status FROM flagged""",
-    "scored": """SELECT *, round(least(greatest(0.5 * 0.5 + 0.4 * quality_score + 0.1 * least(coalesce(local_snr, 0) / 10, 1) - 0.15 * edge_event::INT - 0.15 * single_point_like::INT, 0), 1), 9) AS final_candidate_score FROM (
-        SELECT *, least(greatest(0.45 * least(coalesce(local_snr, 0) / 10, 1) + 0.30 * least(greatest((coalesce(egress_ingress_ratio, 1) - 1) / 5, 0), 1) - 0.25 * edge_event::INT - 0.25 * single_point_like::INT, 0), 1) AS quality_score FROM vetted)""",
+    "scored": """SELECT *, round(least(greatest(0.5 * (event_id % 10 / 10.0::DOUBLE) + 0.4 * quality_score + 0.1 * least(coalesce(local_snr, 0) / 10, 1) - 0.15 * edge_event::INT - 0.15 * single_point_like::INT, 0), 1), 9) AS final_candidate_score FROM (
+        SELECT *, least(greatest(0.45 * least(coalesce(local_snr, 0) / 10, 1) + 0.30 * least(greatest((coalesce(egress_ingress_ratio, 1) - 1) / 5, 0), 1) + 0.25 * least(greatest(coalesce(delta_chi2, 0) / 100, 0), 1) - 0.25 * edge_event::INT - 0.25 * single_point_like::INT, 0), 1) AS quality_score FROM vetted)""",
     "external": """SELECT star, event_time, event_id, CASE star % 5 WHEN 0 THEN 'matched' WHEN 1 THEN 'failed' ELSE 'not_found' END AS eb_status, star AS eb_match_id, 1.25::DOUBLE AS eb_sep_arcsec,
         CASE star % 3 WHEN 0 THEN 'matched' ELSE 'not_found' END AS vsx_status, 'V' || star AS vsx_match_name, CASE star % 4 WHEN 0 THEN ' ea/SD' WHEN 1 THEN 'M:' ELSE '' END AS vsx_type, 2.5::DOUBLE AS vsx_sep_arcsec,
         CASE star % 7 WHEN 0 THEN 'matched' ELSE 'not_attempted' END AS simbad_status, 'S' || star AS simbad_main_id, CASE star % 2 WHEN 0 THEN 'EB*' ELSE 'Star' END AS simbad_otype, CAST(NULL AS DOUBLE) AS simbad_sep_arcsec, automated_vetting_status, needs_manual_review FROM vetted""",
@@ -60,10 +70,17 @@ PARTS = dict(SQL) | {
     "ranked": "SELECT *, row_number() OVER (PARTITION BY star ORDER BY final_candidate_score DESC NULLS LAST, local_snr DESC NULLS LAST, event_time) AS k FROM scored",
     "pairs": "SELECT id // 2 AS pair_id, id AS target_id, 'star-' || id AS target_name, id + 1 AS control_id FROM (SELECT DISTINCT star - star % 2 AS id FROM lc)",
     "near": "SELECT stars.id AS left_id, pool.id AS right_id, degrees(2 * asin(sqrt(least(1, greatest(0, sin(radians(pool.dec - stars.dec) / 2)**2 + cos(radians(stars.dec)) * cos(radians(pool.dec)) * sin(radians(pool.ra - stars.ra) / 2)**2))))) * 3600 AS separation_arcsec FROM stars, pool",
+    "wide": "SELECT left_id AS star, arg_min(right_id, (separation_arcsec, right_id)) AS id, min(separation_arcsec) AS sep FROM near WHERE separation_arcsec <= 32400 GROUP BY left_id",
+    "close": "SELECT left_id AS star, arg_min(right_id, (separation_arcsec, right_id)) AS id, min(separation_arcsec) AS sep FROM near WHERE separation_arcsec <= 10800 GROUP BY left_id",
+    "latest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY star ORDER BY scan_timestamp DESC, success DESC) AS k FROM status) WHERE k = 1",
     "status": "SELECT user_id AS star, CASE WHEN user_id % 2 = 0 THEN 'target' ELSE 'control' END AS sample_role, event_type <> 'error' AS success, CASE WHEN event_type <> 'error' THEN event_id % 4 ELSE 0 END AS n_candidates, epoch_us(ts) AS scan_timestamp FROM events",
 }
 
 
+#: Parts that refer to themselves.
+RECURSIVE = ("thinning",)
+
+
 def with_parts(sql: str) -> str:
     """sql with the parts that it needs before it."""
     import re
@@ -73,11 +90,14 @@ def with_parts(sql: str) -> str:
     def visit(text: str) -> None:
         for name in PARTS:
             if name not in need and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
-                visit(PARTS[name])
+                if name in RECURSIVE:
+                    visit(PARTS["peaks"])
+                else:
+                    visit(PARTS[name])
                 need.append(name) if name not in need else None
 
     visit(sql)
-    return ("WITH " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in need) + "\n" if need else "") + sql
+    return (("WITH RECURSIVE " if set(need) & set(RECURSIVE) else "WITH ") + ",\n".join(f"{n} AS ({PARTS[n]})" for n in need) + "\n" if need else "") + sql
 
 
 def query(oracle: str | None = None):
@@ -115,9 +135,10 @@ def events_of(spark, d):
     f = series.window_features(lc, ev, WINDOW).filter("n_points_window >= 3").drop("local_noise")
     c = series.half_depth_crossings(lc, ev, WINDOW).withColumnRenamed("ratio", "egress_ingress_ratio")
     e = f.join(c, ["star", "event"], "left").withColumnRenamed("event", "event_time")
+    number = F.row_number().over(W.partitionBy("star").orderBy("event_time"))
     return e.withColumns({
-        "event_id": F.col("star") * 1000 + F.row_number().over(W.partitionBy("star").orderBy("event_time")), "sample_role": F.when(F.col("star") % 2 == 0, "target").otherwise("control"),
-        "target_name": F.concat(F.lit("star-"), F.col("star").cast("string")), "delta_chi2": F.lit(None).cast("double"),
+        "event_id": F.col("star") * 1000 + number, "sample_role": F.when(F.col("star") % 2 == 0, "target").otherwise("control"),
+        "target_name": F.concat(F.lit("star-"), F.col("star").cast("string")), "delta_chi2": F.when(F.col("star") % 5 != 0, (F.col("star") * 7 + number) % 41 * 3.0 - 10),
     })
 
 
@@ -128,7 +149,7 @@ def vetted_of(spark, d):
 def scored_of(spark, d):
     c = F.col
     v = vetted_of(spark, d).withColumn("quality_score", quality_score(c("local_snr"), c("egress_ingress_ratio"), c("delta_chi2"), c("edge_event"), c("single_point_like")))
-    return v.withColumn("final_candidate_score", F.round(final_score(F.lit(0.5), c("quality_score"), c("local_snr"), c("edge_event"), c("single_point_like")), 9))
+    return v.withColumn("final_candidate_score", F.round(final_score(c("event_id") % 10 / 10, c("quality_score"), c("local_snr"), c("edge_event"), c("single_point_like")), 9))
 
 
 @query("SELECT star, round(event_time, 6) AS event_time, round(depth_ppm, 3) AS depth_ppm, round(local_snr, 6) AS local_snr, n_points_window, edge_event, single_point_like, automated_vetting_status, recommended_review_priority FROM scored JOIN (SELECT star, recommended_review_priority FROM summary) USING (star)")
@@ -173,9 +194,7 @@ def dip_half_depth_crossings(spark, d):
     return c.select("star", F.round("event", 6).alias("event"), *(F.round(x, 5).alias(x) for x in ("ingress_hours", "egress_hours", "ratio")))
 
 
-@query("""SELECT star, round(event, 6) AS event, CASE WHEN b > a THEN round((b - a) * 24, 5) END AS fwhm_hours FROM (SELECT star, event,
-max({'t': t, 'x': t + (half - flux) / (f1 - flux) * (t1 - t)}) FILTER (flux >= half AND t < low.t).x AS a, min({'t': t, 'x': t0 + (half - f0) / (flux - f0) * (t - t0)}) FILTER (flux >= half AND t > low.t).x AS b
-FROM (SELECT *, base - (base - low.f) / 2 AS half, lead(t) OVER w AS t1, lead(flux) OVER w AS f1, lag(t) OVER w AS t0, lag(flux) OVER w AS f0 FROM based WINDOW w AS (PARTITION BY star, event ORDER BY t)) WHERE cnt >= 4 AND base > low.f GROUP BY star, event)""")
+@query("SELECT star, round(event, 6) AS event, round(fwhm_hours, 5) AS fwhm_hours FROM fwhm")
 def dip_fwhm(spark, d):
     return series.width_at_half_depth(lc_of(spark, d), minima_of(spark, d), WINDOW).select("star", F.round("event", 6).alias("event"), F.round("fwhm_hours", 5).alias("fwhm_hours"))
 
@@ -186,9 +205,37 @@ def dip_window_moments(spark, d):
     return f.select("star", F.round("event", 6).alias("event"), F.round("skewness", 5).alias("skewness"), F.round("kurtosis", 5).alias("kurtosis"))
 
 
-@query()
+def numbers(df, digits: int = 5):
+    """df with doubles rounded, and null where there is no number."""
+    return df.select(*(F.when(~F.isnan(c), F.round(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query("""SELECT peaks.star, round(peaks.t, 5) AS event_time, round(depth_ppm, 5) AS depth_ppm, round(local_snr, 5) AS local_snr, round(coalesce(ingress_hours + egress_hours, fwhm_hours), 5) AS duration_hours, round(fwhm_hours, 5) AS fwhm_hours,
+round(ingress_hours, 5) AS ingress_hours, round(egress_hours, 5) AS egress_hours, CASE WHEN ingress_hours > 0 THEN round(egress_hours / ingress_hours, 5) END AS egress_ingress_ratio, round(skewness, 5) AS skewness, round(kurtosis, 5) AS kurtosis,
+w.cnt AS n_points_window, peaks.t < span.first + 0.5 OR peaks.t > span.last - 0.5 AS edge_event, coalesce(single_point_like, true) AS single_point_like
+FROM peaks JOIN thinned ON thinned.star = peaks.star AND list_contains(scanned, i) JOIN span ON span.star = peaks.star JOIN (SELECT star, event, any_value(cnt) AS cnt FROM based GROUP BY star, event) w ON w.star = peaks.star AND w.event = peaks.t
+LEFT JOIN feats ON feats.star = peaks.star AND feats.event = peaks.t LEFT JOIN crossings ON crossings.star = peaks.star AND crossings.event = peaks.t LEFT JOIN fwhm ON fwhm.star = peaks.star AND fwhm.event = peaks.t WHERE peaks.n >= 10""")
 def dip_scan_thinned(spark, d):
-    return detect.scan(lc_of(spark, d), window=WINDOW, fits=False)
+    return numbers(detect.scan(lc_of(spark, d), window=WINDOW, fits=False).drop("delta_chi2"))
+
+
+@query("""SELECT star, round(t, 5) AS event_time, round(depth * 1e6, 4) AS depth_ppm, round(s, 9) AS local_noise, round(depth / s, 5) AS local_snr, n AS n_points_window, round(t - 2.5, 5) AS window_start, round(t + 2.5, 5) AS window_end, below <= 1 AS single_point_like,
+round(ingress_hours / 24, 6) AS ingress_days, round(egress_hours / 24, 6) AS egress_days, CASE WHEN ingress_hours > 0 THEN round(egress_hours / ingress_hours, 5) END AS asymmetry_score
+FROM (SELECT p.star, p.t, depth, count(*) AS n, count(*) FILTER (flux < base - depth / 2) AS below, any_value(CASE WHEN mad > 0 THEN mad WHEN sd > 0 THEN sd ELSE noise END) AS s
+    FROM (SELECT peaks.star, peaks.t, CASE WHEN shape.base - minima.flux > 0 THEN shape.base - minima.flux ELSE height END AS depth, mad, sd, shape.n, noise FROM peaks JOIN thinned ON thinned.star = peaks.star AND list_contains(thinned.first, i)
+        JOIN minima ON minima.star = peaks.star AND minima.t = peaks.t JOIN shape ON shape.star = peaks.star AND shape.event = peaks.t WHERE peaks.n >= 5 AND shape.n >= 3) p
+    JOIN based ON based.star = p.star AND based.event = p.t GROUP BY p.star, p.t, depth) q LEFT JOIN crossings ON crossings.star = q.star AND crossings.event = q.t""".replace("SELECT star, round(t, 5)", "SELECT q.star, round(q.t, 5)"))
+def dip_first_detector(spark, d):
+    out = detect.first_scan(lc_of(spark, d), min_distance=5, window=WINDOW).drop("depth")
+    digits = {"depth_ppm": 4, "local_noise": 9, "ingress_days": 6, "egress_days": 6}
+    return out.select(*(F.when(~F.isnan(c), F.round(c, digits.get(c, 5))).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+@query("SELECT star, round(event, 5) AS event_time, round(ingress_hours / 24, 6) AS ingress_days, round(egress_hours / 24, 6) AS egress_days, CASE WHEN ingress_hours > 0 THEN round(egress_hours / ingress_hours, 5) END AS asymmetry_score FROM (SELECT star, t AS event FROM minima) LEFT JOIN crossings USING (star, event)")
+def dip_asymmetry_scores(spark, d):
+    events = minima_of(spark, d).select("star", F.col("event").alias("event_time"), F.lit(999.0).alias("asymmetry_score"))
+    out = detect.asymmetry_scores(events, lc_of(spark, d), WINDOW)
+    return out.select("star", F.round("event_time", 5).alias("event_time"), F.round("ingress_days", 6).alias("ingress_days"), F.round("egress_days", 6).alias("egress_days"), F.round("asymmetry_score", 5).alias("asymmetry_score"))
 
 
 @query()
@@ -213,7 +260,7 @@ def inject_flux(spark, d):
 
 @query()
 def inject_recovery(spark, d):
-    return inject.recovery(lc_of(spark, d), n=4, window=WINDOW, tolerance_hours=24.0)
+    return inject.recovery(lc_of(spark, d), n=10, window=WINDOW, tolerance_hours=24.0)
 
 
 @query("""SELECT star, n AS trial, round(mid, 6) AS "at", round(near_t, 6) AS recovered_time, near_t IS NOT NULL AS recovered FROM (
@@ -250,10 +297,11 @@ def sky_nearest(spark, d):
     return rounded(sky.nearest(view(spark, d, "stars"), view(spark, d, "pool"), RADIUS), 4)
 
 
-@query("""SELECT id, coalesce(right_id, -1) AS tic_match_id, round(s, 4) AS tic_sep_arcsec, CASE WHEN n > 1000 THEN 'not_attempted' WHEN right_id IS NULL THEN 'not_found' ELSE 'matched' END AS tic_status FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM stars)
-LEFT JOIN (SELECT left_id, arg_min(right_id, (separation_arcsec, right_id)) AS right_id, min(separation_arcsec) AS s FROM near WHERE separation_arcsec <= 10800 GROUP BY left_id) ON left_id = id AND n <= 1000""")
+@query("""SELECT id, coalesce(right_id, -1) AS tic_match_id, round(s, 4) AS tic_sep_arcsec, CASE WHEN id % 9 = 0 THEN 'not_attempted' WHEN right_id IS NULL THEN 'not_found' ELSE 'matched' END AS tic_status FROM stars
+LEFT JOIN (SELECT left_id, arg_min(right_id, (separation_arcsec, right_id)) AS right_id, min(separation_arcsec) AS s FROM near WHERE separation_arcsec <= 10800 GROUP BY left_id) ON left_id = id AND id % 9 <> 0""")
 def sky_nearest_left_status(spark, d):
-    out = sky.crossmatch(view(spark, d, "stars").select("id", "ra", "dec"), view(spark, d, "pool"), RADIUS, "tic", limit=1000)
+    stars = view(spark, d, "stars").select("id", F.when(F.col("id") % 9 != 0, F.col("ra")).alias("ra"), "dec")  # every ninth has no position
+    out = sky.crossmatch(stars, view(spark, d, "pool"), RADIUS, "tic")
     return rounded(out.select("id", F.coalesce("tic_match_id", F.lit(-1)).alias("tic_match_id"), "tic_sep_arcsec", "tic_status"), 4)
 
 
@@ -263,18 +311,32 @@ def sky_self_neighbours(spark, d):
     return sky.within(pool, pool, 21_600.0).filter("left_id <> right_id").groupBy("left_id").agg(F.count("*").alias("n"))
 
 
-@query()
+SEPARATION = "degrees(2 * asin(sqrt(least(1, greatest(0, sin(radians({b}.dec - {a}.dec) / 2)**2 + cos(radians({a}.dec)) * cos(radians({b}.dec)) * sin(radians({b}.ra - {a}.ra) / 2)**2))))) * 3600"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT id, ra, "dec", row_number() OVER (ORDER BY id) AS k FROM ({SQL["pool"]})),
+go AS (SELECT 0::BIGINT AS k, []::STRUCT(id BIGINT, ra DOUBLE, "dec" DOUBLE)[] AS kept UNION ALL SELECT p.k, CASE WHEN len(list_filter(kept, lambda x: {SEPARATION.format(a="x", b="p")} <= 21600)) = 0 THEN list_append(kept, {{'id': p.id, 'ra': p.ra, 'dec': p.dec}}) ELSE kept END FROM go JOIN p ON p.k = go.k + 1)
+SELECT x.id, x.ra, x.dec FROM (SELECT unnest(arg_max(kept, k)) AS x FROM go)""")
 def sky_dedupe(spark, d):
     return sky.deduplicate(view(spark, d, "pool").select("id", "ra", "dec"), 21_600.0)
 
 
-@query("SELECT left_id, right_id, round(separation_arcsec, 3) AS separation_arcsec FROM near WHERE left_id % 10 = right_id % 10")
+@query(f"""SELECT s.id AS left_id, p.id AS right_id, round({SEPARATION.format(a="s", b="p")}, 3) AS separation_arcsec FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) g
+JOIN ({SQL["stars"]}) s ON s.id = o_custkey JOIN ({SQL["pool"]}) p ON p.id = l_suppkey""")
 def sky_separation(spark, d):
+    """Pairs that a table gives: customers and the suppliers of their orders."""
+    given = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
     a, b = view(spark, d, "stars").alias("a"), view(spark, d, "pool").alias("b")
-    pairs = a.join(b, F.col("a.id") % 10 == F.col("b.id") % 10)
+    pairs = given.join(a, F.col("a.id") == F.col("o_custkey")).join(b, F.col("b.id") == F.col("l_suppkey"))
     return pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.round(separation_arcsec(F.col("a.ra"), F.col("a.dec"), F.col("b.ra"), F.col("b.dec")), 3).alias("separation_arcsec"))
 
 
+@query("SELECT left_id AS target_id, pool.id, round(s, 4) AS separation_arcsec, name, has_data FROM (SELECT left_id, arg_min(right_id, (separation_arcsec, right_id)) AS right_id, min(separation_arcsec) AS s FROM near WHERE separation_arcsec <= 10800 GROUP BY left_id) JOIN pool ON pool.id = right_id")
+def control_approximate(spark, d):
+    out = sky.approximate_controls(view(spark, d, "stars"), view(spark, d, "pool"), RADIUS)
+    return out.select("target_id", "id", F.round("separation_arcsec", 4).alias("separation_arcsec"), "name", "has_data")
+
+
 @query("""SELECT c_custkey AS id, round((h + m / 60.0::DOUBLE + s / 3600) * 15, 7) AS ra_deg, round(CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END * (dd + m / 60.0::DOUBLE + s / 3600), 7) AS dec_deg, c_custkey AS tic_id
 FROM (SELECT c_custkey, c_custkey % 24 AS h, c_custkey % 60 AS m, (c_custkey % 600) / 10.0::DOUBLE AS s, c_custkey % 90 AS dd FROM customer)""")
 def sexagesimal_parse(spark, d):
@@ -345,9 +407,26 @@ def control_candidates(spark, d):
     return rounded(matching.candidates(photometry(table(spark, d, "customer"), "c_custkey", "c_acctbal"), photometry(table(spark, d, "supplier"), "s_suppkey", "s_acctbal")))
 
 
-@query()
+GREEDY = f"""WITH RECURSIVE t AS ({TARGETS}), c AS ({CONTROLS}), far AS (SELECT t.id AS target_id, c.id AS control_id, abs(c.tmag - t.tmag) / 0.5 + CASE WHEN t.bp_rp IS NOT NULL THEN coalesce(abs(c.bp_rp - t.bp_rp) / 0.15, 1) ELSE abs(c.teff - t.teff) / 300 END
+    + CASE WHEN t.parallax > 0 THEN coalesce(abs(c.parallax - t.parallax) / t.parallax / 0.5, 1) ELSE 0 END AS score, coalesce(abs(c.bp_rp - t.bp_rp) < 0.15, false) AS like_colour, abs(c.teff - t.teff) < 300 AS warm, t.bp_rp IS NOT NULL AS coloured,
+    t.parallax IS NULL OR coalesce(abs(c.parallax - t.parallax) / t.parallax < 0.5, false) AS fits FROM t JOIN c ON abs(c.tmag - t.tmag) < 0.5),
+each AS (SELECT target_id, control_id, score, false AS fallback, fits FROM far WHERE CASE WHEN coloured THEN like_colour ELSE warm END UNION ALL SELECT target_id, control_id, score, true, fits FROM far WHERE coloured AND warm),
+l AS (SELECT target_id, list({{'s': score, 'c': control_id, 'b': fallback, 'f': fits}} ORDER BY score, control_id) AS l, row_number() OVER (ORDER BY target_id) AS k FROM each GROUP BY target_id),
+go AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS target_id, NULL::BIGINT AS control_id, NULL::DOUBLE AS score UNION ALL
+    SELECT k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.c) END, target_id, best.c, best.s FROM (SELECT k, used, target_id, list_filter(free, lambda x: x.f AND x.b = plain)[1] AS best FROM (
+        SELECT *, len(list_filter(free, lambda x: NOT x.b)) = 0 AS plain FROM (SELECT l.k, used, l.target_id, list_filter(l.l, lambda x: NOT list_contains(used, x.c)) AS free FROM go JOIN l ON l.k = go.k + 1))))
+SELECT target_id, control_id, 1 AS match_rank, round(score, 6) AS match_quality_score FROM go WHERE control_id IS NOT NULL"""
+
+
+@query(GREEDY)
 def control_greedy_pairs(spark, d):
-    return matching.matched_pairs(photometry(table(spark, d, "customer"), "c_custkey", "c_acctbal"), photometry(table(spark, d, "supplier"), "s_suppkey", "s_acctbal"))
+    return rounded(matching.matched_pairs(photometry(table(spark, d, "customer"), "c_custkey", "c_acctbal"), photometry(table(spark, d, "supplier"), "s_suppkey", "s_acctbal")))
+
+
+@query(f"SELECT (SELECT count(*) FROM customer) AS n_targets, (SELECT count(*) FROM customer) - count(*) AS n_unmatched FROM ({GREEDY})")
+def control_unmatched(spark, d):
+    targets = photometry(table(spark, d, "customer"), "c_custkey", "c_acctbal")
+    return matching.unmatched(targets, matching.matched_pairs(targets, photometry(table(spark, d, "supplier"), "s_suppkey", "s_acctbal")))
 
 
 @query("""SELECT pool.id, CASE WHEN pool.excess THEN 'known_ir_excess_tic' WHEN near.right_id IS NOT NULL THEN 'known_ir_excess_coordinate' ELSE '' END AS excluded_reason FROM pool
@@ -366,9 +445,9 @@ def verify_pairs(spark, d):
     return rounded(matching.pair_balance(p))
 
 
-@query("SELECT p_partkey AS tic_id, n_tess_products, first_sector, n_tess_products > 0 AS has_tess_lightcurve FROM (SELECT p_partkey, count(l_partkey) AS n_tess_products, min(l_linenumber) AS first_sector FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'R' GROUP BY p_partkey)")
+@query("SELECT p_partkey AS tic_id, n_tess_products, first_sector, n_tess_products > 0 AS has_tess_lightcurve FROM (SELECT p_partkey, count(l_partkey) AS n_tess_products, min(l_linenumber) AS first_sector FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)")
 def product_availability(spark, d):
-    products = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("tic_id"), F.col("l_linenumber").alias("sector"))
+    products = table(spark, d, "lineitem").select(F.col("l_partkey").alias("tic_id"), F.col("l_linenumber").alias("sector"))
     return catalogs.availability(table(spark, d, "part").select(F.col("p_partkey").alias("tic_id")), products)
 
 
@@ -390,7 +469,7 @@ def vetting_flags(spark, d):
 
 
 @query("""SELECT metric, value FROM (SELECT unnest(['n_total', 'flag_low_snr', 'flag_edge_event', 'flag_single_point_like', 'flag_likely_flare_shape', 'flag_low_delta_chi2', 'flag_poor_asymmetry_fit', 'n_pass', 'n_flagged', 'fraction_pass']) AS metric,
-unnest([count(*)::DOUBLE, count(*) FILTER (flag_low_snr), count(*) FILTER (flag_edge_event), count(*) FILTER (flag_single_point_like), count(*) FILTER (flag_likely_flare_shape), 0, count(*) FILTER (flag_poor_asymmetry_fit),
+unnest([count(*)::DOUBLE, count(*) FILTER (flag_low_snr), count(*) FILTER (flag_edge_event), count(*) FILTER (flag_single_point_like), count(*) FILTER (flag_likely_flare_shape), count(*) FILTER (flag_low_delta_chi2), count(*) FILTER (flag_poor_asymmetry_fit),
 count(*) FILTER (automated_vetting_status = 'pass'), count(*) FILTER (automated_vetting_status <> 'pass'), round(count(*) FILTER (automated_vetting_status = 'pass') / count(*), 6)]) AS value FROM vetted)""")
 def vetting_summary(spark, d):
     return rounded(vetting.vetting_summary(vetted_of(spark, d)))
@@ -426,12 +505,16 @@ def external_summary(spark, d):
     return vetting.external_summary(vetting.classify_external(external_of(spark, d)))
 
 
-@query()
+@query("""SELECT e.event_id, CASE WHEN b.id IS NOT NULL THEN 'matched' ELSE 'not_found' END AS eb_status, b.id AS eb_match_id, round(b.sep, 3) AS eb_sep_arcsec, CASE WHEN v.id IS NOT NULL THEN 'matched' ELSE 'not_found' END AS vsx_status,
+p.name AS vsx_match_name, CASE v.id % 2 WHEN 0 THEN 'EA' WHEN 1 THEN 'M' END AS vsx_type, v.id AS simbad_match_id, CASE WHEN b.id IS NOT NULL OR v.id % 2 = 0 THEN 'possible_eclipsing_binary_match' WHEN v.id IS NOT NULL THEN 'known_variable_match' ELSE 'no_external_match' END AS external_false_positive_flag
+FROM events0 e JOIN stars ON stars.id = e.star LEFT JOIN wide b ON b.star = e.star LEFT JOIN close v ON v.star = e.star LEFT JOIN pool p ON p.id = v.id""")
 def external_check(spark, d):
     e = events_of(spark, d).select("star", "event_time", "event_id")
     stars = view(spark, d, "stars").select(F.col("id").alias("star"), "ra", "dec")
+    e = e.join(stars.select("star"), "star", "left_semi")
     pool = view(spark, d, "pool").select("id", "ra", "dec", "name", F.when(F.col("id") % 2 == 0, "EA").otherwise("M").alias("type"))
-    return vetting.check_external(e, stars, pool, pool, pool, RADIUS)
+    out = vetting.check_external(e, stars, pool, pool, pool, RADIUS)
+    return out.select("event_id", "eb_status", "eb_match_id", F.round("eb_sep_arcsec", 3).alias("eb_sep_arcsec"), "vsx_status", "vsx_match_name", "vsx_type", "simbad_match_id", "external_false_positive_flag")
 
 
 @query("SELECT event_id, round(quality_score, 6) AS quality_score, round(final_candidate_score, 6) AS final_candidate_score FROM scored")
@@ -478,22 +561,31 @@ def inspection_of(spark, d):
     return consolidate.inspection_list(e, consolidate.star_summary(e, MANY), consolidate.overtriggered(e, MANY))
 
 
-@query("""SELECT event_id, star, string_agg(reason, ',' ORDER BY reason) AS inspection_reason, min(CASE reason WHEN 'pass_vetting' THEN 0 WHEN 'medium_priority' THEN 1 WHEN 'overtriggered_top5' THEN 2 ELSE 3 END)::INT AS sort_category FROM (
+INSPECTION = """SELECT event_id, star, string_agg(reason, ',' ORDER BY reason) AS inspection_reason, min(CASE reason WHEN 'pass_vetting' THEN 0 WHEN 'medium_priority' THEN 1 WHEN 'overtriggered_top5' THEN 2 ELSE 3 END)::INT AS sort_category FROM (
 SELECT event_id, star, 'medium_priority' AS reason FROM ranked JOIN (SELECT star FROM summary WHERE recommended_review_priority = 'medium') USING (star) WHERE k <= 5
 UNION ALL SELECT event_id, star, 'pass_vetting' FROM ranked WHERE automated_vetting_status = 'pass' UNION ALL SELECT event_id, star, 'target_top_event' FROM ranked WHERE sample_role = 'target' AND k = 1
-UNION ALL SELECT event_id, star, 'overtriggered_top5' FROM ranked JOIN (SELECT star FROM summary WHERE n_events >= 3 ORDER BY n_events DESC, star LIMIT 5) USING (star) WHERE k <= 5) GROUP BY event_id, star""")
+UNION ALL SELECT event_id, star, 'overtriggered_top5' FROM ranked JOIN (SELECT star FROM summary WHERE n_events >= 3 ORDER BY n_events DESC, star LIMIT 5) USING (star) WHERE k <= 5) GROUP BY event_id, star"""
+
+
+@query(INSPECTION)
 def inspection_list(spark, d):
     return inspection_of(spark, d).select("event_id", "star", "inspection_reason", "sort_category")
 
 
-@query()
+@query(f"SELECT scored.star, target_name, sample_role, round(event_time, 6) AS event_time, round(depth_ppm, 3) AS depth_ppm, round(local_snr, 6) AS local_snr, inspection_reason, {', '.join(f"'' AS {c}" for c in consolidate.MANUAL)} FROM scored JOIN ({INSPECTION}) USING (event_id)")
 def disposition_template(spark, d):
-    return consolidate.disposition_template(inspection_of(spark, d), ("star", "target_name", "sample_role", "event_time", "depth_ppm", "local_snr", "inspection_reason"))
+    out = consolidate.disposition_template(inspection_of(spark, d), ("star", "target_name", "sample_role", "event_time", "depth_ppm", "local_snr", "inspection_reason"))
+    return out.withColumns({c: F.round(c, n) for c, n in (("event_time", 6), ("depth_ppm", 3), ("local_snr", 6))})
 
 
-@query()
+@query(f"""SELECT star, n_events, n_pass, target_name, sample_role, (SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (SELECT unnest(string_split(all_reasons, ',')) AS x)) AS reasons, round(max_score, 6) AS max_score FROM (
+SELECT scored.star, count(*) AS n_events, count(*) FILTER (automated_vetting_status = 'pass') AS n_pass, any_value(target_name) AS target_name, any_value(sample_role) AS sample_role, string_agg(inspection_reason, ',') AS all_reasons, max(final_candidate_score) AS max_score
+FROM scored JOIN (SELECT event_id, inspection_reason FROM ({INSPECTION})) USING (event_id) GROUP BY scored.star)""")
 def gallery_metadata(spark, d):
-    return consolidate.gallery_metadata(inspection_of(spark, d))
+    """The JSON objects, read again so that their values can be compared."""
+    kind = "star long, target_name string, sample_role string, n_events long, reasons array<string>, n_pass long, max_score double"
+    m = consolidate.gallery_metadata(inspection_of(spark, d)).select("star", F.from_json("metadata", kind).alias("m"))
+    return m.select("star", "m.n_events", "m.n_pass", "m.target_name", "m.sample_role", F.array_join("m.reasons", ",").alias("reasons"), F.round("m.max_score", 6).alias("max_score"))
 
 
 @query("SELECT sample_role, least(floor(final_candidate_score * 14), 13)::INT AS bin, count(*) AS n FROM scored GROUP BY ALL")
@@ -531,9 +623,10 @@ def scan_plan(spark, d):
     return scans.scan_plan(pairs_of(spark, d))
 
 
-@query("""SELECT star, sample_role FROM (SELECT target_id AS star, 'target' AS sample_role FROM pairs WHERE target_id <> 0 UNION ALL SELECT control_id, 'control' FROM pairs) WHERE star NOT IN (SELECT star FROM status WHERE success AND n_candidates = 3 AND star % 3 = 0)""")
+@query("""SELECT star, sample_role FROM (SELECT target_id AS star, 'target' AS sample_role FROM pairs WHERE target_id <> 0 UNION ALL SELECT control_id, 'control' FROM pairs) WHERE star NOT IN (SELECT star FROM latest WHERE success)""")
 def scan_resume(spark, d):
-    return scans.still_to_do(scans.scan_plan(pairs_of(spark, d)), status_of(spark, d).filter("n_candidates = 3 and star % 3 = 0")).select("star", "sample_role")
+    """What is left where a scan's last attempt at a star failed."""
+    return scans.still_to_do(scans.scan_plan(pairs_of(spark, d)), scans.latest_status(status_of(spark, d))).select("star", "sample_role")
 
 
 @query("SELECT star, success, n_candidates, scan_timestamp FROM (SELECT *, row_number() OVER (PARTITION BY star ORDER BY scan_timestamp DESC, success DESC) AS k FROM status) WHERE k = 1")
@@ -630,20 +723,22 @@ def full_run_statistics(spark, d):
     return run(lc_of(spark, d), pairs_of(spark, d), window=WINDOW, many=MANY).statistics
 
 
-@query()
+@query("""SELECT star, w * 432000000000 AS "start", (w + 1) * 432000000000 AS "end", n, round(base - least, 9) AS depth, round(noise, 9) AS noise FROM (SELECT star, w, count(*) AS n, any_value(base) AS base, min(flux) AS least, 1.4826 * median(abs(flux - base)) AS noise
+FROM (SELECT *, median(flux) OVER (PARTITION BY star, w) AS base FROM (SELECT user_id AS star, epoch_us(ts) // 432000000000 AS w, 1 - value / 1000e0 AS flux FROM events)) GROUP BY star, w)
+WHERE noise > 0 AND base - least >= 4 * noise AND (w + 1) * 432000000000 <= (SELECT max(epoch_us(ts)) FROM events) - 86400000000""")
 def stream_window_dips(spark, d):
-    """The stream of events run to its end, as a table."""
-    import tempfile
+    """The stream of events run to its end, written as a table and read again: windows that the watermark has closed."""
     import uuid
 
+    from .lineage import shared
     from .streaming.scan import read_samples, window_dips
 
-    name = f"dips_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint")
-    out = window_dips(read_samples(spark, f"{d}/events*.parquet")).writeStream.format("memory").queryName(name).outputMode("append")
-    q = out.option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    folder = f"{shared(spark)}/dips-{uuid.uuid4().hex}"
+    out = window_dips(read_samples(spark, f"{d}/events*.parquet")).writeStream.format("parquet").outputMode("append")
+    q = out.option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema("star long, start timestamp, end timestamp, n long, depth double, noise double").parquet(f"{folder}/rows")
+    return rows.select("star", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", F.round("depth", 9).alias("depth"), F.round("noise", 9).alias("noise"))
 
 
 # ---- samples and sheets -----------------------------------------------------------------------------------
@@ -666,7 +761,7 @@ def attach_names(spark, d):
 
 
 @query("""SELECT event_id, printf('depth %.0f ppm', depth_ppm) || chr(10) || printf('S/N %.1f', local_snr) || coalesce(chr(10) || 'flags: ' || nullif(concat_ws(', ', CASE WHEN flag_low_snr THEN 'low_snr' END, CASE WHEN flag_edge_event THEN 'edge_event' END,
-CASE WHEN flag_single_point_like THEN 'single_point_like' END, CASE WHEN flag_likely_flare_shape THEN 'likely_flare_shape' END, CASE WHEN flag_poor_asymmetry_fit THEN 'poor_asymmetry_fit' END), ''), '') AS annotation FROM vetted""")
+CASE WHEN flag_single_point_like THEN 'single_point_like' END, CASE WHEN flag_likely_flare_shape THEN 'likely_flare_shape' END, CASE WHEN flag_low_delta_chi2 THEN 'low_delta_chi2' END, CASE WHEN flag_poor_asymmetry_fit THEN 'poor_asymmetry_fit' END), ''), '') AS annotation FROM vetted""")
 def event_annotation(spark, d):
     from .operators import review
 
@@ -689,7 +784,8 @@ def range_scan(spark, d):
     return samples.range_scan(t, c, each=3).select("id", "target_id")
 
 
-@query()
+@query("""SELECT c_name AS target_name, CASE WHEN c_custkey % 2 = 0 THEN 'cotten_song_2016' ELSE 'chen_2014' END AS source_catalog, round((c_custkey * 137.508::DOUBLE) % 360, 6) AS ra_deg, round((c_custkey * 53.13::DOUBLE) % 160 - 80, 6) AS dec_deg, 'target' AS sample_role
+FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
 def target_sample(spark, d):
     from .plans import samples
 
@@ -697,10 +793,11 @@ def target_sample(spark, d):
     k = F.col("c_custkey")
     one = c.filter(k % 2 == 0).select(F.col("c_name").alias("name"), ((k * 137.508) % 360).alias("ra"), ((k * 53.13) % 160 - 80).alias("dec"), k.alias("tic"))
     two = c.filter(k % 3 == 0).select(F.col("c_name").alias("Star"), ((k * 137.508) % 360).cast("string").alias("RAJ2000"), ((k * 53.13) % 160 - 80).cast("string").alias("DEJ2000"))
-    return samples.target_sample({"cotten_song_2016": one, "chen_2014": two}).select("target_name", "source_catalog", "ra_deg", "dec_deg", "sample_role")
+    out = samples.target_sample({"cotten_song_2016": one, "chen_2014": two})
+    return out.select("target_name", "source_catalog", F.round("ra_deg", 6).alias("ra_deg"), F.round("dec_deg", 6).alias("dec_deg"), "sample_role")
 
 
-@query()
+@query("SELECT star FROM (SELECT DISTINCT star FROM lc) ORDER BY md5(star || ':42'), star LIMIT 10")
 def random_stars(spark, d):
     from .plans import samples
 
