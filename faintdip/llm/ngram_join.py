@@ -20,10 +20,10 @@ from .state import broadcast_if_small, cut, written
 from .flat import LOWER, mix, neighbours, ranges, shingle_hash, slices, span_hash, words
 
 #: Shingles for each coordinate of a count vector, and its least coordinates; points in a leaf, leaves under
-#: an inner node, and texts of a page and their shingles: larger clusters are joined page by page.
+#: an inner node, and texts of a page and their numbers of 8 bytes: larger clusters are joined page by page.
 #: With about so many shingles a coordinate, unrelated sets differ by 0.4 of their size or more,
 #: similar ones by 0.2 or less, whatever their size.
-EACH, LEAST, LEAF, FANOUT, PAGE, SHINGLES = 8, 32, 32, 16, 4096, 1 << 21
+EACH, LEAST, LEAF, FANOUT, PAGE, NUMBERS = 8, 32, 32, 16, 4096, 1 << 22
 #: Shingles that a task gathers before it hands their keys on.
 GATHER = 1 << 21
 #: Frequent shingles: in so many texts of a gathering at least, so many of a gathering, and of the corpus, at most.
@@ -113,9 +113,14 @@ def folded(flat: np.ndarray, begin: np.ndarray, which: np.ndarray, d: int) -> np
     return out
 
 
+def width(n: int):
+    """The type of counts of a set of n."""
+    return np.uint16 if n < 1 << 16 else np.uint32
+
+
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """(task, doc_id, n_shingles, sig, often, times): the signature is null for an empty set; for each gathering of a
-    task there is a row without these that has its frequent shingles, and in how many different sets they are."""
+    """(task, doc_id, n_shingles, sig, vec, often, times): signature and count vector, null for an empty set; for each
+    gathering of a task there is a row without these that has its frequent shingles, and in how many different sets they are."""
 
     def run(batches):
         held, many, signs = [], 0, set()
@@ -124,25 +129,29 @@ def described(docs: DataFrame, size: int) -> DataFrame:
             e, n = np.unique(np.concatenate(held), return_counts=True)
             some = np.flatnonzero(n >= OFTEN)
             some = some[np.argsort(-n[some], kind="stable")[:SOME]]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([e[some].tobytes()]), pa.array([n[some].astype(np.int64).tobytes()])], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([e[some].tobytes()]), pa.array([n[some].astype(np.int64).tobytes()])], names)
 
         for batch in batches:
             for i, buf, off in slices(batch.column(1)):
                 e, at = shingle_sets(buf, off, size)
                 n = np.diff(at)
                 sig = [bytes(x) if k else None for x, k in zip(signatures(e, at).view(np.uint8).reshape(len(n), 16), n)]
-                new = np.array([s is not None and not (s in signs or signs.add(s)) for s in sig], bool)
+                known = batch.column(0).slice(i, len(n)).is_valid().to_pylist()
+                new = np.array([s is not None and k and not (s in signs or signs.add(s)) for s, k in zip(sig, known)], bool)
+                # equal sets need one vector
+                flat, begin = count_vectors(e, at)
+                vec = pa.array([flat[a:b].astype(width(k)).tobytes() if one else None for a, b, k, one in zip(begin, begin[1:], n, new)], pa.binary())
                 held.append(e[np.repeat(new, n)])
                 many += len(held[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(n)), pa.array(n), pa.array(sig, pa.binary()), vec, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names)
                 if many > GATHER:
                     yield frequent()
                     held, many, signs = [], 0, set()
         if many:
             yield frequent()
 
-    names = ["doc_id", "n_shingles", "sig", "often", "times"]
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, often binary, times binary").withColumn("task", F.spark_partition_id())
+    names = ["doc_id", "n_shingles", "sig", "vec", "often", "times"]
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, vec binary, often binary, times binary").withColumn("task", F.spark_partition_id())
 
 
 def frequent_shingles(about: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -313,12 +322,13 @@ def meeting_leaves(a: Tree, b: Tree, percent: int, same: bool):
                 yield u, v, may(box_u, box_v)
 
 
-def rtree_join(n: np.ndarray, flat: np.ndarray, begin: np.ndarray, page: np.ndarray, percent: int, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def rtree_join(n: np.ndarray, flat: np.ndarray, begin: np.ndarray, page: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links (numbers of points) that span the components of the points' similarity graph.
 
     Points are sets of n shingles with count vectors (flat, begin). There is a tree for each number of
-    coordinates; trees of different numbers meet at the smaller. Links are verified on the sets.
-    If there are two pages, only pairs across are looked at, as the pairs within have tasks of their own.
+    coordinates; trees of different numbers meet at the smaller. With sets, links are verified on them;
+    without, a link says no more than that the bound allows it. If there are two pages, only pairs
+    across are looked at, as the pairs within have tasks of their own.
     """
     across = len(np.unique(page)) > 1
     forest, links = Forest(len(n)), []
@@ -340,26 +350,27 @@ def rtree_join(n: np.ndarray, flat: np.ndarray, begin: np.ndarray, page: np.ndar
                     s, t = int(u[r]), int(v[c])
                     if forest.label[s] == forest.label[t]:
                         continue
-                    both = len(np.intersect1d(sets[s], sets[t], assume_unique=True))
-                    if 100 * both < percent * (n[s] + n[t] - both):
-                        continue
+                    if sets is not None:
+                        both = len(np.intersect1d(sets[s], sets[t], assume_unique=True))
+                        if 100 * both < percent * (n[s] + n[t] - both):
+                            continue
                     forest.join(s, t)
                     links.append((s, t))
     return links
 
 
-def paged(members: DataFrame, percent: int) -> DataFrame:
+def paged(members: DataFrame, percent: int, each: int = 1) -> DataFrame:
     """members (doc_id, cluster, n_shingles, ...) dealt out to tasks (cluster, p, q), with their page.
 
-    A cluster of more than PAGE texts or SHINGLES shingles is cut by size, and a size with many of them by hash;
-    every two pages whose sizes can be similar are one task. So a task's memory is bounded, however
+    A cluster of more than PAGE texts or NUMBERS numbers, of which a text has one for `each` shingles, is cut by size,
+    and a size with many of them by hash; every two pages whose sizes can be similar are one task. So a task's memory is bounded, however
     large the cluster is, and no task sees all of a cluster to cut it.
     """
     level = F.floor(F.log(F.col("n_shingles").cast("double")) * 4).cast("int")
     members = members.withColumn("level", level)
-    sizes = members.groupBy("cluster", "level").agg(F.count("*").alias("here"), F.sum("n_shingles").alias("there"))
-    whole = sizes.groupBy("cluster").agg(F.sum("here").alias("all"), F.sum("there").alias("shingles")).filter((F.col("all") > PAGE) | (F.col("shingles") > SHINGLES))
-    cuts = F.greatest(F.ceil(F.col("here") / PAGE), F.ceil(F.col("there") / SHINGLES))
+    sizes = members.groupBy("cluster", "level").agg(F.count("*").alias("here"), (F.sum("n_shingles") / each).alias("there"))
+    whole = sizes.groupBy("cluster").agg(F.sum("here").alias("all"), F.sum("there").alias("shingles")).filter((F.col("all") > PAGE) | (F.col("shingles") > NUMBERS))
+    cuts = F.greatest(F.ceil(F.col("here") / PAGE), F.ceil(F.col("there") / NUMBERS))
     sizes = sizes.join(whole.select("cluster"), "cluster").select("cluster", "level", cuts.alias("cuts"))
     page = F.col("level") * (1 << 20) + F.pmod(F.xxhash64("doc_id"), F.col("cuts"))
     members = members.join(sizes, ["cluster", "level"], "left").withColumn("page", F.coalesce(page, F.lit(0)).cast("int")).drop("level", "cuts")
@@ -371,6 +382,22 @@ def paged(members: DataFrame, percent: int) -> DataFrame:
     return members.join(tasks.select("cluster", "p", "q", mine), ["cluster", "page"])
 
 
+def _pairs(ids: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": ids[a], "b": ids[b]})
+
+
+def bounded_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span what the bound on count vectors leaves of each cluster; members have vec."""
+
+    def join(t: pa.Table) -> pa.Table:
+        n = np.asarray(t["n_shingles"])
+        flat = np.concatenate([np.frombuffer(x, width(k)) for x, k in zip(t["vec"].to_pylist(), n)])
+        return _pairs(np.asarray(t["doc_id"]), rtree_join(n, flat, np.concatenate([[0], np.cumsum(dimensions(n))]), np.asarray(t["page"]), percent))
+
+    return paged(members, percent, EACH).select("cluster", "p", "q", "page", "doc_id", "n_shingles", "vec").groupBy("cluster", "p", "q").applyInArrow(join, "a long, b long")
+
+
 def verified_links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that span the components, verified on whole sets, within clusters of members."""
     placed = paged(members, percent).groupBy("doc_id").agg(F.collect_set(F.struct("cluster", "p", "q", "page")).alias("tasks"))
@@ -391,9 +418,7 @@ def verified_links(docs: DataFrame, members: DataFrame, size: int, percent: int)
         some = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
         n = np.array([len(x) for x in some])
         vectors = count_vectors(np.concatenate(some), np.concatenate([[0], np.cumsum(n)]))
-        a, b = np.array(rtree_join(n, *vectors, np.asarray(t["page"]), percent, some), np.int64).reshape(-1, 2).T
-        ids = np.asarray(t["doc_id"])
-        return pa.table({"a": ids[a], "b": ids[b]})
+        return _pairs(np.asarray(t["doc_id"]), rtree_join(n, *vectors, np.asarray(t["page"]), percent, some))
 
     return rows.groupBy("cluster", "p", "q").applyInArrow(join, "a long, b long")
 
@@ -424,9 +449,13 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     local = held.filter("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     clusters = components(met.unionByName(local))
     label = lambda c: c.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    one = held.select(F.col("rep").alias("doc_id"), "sig").distinct()
-    sizes = keyed.join(one, ["doc_id", "sig"], "left_semi").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    links = verified_links(docs, cut(label(clusters).join(sizes, "doc_id")), words, percent)
+    # a set's vector is with its first document in a task, whichever that is
+    one = held.groupBy("sig").agg(F.first("rep").alias("doc_id"))
+    vectors = keyed.filter("vec is not null").groupBy("sig").agg(F.first("n_shingles").alias("n_shingles"), F.first("vec").alias("vec"))
+    members = label(clusters).join(one, "doc_id").join(vectors, "sig").select("doc_id", "cluster", "n_shingles", "vec")
+    tight = label(components(bounded_links(cut(members), percent)))
+    sizes = members.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    links = verified_links(docs, cut(tight.join(sizes, "doc_id")), words, percent)
     joined = components(links.unionByName(shared))
     sets = held.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sig", "task", F.coalesce("component", "rep").alias("component"))
     out = about.filter("n_shingles is not null").join(sets, ["sig", "task"], "left")
