@@ -38,7 +38,8 @@ def scan_stars(plan: DataFrame, lc: DataFrame, sigma: float = 4.0, window: float
     """One row for each event, and one for each star with its outcome in status; events have a null status.
 
     Outcomes: download_failed:error for stars of failures (star, error), missing_columns for all where lc lacks t or
-    flux, no_data, too_few_points:n, no_candidates, ok:n, detector_failed:error.
+    flux, no_data, too_few_points:n, no_candidates, ok:n, detector_failed:class. What the detector raised is in error,
+    as class: message.
     """
     import pandas as pd
 
@@ -52,8 +53,8 @@ def scan_stars(plan: DataFrame, lc: DataFrame, sigma: float = 4.0, window: float
 
     def one(key, mine, series):
         if not len(mine):
-            return pd.DataFrame(columns=["star", "status", *NAMES])
-        t, f, events = series.t.to_numpy(), series.flux.to_numpy(), None
+            return pd.DataFrame(columns=["star", "status", "error", *NAMES])
+        t, f, events, error = series.t.to_numpy(), series.flux.to_numpy(), None, None
         if mine.error.notna().any():
             status = f"download_failed:{mine.error.dropna().iloc[0]}"
         elif not complete:
@@ -67,12 +68,12 @@ def scan_stars(plan: DataFrame, lc: DataFrame, sigma: float = 4.0, window: float
                 events = detector(t, f, sigma, window, fits)
                 status = f"ok:{len(events)}" if len(events) else "no_candidates"
             except Exception as e:  # one bad series must not end a survey
-                status = f"detector_failed:{type(e).__name__}: {e}"
-        rows = [pd.DataFrame({"status": [status]})] + ([events] if events is not None and len(events) else [])
-        return pd.concat(rows).assign(star=key[0])[["star", "status", *NAMES]] if len(rows) > 1 else rows[0].assign(star=key[0]).reindex(columns=["star", "status", *NAMES])
+                status, error = f"detector_failed:{type(e).__name__}", f"{type(e).__name__}: {e}"
+        rows = [pd.DataFrame({"status": [status], "error": [error]})] + ([events] if events is not None and len(events) else [])
+        return (pd.concat(rows) if len(rows) > 1 else rows[0]).assign(star=key[0]).reindex(columns=["star", "status", "error", *NAMES])
 
     samples = finite_samples(lc).select("star", "t", "flux")
-    return plan.groupBy("star").cogroup(samples.groupBy("star")).applyInPandas(one, f"star long, status string, {FEATURES}")
+    return plan.groupBy("star").cogroup(samples.groupBy("star")).applyInPandas(one, f"star long, status string, error string, {FEATURES}")
 
 
 def status_rows(outcomes: DataFrame, plan: DataFrame, at) -> DataFrame:
