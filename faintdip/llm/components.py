@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .state import cut
 
 #: Edges from which a node counts as hot in a small graph; in a larger one it has this share of all edges or more.
 HOT = 2000
+#: Edges (16 bytes each) up to which one task finds the components of a whole graph.
+SMALL = 1 << 20
 
 
 def _fingerprint(edges: DataFrame):
@@ -25,18 +29,44 @@ def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
     return edges.join(some, "a").unionByName(edges.join(some, "a", "left_anti").join(rest, "a"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def small_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges (a, b), and the smallest node that each can reach: roots hang on smaller roots until none can."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, parent = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = parent[a], parent[b]
+        if (x == y).all():
+            return nodes, nodes[parent]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while ((up := parent[parent]) != parent).any():
+            parent = up
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        pairs = [(np.asarray(t.column(0)), np.asarray(t.column(1))) for t in batches]
+        if pairs:
+            node, component = small_components(*map(np.concatenate, zip(*pairs)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], ["node", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is its smallest reachable node.
 
     Each round hangs all larger neighbours of a node on its smallest neighbour, then the
     node and its smaller neighbours too, until the graph is stars; rounds grow with the
     logarithm of a component's size. Nulls, loops and repeated edges do no harm. Minima are
     taken before any shuffle, and hot nodes are joined by broadcast, so a node with many
-    neighbours is no hot key.
+    neighbours is no hot key. A graph of `small` edges or fewer, which are counted first, is
+    done in one task without rounds; the result is the same.
     """
     e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e)
     seen = _fingerprint(e)
+    if seen[0] <= small:
+        return _in_one_task(e)
     for _ in range(rounds):
         if not seen[0]:
             break

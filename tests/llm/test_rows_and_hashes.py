@@ -102,3 +102,22 @@ def test_alike_texts_have_other_hashes(spark, sf, size):
     assert (known[held[0]], known[held[1]]) == (2, 1)
     kept = {r["doc_id"]: r["n_removed"] for r in dedup_substrings(spark.createDataFrame([(1, "x" + a), (2, "y" + a)], "doc_id long, text string")).collect()}
     assert kept == {1: 0, 2: size}
+
+
+def test_components_in_one_task_and_by_rounds(spark):
+    from faintdip.llm.components import components
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 3000 + i) for i in range(50)] + [(7, 7), (None, 3)]
+    label = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            label.setdefault(a, a), label.setdefault(b, b)
+    for _ in edges:
+        for a, b in edges:
+            if a in label and b in label and a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "a long, b long")
+    for small in (1 << 20, 0):
+        assert {r["node"]: r["component"] for r in components(frame, small=small).collect()} == label
+    assert components(frame.limit(0)).count() == 0
