@@ -26,6 +26,13 @@ def sexagesimal(value: Column, is_ra: bool) -> Column:
     return F.when(text.startswith("-"), -size).otherwise(size)
 
 
+def six_numbers(value: Column) -> tuple[Column, Column]:
+    """Right ascension and declination from "h m s d m s"; null for fewer than six parts."""
+    parts = F.split(F.trim(value), r"\s+")
+    three = lambda i, is_ra: F.when(F.size(parts) >= 6, sexagesimal(F.array_join(F.slice(parts, i, 3), " "), is_ra))
+    return three(1, True), three(4, False)
+
+
 def from_parts(a: Column, b: Column, c: Column, is_ra: bool, sign: Column | None = None) -> Column:
     """Degrees from separate columns; a sign column overrides the sign of the degrees."""
     a, b, c = number(a), number(b), number(c)

@@ -50,6 +50,26 @@ def normalize(df: DataFrame, source: str) -> DataFrame:
     return df.select(*(c.alias(n) for n, c in own.items()), *(F.col(f"`{c}`") for c in rest))
 
 
+def query_rows(df: DataFrame) -> DataFrame:
+    """Stars of a remote catalog's answer: id, photometry, coordinates; those without an id or place go, an id stays once.
+
+    A colour column without any value gives way to the difference of the two magnitudes, row by row where it is there.
+    """
+    from pyspark.sql import Window as W
+
+    blue, red = (pick(df, names) for names in (["gaiabp", "phot_bp_mean_mag"], ["gaiarp", "phot_rp_mean_mag"]))
+    color = number(first_of(df, ALIASES["bp_rp"] + ["bp_rp"]))
+    out = df.select(
+        clean_id(first_of(df, ALIASES["id"]).cast("string")).alias("tic_id"), *(number(first_of(df, ALIASES[n])).alias(n) for n in ("tmag", "teff", "parallax")), color.alias("bp_rp"),
+        number(first_of(df, ALIASES["ra"])).alias("ra_deg"), number(first_of(df, ALIASES["dec"])).alias("dec_deg"), first_of(df, ["gaia"]).cast("string").alias("gaia_dr3_source_id"),
+        (number(F.col(f"`{blue}`")) - number(F.col(f"`{red}`")) if blue and red else F.lit(None).cast("double")).alias("difference"),
+    )
+    known = out.agg(F.count("bp_rp").alias("n"))
+    out = out.withColumn("bp_rp", F.when(known.select("n").scalar() == 0, F.col("difference")).otherwise(F.col("bp_rp"))).drop("difference")
+    first = W.partitionBy("tic_id").orderBy(*(F.col(c).asc_nulls_last() for c in out.columns[1:]))
+    return out.dropna(subset=["tic_id", "ra_deg", "dec_deg"]).withColumn("__k", F.row_number().over(first)).filter("__k = 1").drop("__k")
+
+
 def union(catalogs: list[DataFrame]) -> DataFrame:
     """All rows of all catalogs by column name, missing columns null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), catalogs)

@@ -29,6 +29,12 @@ def clean_normalize(lc: DataFrame, sigma: float = 10.0) -> DataFrame:
     return lc.withColumn("flux", F.try_divide(F.col("flux"), F.median("flux").over(star))).drop("med", "sd")
 
 
+def stitch(products: DataFrame) -> DataFrame:
+    """One series of each star from its products (star, product, t, flux): each product divided by its own median; samples without a number go."""
+    lc = finite_samples(products)
+    return lc.withColumn("flux", F.try_divide("flux", F.median("flux").over(W.partitionBy("star", "product")))).filter("flux is not null")
+
+
 def _robust(n, mad, sd):
     """The scaled median deviation, or the population deviation where that is not positive."""
     return F.when((mad > 0) | (n <= 1), MAD_TO_SIGMA * mad).otherwise(sd)

@@ -27,18 +27,22 @@ def target_sample(tables: dict[str, DataFrame], wanted: int | None = None, radiu
     return kept if wanted is None else kept.orderBy("catalog_priority", "target_name").limit(wanted)
 
 
-def range_scan(targets: DataFrame, stars: DataFrame, *, tmag: float = 0.5, teff: float = 300.0, floor: float = 2500.0, each: int = 50) -> DataFrame:
+def range_scan(targets: DataFrame, stars: DataFrame, *, tmag: float = 0.5, teff: float = 300.0, floor: float = 2500.0, each: int = 50, total: int | None = None) -> DataFrame:
     """For each target the stars of like magnitude and temperature, at most `each` of them, the closest first; a star once.
 
-    Both sides have id, tmag and teff; the temperature band ends at floor.
+    Both sides have id, tmag and teff; the temperature band ends at floor. With total only the first so many stars
+    by target and id stay.
     """
+    if tmag <= 0 or teff <= 0 or each < 1 or (total is not None and total < 1):
+        raise ValueError("tmag, teff, each and total must be positive")
     t = targets.select(F.col("id").alias("target_id"), F.col("tmag").alias("t"), F.col("teff").alias("e"))
     t = t.withColumn("band", F.explode(F.array(*(F.floor(F.col("t") / tmag) + i for i in (-1, 0, 1)))))
     s = stars.withColumn("band", F.floor(F.col("tmag") / tmag))
     low = F.greatest(F.col("e") - teff, F.lit(floor))
     pairs = s.join(t, "band").filter((F.abs(F.col("tmag") - F.col("t")) <= tmag) & (F.col("e").isNull() | F.col("teff").between(low, F.col("e") + teff)))
     best = W.partitionBy("target_id").orderBy(F.abs(F.col("tmag") - F.col("t")), "id")
-    return pairs.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= each).groupBy("id").agg(F.min("target_id").alias("target_id"), F.first("tmag").alias("tmag"), F.first("teff").alias("teff"))
+    found = pairs.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= each).groupBy("id").agg(F.min("target_id").alias("target_id"), F.first("tmag").alias("tmag"), F.first("teff").alias("teff"))
+    return found if total is None else found.orderBy("target_id", "id").limit(total)
 
 
 def control_pool(stars: DataFrame, targets: DataFrame, bad_ids: DataFrame, bad_points: DataFrame, products: DataFrame, checks: int | None = None) -> DataFrame:

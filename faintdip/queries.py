@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions.coords import clean_id, separation_arcsec, sexagesimal
 from .functions.scores import final_score, quality_score
-from .operators import catalogs, consolidate, detect, inject, matching, ranking, rates, series, sky, vetting
-from .plans import scans
+from .operators import catalogs, consolidate, detect, inject, matching, overview, ranking, rates, series, sky, vetting
+from .plans import builds, scans
 from .plans.views import SQL, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -819,3 +819,77 @@ def candidates_by_role(spark, d):
 def top_scores_by_star(spark, d):
     s = consolidate.star_summary(scored_of(spark, d), MANY)
     return rounded(s.orderBy(F.desc("max_score"), "star").limit(5).select("star", "n_events", "max_score"))
+
+
+# ---- overviews and builds -------------------------------------------------------------------------
+
+
+@query("SELECT star, round(event_time, 6) AS event_time, flag_low_snr::INT + flag_edge_event::INT + flag_single_point_like::INT + flag_likely_flare_shape::INT + flag_low_delta_chi2::INT + flag_poor_asymmetry_fit::INT AS n_flags FROM vetted")
+def event_flag_counts(spark, d):
+    return overview.with_flag_count(vetted_of(spark, d)).select("star", F.round("event_time", 6).alias("event_time"), "n_flags")
+
+
+@query("""SELECT flag, n FROM (SELECT count(*) FILTER (flag_low_snr) AS flag_low_snr, count(*) FILTER (flag_edge_event) AS flag_edge_event, count(*) FILTER (flag_single_point_like) AS flag_single_point_like, count(*) FILTER (flag_likely_flare_shape) AS flag_likely_flare_shape,
+count(*) FILTER (flag_low_delta_chi2) AS flag_low_delta_chi2, count(*) FILTER (flag_poor_asymmetry_fit) AS flag_poor_asymmetry_fit, count(*) FILTER (needs_manual_review) AS "any" FROM vetted) UNPIVOT (n FOR flag IN (flag_low_snr, flag_edge_event, flag_single_point_like, flag_likely_flare_shape, flag_low_delta_chi2, flag_poor_asymmetry_fit, "any"))""")
+def flag_totals(spark, d):
+    return overview.flag_totals(vetted_of(spark, d))
+
+
+@query("SELECT target_name AS label, round(local_snr, 6) AS local_snr, round(final_candidate_score, 6) AS score, automated_vetting_status AS status FROM scored WHERE local_snr IS NOT NULL AND final_candidate_score IS NOT NULL")
+def score_snr_points(spark, d):
+    return rounded(overview.score_points(scored_of(spark, d)))
+
+
+@query("""SELECT recommended_review_priority, CAST(least(floor((x - low) / (high - low) * 10), 9) AS INT) AS bin, count(*) AS n FROM (SELECT recommended_review_priority, x, CASE WHEN a < b THEN a ELSE a - 0.5 END AS low, CASE WHEN a < b THEN b ELSE b + 0.5 END AS high
+FROM (SELECT recommended_review_priority, max_score AS x, min(max_score) OVER (PARTITION BY recommended_review_priority) AS a, max(max_score) OVER (PARTITION BY recommended_review_priority) AS b FROM summary WHERE max_score IS NOT NULL)) GROUP BY ALL""")
+def score_histogram_by_priority(spark, d):
+    return overview.score_histogram_by_priority(consolidate.star_summary(scored_of(spark, d), MANY))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (recovered) AS recovered, round(avg(recovered::INT), 9) AS fraction FROM injections")
+def recovery_rate(spark, d):
+    return rounded(overview.recovery_rate(view(spark, d, "injections")), 9)
+
+
+@query("""SELECT star, trial, recovered, round(e.at, 6) AS at, depth_ppm, round(lc.t, 6) AS t, round(flux, 9) AS flux FROM (SELECT *, row_number() OVER (PARTITION BY recovered ORDER BY star, trial) AS k FROM
+(SELECT star, 1 AS trial, (first + last) / 2 AS at, 500e0 + star AS depth_ppm, star % 3 = 0 AS recovered FROM span)) e JOIN lc USING (star) WHERE k <= 3 AND lc.t BETWEEN e.at - 2.5 AND e.at + 2.5""")
+def recovery_examples(spark, d):
+    lc = lc_of(spark, d)
+    made = lc.groupBy("star").agg(((F.min("t") + F.max("t")) / 2).alias("at")).select("star", F.lit(1).alias("trial"), "at", (500 + F.col("star")).cast("double").alias("depth_ppm"), (F.col("star") % 3 == 0).alias("recovered"))
+    out = overview.example_windows(lc, made, 3, WINDOW)
+    return out.select("star", "trial", "recovered", F.round("at", 6).alias("at"), "depth_ppm", F.round("t", 6).alias("t"), F.round("flux", 9).alias("flux"))
+
+
+@query("SELECT star, product, round(t, 6) AS t, round(flux / median(flux) OVER (PARTITION BY star, product), 9) AS flux FROM (SELECT user_id AS star, event_type AS product, epoch_us(ts) / 86400e6 AS t, 1 - value / 1000e0 AS flux FROM events)")
+def lc_stitch(spark, d):
+    made = table(spark, d, "events").selectExpr("user_id AS star", "event_type AS product", "unix_micros(cast(ts as timestamp)) / 86400e6D AS t", "1 - value / 1000D AS flux")
+    return series.stitch(made).select("star", "product", F.round("t", 6).alias("t"), F.round("flux", 9).alias("flux"))
+
+
+@query("""SELECT star, round(t, 6) AS event_time, round(depth * 1e6, 4) AS depth_ppm FROM (SELECT peaks.star, peaks.t, CASE WHEN shape.base - minima.flux > 0 THEN shape.base - minima.flux ELSE height END AS depth FROM peaks JOIN thinned ON thinned.star = peaks.star AND list_contains(thinned.first, i)
+JOIN minima ON minima.star = peaks.star AND minima.t = peaks.t JOIN shape ON shape.star = peaks.star AND shape.event = peaks.t WHERE peaks.n >= 5 AND shape.n >= 3) QUALIFY row_number() OVER (PARTITION BY star ORDER BY depth DESC, t) = 1""")
+def strongest_dip(spark, d):
+    best = builds.strongest(detect.first_scan(lc_of(spark, d), min_distance=5, window=WINDOW))
+    return best.select("star", F.round("event_time", 6).alias("event_time"), F.round("depth_ppm", 4).alias("depth_ppm"))
+
+
+@query()
+def single_star_control(spark, d):
+    """The whole control run, of every star: stitched, cleaned, scanned by the first detector, its strongest events."""
+    made = table(spark, d, "events").selectExpr("user_id AS star", "event_type AS product", "unix_micros(cast(ts as timestamp)) / 86400e6D AS t", "1 - value / 1000D AS flux")
+    return builds.control_run(made, window=WINDOW)["strongest"].select("star", "event_time", "depth_ppm", "n_points_window")
+
+
+@query("SELECT star, max(sample_role) AS sample_role FROM (SELECT o_custkey AS star, 'target' AS sample_role FROM orders UNION ALL SELECT l_suppkey, 'control' FROM lineitem) GROUP BY star")
+def stars_to_scan(spark, d):
+    pairs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "full").select(F.col("o_custkey").alias("target_id"), F.col("l_suppkey").alias("control_id"))
+    return builds.stars_to_scan(pairs)
+
+
+@query("""SELECT c_custkey AS tic_id, c_acctbal::DOUBLE AS tmag, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE round(c_acctbal::DOUBLE + c_nationkey - c_acctbal::DOUBLE / 2, 6) END AS bp_rp, round((c_custkey * 137.508::DOUBLE) % 360, 6) AS ra_deg FROM customer WHERE c_custkey % 7 <> 0""")
+def remote_catalog_rows(spark, d):
+    made = table(spark, d, "customer").selectExpr(
+        "concat('TIC ', c_custkey) AS ID", "cast(c_acctbal AS string) AS Tmag", "'nan' AS bp_rp", "(c_custkey * 137.508D) % 360 AS ra", "if(c_custkey % 7 = 0, 'n/a', '1.5') AS dec",
+        "c_acctbal + c_nationkey AS gaiabp", "if(c_custkey % 3 = 0, null, c_acctbal / 2) AS gaiarp")
+    out = catalogs.query_rows(made)
+    return out.select("tic_id", "tmag", F.round("bp_rp", 6).alias("bp_rp"), F.round("ra_deg", 6).alias("ra_deg"))
