@@ -78,7 +78,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, path).select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), "doc", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality_rules, op4_html_extraction, op5_byte_bpe, op6_pitman_yor, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fold, manifest, proof_text
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    out = manifest(table(spark, sf_dir, "documents"), {"n_chars": tampered}).withColumn("folded_root", fold(F.col("claimed"), F.col("siblings")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("siblings")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality_rules, op4_html_extraction, op5_byte_bpe, op6_pitman_yor, op7_chat_format, op8_ngram_jaccard_join, op9_secret_scan, op10_token_counts, op11_line_dedup, op12_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": """
@@ -100,4 +114,34 @@ whole AS (SELECT h, min(conv_id) AS conv_id FROM p WHERE rank = n GROUP BY h),
 kept AS (SELECT conv_id FROM whole WHERE h NOT IN (SELECT h FROM p WHERE rank < n))
 SELECT conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY rank) AS chat
 FROM r WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id""",
+    "op11_line_dedup": """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+shared AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT doc_id, i, line, first IS NOT NULL AND first <> doc_id AS dropped FROM k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE bits AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295::BIGINT AS c FROM documents UNION ALL
+    SELECT doc_id, s, k + 1, xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END) FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(c, ascii(s[k // 8 + 1])::BIGINT) ELSE c END AS b FROM bits WHERE k < 8 * length(s))),
+crc AS (SELECT doc_id, xor(c, 4294967295::BIGINT) AS crc FROM bits WHERE k = 8 * length(s)),
+f AS (SELECT doc_id, lang, CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS more, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS after FROM documents JOIN crc USING (doc_id)),
+h AS (SELECT doc_id, lang, sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf, sha256(before || coalesce(strlen((n_chars + more)::VARCHAR) || ':' || (n_chars + more), '-') || after) AS claimed FROM f),
+i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS idx FROM h),
+tree AS (SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM i GROUP BY lang UNION ALL
+    SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda x: sha256(nodes[2 * x + 1] || coalesce(nodes[2 * x + 2], ''))) FROM tree WHERE len(nodes) > 1),
+subs AS (SELECT lang, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM tree WHERE len(nodes) = 1),
+top AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subs UNION ALL
+    SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda x: sha256(nodes[2 * x + 1] || coalesce(nodes[2 * x + 2], ''))) FROM top WHERE len(nodes) > 1),
+whole AS (SELECT nodes[1] AS root, level AS top_height FROM top WHERE len(nodes) = 1),
+steps AS (SELECT lang, level AS step, 0 AS upper, level, nodes FROM tree WHERE len(nodes) > 1 UNION ALL SELECT lang, height + level, 1, level, nodes FROM subs, top WHERE len(nodes) > 1),
+sib AS (SELECT doc_id, leaf, step, (p >> level) & 1 = 1 AS left_side, coalesce(nodes[xor(p >> level, 1) + 1], '') AS digest FROM
+    (SELECT i.doc_id, i.leaf, step, level, nodes, CASE upper WHEN 0 THEN idx ELSE place END AS p FROM i JOIN subs ON i.lang IS NOT DISTINCT FROM subs.lang JOIN steps ON i.lang IS NOT DISTINCT FROM steps.lang)),
+folding AS (SELECT doc_id, leaf, 0 AS step, claimed AS node FROM i UNION ALL
+    SELECT g.doc_id, g.leaf, g.step + 1, sha256(CASE WHEN left_side THEN digest ELSE '' END || node || CASE WHEN left_side THEN '' ELSE digest END) FROM folding g JOIN sib ON sib.doc_id = g.doc_id AND sib.leaf = g.leaf AND sib.step = g.step),
+proof AS (SELECT doc_id, leaf, sha256(string_agg(digest, '' ORDER BY step)) AS proof_sha256 FROM sib GROUP BY doc_id, leaf)
+SELECT i.doc_id, i.leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM i JOIN subs ON i.lang IS NOT DISTINCT FROM subs.lang, whole, folding LEFT JOIN proof ON proof.doc_id = folding.doc_id AND proof.leaf = folding.leaf
+WHERE folding.doc_id = i.doc_id AND folding.leaf = i.leaf AND folding.step = height + top_height""",
 }
