@@ -21,6 +21,11 @@ ALIASES = {
     "teff": ["teff", "teff_catalog"],
     "parallax": ["parallax", "plx"],
 }
+POOL_ALIASES = {
+    "n_tess_products": ["n_tess_products", "n_tess", "tess_products"],
+    "has_tess_lightcurve": ["has_tess_lightcurve", "has_tess", "tess_available"],
+    "ir_excess_flag": ["ir_excess_flag", "has_ir_excess", "disk_flag"],
+}
 RA_PARTS, DEC_PARTS, DEC_SIGN = ("rah", "ram", "ras"), ("ded", "dem", "des"), "de-"
 PRIORITIES = {"cotten_song_2016": 1, "chen_2014": 2, "mcdonald_2017": 3}
 
@@ -87,11 +92,11 @@ def clean_targets(df: DataFrame) -> DataFrame:
 
 
 def normalize_pool(df: DataFrame) -> DataFrame:
-    """A control pool: ids, photometry, coordinates, and whether there is data; null ids go, the first of each id stays."""
+    """A control pool: ids, names, photometry, coordinates, and whether there is data; null ids go, the first of each id stays."""
     out = df.select(
-        clean_id(first_of(df, ALIASES["id"]).cast("string")).alias("tic_id"), *(number(first_of(df, ALIASES[n])).alias(n) for n in ("tmag", "teff", "bp_rp", "parallax")),
-        number(first_of(df, ALIASES["ra"])).alias("ra_deg"), number(first_of(df, ALIASES["dec"])).alias("dec_deg"), truthy(first_of(df, ["has_tess_lightcurve", "has_data"])).alias("has_tess_lightcurve"),
-        truthy(first_of(df, ["ir_excess_flag", "excess"])).alias("ir_excess_flag"),
+        clean_id(first_of(df, ALIASES["id"]).cast("string")).alias("tic_id"), first_of(df, ALIASES["name"] + ["tic_id", "tic"]).cast("string").alias("target_name"), *(number(first_of(df, ALIASES[n])).alias(n) for n in ("tmag", "teff", "bp_rp", "parallax")),
+        number(first_of(df, ALIASES["ra"])).alias("ra_deg"), number(first_of(df, ALIASES["dec"])).alias("dec_deg"), number(first_of(df, POOL_ALIASES["n_tess_products"])).alias("n_tess_products"),
+        truthy(first_of(df, POOL_ALIASES["has_tess_lightcurve"] + ["has_data"])).alias("has_tess_lightcurve"), truthy(first_of(df, POOL_ALIASES["ir_excess_flag"] + ["excess"])).alias("ir_excess_flag"),
     )
     rest = [c for c in out.columns if c != "tic_id"]
     first = out.filter("tic_id is not null").groupBy("tic_id").agg(F.min(F.struct(*rest)).alias("x"))

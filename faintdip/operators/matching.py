@@ -1,23 +1,30 @@
 """Matched controls: band joins for candidates, then greedy assignment without reuse.
 
-Candidates come from equi-joins on bands of all criteria that a target has. The greedy choice
-depends on the order of the targets; it is the only stable one where every control prefers the
-target that comes first, so rounds of proposals find it without a task that sees all edges.
+Targets with the same values are one class with one list of controls, opened level by level: near controls first, more
+only where a class runs out. The greedy choice depends on the order of the targets; groups of targets settle it each
+for themselves, and a control that several groups take is left to the first target, until no two take the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..columns import truthy
-from ..lineage import cut
+from ..lineage import cut, running
 
-#: Cells of the pool for targets that have no criterion.
+CRITERIA = ("tmag", "bp_rp", "teff", "parallax")
+#: Cells of the pool for classes that have no criterion.
 CELLS = 64
+#: Share of the tolerances within which lists are opened first.
+NEAR = 0.25
+#: Edges and targets that one task settles at a time.
+GROUP = 1 << 19
+NO_BOUND = (1 << 63) - 1
 
 
 def usable(pool: DataFrame) -> DataFrame:
@@ -35,118 +42,261 @@ def _criterion(target: Column, delta: Column, tolerance: float, strict: bool):
     return target.isNull() | F.coalesce(ok, F.lit(False)), F.coalesce(delta / tolerance, F.lit(0.0))
 
 
-def _banded(t: DataFrame, c: DataFrame, *keys: tuple[str, float]) -> DataFrame:
-    """Pairs of targets and controls in the same or neighbouring bands of every key; without keys each target and all of the pool, in cells."""
-    if not keys:
-        # every control is a candidate; copies of the target meet the pool in cells of about even size
-        t = t.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-        return t.join(c.withColumn("cell", F.pmod(F.xxhash64("c_id"), F.lit(CELLS)).cast("int")), "cell").drop("cell")
+def _sides(targets: DataFrame, pool: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of targets, controls, and the members (class, target_id) of the classes.
+
+    A criterion whose column one side lacks is null on both, so it is skipped, as is a parallax that is not positive.
+    """
+    both = [n for n in CRITERIA if n in targets.columns and n in pool.columns]
+    value = lambda n: (F.col(n) if n in both else F.lit(None)).cast("double")
+    t, c = (df.select("id", *(value(n).alias(f"{side}_{n}") for n in CRITERIA), *(F.coalesce(F.col(w).cast("string"), F.lit("")).alias(f"in_{w}") for w in within)) for df, side in ((targets, "t"), (pool, "c")))
+    t = t.filter("id is not null").withColumn("t_parallax", F.when(F.col("t_parallax") > 0, F.col("t_parallax")))
+    values = [f"t_{n}" for n in CRITERIA] + [f"in_{w}" for w in within]
+    t = t.withColumn("class", F.to_json(F.struct(*values)))
+    classes = t.groupBy("class").agg(*(F.first(v).alias(v) for v in values))
+    return classes, c.withColumnRenamed("id", "control_id"), t.select("class", F.col("id").alias("target_id"))
+
+
+def _banded(t: DataFrame, c: DataFrame, *keys: tuple[str, float], within: tuple[str, ...] = (), octaves: tuple[float, float] | None = None) -> DataFrame:
+    """Pairs of classes and controls in the same or neighbouring bands of every key, and the same values of within.
+
+    A parallax's tolerance is a share of it, so its bands are octaves, between the two factors. Without any
+    key a class meets the pool in cells of about even size.
+    """
+    names = [f"in_{w}" for w in within]
     for name, size in keys:
+        size *= 1 + 1e-9
         t = t.withColumn(f"band_{name}", F.explode(F.array(*(F.floor(F.col(f"t_{name}") / size) + i for i in (-1, 0, 1)))))
         c = c.withColumn(f"band_{name}", F.floor(F.col(f"c_{name}") / size))
-    names = [f"band_{name}" for name, _ in keys]
+        names.append(f"band_{name}")
+    if octaves:
+        low, high = (F.floor(F.log2(F.col("t_parallax") * x)) for x in octaves)
+        t, c = t.withColumn("octave", F.explode(F.sequence(low, high))), c.filter("c_parallax > 0").withColumn("octave", F.floor(F.log2("c_parallax")))
+        names.append("octave")
+    if not keys and not octaves:
+        t = t.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+        c = c.withColumn("cell", F.pmod(F.xxhash64("control_id"), F.lit(CELLS)).cast("int"))
+        names.append("cell")
     return t.join(c, names).drop(*names)
 
 
-def _sides(targets: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(df.select(*(F.col(x).alias(f"{side}_{x}") for x in ("id", "tmag", "bp_rp", "teff", "parallax"))) for df, side in ((targets, "t"), (pool, "c")))
+def _has(n: str) -> Column:
+    return F.col(f"t_{n}").isNotNull()
 
 
-def candidates(targets: DataFrame, pool: DataFrame, *, tmag: float = 1.0, color: float = 0.35, teff: float = 400.0, parallax: float = 0.5, strict: bool = False) -> DataFrame:
-    """(target_id, control_id, score) of all pairs that pass every criterion.
+def _delta(n: str) -> Column:
+    return F.abs(F.col(f"c_{n}") - F.col(f"t_{n}"))
 
-    Both sides have id, tmag, bp_rp, teff and parallax. Colour decides where the target has one, else
-    temperature. score sums the differences over their tolerances. A target that lacks all of them
-    has every control as a candidate, with score 0.
-    """
-    t, c = _sides(targets, pool)
-    has = lambda n: F.col(f"t_{n}").isNotNull()
+
+def _by_mode(classes: DataFrame, c: DataFrame, modes, share: float, parallax: float, within: tuple[str, ...]) -> list[tuple[DataFrame, list]]:
+    """Banded pairs of each mode (which classes, which keys), with the keys; those without keys by octaves of parallax where they have one."""
+    octaves = ((1 - parallax) * (1 - 1e-9), (1 + parallax) * (1 + 1e-9)) if parallax < 1 else None
     parts = []
-    for bright, first in ((has("tmag"), [("tmag", tmag)]), (~has("tmag"), [])):
-        parts.append(_banded(t.filter(bright & has("bp_rp")), c, *first, ("bp_rp", color)))
-        parts.append(_banded(t.filter(bright & ~has("bp_rp") & has("teff")), c, *first, ("teff", teff)))
-        plain = t.filter(bright & ~has("bp_rp") & ~has("teff"))
-        if first:
-            parts.append(_banded(plain, c, *first))
+    # one count of the modes spares the joins of those that no class has
+    used = classes.agg(*(F.max(F.coalesce(which, F.lit(False))) for which, _ in modes)).first()
+    for which, keys in [m for m, some in zip(modes, used) if some] or modes[:1]:
+        mine = classes.filter(which)
+        if keys:
+            parts.append((_banded(mine, c, *((n, size * share) for n, size in keys), within=within), keys))
             continue
-        banded = F.coalesce(F.col("t_parallax") > 0, F.lit(False)) & F.lit(parallax < 1)
-        # a parallax's tolerance is a share of it, so bands are octaves
-        low, high = (F.floor(F.log2(F.col("t_parallax") * (1 + x) * (1 + e))) for x, e in ((-parallax, -1e-9), (parallax, 1e-9)))
-        far = plain.filter(banded).withColumn("band", F.explode(F.sequence(low, high)))
-        parts.append(far.join(c.filter("c_parallax > 0").withColumn("band", F.floor(F.log2("c_parallax"))), "band").drop("band"))
-        parts.append(_banded(plain.filter(~banded), c))
-    pairs = reduce(DataFrame.unionByName, parts)
-    col = F.col
-    by_color = col("t_bp_rp").isNotNull()
-    positive = F.when(col("t_parallax") > 0, col("t_parallax"))
+        if octaves:  # without keys
+            parts.append((_banded(mine.filter(_has("parallax")), c, within=within, octaves=octaves), keys))
+            mine = mine.filter(~_has("parallax"))
+        parts.append((_banded(mine, c, within=within), keys))
+    return parts
+
+
+def _loose(classes: DataFrame, c: DataFrame, tmag: float, color: float, teff: float, parallax: float, strict: bool, within: tuple[str, ...], share: float = 1.0) -> DataFrame:
+    """(class, control_id, score) of what passes every criterion and, where share is below 1, scores at most that."""
+    modes = []
+    for bright, first in ((_has("tmag"), [("tmag", tmag)]), (~_has("tmag"), [])):
+        modes += [(bright & _has("bp_rp"), [*first, ("bp_rp", color)]), (bright & ~_has("bp_rp") & _has("teff"), [*first, ("teff", teff)]), (bright & ~_has("bp_rp") & ~_has("teff"), first)]
+    pairs = reduce(DataFrame.unionByName, (p for p, _ in _by_mode(classes, c, modes, share, parallax, within)))
+    by_color, plx = _has("bp_rp"), F.col("t_parallax")
     rules = [
-        _criterion(col("t_tmag"), F.abs(col("c_tmag") - col("t_tmag")), tmag, strict),
-        _criterion(col("t_bp_rp"), F.abs(col("c_bp_rp") - col("t_bp_rp")), color, strict),
-        _criterion(F.when(~by_color, col("t_teff")), F.when(~by_color, F.abs(col("c_teff") - col("t_teff"))), teff, strict),
-        _criterion(positive, F.abs(col("c_parallax") - positive) / positive, parallax, strict),
+        _criterion(F.col("t_tmag"), _delta("tmag"), tmag, strict),
+        _criterion(F.col("t_bp_rp"), _delta("bp_rp"), color, strict),
+        _criterion(F.when(~by_color, F.col("t_teff")), F.when(~by_color, _delta("teff")), teff, strict),
+        _criterion(plx, _delta("parallax") / plx, parallax, strict),
     ]
     for ok, _ in rules:
         pairs = pairs.filter(ok)
-    score = sum((s for _, s in rules[1:]), rules[0][1])
-    return pairs.select(col("t_id").alias("target_id"), col("c_id").alias("control_id"), score.alias("score"))
+    out = pairs.select("class", "control_id", sum((s for _, s in rules[1:]), rules[0][1]).alias("score"))
+    return out.filter(F.col("score") <= share) if share < 1 else out
 
 
-def assign(edges: DataFrame, ratio: int = 1, rounds: int = 10_000) -> DataFrame:
-    """(target_id, control_id, match_rank, score): targets in order of id take their best unused controls.
+def candidates(targets: DataFrame, pool: DataFrame, *, tmag: float = 1.0, color: float = 0.35, teff: float = 400.0, parallax: float = 0.5, strict: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """(target_id, control_id, score) of all pairs that pass every criterion.
 
-    edges has target_id, control_id and score, and may have fallback and fits: fallback edges count
-    only while a target has no other free one, and edges that don't fit are never taken, but are free.
-    Ties go to the smaller control id. In each round all targets take what they like best of what is left
-    to them, and a control that two take is left to the first of them and those before it; that
-    never takes back a choice of the greedy order, which is reached when no two take the same.
+    Both sides have id and any of tmag, bp_rp, teff and parallax; a criterion whose column one side lacks is
+    skipped. Colour decides where the target has one, else temperature. score sums the differences over their
+    tolerances. A target that lacks all of them has every control as a candidate, with score 0. Columns of within must
+    be equal, null being a value. Null ids are left out.
+    """
+    classes, c, members = _sides(targets, pool, within)
+    return members.join(_loose(classes, c, tmag, color, teff, parallax, strict, within), "class").select("target_id", "control_id", "score")
+
+
+class _List:
+    """A class's controls in its order, of which targets in ascending order take the first free ones."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.fit, self.unfit = (rows[rows.fits == ok] for ok in (True, False))
+        self.fit = list(zip(self.fit.control_id, self.fit.score, self.fit.bound))
+        self.unfit = list(zip(self.unfit.control_id, self.unfit.score, self.unfit.bound))
+        self.at = self.unfit_at = 0
+
+    def take(self, target, taken: set, most: int) -> list:
+        # what is taken or out of bounds for a target is so for all later ones
+        while self.at < len(self.fit) and (self.fit[self.at][0] in taken or self.fit[self.at][2] < target):
+            self.at += 1
+        found, i = [], self.at
+        while len(found) < most and i < len(self.fit):
+            control, score, bound = self.fit[i]
+            if control not in taken and bound >= target:
+                found.append((control, score))
+            i += 1
+        return found
+
+    def only_unfit_left(self, target, taken: set) -> bool:
+        while self.unfit_at < len(self.unfit) and (self.unfit[self.unfit_at][0] in taken or self.unfit[self.unfit_at][2] < target):
+            self.unfit_at += 1
+        return self.unfit_at < len(self.unfit)
+
+
+def _settle(members: pd.DataFrame, edges: pd.DataFrame, most: int) -> pd.DataFrame:
+    """What the targets of one group take, one after the other, as if there were no other group."""
+    edges = edges.sort_values(["score", "control_id"], kind="stable")
+    lists = {key: _List(rows) for key, rows in edges.groupby(["class", "fallback"], sort=False)}
+    taken, out = set(), []
+    for target, name in members.sort_values("target_id")[["target_id", "class"]].itertuples(index=False):
+        first, second = lists.get((name, False)), lists.get((name, True))
+        found = first.take(target, taken, most) if first else []
+        if not found and second and not (first and first.only_unfit_left(target, taken)):
+            found = second.take(target, taken, most)
+        for rank, (control, score) in enumerate(found, 1):
+            taken.add(control)
+            out.append((target, control, rank, score))
+    return pd.DataFrame(out, columns=["target_id", "control_id", "match_rank", "score"])
+
+
+def _grouped(edges: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """members with group: runs of targets in order of id, with their lists of about size rows together."""
+    each = members.groupBy("class").agg(F.count("*").alias("n")).join(edges.groupBy("class").agg(F.count("*").alias("m")), "class", "left")
+    rows = members.join(each, "class").select("class", "target_id", (1 + F.ceil(F.coalesce("m", F.lit(0)) / F.col("n"))).alias("rows"))
+    return running(rows, [F.col("target_id"), F.col("class")], upto="rows").select("class", "target_id", F.floor((F.col("upto") - F.col("rows")) / size).alias("group"))
+
+
+def assign(edges: DataFrame, ratio: int = 1, members: DataFrame | None = None, more: list[Callable[[DataFrame], DataFrame]] = (), group_rows: int = GROUP) -> DataFrame:
+    """(target_id, control_id, match_rank, score): targets in order of id take their best unused controls, ratio each.
+
+    edges has target_id, control_id and score, and may have fallback and fits: fallback edges count only while
+    a target has no other free one, and edges that don't fit are never taken, but are free. Ties go to the smaller
+    control id. Ids are whole numbers. With members (class, target_id), edges has class for target_id, and more lists
+    functions that give further edges of some classes (a table with class), asked one after the other for
+    classes that have run out.
+
+    Targets are dealt in their order to groups of about group_rows edges and targets, and each group settles its own
+    one after the other. What a target takes so is gone by its turn in the whole order too, whoever took it, so later
+    targets lose that edge; groups settle again until no two take the same control. That is the greedy order's choice. A
+    group hangs on earlier ones only, so there are at most as many rounds as groups, and few where little is contested.
+    A list that alone outgrows group_rows is still settled by one task.
     """
     if ratio < 1:
         raise ValueError("ratio must be at least 1")
-    own = lambda n, other: F.col(n) if n in edges.columns else F.lit(other)
-    e = cut(edges.select("target_id", "control_id", "score", own("fallback", False).alias("fallback"), own("fits", True).alias("fits")))
-    left = e.count()
-    best = W.partitionBy("target_id").orderBy("score", "control_id")
-    for _ in range(rounds):
-        open_to = e.withColumn("other", F.min("fallback").over(W.partitionBy("target_id"))).filter(F.col("fits") & (F.col("fallback") == F.col("other")))
-        taken = open_to.withColumn("match_rank", F.row_number().over(best)).filter(F.col("match_rank") <= ratio).select("target_id", "control_id", "match_rank", "score")
-        holder = taken.groupBy("control_id").agg(F.min("target_id").alias("holder"))
-        now = cut(e.join(holder, "control_id", "left").filter(F.col("holder").isNull() | (F.col("target_id") <= F.col("holder"))).drop("holder"))
-        n = now.count()
-        if n == left:
-            return taken
-        e, left = now, n
-    raise RuntimeError("the assignment did not settle")
-
-
-def strict_edges(targets: DataFrame, pool: DataFrame, *, tmag: float = 0.5, color: float = 0.15, teff: float = 300.0, parallax: float = 0.5) -> DataFrame:
-    """Edges for assign() under strict bands: (target_id, control_id, score, fallback, fits).
-
-    Where no free control has a target's colour, its temperature decides (fallback), and without one its
-    magnitude alone. Parallax is asked of what these leave, so a control that only lacks it still counts as
-    free (fits is false). A value that the control lacks counts one in the score.
+    if members is None:
+        edges = edges.withColumnRenamed("target_id", "class")
+        members = edges.select("class", F.col("class").alias("target_id")).distinct()
+
+    def full(e: DataFrame) -> DataFrame:
+        own = lambda n, other: (F.col(n) if n in e.columns else F.lit(other)).alias(n)
+        return e.select("class", "control_id", "score", own("fallback", False), own("fits", True))
+
+    e = cut(full(edges))
+    members = cut(_grouped(e, members, group_rows))
+    groups = cut(members.groupBy("class", "group").agg(F.min("target_id").alias("first")))
+    placed = lambda rows: rows.join(groups, "class").withColumn("bound", F.lit(NO_BOUND))
+    state = cut(placed(e))
+    opened: list[DataFrame] = []
+    kind = f"target_id {dict(members.dtypes)['target_id']}, control_id {dict(e.dtypes)['control_id']}, match_rank int, score double"
+    settle = lambda m, x: _settle(m, x, ratio)
+    while True:
+        claims = cut(members.groupBy("group").cogroup(state.groupBy("group")).applyInPandas(settle, kind))
+        until = claims.groupBy("control_id").agg(F.min("target_id").alias("until"))
+        bounded = lambda rows: rows.join(until, "control_id", "left").withColumn("bound", F.least("bound", F.coalesce("until", F.lit(NO_BOUND)))).drop("until").filter(F.col("bound") >= F.col("first"))  # noqa: B023, E731
+        lost = claims.join(until, "control_id").filter("target_id > until")
+        # a control that does not fit is free until it is gone, which may send its class to the fallback
+        gone = state.filter("not fits").join(until, "control_id").filter("until < bound")
+        if not lost.isEmpty() or not gone.isEmpty():
+            state = cut(bounded(state))
+            continue
+        added = _opened(members, claims, ratio, more, opened)
+        if not added:
+            return claims
+        state = cut(bounded(reduce(DataFrame.unionByName, (placed(full(x)) for x in added), state)))
+
+
+def _opened(members: DataFrame, claims: DataFrame, ratio: int, more, opened: list[DataFrame]) -> list[DataFrame]:
+    """Further edges of classes with a target that took less than its due; opened notes the classes for which each level was asked."""
+    if not more:
+        return []
+    full = claims.filter(F.col("match_rank") == ratio).select("target_id")
+    stuck = cut(members.join(full, "target_id", "left_anti").select("class").distinct())
+    added = []
+    for level, give in enumerate(more):
+        due = stuck if level == 0 else stuck.join(opened[level - 1], "class", "left_semi") if level <= len(opened) else None
+        if due is None:
+            break
+        before = opened[level] if level < len(opened) else None
+        due = cut(due.join(before, "class", "left_anti") if before is not None else due)
+        if due.isEmpty():
+            continue
+        added.append(give(due))
+        if before is None:
+            opened.append(due)
+        else:
+            opened[level] = cut(before.unionByName(due))
+        stuck = stuck.join(due, "class", "left_anti")  # one level at a time
+    return added
+
+
+def matched(targets: DataFrame, pool: DataFrame, ratio: int = 1, *, tmag: float = 1.0, color: float = 0.35, teff: float = 400.0, parallax: float = 0.5, within: tuple[str, ...] = (), group_rows: int = GROUP) -> DataFrame:
+    """assign(candidates(...), ratio), with lists that are opened near first and never spelled out for each target."""
+    classes, c, members = _sides(targets, pool, within)
+    classes = cut(classes)
+    edges = lambda some, share: _loose(some, c, tmag, color, teff, parallax, False, within, share)
+    rest = lambda due: edges(classes.join(due, "class", "left_semi"), 1.0).filter(F.col("score") > NEAR)
+    return assign(edges(classes, NEAR), ratio, members, [rest], group_rows)
+
+
+def _strict(classes: DataFrame, c: DataFrame, tmag: float, color: float, teff: float, parallax: float, fallback: bool, share: float = 1.0) -> DataFrame:
+    """(class, control_id, score, fallback, fits) under strict bands.
+
+    Where no free control has a target's colour, its temperature decides (fallback), and without one its magnitude alone.
+    Parallax is asked of what these leave, so a control that only lacks it still counts as free (fits is false)
+    where there is a fallback. A value that the control lacks counts one in the score.
     """
-    t, c = _sides(targets, pool)
-    has = lambda n: F.col(f"t_{n}").isNotNull()
-    delta = lambda n: F.abs(F.col(f"c_{n}") - F.col(f"t_{n}"))
-    positive = F.when(F.col("t_parallax") > 0, F.col("t_parallax"))
-    away = F.abs(F.col("c_parallax") - positive) / positive
-    fits = positive.isNull() | F.coalesce(away < parallax, F.lit(False))
-    score = F.when(has("tmag"), delta("tmag") / tmag).otherwise(0.0)
-    score = score + F.when(has("bp_rp"), F.coalesce(delta("bp_rp") / color, F.lit(1.0))).when(has("teff"), F.coalesce(delta("teff") / teff, F.lit(1.0))).otherwise(0.0)
-    score = score + F.when(positive.isNotNull(), F.coalesce(away / parallax, F.lit(1.0))).otherwise(0.0)
-    modes = [
-        (has("bp_rp"), [("bp_rp", color)], False), (has("bp_rp") & has("teff"), [("teff", teff)], True), (has("bp_rp") & ~has("teff"), [], True),
-        (~has("bp_rp") & has("teff"), [("teff", teff)], False), (~has("bp_rp") & ~has("teff"), [], False),
-    ]
+    plx = F.col("t_parallax")
+    away = _delta("parallax") / plx
+    fits = plx.isNull() | F.coalesce(away < parallax, F.lit(False))
+    score = F.when(_has("tmag"), _delta("tmag") / tmag).otherwise(0.0)
+    score = score + F.when(_has("bp_rp"), F.coalesce(_delta("bp_rp") / color, F.lit(1.0))).when(_has("teff"), F.coalesce(_delta("teff") / teff, F.lit(1.0))).otherwise(0.0)
+    score = score + F.when(plx.isNotNull(), F.coalesce(away / parallax, F.lit(1.0))).otherwise(0.0)
+    modes = []
+    for bright, first in ((_has("tmag"), [("tmag", tmag)]), (~_has("tmag"), [])):
+        if fallback:
+            modes += [(bright & _has("bp_rp") & _has("teff"), [*first, ("teff", teff)]), (bright & _has("bp_rp") & ~_has("teff"), first)]
+        else:
+            modes += [(bright & _has("bp_rp"), [*first, ("bp_rp", color)]), (bright & ~_has("bp_rp") & _has("teff"), [*first, ("teff", teff)]), (bright & ~_has("bp_rp") & ~_has("teff"), first)]
     parts = []
-    for bright, first in ((has("tmag"), [("tmag", tmag)]), (~has("tmag"), [])):
-        for mode, keys, fallback in modes:
-            pairs = _banded(t.filter(bright & mode), c, *first, *keys)
-            for name, tolerance in (*first, *keys):
-                pairs = pairs.filter(delta(name) < tolerance)
-            parts.append(pairs.withColumn("fallback", F.lit(fallback)))
-    pairs = reduce(DataFrame.unionByName, parts)
-    return pairs.select(F.col("t_id").alias("target_id"), F.col("c_id").alias("control_id"), score.alias("score"), "fallback", fits.alias("fits"))
+    for pairs, keys in _by_mode(classes, c, modes, share, parallax, ()):
+        for name, tolerance in keys:
+            pairs = pairs.filter(_delta(name) < tolerance)
+        parts.append(pairs)
+    out = reduce(DataFrame.unionByName, parts).select("class", "control_id", score.alias("score"), F.lit(fallback).alias("fallback"), fits.alias("fits"))
+    if fallback:
+        out = out.filter("fits")
+    return out.filter(F.col("score") <= share) if share < 1 else out
 
 
 def eligible(targets: DataFrame) -> DataFrame:
@@ -154,9 +304,18 @@ def eligible(targets: DataFrame) -> DataFrame:
     return targets.filter(truthy(F.col("has_tess_lightcurve"))) if "has_tess_lightcurve" in targets.columns else targets
 
 
-def matched_pairs(targets: DataFrame, pool: DataFrame) -> DataFrame:
-    """(target_id, control_id, match_rank, match_quality_score): pairs one to one under strict bands, in order of the targets' ids."""
-    return assign(strict_edges(eligible(targets), usable(pool)), 1).withColumnRenamed("score", "match_quality_score")
+def matched_pairs(targets: DataFrame, pool: DataFrame, *, tmag: float = 0.5, color: float = 0.15, teff: float = 300.0, parallax: float = 0.5, group_rows: int = GROUP) -> DataFrame:
+    """(target_id, control_id, match_rank, match_quality_score): pairs one to one under strict bands, in order of the targets' ids.
+
+    Colour, or temperature where a target has no colour or its free controls of that colour are used up. A
+    criterion whose column one side lacks is skipped.
+    """
+    classes, c, members = _sides(eligible(targets), usable(pool))
+    classes = cut(classes)
+    edges = lambda some, fallback, share=1.0: _strict(some, c, tmag, color, teff, parallax, fallback, share)
+    mine = lambda due: classes.join(due, "class", "left_semi")
+    more = [lambda due: edges(mine(due), False).filter(F.col("score") > NEAR), lambda due: edges(mine(due), True)]
+    return assign(edges(classes, False, NEAR), 1, members, more, group_rows).withColumnRenamed("score", "match_quality_score")
 
 
 def unmatched(targets: DataFrame, pairs: DataFrame) -> DataFrame:

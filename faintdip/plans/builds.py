@@ -60,7 +60,7 @@ def control_build(targets: DataFrame, pool: DataFrame | None, folder: str | None
         return {}
     clean = catalogs.normalize_pool(pool)
     usable = matching.usable(clean.withColumnRenamed("tic_id", "id"))
-    pairs = matching.assign(matching.candidates(matching.eligible(targets), usable), ratio)
+    pairs = matching.matched(matching.eligible(targets), usable, ratio)
     if pairs.isEmpty():
         return {}
     chosen = clean.join(pairs.select(F.col("control_id").alias("tic_id")).distinct(), "tic_id", "left_semi")
