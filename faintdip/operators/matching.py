@@ -218,6 +218,7 @@ def assign(edges: DataFrame, ratio: int = 1, members: DataFrame | None = None, m
     placed = lambda rows: rows.join(groups, "class").withColumn("bound", F.lit(NO_BOUND))
     state = cut(placed(e))
     opened: list[DataFrame] = []
+    asked = 0
     kind = f"target_id {dict(members.dtypes)['target_id']}, control_id {dict(e.dtypes)['control_id']}, match_rank int, score double"
     settle = lambda m, x: _settle(m, x, ratio)
     while True:
@@ -230,21 +231,24 @@ def assign(edges: DataFrame, ratio: int = 1, members: DataFrame | None = None, m
         if not lost.isEmpty() or not gone.isEmpty():
             state = cut(bounded(state))
             continue
-        added = _opened(members, claims, ratio, more, opened)
+        asked += 1
+        added = _opened(members, claims, ratio, more, opened, everyone=asked > 1)
         if not added:
             return claims
         state = cut(bounded(reduce(DataFrame.unionByName, (placed(full(x)) for x in added), state)))
 
 
-def _opened(members: DataFrame, claims: DataFrame, ratio: int, more, opened: list[DataFrame]) -> list[DataFrame]:
-    """Further edges of classes with a target that took less than its due; opened notes the classes for which each level was asked."""
+def _opened(members: DataFrame, claims: DataFrame, ratio: int, more, opened: list[DataFrame], everyone: bool) -> list[DataFrame]:
+    """Further edges of classes with a target that took less than its due, or of everyone where controls are scarce; opened notes the classes for which each level was asked."""
     if not more:
         return []
     full = claims.filter(F.col("match_rank") == ratio).select("target_id")
     stuck = cut(members.join(full, "target_id", "left_anti").select("class").distinct())
+    if stuck.isEmpty():
+        return []
     added = []
     for level, give in enumerate(more):
-        due = stuck if level == 0 else stuck.join(opened[level - 1], "class", "left_semi") if level <= len(opened) else None
+        due = (members.select("class").distinct() if everyone else stuck) if level == 0 else stuck.join(opened[level - 1], "class", "left_semi") if level <= len(opened) else None
         if due is None:
             break
         before = opened[level] if level < len(opened) else None
