@@ -10,8 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .series import EDGE_DAYS, MAD_TO_SIGMA, finite_samples, half_depth_crossings
+from ..lineage import cut
+from .medians import BROADCAST, FEW, beside_group, medians
+from .series import EDGE_DAYS, MAD_TO_SIGMA, finite_samples, half_depth_crossings, window_samples
 
 VERSION = "scan_v1"
 FEATURES = (
@@ -42,13 +45,18 @@ def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
     at = (start[top] + stop[top]) // 2
     at = at[x[at] >= height]
+    return at[thinned(at, x[at], distance)]
+
+
+def thinned(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which of sorted places stay if the highest take out those within distance in turn; of equal heights the later goes first."""
     keep = np.ones(len(at), bool)
-    for i in np.argsort(x[at], kind="stable")[::-1]:
+    for i in np.argsort(height, kind="stable")[::-1]:
         if keep[i]:
-            near = np.abs(at - at[i]) < distance
-            near[i] = False
-            keep[near] = False
-    return at[keep]
+            a, b = np.searchsorted(at, at[i] - distance, "right"), np.searchsorted(at, at[i] + distance, "left")
+            keep[a:b] = False
+            keep[i] = True
+    return keep
 
 
 def _best(model, t, f, grids, rounds: int = 6):
@@ -174,6 +182,84 @@ def scan(lc: DataFrame, sigma: float = 4.0, window: float = 1.0, fits: bool = Tr
     return finite_samples(lc).select("star", "t", "flux").groupBy("star").applyInPandas(one, f"star long, {FEATURES}")
 
 
+#: Samples of a star that one task looks at in scan_chunked().
+CHUNK = 1 << 18
+
+
+def _chunked(samples: DataFrame, span: DataFrame, n_stars: int, chunk: int) -> DataFrame:
+    """(star, t, flux, i, before, after, step): samples numbered from 0, with their neighbours' flux and the time since the one before.
+
+    A star's time is cut into spans of about chunk samples; what lies on the other side of a border comes from a table
+    of one row a chunk.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk))
+    wide = beside_group(samples, span.select("star", "first", "last", parts.alias("parts")), ["star"], n_stars)
+    place = F.when(F.col("last") > F.col("first"), F.least(F.floor((F.col("t") - F.col("first")) / (F.col("last") - F.col("first")) * F.col("parts")), F.col("parts") - 1)).otherwise(0)
+    here = W.partitionBy("star", "chunk").orderBy("t", "flux")
+    rows = wide.select("star", "t", "flux", place.cast("long").alias("chunk"))
+    rows = cut(rows.withColumns({"k": F.row_number().over(here), "b": F.lag("flux").over(here), "a": F.lead("flux").over(here), "bt": F.lag("t").over(here)}))
+    ends = F.struct("t", "flux")
+    borders = rows.groupBy("star", "chunk").agg(F.count("*").alias("c"), F.min(ends).alias("head"), F.max(ends).alias("tail"))
+    star = W.partitionBy("star").orderBy("chunk")
+    borders = cut(borders.select("star", "chunk", (F.sum("c").over(star) - F.col("c")).alias("earlier"), F.lag("tail").over(star).alias("tail"), F.lead("head").over(star).alias("head")))
+    # a chunk is no hot key, so the table of chunks is broadcast only where it is small
+    few = borders.count() <= BROADCAST
+    rows = rows.join(F.broadcast(borders) if few else borders, ["star", "chunk"])
+    before, after = F.coalesce("b", F.col("tail.flux")), F.coalesce("a", F.col("head.flux"))
+    return rows.select("star", "t", "flux", (F.col("earlier") + F.col("k") - 1).alias("i"), before.alias("before"), after.alias("after"), (F.col("t") - F.coalesce("bt", F.col("tail.t"))).alias("step"))
+
+
+def scan_chunked(lc: DataFrame, sigma: float = 4.0, window: float = 1.0, fits: bool = True, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
+    """Events of every star as scan() gives them, for series that are too long for one task.
+
+    Medians come by counting, minima from chunks of a star's time, thinning from chains of minima that lie closer than the least
+    distance (chains do not touch one another, wherever chunks end), and features from each event's window alone. Samples of one
+    star at one time are ordered by flux. Null stars, times and fluxes are left out; stars of fewer than ten samples
+    have no events, nor have those without noise.
+    """
+    if sigma <= 0 or window <= 0:
+        raise ValueError("sigma and window must be positive")
+    samples = finite_samples(lc).select("star", "t", "flux").filter("star is not null")
+    span = cut(samples.groupBy("star").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.stddev_pop("flux").alias("sd")).filter("n >= 10"))
+    n_stars = span.count()
+    rows = cut(_chunked(samples, span, n_stars, chunk))
+    middle = cut(medians(rows, ["star"], ["flux", "step"], few).select("star", F.col("flux").alias("med"), F.col("step").alias("dt")))
+    away = beside_group(rows, middle.select("star", "med"), ["star"], n_stars).select("star", F.abs(F.col("flux") - F.col("med")).alias("mad"))
+    s = F.when(F.col("mad") > 0, MAD_TO_SIGMA * F.col("mad")).otherwise(F.col("sd"))
+    apart = F.when(F.col("dt") > 0, F.greatest(F.lit(3), F.floor(F.floor(F.lit(float(window)) / (2 * F.col("dt"))) / 2))).otherwise(3).cast("long")
+    stats = span.join(middle, "star").join(medians(away, ["star"], ["mad"], few), "star").select("star", "first", "last", "med", s.alias("s"), apart.alias("apart")).filter("s > 0")
+    stats = cut(stats)
+    low = beside_group(rows, stats, ["star"], n_stars).withColumn("x", F.col("med") - F.col("flux")).filter(F.col("x") >= sigma * F.col("s"))
+    low = low.select("star", "i", "t", "x", (F.col("med") - F.col("before")).alias("b"), (F.col("med") - F.col("after")).alias("a"), "apart")
+    # what is left are few samples of each star: plateaus are runs of equal ones, and chains are runs of close minima
+    star = W.partitionBy("star").orderBy("i")
+    new = F.coalesce((F.col("x") != F.lag("x").over(star)) | (F.col("i") != F.lag("i").over(star) + 1), F.lit(True))
+    run = W.partitionBy("star", "run")
+    low = low.withColumn("new", new.cast("long")).withColumn("run", F.sum("new").over(star))
+    low = low.withColumns({"from": F.min("i").over(run), "to": F.max("i").over(run), "b": F.min_by("b", "i").over(run), "a": F.max_by("a", "i").over(run)})
+    tops = low.filter((F.col("b") < F.col("x")) & (F.col("a") < F.col("x")) & (F.col("i") == F.floor((F.col("from") + F.col("to")) / 2))).select("star", "i", "t", "x", "apart")
+    tops = tops.withColumn("new", F.coalesce(F.col("i") - F.lag("i").over(star) >= F.col("apart"), F.lit(True)).cast("long")).withColumn("chain", F.sum("new").over(star))
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        return pdf[thinned(pdf.i.to_numpy(), pdf.x.to_numpy(), int(pdf.apart.iloc[0]))][["star", "t"]]
+
+    alone = W.partitionBy("star", "chain")
+    tops = tops.withColumn("size", F.count("*").over(alone))
+    kept = tops.filter("size = 1").select("star", "t").unionByName(tops.filter("size > 1").select("star", "i", "t", "x", "apart", "chain").groupBy("star", "chain").applyInPandas(thin, "star long, t double"))
+    events = cut(kept.withColumnRenamed("t", "event").distinct().join(stats.select("star", "first", "last", "s"), "star"))
+
+    def one(key, about, near):
+        near = near.sort_values(["t", "flux"])
+        row = about.iloc[0]
+        got = list(features(near.t.to_numpy(), near.flux.to_numpy(), float(key[1]), window, fits, float(row.s)))
+        got[NAMES.index("edge_event")] = bool(key[1] < row["first"] + EDGE_DAYS or key[1] > row["last"] - EDGE_DAYS)
+        return pd.DataFrame([[key[0], *got]], columns=["star", *NAMES])
+
+    near = window_samples(samples, events, window).select(F.col("star").alias("of"), F.col("event").alias("at"), "t", "flux")
+    return events.groupBy("star", "event").cogroup(near.groupBy("of", "at")).applyInPandas(one, f"star long, {FEATURES}")
+
+
 #: What the first, simple detector says of an event.
 FIRST_FEATURES = (
     "event_time double, depth double, depth_ppm double, local_noise double, local_snr double, n_points_window long, window_start double, window_end double, "

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..columns import number
 from ..functions.coords import separation_arcsec
-from ..lineage import cut
+from ..lineage import cut, running
 
 
 def with_coordinates(df: DataFrame, ra: str = "ra_deg", dec: str = "dec_deg") -> DataFrame:
@@ -96,7 +96,12 @@ def approximate_controls(targets: DataFrame, pool: DataFrame, radius_arcsec: flo
     return near.join(pool, "id").select("target_id", "separation_arcsec", *pool.columns)
 
 
-def deduplicate(df: DataFrame, radius_arcsec: float = 3.0, keep: str = "first") -> DataFrame:
+#: Pairs of close points that one task decides at a time.
+GROUP = 1 << 19
+KEPT, GONE, OPEN = 1, 0, -1
+
+
+def deduplicate(df: DataFrame, radius_arcsec: float = 3.0, keep: str = "first", group_rows: int = GROUP) -> DataFrame:
     """df (id, ra, dec, ...) without points within the radius of a kept one, taken in order of id.
 
     Keeping is greedy: a point goes only if a kept point is near, so of a chain A-B-C both A and C
@@ -104,42 +109,49 @@ def deduplicate(df: DataFrame, radius_arcsec: float = 3.0, keep: str = "first")
     """
     if keep not in ("first", "last"):
         raise ValueError("keep must be first or last")
-    close = within(df, df, radius_arcsec).filter("left_id <> right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    # greedy choice by rounds: a point whose earlier neighbours are all decided is decided
     sign = 1 if keep == "first" else -1
-    earlier = close.filter((F.col("b") - F.col("a")) * sign < 0)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        rows = pdf.sort_values("a", ascending=keep == "first")
-        for a, g in rows.groupby("a", sort=False):
-            if any(b not in gone for b in g.b):
-                gone.add(a)
-        return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
+    close = within(df, df, radius_arcsec).filter(F.col("left_id") * sign > F.col("right_id") * sign)
+    gone = _losers(close.select((F.col("left_id") * sign).alias("a"), (F.col("right_id") * sign).alias("b")), group_rows)
+    return df.join(gone.select((F.col("a") * sign).alias("id")), "id", "left_anti")
 
-    groups = clusters(earlier)
-    gone = earlier.join(groups, "a").groupBy("cluster").applyInPandas(choose, "id long")
-    return df.join(gone, "id", "left_anti")
 
+def decide(pairs: pd.DataFrame) -> pd.DataFrame:
+    """(a, state) of the points a of pairs (a, b, state of b), b before a, that can be decided: gone if any b is kept, kept if all are gone.
 
-def clusters(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, cluster) for pairs (a, b): a label that all connected points share.
-
-    Each round takes the least label around a point and then that label's own, so rounds grow
-    with the logarithm of a cluster's size.
+    Points are taken in order, so one may hang on others of the same pairs; such that hang on an open one elsewhere stay open.
+    """
+    pairs = pairs.sort_values(["a", "b"])
+    mine: dict[int, int] = {}
+    for a, b, state in zip(pairs.a.tolist(), pairs.b.tolist(), pairs.state.tolist()):
+        near = mine.get(b, OPEN) if state == OPEN else state
+        so_far = mine.get(a, KEPT)
+        # one kept neighbour is enough; else one open neighbour leaves it open
+        mine[a] = GONE if near == KEPT or so_far == GONE else OPEN if near == OPEN or so_far == OPEN else KEPT
+    done = [(a, s) for a, s in mine.items() if s != OPEN]
+    return pd.DataFrame(done, columns=["a", "state"], dtype="int64")
+
+
+def _losers(pairs: DataFrame, group_rows: int) -> DataFrame:
+    """(a) of the points that lose to a kept one, for pairs (a, b) of close points, b before a.
+
+    Points are dealt in their order to groups of about group_rows pairs. In each round every group decides what hangs
+    on decided points and on its own, so the first group with open points is done by each round: there are at most as many
+    rounds as groups, and few where chains are short. A chain of any length is no group.
     """
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("cluster"))
-    for _ in range(rounds):
-        labels = cut(labels)
-        seen = both.join(labels.select(F.col("a").alias("b"), F.col("cluster").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        near = labels.join(seen, "a").select("a", F.least("cluster", "other").alias("near"), "cluster")
-        jump = labels.select(F.col("a").alias("near"), F.col("cluster").alias("far"))
-        new = cut(near.join(jump, "near").select("a", F.least("near", "far").alias("cluster"), (F.col("cluster") != F.least("near", "far")).alias("moved")))
-        labels = new.select("a", "cluster")
-        if not new.filter("moved").limit(1).count():
-            return labels
-    raise RuntimeError("clusters did not settle")
+    pairs = cut(pairs.distinct())
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    groups = running(sizes, [F.col("a")], upto="n").select("a", F.floor((F.col("upto") - F.col("n")) / group_rows).alias("group"))
+    # a point that has no earlier neighbour is kept from the start
+    later = sizes.select(F.col("a").alias("b"), F.lit(OPEN).alias("state"))
+    open_ = cut(pairs.join(groups, "a").join(later, "b", "left").select("a", "b", "group", F.coalesce("state", F.lit(KEPT)).cast("long").alias("state")))
+    lost = open_.select("a").limit(0)
+    while not open_.isEmpty():
+        now = cut(open_.groupBy("group").applyInPandas(lambda pdf: decide(pdf), "a long, state long"))
+        lost = lost.unionByName(now.filter(F.col("state") == GONE).select("a"))
+        news = now.select(F.col("a").alias("b"), F.col("state").alias("news"))
+        left = open_.join(now.select("a"), "a", "left_anti").join(news, "b", "left")
+        open_ = cut(left.select("a", "b", "group", F.coalesce("news", "state").alias("state")))
+    return lost
 
 
 def excluded(pool: DataFrame, bad_ids: DataFrame, bad_points: DataFrame, radius_arcsec: float = 5.0) -> DataFrame:

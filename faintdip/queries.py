@@ -210,15 +210,24 @@ def numbers(df, digits: int = 5):
     return df.select(*(F.when(~F.isnan(c), F.round(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-@query("""SELECT peaks.star, round(peaks.t, 5) AS event_time, round(depth_ppm, 5) AS depth_ppm, round(local_snr, 5) AS local_snr, round(coalesce(ingress_hours + egress_hours, fwhm_hours), 5) AS duration_hours, round(fwhm_hours, 5) AS fwhm_hours,
+THINNED = """SELECT peaks.star, round(peaks.t, 5) AS event_time, round(depth_ppm, 5) AS depth_ppm, round(local_snr, 5) AS local_snr, round(coalesce(ingress_hours + egress_hours, fwhm_hours), 5) AS duration_hours, round(fwhm_hours, 5) AS fwhm_hours,
 round(ingress_hours, 5) AS ingress_hours, round(egress_hours, 5) AS egress_hours, CASE WHEN ingress_hours > 0 THEN round(egress_hours / ingress_hours, 5) END AS egress_ingress_ratio, round(skewness, 5) AS skewness, round(kurtosis, 5) AS kurtosis,
 w.cnt AS n_points_window, peaks.t < span.first + 0.5 OR peaks.t > span.last - 0.5 AS edge_event, coalesce(single_point_like, true) AS single_point_like
 FROM peaks JOIN thinned ON thinned.star = peaks.star AND list_contains(scanned, i) JOIN span ON span.star = peaks.star JOIN (SELECT star, event, any_value(cnt) AS cnt FROM based GROUP BY star, event) w ON w.star = peaks.star AND w.event = peaks.t
-LEFT JOIN feats ON feats.star = peaks.star AND feats.event = peaks.t LEFT JOIN crossings ON crossings.star = peaks.star AND crossings.event = peaks.t LEFT JOIN fwhm ON fwhm.star = peaks.star AND fwhm.event = peaks.t WHERE peaks.n >= 10""")
+LEFT JOIN feats ON feats.star = peaks.star AND feats.event = peaks.t LEFT JOIN crossings ON crossings.star = peaks.star AND crossings.event = peaks.t LEFT JOIN fwhm ON fwhm.star = peaks.star AND fwhm.event = peaks.t WHERE peaks.n >= 10"""
+
+
+@query(THINNED)
 def dip_scan_thinned(spark, d):
     return numbers(detect.scan(lc_of(spark, d), window=WINDOW, fits=False).drop("delta_chi2"))
 
 
+@query(THINNED)
+def dip_scan_chunked(spark, d):
+    """The same by chunks of 16 samples, as if each series were too long for a task."""
+    return numbers(detect.scan_chunked(lc_of(spark, d), window=WINDOW, fits=False, chunk=16, few=20).drop("delta_chi2"))
+
+
 @query("""SELECT star, round(t, 5) AS event_time, round(depth * 1e6, 4) AS depth_ppm, round(s, 9) AS local_noise, round(depth / s, 5) AS local_snr, n AS n_points_window, round(t - 2.5, 5) AS window_start, round(t + 2.5, 5) AS window_end, below <= 1 AS single_point_like,
 round(ingress_hours / 24, 6) AS ingress_days, round(egress_hours / 24, 6) AS egress_days, CASE WHEN ingress_hours > 0 THEN round(egress_hours / ingress_hours, 5) END AS asymmetry_score
 FROM (SELECT p.star, p.t, depth, count(*) AS n, count(*) FILTER (flux < base - depth / 2) AS below, any_value(CASE WHEN mad > 0 THEN mad WHEN sd > 0 THEN sd ELSE noise END) AS s

@@ -109,3 +109,28 @@ def test_candidates_of_targets_without_magnitude_and_colour(spark):
                 want.add((t[0], c[0]))
     got = [(r["target_id"], r["control_id"]) for r in matching.candidates(spark.createDataFrame(targets, kind), spark.createDataFrame(pool, kind)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and sum(t == 2000 for t, _ in got) == 200
+
+
+@pytest.mark.parametrize("keep", ["first", "last"])
+@pytest.mark.parametrize("group_rows", [40, 1 << 19])
+def test_dedupe_by_groups_of_any_size(spark, keep, group_rows):
+    """A long chain in order of id, a crowd, and points far from all."""
+    rng = np.random.default_rng(9)
+    chain = [(i, 10 + i * 2.9 / 3600, 0.0) for i in range(60)]
+    crowd = [(1000 + i, 50 + rng.uniform(0, 12) / 3600, rng.uniform(0, 12) / 3600) for i in range(60)]
+    rows = chain + crowd + [(5000, None, 1.0), (5001, 200.0, 80.0)]
+    want, kept = set(), []
+    for i, ra, dec in sorted(rows, reverse=keep == "last"):
+        near = ra is not None and any(abs(dec - d) < 1 and np.hypot((ra - r) * np.cos(np.radians(dec)), dec - d) * 3600 <= 3.0 for _, r, d in kept)
+        if not near:
+            want.add(i)
+            if ra is not None:
+                kept.append((i, ra, dec))
+    got = sky.deduplicate(spark.createDataFrame(rows, "id long, ra double, dec double"), 3.0, keep, group_rows)
+    assert {r["id"] for r in got.collect()} == want
+
+
+def test_a_chain_of_many_points(spark):
+    n = 20_000
+    pairs = spark.range(1, n).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    assert [r["a"] for r in sky._losers(pairs, 8_000).orderBy("a").collect()] == list(range(1, n, 2))
