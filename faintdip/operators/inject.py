@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import beside
-from .detect import scan_series
+from .detect import MAD_TO_SIGMA, features, scan_series, thinned
 from .series import finite_samples
 
 #: Ranges of injected shapes: depth in ppm, ingress and egress in hours, ratio of egress to ingress.
@@ -56,17 +56,115 @@ def match_detections(truth: DataFrame, found: DataFrame, tolerance_hours: float
     return truth.join(best, ["star", "trial"], "left").withColumn("recovered", F.col("recovered_time").isNotNull())
 
 
+def _strict_minima(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the runs of equal values, the runs that are lower than both neighbours, and the middle sample of these."""
+    start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+    stop = np.append(start[1:], len(f)) - 1
+    v = f[start]
+    low = np.flatnonzero((v[1:-1] < v[:-2]) & (v[1:-1] < v[2:])) + 1
+    return start, low, (start[low] + stop[low]) // 2
+
+
+def _middle(s: np.ndarray) -> float:
+    n = len(s)
+    return float(s[n // 2]) if n % 2 else float((s[n // 2 - 1] + s[n // 2]) / 2)
+
+
+def _deviation(s: np.ndarray, mid: float) -> float:
+    """Median of |s - mid| for sorted s: the values nearest to mid lie side by side, and bisection finds where."""
+
+    def rank(k: int) -> float:
+        low, high = 0, len(s) - k
+        while low < high:
+            i = (low + high) // 2
+            if mid - s[i] > s[i + k] - mid:
+                low = i + 1
+            else:
+                high = i
+        return max(mid - s[low], s[low + k - 1] - mid)
+
+    n = len(s)
+    return float(rank(n // 2 + 1)) if n % 2 else float((rank(n // 2) + rank(n // 2 + 1)) / 2)
+
+
+class Trials:
+    """A star's series, made ready for many injections: sorted once, with all its minima.
+
+    A dip changes a few samples. The new median and deviation come from the sorted fluxes with these exchanged, and minima
+    are looked for anew only where samples changed; elsewhere they stay, and only the threshold moves.
+    """
+
+    def __init__(self, t: np.ndarray, f: np.ndarray, sigma: float, window: float):
+        order = np.argsort(t, kind="stable")
+        self.t, self.f, self.sigma, self.window = t[order], f[order], sigma, window
+        self.sorted = np.sort(self.f)
+        self.start, self.low, self.at = _strict_minima(self.f)
+        deep = np.argsort(self.f[self.at], kind="stable")
+        self.by_depth, self.depths = deep, self.f[self.at][deep]
+        dt = float(np.median(np.diff(self.t)))
+        self.apart = max(3, int(window / (2 * dt) // 2)) if dt > 0 else 3
+
+    def found(self, dip, tolerance: float) -> list[tuple]:
+        """(event_time, depth_ppm, local_snr) of the events with the dip within the tolerance in days of its time."""
+        rise, fall, deep = dip.ingress_hours / 24, dip.egress_hours / 24, dip.depth_ppm / 1e6
+        a, b = np.searchsorted(self.t, dip.at - rise, "left"), np.searchsorted(self.t, dip.at + fall, "right")
+        x, old = self.t[a:b] - dip.at, self.f[a:b].copy()
+        self.f[a:b] = old - deep * np.clip(np.where(x < 0, 1 + x / rise, 1 - x / fall), 0, 1)
+        try:
+            return self._events(a, b, old, dip.at, tolerance)
+        finally:
+            self.f[a:b] = old
+
+    def _events(self, a: int, b: int, old: np.ndarray, at: float, tolerance: float) -> list[tuple]:
+        f, s, n = self.f, self.sorted, len(self.f)
+        if a < b:
+            old = np.sort(old)
+            # equal values take places side by side
+            gone = np.searchsorted(s, old) + np.arange(len(old)) - np.searchsorted(old, old)
+            s = np.delete(s, gone)
+            new = np.sort(f[a:b])
+            s = np.insert(s, np.searchsorted(s, new), new)
+        mid = _middle(s)
+        noise = MAD_TO_SIGMA * _deviation(s, mid)
+        if noise <= 0:
+            noise = float(np.std(f))
+        if not noise > 0:
+            return []
+        least = self.sigma * noise
+        near = self.by_depth[: np.searchsorted(self.depths, mid - least * (1 - 1e-9) + 1e-12, "right")]
+        if a < b:
+            # runs from the last unchanged sample before to the first after may have changed, and are judged beside one more on either side
+            first = np.searchsorted(self.start, a - 1, "right") - 1 if a > 0 else 0
+            last = np.searchsorted(self.start, b, "right") - 1 if b < n else len(self.start) - 1
+            lo = self.start[max(first - 1, 0)]
+            hi = self.start[last + 2] if last + 2 < len(self.start) else n
+            here = lo + _strict_minima(f[lo:hi])[2]
+            near = near[(self.low[near] < first) | (self.low[near] > last)]
+            places = np.sort(np.concatenate([self.at[near], here]))
+        else:
+            places = np.sort(self.at[near])
+        x = mid - f[places]
+        places, x = places[x >= least], x[x >= least]
+        places = places[thinned(places, x, self.apart)]
+        places = places[np.abs(self.t[places] - at) <= tolerance]
+        rows = (features(self.t, f, float(self.t[i]), self.window, False, noise) for i in places)
+        return [(r[0], r[1], r[2]) for r in rows]
+
+
 def recovery(lc: DataFrame, n: int = 10, sigma: float = 4.0, window: float = 1.0, tolerance_hours: float = TOLERANCE_HOURS, seed: int = 42, detector=scan_series) -> DataFrame:
     """One row for each star and trial: the injected dip, and what the detector found of it.
 
-    A star's samples are sent once; its trials run where they are.
+    A star's samples are sent once; its trials run where they are. The scanner itself is not run again for each: Trials gives
+    what it would find near the dip. Another detector sees the whole series each time.
     """
+    if sigma <= 0 or window <= 0:
+        raise ValueError("sigma and window must be positive")
     samples = finite_samples(lc).select("star", "t", "flux")
     span = samples.groupBy("star").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n")).filter("n >= 10")
     truth = trials(span, n, seed)
+    names = ["star", "trial", "event_time", "depth_ppm", "local_snr"]
 
-    def run(key, series, dips):
-        names = ["star", "trial", "event_time", "depth_ppm", "local_snr"]
+    def again(key, series, dips):
         t, f = series.t.to_numpy(), series.flux.to_numpy()
         out = []
         for d in dips.itertuples():
@@ -77,7 +175,16 @@ def recovery(lc: DataFrame, n: int = 10, sigma: float = 4.0, window: float = 1.0
                 out.append(e[names[2:]].assign(star=key[0], trial=d.trial))
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
-    found = samples.groupBy("star").cogroup(truth.groupBy("star")).applyInPandas(run, "star long, trial int, event_time double, depth_ppm double, local_snr double")
+    def run(key, series, dips):
+        if len(series) < 10 or not len(dips):
+            return pd.DataFrame(columns=names)
+        star = Trials(series.t.to_numpy(), series.flux.to_numpy(), sigma, window)
+        # a little more than the tolerance, which is judged by the join
+        rows = [(key[0], d.trial, *e) for d in dips.itertuples() for e in star.found(d, tolerance_hours / 24 * (1 + 1e-9))]
+        return pd.DataFrame(rows, columns=names)
+
+    kernel = run if detector is scan_series else again
+    found = samples.groupBy("star").cogroup(truth.groupBy("star")).applyInPandas(kernel, "star long, trial int, event_time double, depth_ppm double, local_snr double")
     return match_detections(truth.drop("first", "last", "n"), found, tolerance_hours)
 
 
