@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -68,13 +69,33 @@ def rate_ratio(target: int, target_exposure: float, control: int, control_exposu
     return out | {"ratio": (target / te) / (control / ce), "ratio_low": tl / (ch if ch > 0 else 1e-9), "ratio_high": th / max(cl, 1e-9)}
 
 
+def _tail(log, seen: float, start: int, end: int, step: int) -> float:
+    """Sum of exp(log(k)) from start to end where log, which falls on the way, is at most seen; terms too small to count are left out."""
+    near, far = 0, (end - start) * step + 1
+    while near < far:
+        mid = (near + far) // 2
+        if log(start + mid * step) <= seen:
+            far = mid
+        else:
+            near = mid + 1
+    total, k = 0.0, start + near * step
+    while (end - k) * step >= 0:
+        term = math.exp(log(k))
+        total += term
+        if term <= total * 1e-18:
+            break
+        k += step
+    return total
+
+
 def fisher(a: int, b: int, c: int, d: int) -> tuple[float | None, float]:
     """Odds ratio (null if undefined) and two-sided p of a table: all tables no likelier than it."""
     n, row, col = a + b + c + d, a + b, a + c
     choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
     log = lambda k: choose(row, k) + choose(n - row, col - k) - choose(n, col)
-    seen = log(a)
-    p = sum(math.exp(x) for k in range(max(0, col - (n - row)), min(row, col) + 1) if (x := log(k)) <= seen + 1e-7)
+    seen, low, high = log(a) + 1e-7, max(0, col - (n - row)), min(row, col)
+    mode = min(max((row + 1) * (col + 1) // (n + 2), low), high)
+    p = _tail(log, seen, mode, low, -1) + _tail(log, seen, mode + 1, high, 1) if log(mode) > seen else 1.0
     odds = None if b * c == 0 and a * d == 0 else (math.inf if b * c == 0 else a * d / (b * c))
     return odds, min(1.0, p)
 
@@ -116,7 +137,7 @@ def rate_statistics(yields: DataFrame, replicates: int = 1000, confidence: float
     """Each row of yields with intervals, Fisher's test and a bootstrap of the ratio.
 
     Resampling n events with replacement is a multinomial draw of the role counts, so a replicate
-    costs three numbers, however many events there are.
+    costs three numbers, however many events there are. Where yields have a subset, each has draws of its own.
     """
     names = [x.split()[0] for x in STATS.split(", ")]
 
@@ -131,7 +152,8 @@ def rate_statistics(yields: DataFrame, replicates: int = 1000, confidence: float
                 n = t + c + u
                 some = np.empty(0)
                 if n:
-                    draws = np.random.default_rng(seed).multinomial(n, np.array([t, c, u]) / n, replicates)
+                    own = zlib.crc32(str(y.subset).encode()) if hasattr(y, "subset") else 0
+                    draws = np.random.default_rng([seed, own] if own else seed).multinomial(n, np.array([t, c, u]) / n, replicates)
                     with np.errstate(divide="ignore", invalid="ignore"):
                         some = (draws[:, 0] / te) / (draws[:, 1] / ce)
                     some = some[np.isfinite(some)]

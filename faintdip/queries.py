@@ -91,7 +91,7 @@ def with_parts(sql: str) -> str:
         for name in PARTS:
             if name not in need and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
                 if name in RECURSIVE:
-                    visit(PARTS["peaks"])
+                    visit("FROM peaks")
                 else:
                     visit(PARTS[name])
                 need.append(name) if name not in need else None
@@ -660,6 +660,15 @@ def scan_outcomes(spark, d):
     return scans.scan_stars(scans.scan_plan(pairs_of(spark, d)), lc_of(spark, d), window=WINDOW)
 
 
+@query("""SELECT star, sample_role, pair_id, star_name, true AS attempted, n >= 10 AND n IS NOT NULL AS success, CASE WHEN n IS NULL THEN 'no_data' WHEN n < 10 THEN 'too_few_points:' || n END AS failure_reason, CASE WHEN n >= 10 THEN coalesce(k, 0) ELSE 0 END AS n_candidates
+FROM (SELECT target_id AS star, 'target' AS sample_role, pair_id, target_name AS star_name FROM pairs WHERE target_id <> 0 UNION ALL SELECT control_id, 'control', pair_id, 'TIC ' || control_id FROM pairs) plan
+LEFT JOIN cadence USING (star) LEFT JOIN (SELECT star, len(scanned) AS k FROM thinned) USING (star)""")
+def scan_statuses(spark, d):
+    """The log rows of a whole scan: what became of each star of the plan."""
+    plan = scans.scan_plan(pairs_of(spark, d))
+    return scans.status_rows(scans.scan_stars(plan, lc_of(spark, d), window=WINDOW, fits=False), plan, F.current_timestamp()).drop("scan_timestamp")
+
+
 YIELD = "SELECT count(*) FILTER (sample_role = 'target') AS target_candidates, count(*) FILTER (sample_role = 'control') AS control_candidates, CAST(0 AS BIGINT) AS unknown_candidates, (SELECT count(DISTINCT target_id) FROM pairs)::DOUBLE AS target_exposure, (SELECT count(DISTINCT control_id) FROM pairs)::DOUBLE AS control_exposure FROM scored"
 
 

@@ -166,3 +166,33 @@ def test_metrics_with_ties(spark):
 def test_histogram_closes_on_the_right(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (1.1,), (None,)], "x double")
     assert {r["bin"]: r["n"] for r in consolidate.histogram(df, "x", 0, 1, 2).collect()} == {0: 1, 1: 2}
+
+
+def test_fisher_by_tails():
+    """The sum over all tables no likelier, and a table too large to go through."""
+    import math
+    import random
+
+    from faintdip.operators.rates import fisher
+
+    def all_tables(a, b, c, d):
+        n, row, col = a + b + c + d, a + b, a + c
+        log = lambda k: math.log(math.comb(row, k)) + math.log(math.comb(n - row, col - k)) - math.log(math.comb(n, col))
+        return sum(math.exp(log(k)) for k in range(max(0, col - (n - row)), min(row, col) + 1) if log(k) <= log(a) + 1e-7)
+
+    rng = random.Random(2)
+    for _ in range(300):
+        t = [rng.randrange(rng.choice([3, 15, 60])) for _ in range(4)]
+        if sum(t):
+            assert abs(fisher(*t)[1] - min(1.0, all_tables(*t))) < 1e-9, t
+    assert 0.5 < fisher(10**7, 9 * 10**7, 10**7 + 3000, 9 * 10**7)[1] < 0.55
+
+
+def test_subsets_have_draws_of_their_own(spark):
+    from faintdip.operators.rates import rate_statistics
+
+    row = (30, 20, 0, 100.0, 100.0)
+    df = spark.createDataFrame([(*row, "all"), (*row, "pass")], "target_candidates long, control_candidates long, unknown_candidates long, target_exposure double, control_exposure double, subset string")
+    a, b = (rate_statistics(df.filter(f"subset = '{s}'")).first() for s in ("all", "pass"))
+    assert a["bootstrap_low"] != b["bootstrap_low"] and a["ratio"] == b["ratio"]
+    assert rate_statistics(df).filter("subset = 'all'").first() == a
