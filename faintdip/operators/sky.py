@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..columns import number
 from ..functions.coords import separation_arcsec
 from ..lineage import cut, running
+from .medians import BROADCAST
+
+#: Rows of a cell from which it counts as crowded, and of each side that a task meets at once there.
+CROWD = 2000
 
 
 def with_coordinates(df: DataFrame, ra: str = "ra_deg", dec: str = "dec_deg") -> DataFrame:
@@ -50,6 +54,27 @@ def _searching(df: DataFrame, height: float) -> DataFrame:
     return df.withColumn("cell", F.explode(F.array_distinct(F.array(*(F.pmod(ra + i, n) for i in (-1, 0, 1))))))
 
 
+def _in_blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on (zone, cell) with blocks p and q: in crowded cells p numbers a's rows and q b's, by CROWD at most or so.
+
+    A row is copied to all blocks of the other side, so the pairs of a crowded field are met by many tasks.
+    """
+    one = lambda df, left: df.groupBy("zone", "cell").agg(F.count("*").alias("n")).select("zone", "cell", *((F.col("n") if x == left else F.lit(0).cast("long")).alias(x) for x in ("l", "r")))
+    both = one(a, "l").unionByName(one(b, "r")).groupBy("zone", "cell").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    crowded = cut(both.filter((F.greatest("l", "r") > CROWD) & (F.least("l", "r") > 0)))
+    n = crowded.count()
+    if not n:
+        flat = {"p": F.lit(0), "q": F.lit(0)}
+        return a.withColumns(flat), b.withColumns(flat)
+    blocks = crowded.select("zone", "cell", F.ceil(F.col("l") / CROWD).cast("int").alias("ps"), F.ceil(F.col("r") / CROWD).cast("int").alias("qs"))
+    blocks = F.broadcast(blocks) if n <= BROADCAST else blocks
+    mine = lambda key, many: F.pmod(F.xxhash64(*key), F.coalesce(many, F.lit(1))).cast("int")
+    all_of = lambda many: F.explode(F.sequence(F.lit(0), F.coalesce(many, F.lit(1)) - 1))
+    a = a.join(blocks, ["zone", "cell"], "left").withColumn("p", mine(["left_id", "ra1", "dec1"], "ps")).withColumn("q", all_of("qs")).drop("ps", "qs")
+    b = b.join(blocks, ["zone", "cell"], "left").withColumn("q", mine(["right_id", "ra2", "dec2"], "qs")).withColumn("p", all_of("ps")).drop("ps", "qs")
+    return a, b
+
+
 def within(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFrame:
     """(left_id, right_id, separation_arcsec) of all pairs within the radius; both sides have id, ra, dec in degrees."""
     if radius_arcsec <= 0:
@@ -59,7 +84,8 @@ def within(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFrame
     a = _searching(left.select("id", "ra", "dec").filter(ok), h).select(F.col("id").alias("left_id"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), "zone", "cell")
     b = _placed(right.select("id", "ra", "dec").filter(ok), h).select(F.col("id").alias("right_id"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), "zone", "cell")
     sep = separation_arcsec(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))
-    return a.join(b, ["zone", "cell"]).withColumn("separation_arcsec", sep).filter(F.col("separation_arcsec") <= radius_arcsec).select("left_id", "right_id", "separation_arcsec")
+    a, b = _in_blocks(a, b)
+    return a.join(b, ["zone", "cell", "p", "q"]).withColumn("separation_arcsec", sep).filter(F.col("separation_arcsec") <= radius_arcsec).select("left_id", "right_id", "separation_arcsec")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float = 3.0) -> DataFrame:

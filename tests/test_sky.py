@@ -134,3 +134,28 @@ def test_a_chain_of_many_points(spark):
     n = 20_000
     pairs = spark.range(1, n).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert [r["a"] for r in sky._losers(pairs, 8_000).orderBy("a").collect()] == list(range(1, n, 2))
+
+
+@pytest.mark.parametrize("crowd", [5, 2000])
+def test_a_crowded_field(spark, monkeypatch, crowd):
+    """A third of all points in one cell: the same pairs, and no task with more than a twentieth of them."""
+    monkeypatch.setattr(sky, "CROWD", crowd)
+    rng = np.random.default_rng(6)
+    n = 300
+    ra, dec = rng.uniform(0, 360, n), rng.uniform(-80, 80, n)
+    ra[:100], dec[:100] = 120 + rng.uniform(0, 0.5, 100), 20 + rng.uniform(0, 0.5, 100)
+    pdf = pd.DataFrame({"id": range(n), "ra": ra, "dec": dec})
+    pdf = pd.concat([pdf, pdf.head(2)])  # rows that repeat
+    df = spark.createDataFrame(pdf)
+    got = sorted((r["left_id"], r["right_id"]) for r in sky.within(df, df, 3600.0).collect())
+    a, d = np.radians(pdf.ra.to_numpy()), np.radians(pdf.dec.to_numpy())
+    cos = np.sin(d)[:, None] * np.sin(d) + np.cos(d)[:, None] * np.cos(d) * np.cos(a[:, None] - a)
+    i, j = np.nonzero(np.degrees(np.arccos(np.clip(cos, -1, 1))) <= 1)
+    ids = pdf.id.to_numpy()
+    assert got == sorted(zip(ids[i].tolist(), ids[j].tolist()))
+    if crowd == 5:
+        one = df.select(F.col("id").alias("left_id"), F.col("ra").alias("ra1"), F.col("dec").alias("dec1"), F.lit(1).alias("zone"), F.lit(1).alias("cell"))
+        two = df.select(F.col("id").alias("right_id"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), F.lit(1).alias("zone"), F.lit(1).alias("cell"))
+        p, q = sky._in_blocks(one, two)
+        work = [r["count"] for r in p.join(q, ["zone", "cell", "p", "q"]).groupBy("p", "q").count().collect()]
+        assert sum(work) == len(pdf) ** 2 and max(work) < sum(work) / 20
