@@ -26,6 +26,29 @@ POOL_ALIASES = {
     "has_tess_lightcurve": ["has_tess_lightcurve", "has_tess", "tess_available"],
     "ir_excess_flag": ["ir_excess_flag", "has_ir_excess", "disk_flag"],
 }
+# Fields of the research table, and the columns that they may come from.
+RESEARCH_TEXT = {
+    "target_name": ["target_name", "Name", "Star"],
+    "source_catalog": ["source_catalog"],
+    "sp_type": ["sp_type", "SpT", "SpType"],
+    "reference": ["reference", "Ref", "BibCode"],
+    "sample_role": ["sample_role"],
+    "has_tess_lightcurve": ["has_tess_lightcurve"],
+    "first_author": ["first_author"],
+    "first_mission": ["first_mission"],
+}
+RESEARCH_NUMBERS = {
+    "ra_deg": ["ra_deg"],
+    "dec_deg": ["dec_deg"],
+    "teff_catalog": ["teff_catalog", "T*", "Teff"],
+    "distance_pc": ["distance_pc", "Dist", "D"],
+    "disk_temperature": ["disk_temperature", "Td1", "Tdt2", "Tgr", "Tgr1", "Tgr2"],
+    "disk_radius": ["disk_radius", "Rd1", "Rd2", "D1", "D2"],
+    "n_tess_products": ["n_tess_products"],
+    "first_year": ["first_year"],
+    "first_sector": ["first_sector"],
+}
+RESEARCH_MATCHED = {"tic_query_status": ["tic_id", "tmag"], "gaia_query_status": ["gaia_dr3_source_id", "bp_rp", "parallax"]}
 RA_PARTS, DEC_PARTS, DEC_SIGN = ("rah", "ram", "ras"), ("ded", "dem", "des"), "de-"
 PRIORITIES = {"cotten_song_2016": 1, "chen_2014": 2, "mcdonald_2017": 3}
 
@@ -91,6 +114,38 @@ def clean_targets(df: DataFrame) -> DataFrame:
     )
 
 
+def research_table(df: DataFrame) -> DataFrame:
+    """The compact table for research, with no value made up: one row for each of df's, absent columns null.
+
+    Text fields come from the first of their columns that exists, numbers from the first in which any row has a number.
+    What a look-up gave counts only where its status is matched, placeholders count as nothing, and an empty status is
+    not_attempted.
+    """
+    number_of = {(f, real): number(F.col(f"`{real}`")) for f, names in RESEARCH_NUMBERS.items() for n in names if (real := pick(df, [n]))}
+    several = [k for k in number_of if sum(f == k[0] for f, _ in number_of) > 1]
+    known = df.agg(*(F.count(number_of[k]).alias(str(i)) for i, k in enumerate(several))) if several else None
+
+    def numeric(field: str) -> Column:
+        mine = [k for k in number_of if k[0] == field]
+        if len(mine) < 2:
+            return number_of[mine[0]] if mine else F.lit(None).cast("double")
+        some = [(known.select(str(several.index(k))).scalar() > 0, number_of[k]) for k in mine]
+        return reduce(lambda c, x: c.when(*x), some[1:], F.when(*some[0]))
+
+    def status(name: str) -> Column:
+        text = F.trim(first_of(df, [name]).cast("string"))
+        return F.when(text.isNull() | F.lower(text).isin("", "nan", "none", "<na>", "not_attempted_placeholder"), "not_attempted").otherwise(text)
+
+    own = {f: first_of(df, names).cast("string") for f, names in RESEARCH_TEXT.items()} | {f: numeric(f) for f in RESEARCH_NUMBERS}
+    own["tess_query_status"] = status("tess_query_status")
+    for by, fields in RESEARCH_MATCHED.items():
+        own[by] = status(by)
+        for f in fields:
+            value = meaningful(first_of(df, [f]).cast("string"))
+            own[f] = F.when(own[by] == "matched", value if f.endswith("id") else number(value))
+    return df.select(*(c.alias(n) for n, c in own.items()))
+
+
 def normalize_pool(df: DataFrame) -> DataFrame:
     """A control pool: ids, names, photometry, coordinates, and whether there is data; null ids go, the first of each id stays."""
     out = df.select(

@@ -386,6 +386,21 @@ def catalog_of(spark, d):
     return catalogs.clean_targets(raw)
 
 
+@query("""SELECT c_name AS target_name, 'chen_2014' AS source_catalog, CASE WHEN c_custkey % 3 = 0 THEN 'G2V' END AS sp_type, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 90 + 50.5::DOUBLE END AS disk_temperature, c_custkey % 7::DOUBLE AS disk_radius,
+CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 5000.0::DOUBLE + c_custkey % 100 END AS teff_catalog, NULL::DOUBLE AS distance_pc, CASE c_custkey % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'not_attempted' ELSE 'odd' END AS tic_query_status, 'not_attempted' AS gaia_query_status,
+CASE WHEN c_custkey % 3 = 0 AND c_custkey % 6 <> 0 THEN c_custkey::VARCHAR END AS tic_id, CASE WHEN c_custkey % 3 = 0 THEN round(c_acctbal / 1000, 6) END AS tmag, NULL::DOUBLE AS parallax FROM customer""")
+def catalog_research(spark, d):
+    """Fields from the first column that has a number anywhere: Td1 and T* have none, Rd1 comes before Rd2."""
+    k = F.col("c_custkey")
+    raw = table(spark, d, "customer").select(
+        F.col("c_name").alias("Name"), F.lit("chen_2014").alias("source_catalog"), F.when(k % 3 == 0, "G2V").alias("SpT"), F.lit("--").alias("Td1"), F.when(k % 5 != 0, k % 90 + 50.5).alias("Tgr"), F.lit(1.0).alias("Tgr1"), (k % 7).cast("string").alias("Rd1"), F.lit("9").alias("Rd2"),
+        F.lit(None).cast("string").alias("T*"), F.when(k % 4 == 0, "unknown").otherwise((5000 + k % 100).cast("string")).alias("Teff"), F.when(k % 3 == 0, " matched ").when(k % 3 == 1, "<NA>").otherwise("odd").alias("tic_query_status"),
+        F.when(k % 6 == 0, "n/a").otherwise(k.cast("string")).alias("tic_id"), F.round(F.col("c_acctbal") / 1000, 6).alias("tmag"), F.lit("5.0").alias("parallax"),
+    )
+    names = ["target_name", "source_catalog", "sp_type", "disk_temperature", "disk_radius", "teff_catalog", "distance_pc", "tic_query_status", "gaia_query_status", "tic_id", "tmag", "parallax"]
+    return catalogs.research_table(raw).select(*names)
+
+
 @query(CATALOG)
 def catalog_clean(spark, d):
     return catalog_of(spark, d).withColumn("tic_id", F.col("tic_id").cast("string"))
