@@ -1,4 +1,4 @@
-"""Connected components of a graph of integer nodes by alternating stars."""
+"""Connected components of a graph of integer nodes, contracted level by level."""
 
 from __future__ import annotations
 
@@ -9,24 +9,10 @@ from pyspark.sql import functions as F
 
 from .state import cut
 
-#: Edges from which a node counts as hot in a small graph; in a larger one it has this share of all edges or more.
+#: Nodes that hang on one root from which it counts as hot in a small graph; in a larger one it has this share of all nodes or more.
 HOT = 2000
-#: Edges (16 bytes each) up to which one task finds the components of a whole graph.
-SMALL = 1 << 20
-
-
-def _fingerprint(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-
-def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
-    """edges (a, b) with m of their a. Nodes of so many edges that few can have as many meet it by broadcast, so none is a hot key."""
-    hot = [(r["a"], r["m"]) for r in least.filter(F.col("n") > max(HOT, count // HOT)).select("a", "m").collect()]  # at most 2 * HOT nodes
-    rest = least.select("a", "m")
-    if not hot:
-        return edges.join(rest, "a")
-    some = F.broadcast(edges.sparkSession.createDataFrame(hot, "a long, m long"))
-    return edges.join(some, "a").unionByName(edges.join(some, "a", "left_anti").join(rest, "a"))
+#: Edges (16 bytes each) that a task contracts at a time.
+CHUNK = 1 << 20
 
 
 def small_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,44 +28,65 @@ def small_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
             parent = up
 
 
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    def run(batches):
-        pairs = [(np.asarray(t.column(0)), np.asarray(t.column(1))) for t in batches]
-        if pairs:
-            node, component = small_components(*map(np.concatenate, zip(*pairs)))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], ["node", "component"])
+def contracted(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b), a > b, that connect the same nodes as edges (a, b): each chunk of a partition becomes stars around its smallest nodes.
 
-    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+    That needs no shuffle and holds one chunk at a time. Nulls and loops go.
+    """
 
+    def stars(pairs):
+        node, least = small_components(*map(np.concatenate, zip(*pairs)))
+        some = node != least
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(least[some])], ["a", "b"])
 
-def components(edges: DataFrame, rounds: int = 60, small: int = SMALL) -> DataFrame:
+    def run(batches):
+        held, n = [], 0
+        for t in batches:
+            held.append((np.asarray(t.column(0)), np.asarray(t.column(1))))
+            n += t.num_rows
+            if n >= chunk:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    return edges.select("a", "b").filter("a <> b").mapInArrow(run, "a long, b long")
+
+
+def _through(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, component) of nodes (a, m): the component of m in labels, else m. Roots with very many nodes meet their label by broadcast."""
+    total = nodes.count()
+    hot = cut(nodes.groupBy("m").agg(F.count("*").alias("n")).filter(F.col("n") > max(HOT, total // HOT)).select("m"))  # at most HOT
+    known = labels.select(F.col("node").alias("m"), "component")
+    if not hot.isEmpty():
+        some = F.broadcast(hot.join(known, "m", "left"))
+        nodes, often = nodes.join(F.broadcast(hot), "m", "left_anti"), nodes.join(some, "m").select("a", "m", "component")
+    both = nodes.join(known, "m", "left").select("a", "m", "component")
+    both = both if hot.isEmpty() else both.unionByName(often)
+    return both.select(F.col("a").alias("node"), F.coalesce("component", "m").alias("component"))
+
+
+def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is its smallest reachable node.
 
-    Each round hangs all larger neighbours of a node on its smallest neighbour, then the
-    node and its smaller neighbours too, until the graph is stars; rounds grow with the
-    logarithm of a component's size. Nulls, loops and repeated edges do no harm. Minima are
-    taken before any shuffle, and hot nodes are joined by broadcast, so a node with many
-    neighbours is no hot key. A graph of `small` edges or fewer, which are counted first, is
-    done in one task without rounds; the result is the same.
+    Edges are contracted to stars where they lie. A node hangs on the smallest of its stars' roots, and what ties roots to one
+    another is the next level's graph, of at most half as many nodes: levels grow with the logarithm of the nodes, and all of
+    them together shuffle a few rows a node, not an edge. Then labels are taken from the last level down. Nulls, loops
+    and repeated edges do no harm. Nodes are gathered with map-side combination and have at most one star a chunk, and roots
+    of very many nodes are joined by broadcast, so none is a hot key. Graphs of all sizes are done alike; an
+    empty one has no components.
     """
-    e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = cut(e)
-    seen = _fingerprint(e)
-    if seen[0] <= small:
-        return _in_one_task(e)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.filter("b > a"), least, seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, seen[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = cut(small.filter("a <> b").distinct())
-        now = _fingerprint(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    stars, levels = cut(contracted(edges, chunk)), []
+    while not stars.isEmpty():
+        roots = stars.select(F.col("b").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(True).alias("root"))
+        nodes = stars.select("a", "b", F.lit(False).alias("root")).unionByName(roots).groupBy("a").agg(F.collect_set("b").alias("on"), F.bool_or("root").alias("root"))
+        nodes = cut(nodes.filter(F.size("on") > 0).select("a", "on", "root", F.array_min("on").alias("m")))
+        levels.append(nodes.select("a", "m"))
+        # the roots of a node belong together, and so does it where it is a root itself
+        tied = nodes.select(F.explode(F.when(F.col("root"), F.array_append("on", F.col("a"))).otherwise(F.col("on"))).alias("a"), F.col("m").alias("b"))
+        stars = cut(contracted(tied, chunk))
+    labels = edges.sparkSession.createDataFrame([], "node long, component long")
+    for nodes in reversed(levels):
+        # a root that was a node as well has the same component twice
+        labels = cut(_through(nodes, labels).unionByName(labels).groupBy("node").agg(F.min("component").alias("component")))
+    return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())

@@ -104,7 +104,7 @@ def test_alike_texts_have_other_hashes(spark, sf, size):
     assert kept == {1: 0, 2: size}
 
 
-def test_components_in_one_task_and_by_rounds(spark):
+def test_components_of_chunks_of_any_size(spark):
     from faintdip.llm.components import components
 
     rng = random.Random(5)
@@ -118,6 +118,6 @@ def test_components_in_one_task_and_by_rounds(spark):
             if a in label and b in label and a != b:
                 label[a] = label[b] = min(label[a], label[b])
     frame = spark.createDataFrame(edges, "a long, b long")
-    for small in (1 << 20, 0):
-        assert {r["node"]: r["component"] for r in components(frame, small=small).collect()} == label
+    for chunk, parts in ((1 << 20, 1), (1 << 20, 7), (3, 5), (1, 2)):
+        assert {r["node"]: r["component"] for r in components(frame.repartition(parts), chunk=chunk).collect()} == label
     assert components(frame.limit(0)).count() == 0
