@@ -145,6 +145,8 @@ def test_main_text(spark, sf):
     assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == ""
     assert main_text("<p>a < b</p><p>c") == "a < b\nc"
     assert main_text("<p title='a>b'>x<!-- <p>no --> y") == "x y"
+    for empty in ("<!-->", "<!--->", "<!---->", "<!-- a --!>"):
+        assert main_text(f"<article><p>a</p>{empty}<p>b</p><!-- x --><p>c</p></article>") == "a\nb\nc", empty
     pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("low", F.lit(1))
     odd = spark.createDataFrame([(-1, None, None), (None, "no url", "<p>x"), (-2, "http://h/", PAGE), (-2, "http://h/", PAGE)], "page_id long, url string, html string").withColumn("low", F.lit(1))
     got = extract(pages.unionByName(odd)).collect()
