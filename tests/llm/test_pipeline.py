@@ -56,6 +56,27 @@ def test_stages_by_brute_force(spark, sf, tmp_path):
     assert {r["doc_id"] for r in e.collect()} == set(e_in)
 
 
+def test_stages_on_odd_rows(spark, sf):
+    """Null, empty and very long texts, null and repeated ids, clashing columns, and no rows at all."""
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"word{i}" for i in range(80))
+    odd = [(-1, None, None, None, None), (-2, "", "en", "s", 0), (None, words, "en", None, 1), (-3, words + " token = 'abcDEF123456'", "en", "s", 2), (-3, words + " token = 'abcDEF123456'", "en", "s", 2), (-4, " ".join(f"x{i}" for i in range(60_000)), "en", "s", 3)]
+    base = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    clash = {c: F.lit(c) for c in ("row", "rid", "score", "kept", "component", "words", "n_words", "ids", "label")}
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema)).withColumns(clash).cache()
+    all_odd = [-4, -3, -3, -2, -1, None]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert name == "tokens" or out.columns == docs.columns, name
+        got = sorted((r["doc_id"] for r in out.select("doc_id").collect() if r["doc_id"] is None or r["doc_id"] < 0), key=lambda i: i or 0)
+        if name == "quality_rules":
+            assert set(got) <= {-4, -3, None}  # the others have no words
+        else:
+            assert got == ([-4, -3, -2, -1, None] if name == "near_duplicates" else all_odd), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and out.filter("n_tokens <> size(ids)").count() == 0
