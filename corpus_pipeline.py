@@ -1,4 +1,8 @@
-"""A corpus pipeline: from raw documents to token ids, stage by stage."""
+"""A corpus pipeline: from raw documents to token ids, stage by stage.
+
+Every stage takes a table with the columns of documents, in any order and with null in any of them, and works on all of it; an
+empty table stays empty, and other columns, whatever their names, are kept by all stages but the last. Rows that repeat are judged each.
+"""
 
 from __future__ import annotations
 
@@ -11,31 +15,31 @@ from faintdip.llm.decontaminate import clean
 from faintdip.llm.ngram_join import one_of_each
 from faintdip.llm.quality import quality_filter
 from faintdip.llm.secret_scan import redact
-from faintdip.llm.state import shared_folder
+from faintdip.llm.state import forget, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Documents that pass the base rules and the likelihood ratio. Null and empty texts have no words, so they go."""
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its five-word shingles."""
+    """One document of each group that shares 80 % of its five-word shingles; null and empty texts and null ids are in no group and stay."""
     return one_of_each(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; null and empty texts hold none and stay."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live-looking secrets replaced."""
+    """All documents, with live-looking secrets replaced; n_chars is counted anew, null for a null text."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of whole texts, and what they decode to by digest."""
+    """Token ids of whole texts, and what they decode to by digest; a null text is an empty one."""
     return encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, lists=True)
 
 
@@ -52,10 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage's rows are written to the shared folder and read again."""
+    """The rows of the last stage; every stage's rows are written to the shared folder, which goes when the session's JVM ends, and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = shared_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
+        forget(spark, path)
         docs = spark.read.parquet(path)
     return docs
