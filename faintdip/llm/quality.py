@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import cut, running
 from .flat import WHITE, mix, neighbours, per_text, repeated, shingle_hash, slices, span_hash, words
 
-#: Hash buckets of the two multinomials, and the bound on labelled rows taken for each label.
+#: Hash buckets of the two multinomials.
 BUCKETS = 1 << 16
-LABELLED = 20_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -70,26 +70,21 @@ def base_counts(buf, off, text, word):
     return n_words, chars, symbols, dup, again
 
 
-def ngram_counts(docs: DataFrame, trusted: np.ndarray, buckets: int) -> np.ndarray:
-    """Counts of each bucket over all documents, and over those with a trusted id: 2 x buckets."""
+def ngram_counts(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Counts of each bucket over all rows of (doc_id, text)."""
 
     def run(batches):
-        total = np.zeros((2, buckets), np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            good = np.isin(np.asarray(batch.column(0).fill_null(-1)), trusted) & ~np.asarray(batch.column(0).is_null())
-            for i, buf, off in slices(batch.column(1)):
-                start, end, text = words(buf, off)
-                at, of, _ = ngrams(buf, start, end, text, buckets)
-                total[0] += np.bincount(at, minlength=buckets)
-                total[1] += np.bincount(at[good[i : i + len(off) - 1][of]], minlength=buckets)
-        at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "good"])
-
-    parts = docs.mapInArrow(run, "bucket long, raw long, good long")
-    out = np.zeros((2, buckets), np.int64)
+            for _, buf, off in slices(batch.column(1)):
+                total += np.bincount(ngrams(buf, *words(buf, off), buckets)[0], minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    out = np.zeros(buckets, np.int64)
     # at most one row for each bucket
-    for r in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
-        out[:, r["bucket"]] = r["raw"], r["good"]
+    for r in docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
     return out
 
 
@@ -120,14 +115,17 @@ def measured(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*kind, *(docs.schema[c] for c in more)]))
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score that best parts good from bad labelled documents; minus infinity if either is missing."""
-    if not len(good) or not len(bad):
+def best_cut(scores: DataFrame) -> float:
+    """The score that best parts good from bad rows of (score, quality), the least of equals; minus infinity if either is missing."""
+    each = cut(scores.groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")))
+    n = each.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    if not n["good"] or not n["bad"]:
         return float("-inf")
-    edges = np.unique(np.concatenate([good, bad]))
-    gain = np.searchsorted(np.sort(bad), edges, "left") / len(bad) - np.searchsorted(np.sort(good), edges, "left") / len(good)
-    k = int(np.argmax(gain))
-    return float((edges[k] + edges[k - 1]) / 2) if k else float(edges[0])
+    below = running(each, [F.col("score")], g=F.col("good"), b=F.col("bad"))
+    gain = (F.col("b") - F.col("bad")) / n["bad"] - (F.col("g") - F.col("good")) / n["good"]
+    edge = below.orderBy(gain.desc(), "score").first()["score"]
+    before = each.filter(F.col("score") < edge).agg(F.max("score")).first()[0]
+    return float(edge if before is None else (edge + before) / 2)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -139,35 +137,26 @@ def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return quality_rules(docs.select("doc_id", "text", row), labels, carry=("row",), **options).filter("kept").select("row.*")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, labelled: int = LABELLED, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs (doc_id, text): base counts, score, base_failed, kept.
 
-    labels has doc_id and quality (1 good, 0 bad). At most `labelled` ids of either label are
-    taken, those with the smallest hashes, each by the lowest score of its rows; all other counts and scores cover every document.
+    labels has doc_id and quality (1 good, 0 bad; good where an id has both). All labelled documents count, for the
+    threshold each by the lowest score of its rows.
     Null texts have no words, so they fail the base rules; null ids stay null. Repeated rows
     give repeated results. Without labels of both kinds only the base rules decide. Columns
     beyond doc_id, text and those named in carry are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *carry)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    ids = {}
-    for q in (0, 1):
-        some = labels.filter((F.col("quality") == q) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        ids[q] = np.array([r[0] for r in some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()], np.int64)
-    ids[0] = np.setdiff1d(ids[0], ids[1])
-    weights = log_ratio(ngram_counts(docs, ids[1], buckets))
-    cut = float("-inf")
-    if len(ids[0]) and len(ids[1]):
-        known = F.broadcast(spark.createDataFrame([(int(i),) for i in np.concatenate([ids[0], ids[1]])], "doc_id long"))  # at most 2 * labelled ids
-        got = measured(docs.join(known, "doc_id", "left_semi"), weights).filter("n_words > 0")
-        got = got.groupBy("doc_id").agg(F.min("score").alias("score")).toPandas()  # a row an id, however often it is repeated
-        good = got.doc_id.isin(ids[1])
-        cut = best_cut(got.score[good].to_numpy(), got.score[~good].to_numpy())
+    marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    of = lambda some: docs.join(some.select("doc_id"), "doc_id", "left_semi")
+    weights = log_ratio(np.stack([ngram_counts(docs, buckets), ngram_counts(of(marks.filter("quality = 1")), buckets)]))
+    scores = measured(of(marks), weights).filter("n_words > 0").groupBy("doc_id").agg(F.min("score").alias("score"))
+    threshold = best_cut(scores.join(marks, "doc_id"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         measured(rows, weights)
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut)))
-        .withColumn("threshold", F.lit(cut))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+        .withColumn("threshold", F.lit(threshold))
     )

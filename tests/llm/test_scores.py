@@ -120,3 +120,18 @@ def test_long_vocabularies():
     texts = ["Hello there, world!", "", "été 12345 \n\n x" * 5]
     ids, begin = Encoder(more, T.PATTERN)(texts)
     assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_all_labelled_documents_count(spark):
+    """More good documents than the bound that there was."""
+    import math
+
+    from faintdip.llm.quality import BUCKETS, quality_rules
+
+    n = 20_010
+    docs = spark.range(n + 10).selectExpr("id as doc_id", f"if(id < {n}, 'x', 'y') as text")
+    labels = spark.range(n + 10).selectExpr("id as doc_id", f"if(id < {n}, 1, 0) as quality")
+    got = {round(r["score"], 9): r["threshold"] for r in quality_rules(docs, labels).select("score", "threshold").distinct().collect()}
+    x = math.log((n + 1) / (n + BUCKETS)) - math.log((n + 1) / (n + 10 + BUCKETS))
+    y = math.log(1 / (n + BUCKETS)) - math.log(11 / (n + 10 + BUCKETS))
+    assert set(got) == {round(x, 9), round(y, 9)} and all(abs(t - (x + y) / 2) < 1e-9 for t in got.values())
