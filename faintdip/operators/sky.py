@@ -7,6 +7,8 @@ towards the poles. So a join is an equi-join on small cells, with an exact check
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ from .medians import BROADCAST
 
 #: Rows of a cell from which it counts as crowded, and of each side that a task meets at once there.
 CROWD = 2000
+#: Arcseconds up to which a radius is searched at once.
+WIDE = 60.0
 
 
 def with_coordinates(df: DataFrame, ra: str = "ra_deg", dec: str = "dec_deg") -> DataFrame:
@@ -75,6 +79,12 @@ def _in_blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
+def _on_sphere(df: DataFrame, side: str) -> DataFrame:
+    """df with the point of the unit sphere at its position."""
+    ra, dec = F.radians(F.col(f"ra{side}")), F.radians(F.col(f"dec{side}"))
+    return df.withColumns({f"x{side}": F.cos(dec) * F.cos(ra), f"y{side}": F.cos(dec) * F.sin(ra), f"z{side}": F.sin(dec)})
+
+
 def within(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFrame:
     """(left_id, right_id, separation_arcsec) of all pairs within the radius; both sides have id, ra, dec in degrees."""
     if radius_arcsec <= 0:
@@ -85,13 +95,37 @@ def within(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFrame
     b = _placed(right.select("id", "ra", "dec").filter(ok), h).select(F.col("id").alias("right_id"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), "zone", "cell")
     sep = separation_arcsec(F.col("ra1"), F.col("dec1"), F.col("ra2"), F.col("dec2"))
     a, b = _in_blocks(a, b)
-    return a.join(b, ["zone", "cell", "p", "q"]).withColumn("separation_arcsec", sep).filter(F.col("separation_arcsec") <= radius_arcsec).select("left_id", "right_id", "separation_arcsec")
+    # chords are cheap and spare most of the cells' pairs the angle, which decides
+    a, b = _on_sphere(a, "1"), _on_sphere(b, "2")
+    chord = (2 * math.sin(math.radians(min(radius_arcsec / 3600, 180.0)) / 2) * (1 + 1e-6) + 1e-14) ** 2
+    near = sum((F.col(f"{x}1") - F.col(f"{x}2")) * (F.col(f"{x}1") - F.col(f"{x}2")) for x in "xyz") <= chord
+    return a.join(b, ["zone", "cell", "p", "q"]).filter(near).withColumn("separation_arcsec", sep).filter(F.col("separation_arcsec") <= radius_arcsec).select("left_id", "right_id", "separation_arcsec")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float = 3.0) -> DataFrame:
-    """The nearest right point of each left point within the radius; of equals the smallest id."""
+    """The nearest right point of each left point within the radius; of equals the smallest id.
+
+    Wide radii are searched near first, and again only for points that have nothing there, so the pairs
+    that are met hang on the points and not on how many lie within the radius.
+    """
     best = F.min(F.struct("separation_arcsec", "right_id")).alias("b")
-    return within(left, right, radius_arcsec).groupBy("left_id").agg(best).select("left_id", "b.right_id", "b.separation_arcsec")
+    closest = lambda some, r: within(some, right, r).groupBy("left_id").agg(best).select("left_id", "b.right_id", "b.separation_arcsec")
+    radii = _radii(right, radius_arcsec)
+    found, some = [], left.select("id", "ra", "dec") if len(radii) > 1 else left
+    for r in radii[:-1]:
+        found.append(cut(closest(some, r)))
+        some = cut(some.join(found[-1].select(F.col("left_id").alias("id")), "id", "left_anti"))
+    return reduce(DataFrame.unionByName, found, closest(some, radii[-1]))
+
+
+def _radii(right: DataFrame, radius_arcsec: float) -> list[float]:
+    """Radii that double up to the last; the first holds some four points if they are spread evenly over the sky."""
+    radii = [radius_arcsec]
+    if radius_arcsec > WIDE:
+        some = 3600 * 360 / math.pi * 2 / math.sqrt(max(1, right.count()))
+        while radii[0] > max(some, WIDE):
+            radii.insert(0, radii[0] / 2)
+    return radii
 
 
 def crossmatch(left: DataFrame, right: DataFrame, radius_arcsec: float, prefix: str, limit: int | None = None, order: str = "id") -> DataFrame:

@@ -159,3 +159,15 @@ def test_a_crowded_field(spark, monkeypatch, crowd):
         p, q = sky._in_blocks(one, two)
         work = [r["count"] for r in p.join(q, ["zone", "cell", "p", "q"]).groupBy("p", "q").count().collect()]
         assert sum(work) == len(pdf) ** 2 and max(work) < sum(work) / 20
+
+
+def test_nearest_looks_near_first(spark):
+    """A wide radius and a dense pool: in several radii, the same as over all pairs within the last."""
+    stars = spark.range(200).selectExpr("id", "(id * 137.508D) % 360 as ra", "(id * 53.13D) % 160 - 80 as dec")
+    pool = spark.range(4000).selectExpr("id", "(id * 97.31D) % 360 as ra", "(id * 31.77D) % 160 - 80 as dec")
+    radius = 40_000.0
+    assert len(sky._radii(pool, radius)) > 1
+    want = {}
+    for r in sky.within(stars, pool, radius).collect():
+        want[r["left_id"]] = min(want.get(r["left_id"], (1e9, 0)), (r["separation_arcsec"], r["right_id"]))
+    assert {r["left_id"]: (r["separation_arcsec"], r["right_id"]) for r in sky.nearest(stars, pool, radius).collect()} == want
