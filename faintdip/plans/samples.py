@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..columns import truthy
+from ..lineage import cut, running
 from ..operators import catalogs, sky
 
 
@@ -19,9 +22,9 @@ def target_sample(tables: dict[str, DataFrame], wanted: int | None = None, radiu
     """Targets of all catalogs: the first by catalog priority and name at each place on the sky."""
     rows = catalogs.union([catalogs.normalize(t, n) for n, t in limited(tables, wanted, tables[next(iter(tables))].columns[0]).items()])
     rows = rows.select("target_name", "ra_deg", "dec_deg", "tic_id", "tmag", "bp_rp", "teff", "parallax", "source_catalog", "catalog_priority", "is_secondary")
-    # numbers that follow the order, without one task that sees all rows: the places need them only to compare
-    key = F.struct("catalog_priority", F.coalesce("target_name", F.lit("~")), F.coalesce("ra_deg", F.lit(0.0)), F.coalesce("dec_deg", F.lit(0.0)))
-    rows = rows.withColumn("id", F.col("catalog_priority").cast("long") * (1 << 52) + F.pmod(F.xxhash64(key), F.lit(1 << 52)))
+    # numbers that follow the order, by ranges, without one task that sees all rows
+    order = ["catalog_priority", "source_catalog", "target_name", "ra_deg", "dec_deg", "tic_id"]
+    rows = running(rows, [F.asc_nulls_last(c) for c in order], id=F.lit(1))
     kept = sky.deduplicate(rows.withColumnsRenamed({"ra_deg": "ra", "dec_deg": "dec"}), radius_arcsec).withColumnsRenamed({"ra": "ra_deg", "dec": "dec_deg"})
     kept = kept.withColumn("sample_role", F.lit("target"))
     return kept if wanted is None else kept.orderBy("catalog_priority", "target_name").limit(wanted)
@@ -36,12 +39,29 @@ def range_scan(targets: DataFrame, stars: DataFrame, *, tmag: float = 0.5, teff:
     if tmag <= 0 or teff <= 0 or each < 1 or (total is not None and total < 1):
         raise ValueError("tmag, teff, each and total must be positive")
     t = targets.select(F.col("id").alias("target_id"), F.col("tmag").alias("t"), F.col("teff").alias("e"))
-    t = t.withColumn("band", F.explode(F.array(*(F.floor(F.col("t") / tmag) + i for i in (-1, 0, 1)))))
-    s = stars.withColumn("band", F.floor(F.col("tmag") / tmag))
     low = F.greatest(F.col("e") - teff, F.lit(floor))
-    pairs = s.join(t, "band").filter((F.abs(F.col("tmag") - F.col("t")) <= tmag) & (F.col("e").isNull() | F.col("teff").between(low, F.col("e") + teff)))
-    best = W.partitionBy("target_id").orderBy(F.abs(F.col("tmag") - F.col("t")), "id")
-    found = pairs.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= each).groupBy("id").agg(F.min("target_id").alias("target_id"), F.first("tmag").alias("tmag"), F.first("teff").alias("teff"))
+    apart = F.abs(F.col("tmag") - F.col("t"))
+
+    def closest(some: DataFrame, reach: float) -> DataFrame:
+        size = reach * (1 + 1e-9)
+        some = some.withColumn("band", F.explode(F.array(*(F.floor(F.col("t") / size) + i for i in (-1, 0, 1)))))
+        pairs = stars.withColumn("band", F.floor(F.col("tmag") / size)).join(some, "band").filter((apart <= reach) & (F.col("e").isNull() | F.col("teff").between(low, F.col("e") + teff)))
+        best = W.partitionBy("target_id").orderBy(apart, "id")
+        return pairs.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= each).select("target_id", "id", "tmag", "teff", "__k")
+
+    # dense fields are searched near first, and again only for targets that have too few there
+    shares, n = [1.0], stars.count()
+    while n > 32 * each:
+        shares.insert(0, shares[0] / 4)
+        n /= 4
+    parts = []
+    for share in shares[:-1]:
+        got = cut(closest(t, share * tmag))
+        done = got.filter(F.col("__k") == each).select("target_id")
+        parts.append(got.join(done, "target_id", "left_semi"))
+        t = cut(t.join(done, "target_id", "left_anti"))
+    pairs = reduce(DataFrame.unionByName, parts, closest(t, tmag))
+    found = pairs.groupBy("id").agg(F.min("target_id").alias("target_id"), F.first("tmag").alias("tmag"), F.first("teff").alias("teff"))
     return found if total is None else found.orderBy("target_id", "id").limit(total)
 
 

@@ -66,3 +66,27 @@ def test_registered_runs_fit_models(spark, sf, monkeypatch):
     monkeypatch.setattr(pipeline, "run", lambda *a, **b: seen.append(run(*a, **b)) or seen[-1])
     assert queries.full_run_statistics(spark, sf).count() == 2
     assert seen[0].events.filter("delta_chi2 is not null and not isnan(delta_chi2)").count() > 0
+
+
+def test_range_scan_of_a_dense_field(spark, monkeypatch):
+    """Near stars first, in several levels, and the same rows as by looking at all."""
+    import random
+
+    rng, cuts = random.Random(5), []
+    monkeypatch.setattr(samples, "cut", lambda df, real=samples.cut: cuts.append(1) or real(df))
+    stars = [(i, round(8 + rng.random() ** 3, 3), 5000.0 + 100 * (i % 9)) for i in range(600)]
+    targets = [(1000 + i, round(7.8 + 1.4 * rng.random(), 3), 5000.0 + 100 * (i % 12)) for i in range(60)]
+    want = {}
+    for k, m, e in sorted(targets):
+        near = sorted((abs(s[1] - m), s[0]) for s in stars if abs(s[1] - m) <= 0.5 and e - 300 <= s[2] <= e + 300)[:2]
+        for _, s in near:
+            want.setdefault(s, k)
+    kind = "id long, tmag double, teff double"
+    got = samples.range_scan(spark.createDataFrame(targets, kind), spark.createDataFrame(stars, kind), each=2)
+    assert {r["id"]: r["target_id"] for r in got.collect()} == want and cuts
+
+
+def test_target_sample_keeps_the_first_name_of_a_catalog(spark):
+    rows = [(f"{n}{i:02}", 10.0 + i, 5.0) for i in range(30) for n in ("B", "A")]
+    got = samples.target_sample({"chen_2014": spark.createDataFrame(rows, "name string, ra double, dec double")}).collect()
+    assert sorted(r["target_name"] for r in got) == [f"A{i:02}" for i in range(30)]
