@@ -3,10 +3,13 @@
 Targets with the same values are one class with one list of controls, opened level by level: near controls first, more
 only where a class runs out. The greedy choice depends on the order of the targets; groups of targets settle it each
 for themselves, and a control that several groups take is left to the first target, until no two take the same.
+Large sets of targets are settled in batches, in order, each of the controls that earlier batches left, so lists
+are no longer than what is still free.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,8 +23,15 @@ from ..lineage import cut, running
 CRITERIA = ("tmag", "bp_rp", "teff", "parallax")
 #: Cells of the pool for classes that have no criterion.
 CELLS = 64
-#: Share of the tolerances within which lists are opened first.
+#: Keys that each band of candidates is dealt to.
+SPREAD = 16
+#: Share of the tolerances within which lists are opened first, of pools of up to DENSE controls; a quarter of it for each four times as many.
 NEAR = 0.25
+DENSE = 1 << 16
+#: Pairs of classes and free controls that a first batch of targets may have, at least and for each row of the input, and
+#: likewise edges that later batches aim at.
+PAIRS, PAIRS_A_ROW = 1 << 27, 512
+EDGES, EDGES_A_ROW = 1 << 22, 4
 #: Edges and targets that one task settles at a time.
 GROUP = 1 << 19
 NO_BOUND = (1 << 63) - 1
@@ -42,19 +52,26 @@ def _criterion(target: Column, delta: Column, tolerance: float, strict: bool):
     return target.isNull() | F.coalesce(ok, F.lit(False)), F.coalesce(delta / tolerance, F.lit(0.0))
 
 
-def _sides(targets: DataFrame, pool: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of targets, controls, and the members (class, target_id) of the classes.
+def _rows(targets: DataFrame, pool: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Both sides as (id, values): those of targets as t_, of controls as c_, and in_ for the columns of within.
 
     A criterion whose column one side lacks is null on both, so it is skipped, as is a parallax that is not positive.
     """
     both = [n for n in CRITERIA if n in targets.columns and n in pool.columns]
     value = lambda n: (F.col(n) if n in both else F.lit(None)).cast("double")
-    t, c = (df.select("id", *(value(n).alias(f"{side}_{n}") for n in CRITERIA), *(F.coalesce(F.col(w).cast("string"), F.lit("")).alias(f"in_{w}") for w in within)) for df, side in ((targets, "t"), (pool, "c")))
-    t = t.filter("id is not null").withColumn("t_parallax", F.when(F.col("t_parallax") > 0, F.col("t_parallax")))
-    values = [f"t_{n}" for n in CRITERIA] + [f"in_{w}" for w in within]
-    t = t.withColumn("class", F.to_json(F.struct(*values)))
-    classes = t.groupBy("class").agg(*(F.first(v).alias(v) for v in values))
-    return classes, c.withColumnRenamed("id", "control_id"), t.select("class", F.col("id").alias("target_id"))
+    t, c = (df.filter("id is not null").select("id", *(value(n).alias(f"{side}_{n}") for n in CRITERIA), *(F.coalesce(F.col(w).cast("string"), F.lit("")).alias(f"in_{w}") for w in within)) for df, side in ((targets, "t"), (pool, "c")))
+    return t.withColumn("t_parallax", F.when(F.col("t_parallax") > 0, F.col("t_parallax"))), c.withColumnRenamed("id", "control_id")
+
+
+def _sides(targets: DataFrame, pool: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of targets, controls, and the members (class, target_id) of the classes."""
+    t, c = _rows(targets, pool, within)
+    values = [x for x in t.columns if x != "id"]
+    t = t.withColumn("values", F.to_json(F.struct(*values)))
+    # numbered once they are written, so that the long text of their values goes no further
+    classes = cut(t.groupBy("values").agg(*(F.first(v).alias(v) for v in values))).withColumn("class", F.monotonically_increasing_id())
+    members = t.join(classes.select("values", "class"), "values").select("class", F.col("id").alias("target_id"))
+    return classes.drop("values"), c, members
 
 
 def _banded(t: DataFrame, c: DataFrame, *keys: tuple[str, float], within: tuple[str, ...] = (), octaves: tuple[float, float] | None = None) -> DataFrame:
@@ -133,17 +150,18 @@ def candidates(targets: DataFrame, pool: DataFrame, *, tmag: float = 1.0, color:
     tolerances. A target that lacks all of them has every control as a candidate, with score 0. Columns of within must
     be equal, null being a value. Null ids are left out.
     """
-    classes, c, members = _sides(targets, pool, within)
-    return members.join(_loose(classes, c, tmag, color, teff, parallax, strict, within), "class").select("target_id", "control_id", "score")
+    # each target by itself: only the two sides are shuffled, not the pairs. Bands are few, so each is dealt to SPREAD keys
+    t, c = _rows(targets, pool, within)
+    t = t.withColumnRenamed("id", "class").withColumn("in_spread", F.pmod(F.xxhash64("class"), F.lit(SPREAD)).cast("int"))
+    c = c.withColumn("in_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return _loose(t, c, tmag, color, teff, parallax, strict, (*within, "spread")).withColumnRenamed("class", "target_id")
 
 
 class _List:
     """A class's controls in its order, of which targets in ascending order take the first free ones."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.fit, self.unfit = (rows[rows.fits == ok] for ok in (True, False))
-        self.fit = list(zip(self.fit.control_id, self.fit.score, self.fit.bound))
-        self.unfit = list(zip(self.unfit.control_id, self.unfit.score, self.unfit.bound))
+    def __init__(self):
+        self.fit, self.unfit = [], []
         self.at = self.unfit_at = 0
 
     def take(self, target, taken: set, most: int) -> list:
@@ -167,7 +185,10 @@ class _List:
 def _settle(members: pd.DataFrame, edges: pd.DataFrame, most: int) -> pd.DataFrame:
     """What the targets of one group take, one after the other, as if there were no other group."""
     edges = edges.sort_values(["score", "control_id"], kind="stable")
-    lists = {key: _List(rows) for key, rows in edges.groupby(["class", "fallback"], sort=False)}
+    lists: dict[tuple, _List] = defaultdict(_List)
+    for name, fallback, fits, *edge in zip(*(edges[c].tolist() for c in ("class", "fallback", "fits", "control_id", "score", "bound"))):
+        mine = lists[name, fallback]
+        (mine.fit if fits else mine.unfit).append(edge)
     taken, out = set(), []
     for target, name in members.sort_values("target_id")[["target_id", "class"]].itertuples(index=False):
         first, second = lists.get((name, False)), lists.get((name, True))
@@ -207,6 +228,11 @@ def assign(edges: DataFrame, ratio: int = 1, members: DataFrame | None = None, m
     if members is None:
         edges = edges.withColumnRenamed("target_id", "class")
         members = edges.select("class", F.col("class").alias("target_id")).distinct()
+    return _assign(edges, ratio, members, more, group_rows, len(more))[0]
+
+
+def _assign(edges: DataFrame, ratio: int, members: DataFrame, more, group_rows: int, plain: int) -> tuple[DataFrame, int]:
+    """What assign() gives, and how many edges it went by; the first plain levels of more hold no fallback."""
 
     def full(e: DataFrame) -> DataFrame:
         own = lambda n, other: (F.col(n) if n in e.columns else F.lit(other)).alias(n)
@@ -217,7 +243,8 @@ def assign(edges: DataFrame, ratio: int = 1, members: DataFrame | None = None, m
     groups = cut(members.groupBy("class", "group").agg(F.min("target_id").alias("first")))
     placed = lambda rows: rows.join(groups, "class").withColumn("bound", F.lit(NO_BOUND))
     state = cut(placed(e))
-    opened: list[DataFrame] = []
+    seen = state.count()
+    at = members.select("class", F.lit(0).alias("level")).distinct()
     asked = 0
     kind = f"target_id {dict(members.dtypes)['target_id']}, control_id {dict(e.dtypes)['control_id']}, match_rank int, score double"
     settle = lambda m, x: _settle(m, x, ratio)
@@ -232,45 +259,77 @@ def assign(edges: DataFrame, ratio: int = 1, members: DataFrame | None = None, m
             state = cut(bounded(state))
             continue
         asked += 1
-        added = _opened(members, claims, ratio, more, opened, everyone=asked > 1)
-        if not added:
-            return claims
-        state = cut(bounded(reduce(DataFrame.unionByName, (placed(full(x)) for x in added), state)))
+        due = _due(members, claims, ratio, at, len(more), plain if asked > len(more) else 0)
+        levels = sorted(r["level"] for r in due.select("level").distinct().collect())  # a row a level
+        if not levels:
+            return claims, seen
+        state = cut(bounded(reduce(DataFrame.unionByName, (placed(full(more[n](due.filter(F.col("level") == n).select("class")))) for n in levels), state)))
+        seen = max(seen, state.count())
+        at = cut(at.join(due.select("class", F.lit(1).alias("up")), "class", "left").select("class", (F.col("level") + F.coalesce("up", F.lit(0))).alias("level")))
 
 
-def _opened(members: DataFrame, claims: DataFrame, ratio: int, more, opened: list[DataFrame], everyone: bool) -> list[DataFrame]:
-    """Further edges of classes with a target that took less than its due, or of everyone where controls are scarce; opened notes the classes for which each level was asked."""
-    if not more:
-        return []
+def _due(members: DataFrame, claims: DataFrame, ratio: int, at: DataFrame, levels: int, everyone: int) -> DataFrame:
+    """(class, level) of the lists to open next, for classes with a target that took less than its due; with them, where controls are scarce, those of all other classes up to level everyone."""
     full = claims.filter(F.col("match_rank") == ratio).select("target_id")
-    stuck = cut(members.join(full, "target_id", "left_anti").select("class").distinct())
-    if stuck.isEmpty():
-        return []
-    added = []
-    for level, give in enumerate(more):
-        due = (members.select("class").distinct() if everyone else stuck) if level == 0 else stuck.join(opened[level - 1], "class", "left_semi") if level <= len(opened) else None
-        if due is None:
-            break
-        before = opened[level] if level < len(opened) else None
-        due = cut(due.join(before, "class", "left_anti") if before is not None else due)
-        if due.isEmpty():
-            continue
-        added.append(give(due))
-        if before is None:
-            opened.append(due)
-        else:
-            opened[level] = cut(before.unionByName(due))
-        stuck = stuck.join(due, "class", "left_anti")  # one level at a time
-    return added
+    stuck = cut(members.join(full, "target_id", "left_anti").select("class").distinct().join(at, "class").filter(F.col("level") < levels))
+    if not everyone or stuck.isEmpty():
+        return stuck
+    return cut(stuck.unionByName(at.filter(F.col("level") < everyone)).distinct())
+
+
+def _shares(controls: int) -> list[float]:
+    """Growing shares of the tolerances for lists of so many controls; the last is 1, the whole."""
+    out = [NEAR, 1.0]
+    while controls > DENSE:
+        out.insert(0, out[0] / 4)
+        controls /= 4
+    return out
+
+
+def _in_batches(classes: DataFrame, c: DataFrame, members: DataFrame, ratio: int, group_rows: int, plain: Callable, fallback: Callable | None = None) -> DataFrame:
+    """What assign() gives, by batches of targets in order of id, each of which has the controls that those before it left.
+
+    plain gives the edges of some classes to some controls within a share of the tolerances, fallback the fallback edges. All
+    targets of an id are in one batch.
+    """
+    free = cut(c)
+    order = cut(running(members.groupBy("target_id").agg(F.count("*").alias("n")), [F.col("target_id")], upto="n"))
+    members = cut(members.join(order.select("target_id", "upto"), "target_id"))
+    n_classes, n_members, n_free = classes.count(), members.count(), free.select("control_id").distinct().count()
+    most, aim = (max(least, each * (n_members + n_free)) for least, each in ((PAIRS, PAIRS_A_ROW), (EDGES, EDGES_A_ROW)))
+    size, start, found = max(1, most // max(1, n_free)), 0, []
+    while True:
+        if n_classes * n_free <= most:
+            size = n_members
+        now = members.filter((F.col("upto") > start) & (F.col("upto") <= start + size)).drop("upto")
+        mine = cut(classes.join(now.select("class").distinct(), "class", "left_semi"))
+        of = lambda due: mine.join(due, "class", "left_semi")  # noqa: B023, E731
+        shares = _shares(n_free)
+        more = [lambda due, low=low, high=high, free=free: plain(of(due), free, high).filter(F.col("score") > low) for low, high in zip(shares, shares[1:])]
+        levels = len(more)
+        if fallback:
+            more.append(lambda due, free=free: fallback(of(due), free))
+        claims, seen = _assign(plain(mine, free, shares[0]), ratio, now, more, group_rows, levels)
+        found.append(claims)
+        start += size
+        if start >= n_members:
+            return reduce(DataFrame.unionByName, found)
+        free = cut(free.join(claims.select("control_id"), "control_id", "left_anti"))
+        before, n_free = n_free, free.select("control_id").distinct().count()
+        if not n_free:
+            return reduce(DataFrame.unionByName, found)
+        # what is free shrinks, and lists with it
+        seen = max(1, seen * n_free // before)
+        size = max(1, int(size * min(4.0, max(0.25, aim / seen))))
 
 
 def matched(targets: DataFrame, pool: DataFrame, ratio: int = 1, *, tmag: float = 1.0, color: float = 0.35, teff: float = 400.0, parallax: float = 0.5, within: tuple[str, ...] = (), group_rows: int = GROUP) -> DataFrame:
     """assign(candidates(...), ratio), with lists that are opened near first and never spelled out for each target."""
+    if ratio < 1:
+        raise ValueError("ratio must be at least 1")
     classes, c, members = _sides(targets, pool, within)
-    classes = cut(classes)
-    edges = lambda some, share: _loose(some, c, tmag, color, teff, parallax, False, within, share)
-    rest = lambda due: edges(classes.join(due, "class", "left_semi"), 1.0).filter(F.col("score") > NEAR)
-    return assign(edges(classes, NEAR), ratio, members, [rest], group_rows)
+    edges = lambda some, free, share: _loose(some, free, tmag, color, teff, parallax, False, within, share)
+    return _in_batches(classes, c, members, ratio, group_rows, edges)
 
 
 def _strict(classes: DataFrame, c: DataFrame, tmag: float, color: float, teff: float, parallax: float, fallback: bool, share: float = 1.0) -> DataFrame:
@@ -315,11 +374,8 @@ def matched_pairs(targets: DataFrame, pool: DataFrame, *, tmag: float = 0.5, col
     criterion whose column one side lacks is skipped.
     """
     classes, c, members = _sides(eligible(targets), usable(pool))
-    classes = cut(classes)
-    edges = lambda some, fallback, share=1.0: _strict(some, c, tmag, color, teff, parallax, fallback, share)
-    mine = lambda due: classes.join(due, "class", "left_semi")
-    more = [lambda due: edges(mine(due), False).filter(F.col("score") > NEAR), lambda due: edges(mine(due), True)]
-    return assign(edges(classes, False, NEAR), 1, members, more, group_rows).withColumnRenamed("score", "match_quality_score")
+    edges = lambda some, free, share=1.0, fallback=False: _strict(some, free, tmag, color, teff, parallax, fallback, share)
+    return _in_batches(classes, c, members, 1, group_rows, edges, lambda some, free: edges(some, free, fallback=True)).withColumnRenamed("score", "match_quality_score")
 
 
 def unmatched(targets: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -132,3 +132,24 @@ def test_no_targets_and_no_pool(spark):
     some = spark.createDataFrame([(1, 8.0, None, None, None), (None, 8.0, None, None, None)], KIND)
     for t, c in ((none, some), (some, none), (none, none)):
         assert matching.matched_pairs(t, c).count() == matching.candidates(t, c).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_batches_of_targets_give_the_greedy_order(spark, monkeypatch, seed):
+    """Batches of a few targets, each with the controls that are left, and lists opened in many levels."""
+    monkeypatch.setattr(matching, "PAIRS", 400), monkeypatch.setattr(matching, "PAIRS_A_ROW", 1)
+    monkeypatch.setattr(matching, "EDGES", 200), monkeypatch.setattr(matching, "EDGES_A_ROW", 1)
+    monkeypatch.setattr(matching, "DENSE", 4)
+    rng = random.Random(seed)
+    targets = [(i, round(8 + rng.random(), 2), None, None, None) for i in range(90)]
+    pool = [(1000 + i, round(8 + rng.random(), 2), None, None, None) for i in range(40)]
+    edges = [(t[0], c[0], abs(c[1] - t[1]) / 0.5, False, True) for t in targets for c in pool if abs(c[1] - t[1]) < 0.5]
+    got = matching.matched_pairs(spark.createDataFrame(targets, KIND), spark.createDataFrame(pool, KIND))
+    assert rows(got) == in_turn(edges, 1)
+
+
+def test_candidates_are_joined_once(spark):
+    """No join, and so no shuffle, of the pairs themselves."""
+    t, c = (spark.createDataFrame([(i, 8.0, 0.5, 5000.0, 2.0)], KIND) for i in (1, 2))
+    out = matching.candidates(t, c)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1 and rows(out.withColumn("match_rank", F.lit(1))) == [(1, 2, 1)]
