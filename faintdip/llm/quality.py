@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..lineage import cut, running
 from .flat import WHITE, mix, neighbours, per_text, repeated, shingle_hash, slices, span_hash, words
+from .state import having
 
 #: Hash buckets of the two multinomials.
 BUCKETS = 1 << 16
@@ -148,8 +149,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *carry)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    of = lambda some: docs.join(some.select("doc_id"), "doc_id", "left_semi")
+    marks = cut(labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality")))
+    of = lambda some: having(docs, some, "doc_id")
     weights = log_ratio(np.stack([ngram_counts(docs, buckets), ngram_counts(of(marks.filter("quality = 1")), buckets)]))
     scores = measured(of(marks), weights).filter("n_words > 0").groupBy("doc_id").agg(F.min("score").alias("score"))
     threshold = best_cut(scores.join(marks, "doc_id"))

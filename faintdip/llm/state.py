@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a table is broadcast.
 SMALL = 32 << 20
+#: Bits by which rows are chosen before they are shuffled, and those of one row of them; 4 MB in all, whatever the number of ids.
+BITS, BITMAP = 1 << 25, 1 << 15
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -57,3 +59,18 @@ def broadcast_if_small(df: DataFrame, size: Column, bound: int = SMALL) -> DataF
 
 def is_small(df: DataFrame, size: Column, bound: int = SMALL) -> bool:
     return (df.agg(F.sum(size)).first()[0] or 0) < bound
+
+
+def having(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among those of ids, each once and with all columns.
+
+    A bit for each hash of the ids, of which there are BITS, is broadcast, and rows without it go where they are read. Only the
+    others are shuffled and joined, by the same plan at every size: the rows that are looked for, and of the rest the share of
+    bits that are set.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    bits = ids.select(slot.alias("__slot")).groupBy(F.floor(F.col("__slot") / BITMAP).alias("__row")).agg(F.bitmap_construct_agg(F.col("__slot") % BITMAP).alias("__bits"))
+    byte = F.expr(f"cast(conv(hex(substring(__bits, cast(pmod(xxhash64({key}), {BITMAP}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr(f"shiftleft(1, cast(pmod(xxhash64({key}), 8) as int))")
+    some = rows.join(F.broadcast(bits), (F.floor(slot / BITMAP) == F.col("__row")) & (byte.bitwiseAND(bit) != 0), "left_semi")
+    return some.join(ids.select(key).hint("merge"), key, "left_semi")
