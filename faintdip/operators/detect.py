@@ -59,34 +59,59 @@ def thinned(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
     return keep
 
 
+#: Points of a grid after the first, and how far, as a share of the sum of squares, a cost by sums may be off.
+STEPS, SLACK = np.arange(7.0), 1e-12
+
+
 def _best(model, t, f, grids, rounds: int = 6):
     """Least squares over the shape's parameters by shrinking grids; the depth is linear and solved for.
 
-    The depth is kept between 0 and 1, and every parameter within its first grid's ends.
+    The depth is kept between 0 and 1, and every parameter within its first grid's ends. Costs come from sums first, and those
+    that may be the least of a grid from the residuals.
     """
-    low, high = np.array([g[0] for g in grids]), np.array([g[-1] for g in grids])
     points = [np.asarray(g, float) for g in grids]
+    ends = [(float(p[0]), float(p[-1])) for p in points]
+    depth, short = 1 - f, f - 1
+    total = float(depth @ depth)
     best = (np.inf, None, 0.0)
     for _ in range(rounds):
-        mesh = np.stack([m.ravel() for m in np.meshgrid(*points, indexing="ij")], 1)
-        phi = model(t[None], *(mesh[:, i : i + 1] for i in range(mesh.shape[1])))
-        d = np.clip(np.divide(((1 - f) * phi).sum(1), (phi * phi).sum(1), out=np.zeros(len(mesh)), where=(phi * phi).sum(1) > 0), 0, 1)
-        cost = ((f - 1 + d[:, None] * phi) ** 2).sum(1)
-        k = int(np.argmin(cost))
+        # at its ends a grid holds a value more than once, which need not be tried again
+        some = [list(dict.fromkeys(p.tolist())) for p in points]
+        size, along, shapes = model(t, depth, *(np.array(p) for p in some))
+        d = np.minimum(np.maximum(along / np.where(size > 0, size, 1), 0), 1)
+        rough = (total - d * (2 * along - d * size)).ravel()
+        near = np.flatnonzero(rough <= rough.min() + SLACK * total)
+        at = np.unravel_index(near, size.shape)
+        phi = shapes(*at)
+        size = np.square(phi).sum(1)
+        # where the squares of a shape add up to 0, so does the numerator
+        d = np.minimum(np.maximum((phi * depth).sum(1) / np.where(size > 0, size, 1), 0), 1)
+        cost = np.square(d[:, None] * phi + short).sum(1)
+        k = int(cost.argmin())
         if cost[k] < best[0]:
-            best = (float(cost[k]), mesh[k], float(d[k]))
-        step = [(p[1] - p[0] if len(p) > 1 else 0) for p in points]
-        points = [np.clip(np.linspace(c - s, c + s, 7), a, b) for c, s, a, b in zip(best[1], step, low, high)]
+            best = (float(cost[k]), [p[i[k]] for p, i in zip(some, at)], float(d[k]))
+        for i, (p, c, (a, b)) in enumerate(zip(points, best[1], ends)):
+            s = float(p[1] - p[0]) if len(p) > 1 else 0.0
+            p = STEPS * (((c + s) - (c - s)) / 6) + (c - s)
+            p[6] = c + s
+            points[i] = np.minimum(np.maximum(p, a, out=p), b, out=p)
     return best
 
 
-def gaussian(t, at, width):
-    return np.exp(-0.5 * ((t - at) / width) ** 2)
+def gaussian(t, depth, at, width):
+    """For each place and width: the sums of the shape's squares and of its products with depth, and a function that gives shapes."""
+    phi = np.exp(-0.5 * ((t - at[:, None, None]) / width[:, None]) ** 2)
+    return np.square(phi) @ np.ones(len(t)), phi @ depth, lambda i, j: phi[i, j]
 
 
-def triangle(t, at, rise, fall):
-    x = t - at
-    return np.clip(np.where(x <= 0, 1 + x / rise, 1 - x / fall), 0, 1)
+def triangle(t, depth, at, rise, fall):
+    """As gaussian(), for each place, rise and fall; the two sides meet in sums only, so each is computed by itself."""
+    x = (t - at[:, None])[:, None]
+    up = np.where(x <= 0, np.maximum(1 + x / rise[:, None], 0), 0)
+    down = np.where(x <= 0, 0, np.maximum(1 - x / fall[:, None], 0))
+    one = np.ones(len(t))
+    size = (np.square(up) @ one)[:, :, None] + (np.square(down) @ one)[:, None]
+    return size, (up @ depth)[:, :, None] + (down @ depth)[:, None], lambda i, j, k: up[i, j] + down[i, k]
 
 
 def fit_difference(t: np.ndarray, f: np.ndarray, event: float, window: float) -> float:
