@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,15 +181,26 @@ def decide(pairs: pd.DataFrame) -> pd.DataFrame:
 
     Points are taken in order, so one may hang on others of the same pairs; such that hang on an open one elsewhere stay open.
     """
-    pairs = pairs.sort_values(["a", "b"])
-    mine: dict[int, int] = {}
-    for a, b, state in zip(pairs.a.tolist(), pairs.b.tolist(), pairs.state.tolist()):
-        near = mine.get(b, OPEN) if state == OPEN else state
-        so_far = mine.get(a, KEPT)
+    order = np.argsort(pairs.a.to_numpy(), kind="stable")
+    a, b, state = (pairs[c].to_numpy()[order] for c in ("a", "b", "state"))
+    names, start = np.unique(a, return_index=True)
+    stop = np.append(start[1:], len(a))
+    # arrays only: a list of a group's numbers would take several times their bytes
+    at = np.minimum(np.searchsorted(names, b), max(len(names) - 1, 0)).astype(np.int32)
+    inside = (state == OPEN) & (names[at] == b) if len(a) else np.zeros(0, bool)
+    lost = np.add.reduceat(state == KEPT, start, dtype=np.int64) > 0 if len(a) else np.zeros(0, bool)
+    waits = np.add.reduceat((state == OPEN) & ~inside, start, dtype=np.int64) > 0 if len(a) else np.zeros(0, bool)
+    mine = np.where(lost, GONE, np.where(waits, OPEN, KEPT)).astype(np.int8)
+    hangs = np.add.reduceat(inside, start, dtype=np.int64) > 0 if len(a) else np.zeros(0, bool)
+    for i in np.flatnonzero(hangs & ~lost):
+        near = mine[at[start[i] : stop[i]][inside[start[i] : stop[i]]]]
         # one kept neighbour is enough; else one open neighbour leaves it open
-        mine[a] = GONE if near == KEPT or so_far == GONE else OPEN if near == OPEN or so_far == OPEN else KEPT
-    done = [(a, s) for a, s in mine.items() if s != OPEN]
-    return pd.DataFrame(done, columns=["a", "state"], dtype="int64")
+        if (near == KEPT).any():
+            mine[i] = GONE
+        elif (near == OPEN).any():
+            mine[i] = OPEN
+    done = mine != OPEN
+    return pd.DataFrame({"a": names[done].astype("int64"), "state": mine[done].astype("int64")})
 
 
 def _losers(pairs: DataFrame, group_rows: int) -> DataFrame:
