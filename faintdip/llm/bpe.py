@@ -21,12 +21,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import ranges, slices
+from .flat import ranges, release, slices
 
 #: Bytes of text in a block, whose distinct pieces are encoded once, and the longest piece that is merged together
-#: with others, in as many rounds as it has merges; longer ones take a heap each.
+#: with others, in as many rounds as it has merges; longer ones take a heap each. Bytes of pieces that are merged together:
+#: a round has some ten arrays of eight bytes for each of them.
 BLOCK = 2 << 20
 FOLD = 64
+TOGETHER = 1 << 17
 #: Slots (a prime) of each half of the merge table, and the factors that spread right and left over either half.
 SLOTS, SPREAD = 262_139, ((1, 65_536), (74_713, 31_337))
 
@@ -168,7 +170,10 @@ class Encoder:
         short = [self.table is not None and len(w) <= FOLD for w in words]
         raw = np.frombuffer(b"".join(w for w, s in zip(words, short) if s), np.uint8)
         off = np.concatenate([[0], np.cumsum([len(w) for w, s in zip(words, short) if s], dtype=np.int64)])
-        ids, count = merge_together(raw, off, self.table, self.single)
+        # pieces have a byte at least and FOLD at most, so every cut is a place of its own
+        cuts = np.unique(np.append(np.searchsorted(off, np.arange(0, len(raw), TOGETHER)), len(off) - 1)).tolist()
+        done = [merge_together(raw[off[a] : off[b]], off[a : b + 1] - off[a], self.table, self.single) for a, b in zip(cuts, cuts[1:])]
+        ids, count = (np.concatenate(x) for x in zip(*done)) if done else (np.empty(0, np.int64), np.empty(0, np.int64))
         if all(short):
             return ids, count
         lists = iter(np.split(ids, np.cumsum(count)[:-1]) if len(count) else ())
@@ -202,6 +207,8 @@ def _encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str, text_col: s
                 ids, begin = encoder([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])])
                 names, cols = build(pieces, ids, begin)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(at) - 1), *cols], [id_col, *names])
+                del raw, ids, begin, cols
+            release()
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text"))
     return rows.mapInArrow(run, f"`{id_col}` long, {kind}")
@@ -246,8 +253,8 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str
     """
 
     def build(pieces, ids, begin):
-        raw, end, number = ids.astype("<u4").tobytes(), begin.tolist(), ids.tolist()
-        decoded = [b"".join(map(pieces.__getitem__, number[a:b])) for a, b in zip(end, end[1:])]
+        raw, end = ids.astype("<u4").tobytes(), begin.tolist()
+        decoded = [b"".join(map(pieces.__getitem__, ids[a:b].tolist())) for a, b in zip(end, end[1:])]
         cols = [
             pa.array(np.diff(begin)),
             pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(end, end[1:])]),

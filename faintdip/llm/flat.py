@@ -6,6 +6,7 @@ never lets a word, line or window cross two texts.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -59,6 +60,14 @@ def binary(column) -> pa.Array:
     return pc.fill_null(column, b"") if column.null_count else column
 
 
+def release() -> None:
+    """Gives back what Arrow and malloc keep of freed arrays: workers are reused, and while they wait it would count against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim:
+        trim(0)
+
+
 def slices(column, limit: int = SLICE):
     """Yield (first row, bytes, offsets) for runs of rows with about limit bytes."""
     column = binary(column)
@@ -73,8 +82,7 @@ def slices(column, limit: int = SLICE):
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
-    # workers are reused: what Arrow keeps of earlier batches would count against the executor
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:

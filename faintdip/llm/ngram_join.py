@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .state import broadcast_if_small, cut, written
-from .flat import LOWER, mix, neighbours, ranges, shingle_hash, slices, span_hash, words
+from .flat import LOWER, mix, neighbours, ranges, release, shingle_hash, slices, span_hash, words
 
 #: Shingles for each coordinate of a count vector, and its least coordinates; points in a leaf, leaves under
 #: an inner node, and texts of a page and their numbers of 8 bytes: larger clusters are joined page by page.
@@ -149,6 +149,8 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                     held, many, signs = [], 0, set()
         if many:
             yield frequent()
+        held = []
+        release()
 
     names = ["doc_id", "n_shingles", "sig", "vec", "often", "times"]
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, vec binary, often binary, times binary").withColumn("task", F.spark_partition_id())
@@ -231,6 +233,8 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
                     held, many, signs = [], 0, set()
         if held:
             yield packed(*map(np.concatenate, zip(*held)))
+        held = []
+        release()
 
     def met(rows):
         """Edges of one bucket's rows."""
@@ -264,6 +268,8 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
                 held.append(row)
         if held:
             yield edges()
+        held = []
+        release()
 
     names = ["bucket", "keys", "owners", "classes"]
     runs = docs.mapInArrow(send, "bucket long, keys binary, owners binary, classes binary")
