@@ -95,3 +95,27 @@ def test_sql_of_text_operators(spark, sf, name):
     want = con.execute(ORACLES[name])
     cols = [c[0] for c in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, sf).select(*cols).collect())
+
+
+def test_stages_take_small_batches(spark, sf):
+    """Texts are long rows: workers get 1,000 of them at a time at most, and run() restores the session."""
+    import corpus_pipeline as P
+    import pyarrow as pa
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    were = {k: spark.conf.get(k) for k in P.BATCHES}
+    try:
+        for before, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+            spark.conf.set(key, before)
+            P.tokens(spark, spark.createDataFrame([], "doc_id long, text string"), sf)
+            assert max(r["n"] for r in spark.range(2500, numPartitions=1).mapInArrow(rows, "n long").collect()) == most
+        spark.conf.set(key, "10000")
+        P.run(spark, sf)
+        assert spark.conf.get(key) == "10000"
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
