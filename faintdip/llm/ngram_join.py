@@ -2,7 +2,8 @@
 
 A text is its set of word shingles. Shingles are in one order for all texts: those known to be
 frequent come last. Two sets that are similar enough share a shingle among the first few of
-either; such shingles bring texts together, and never miss a pair. Among those that met, an
+either; such shingles bring texts together, and never miss a pair. Where the bar is high, a sketch
+of each set travels with them, and parts most that met by chance. Among those that met, an
 R-tree over the vectors that count each set's shingles by hashed group bounds each overlap by the
 summed coordinate minima, node against node and then point against point; what it leaves is
 verified on the whole sets, unless it is already in one component.
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, small_components
 from .state import broadcast_if_small, cut, written
 from .flat import LOWER, mix, neighbours, ranges, release, shingle_hash, slices, span_hash, words
 
@@ -29,6 +30,10 @@ GATHER = 1 << 21
 #: Frequent shingles: in so many texts of a gathering at least, so many of a gathering, and of the corpus, at most.
 #: Which ones are known only changes how many texts meet for nothing.
 OFTEN, SOME, FREQUENT = 2, 1 << 16, 1 << 19
+#: Counts of a sketch, of four bits each, and the percentage from which sets are sketched: below it, sets have so many first
+#: shingles that the sketches beside them would outweigh the texts. Of more sets than ALIKE with one key and size class a task
+#: passes on one, and so many with one key are compared pair by pair.
+COUNTS, SKETCHED, ALIKE, COMPARED = 32, 85, 16, 512
 
 
 def first_shingles(e: np.ndarray, at: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +82,42 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
     return e, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
 
 
+def sketches(e: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """COUNTS counts of each set's elements by hash, modulo 16, two in a byte."""
+    n = len(at) - 1
+    of = np.repeat(np.arange(n), np.diff(at))
+    g = (mix(e + np.uint64(7)) % np.uint64(COUNTS)).astype(np.int64)
+    some = (np.bincount(of * COUNTS + g, minlength=n * COUNTS) & 15).astype(np.uint8).reshape(n, COUNTS)
+    return some[:, ::2] | some[:, 1::2] << 4
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many elements two sets differ at least, by their sketches: counts on a ring of 16 are no farther apart than those of whole sets."""
+    out = np.zeros(len(x), np.int64)
+    for a, b in ((x & 15, y & 15), (x >> 4, y >> 4)):
+        d = (a - b) & 15
+        out += np.minimum(d, 16 - d).sum(1, dtype=np.int64)
+    return out
+
+
+def alike(run: np.ndarray, classes: np.ndarray, some: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places) within runs, sorted by size class, that sketches and size classes let be similar."""
+    # similar sets differ in (100 - percent) / (100 + percent) of their summed sizes at most
+    most = np.ceil(max(100 / percent, 1.01) ** (np.arange(int(classes.max(initial=0)) + 1) + 1.0)) + 1
+    found, k, at = [], 0, np.arange(len(run))
+    while True:
+        k += 1
+        at = at[at + k < len(run)]
+        at = at[(run[at] == run[at + k]) & (classes[at + k] - classes[at] <= 1)]
+        if not len(at):
+            break
+        for i in range(0, len(at), 1 << 16):
+            a = at[i : i + (1 << 16)]
+            a = a[(100 + percent) * apart(some[a], some[a + k]) <= (100 - percent) * (most[classes[a]] + most[classes[a + k]])]
+            found.append((a, a + k))
+    return tuple(map(np.concatenate, zip(*found))) if found else (at[:0], at[:0])
+
+
 def totals(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum modulo 2**64 of each run values[at[i]:at[i + 1]]."""
     sums = np.zeros(len(values) + 1, np.uint64)
@@ -181,58 +222,79 @@ def frequent_shingles(about: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Edges (a, b) between documents that share one of their first shingles, and are near in size.
 
-    Keys travel in packed runs. A task passes on one document for each key and size class, and
-    hangs its other documents with that key on it directly, so a key that a third of all
-    documents share is a few entries a task.
+    Keys travel in packed runs. A task passes on one document for each key and size class that many of
+    its documents share, and hangs the others on it directly, so a key that a third of all
+    documents share is a few entries a task. Such a document stands for sets unlike its own, so all that meet it are joined, and
+    so are all of a key with more than COMPARED entries. The other sets with a key are joined where their sketches let them be
+    similar; without sketches, all are.
     """
+    sketched = percent >= SKETCHED
+    stands = 1 << 15  # in an entry's size class
 
-    def packed(keys, owners, classes):
-        """Rows of (bucket, keys, owners, classes), and local edges under negative buckets."""
+    def packed(keys, owners, classes, of, some, same):
+        """Rows of (bucket, keys, owners, classes, sketches), and local edges under negative buckets. An entry's sketch is some[of]."""
         order = np.lexsort((owners, classes, keys))
-        keys, owners, classes = keys[order], owners[order], classes[order]
+        keys, owners, classes, of = keys[order], owners[order], classes[order], of[order]
         first = np.ones(len(keys), bool)
         first[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
-        root = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack([owners, root], 1)[owners != root], axis=0)
-        keys, owners, classes = keys[first], owners[first], classes[first]
+        begin, run = np.flatnonzero(first), np.cumsum(first) - 1
+        many = np.diff(np.append(begin, len(keys))) > (ALIKE if sketched else 1)
+        root = owners[begin][run]
+        pairs = np.unique(np.concatenate([np.stack([owners, root], 1)[many[run] & (owners != root)], same]), axis=0)
+        keep = first | ~many[run]
+        classes = np.where(many[run], classes | stands, classes)
+        keys, owners, classes, of = keys[keep], owners[keep], classes[keep], of[keep]
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        keys, owners, classes, bucket = keys[order], owners[order], classes[order], bucket[order]
+        keys, owners, classes, of, bucket = keys[order], owners[order], classes[order], of[order], bucket[order]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.array([0])
         # 40 bits beside the bucket tell keys apart; a chance match only costs a comparison
         rest = (keys // np.uint64(buckets) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         small = np.int32 if len(owners) and owners.min() > -(1 << 31) and owners.max() < 1 << 31 else np.int64
-        rows = [(int(bucket[a]), rest[a:b].tobytes(), owners[a:b].astype(small).tobytes(), classes[a:b].astype(np.uint16).tobytes()) for a, b in zip(cut, cut[1:])]
+        rows = [(int(bucket[a]), rest[a:b].tobytes(), owners[a:b].astype(small).tobytes(), classes[a:b].astype(np.uint16).tobytes(), some[of[a:b]].tobytes()) for a, b in zip(cut, cut[1:])]
         for k in range(0, len(pairs), 1 << 16):
-            some = np.ascontiguousarray(pairs[k : k + (1 << 16)].T)
-            rows.append((-1 - int(some.sum() % buckets), some[0].tobytes(), some[1].tobytes(), None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names) if rows else None
+            two = np.ascontiguousarray(pairs[k : k + (1 << 16)].T)
+            rows.append((-1 - int(two.sum() % buckets), two[0].tobytes(), two[1].tobytes(), None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names) if rows else None
 
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT entries
 
     def send(batches):
-        held, many, signs = [], 0, set()
+        held, same, many, signs = [], [], 0, {}
+
+        def gathered():
+            pairs = np.array(same, np.int64).reshape(-1, 2)
+            begin = np.cumsum([0, *(len(some) for *_, some in held)])
+            keys, owners, classes, of = (np.concatenate(x) for x in zip(*((k, o, c, of + b) for (k, o, c, of, _), b in zip(held, begin))))
+            return packed(keys, owners, classes, of, np.concatenate([some for *_, some in held]), pairs)
+
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0))
             known = ~np.asarray(batch.column(0).is_null())
             for i, buf, off in slices(batch.column(1)):
                 e, at = shingle_sets(buf, off, size)
                 sig = [bytes(x) for x in signatures(e, at).view(np.uint8).reshape(len(off) - 1, 16)]
-                # equal sets meet by signature elsewhere, so one of them is enough here
-                use = np.array([bool(k) and not (s in signs or signs.add(s)) for k, s in zip((np.diff(at) > 0) & known[i : i + len(off) - 1], sig)], bool)
-                n = np.diff(at)
+                n, use = np.diff(at), np.zeros(len(sig), bool)
+                for k in np.flatnonzero((n > 0) & known[i : i + len(sig)]).tolist():
+                    own = int(ids[i + k])
+                    # equal sets meet by signature elsewhere, where the smallest document stands for them: one of them, tied to that, is enough here
+                    if sig[k] not in signs:
+                        signs[sig[k]], use[k] = own, True
+                    elif own < signs[sig[k]]:
+                        same.append((own, signs[sig[k]]))
                 e = e[np.repeat(use, n)]
                 if not len(e):
                     continue
                 at = np.concatenate([[0], np.cumsum(n[use])])
                 keys, owners, classes = first_shingles(e, at, percent, sent.value)
-                held.append((keys, ids[i : i + len(off) - 1][use][owners], classes))
+                some = sketches(e, at) if sketched else np.zeros((len(at) - 1, 0), np.uint8)
+                held.append((keys, ids[i : i + len(off) - 1][use][owners], classes, owners, some))
                 many += len(e)
                 if many > GATHER:
-                    yield packed(*map(np.concatenate, zip(*held)))
-                    held, many, signs = [], 0, set()
+                    yield gathered()
+                    held, same, many, signs = [], [], 0, {}
         if held:
-            yield packed(*map(np.concatenate, zip(*held)))
+            yield gathered()
         held = []
         release()
 
@@ -245,20 +307,29 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
         keys = np.zeros((len(owners), 8), np.uint8)
         keys[:, :5] = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, 5)
         keys = keys.view("<u8").ravel()
+        standing, classes = classes >= stands, classes & (stands - 1)
         order = np.lexsort((owners, classes, keys))
-        keys, owners, classes = keys[order], owners[order], classes[order]
-        near = (keys[1:] == keys[:-1]) & (classes[1:] - classes[:-1] <= 1)
-        # a run of near sizes hangs on its first document
-        first = np.concatenate([[True], ~near])
-        root = owners[np.flatnonzero(first)][np.cumsum(first) - 1]
-        return np.stack([owners, root], 1)[owners != root]
+        keys, owners, classes, standing = keys[order], owners[order], classes[order], standing[order]
+        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] - classes[:-1] > 1)])
+        begin, run = np.flatnonzero(first), np.cumsum(first) - 1
+        if not sketched:  # a run of near sizes hangs on its first document
+            return np.stack([owners, owners[begin][run]], 1)
+        whole = (np.maximum.reduceat(standing, begin) | (np.diff(np.append(begin, len(keys))) > COMPARED))[run]
+        hung = np.stack([owners, owners[begin][run]], 1)[whole]
+        # single entries meet nothing
+        size = np.diff(np.append(begin, len(keys)))[run]
+        left = np.flatnonzero(~whole & (size > 1))
+        some = np.frombuffer(b"".join(r["sketches"] for r in rows), np.uint8).reshape(-1, COUNTS // 2)[order[left]]
+        a, b = alike(run[left], classes[left], some, percent)
+        return np.concatenate([hung, np.stack([owners[left[a]], owners[left[b]]], 1)])
 
     def meet(batches):
         held: list = []
 
         def edges():
-            pairs = np.unique(met(held), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            node, least = small_components(*met(held).T)
+            some = node != least
+            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(least[some])], ["a", "b"])
 
         for batch in batches:
             for row in batch.to_pylist():  # sorted by bucket: one is held at a time
@@ -271,8 +342,8 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
         held = []
         release()
 
-    names = ["bucket", "keys", "owners", "classes"]
-    runs = docs.mapInArrow(send, "bucket long, keys binary, owners binary, classes binary")
+    names = ["bucket", "keys", "owners", "classes", "sketches"]
+    runs = docs.mapInArrow(send, "bucket long, keys binary, owners binary, classes binary, sketches binary")
     return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
