@@ -1,10 +1,9 @@
 """Matched controls: band joins for candidates, then greedy assignment without reuse.
 
-Targets with the same values are one class with one list of controls, opened level by level: near controls first, more
-only where a class runs out. The greedy choice depends on the order of the targets; groups of targets settle it each
-for themselves, and a control that several groups take is left to the first target, until no two take the same.
-Large sets of targets are settled in batches, in order, each of the controls that earlier batches left, so lists
-are no longer than what is still free.
+The greedy choice depends on the order of the targets. Regions of magnitude settle it each for themselves over arrays of free
+controls, near ones first, and a control that several regions take is left to the first target, until no two take the same.
+Large sets of targets are settled in batches, in order, each of the controls that earlier batches left. assign() does
+the same for given edges, by groups of targets.
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ from collections import defaultdict
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +26,16 @@ CRITERIA = ("tmag", "bp_rp", "teff", "parallax")
 CELLS = 64
 #: Keys that each band of candidates is dealt to.
 SPREAD = 16
-#: Share of the tolerances within which lists are opened first, of pools of up to DENSE controls; a quarter of it for each four times as many.
-NEAR = 0.25
-DENSE = 1 << 16
-#: Pairs of classes and free controls that a first batch of targets may have, at least and for each row of the input, and
-#: likewise edges that later batches aim at.
-PAIRS, PAIRS_A_ROW = 1 << 27, 512
-EDGES, EDGES_A_ROW = 1 << 22, 4
+#: Controls to either side in magnitude that a target looks at first; eight times as many next.
+DENSE = 64
+#: Pairs of targets and free controls that a first batch of targets may have, at least and for each row of the input, and
+#: likewise pairs looked at that later batches aim at.
+PAIRS, PAIRS_A_ROW = 1 << 40, 1 << 20
+EDGES, EDGES_A_ROW = 1 << 30, 1 << 12
+#: Targets of a batch, and controls of a region, at most: what one task holds. Few regions take few rounds.
+REGION = 1 << 20
+#: Targets that are numbers of Python at a time.
+CHUNK = 1 << 13
 #: Edges and targets that one task settles at a time.
 GROUP = 1 << 19
 NO_BOUND = (1 << 63) - 1
@@ -63,17 +67,6 @@ def _rows(targets: DataFrame, pool: DataFrame, within: tuple[str, ...] = ()) ->
     return t.withColumn("t_parallax", F.when(F.col("t_parallax") > 0, F.col("t_parallax"))), c.withColumnRenamed("id", "control_id")
 
 
-def _sides(targets: DataFrame, pool: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of targets, controls, and the members (class, target_id) of the classes."""
-    t, c = _rows(targets, pool, within)
-    values = [x for x in t.columns if x != "id"]
-    t = t.withColumn("values", F.to_json(F.struct(*values)))
-    # numbered once they are written, so that the long text of their values goes no further
-    classes = cut(t.groupBy("values").agg(*(F.first(v).alias(v) for v in values))).withColumn("class", F.monotonically_increasing_id())
-    members = t.join(classes.select("values", "class"), "values").select("class", F.col("id").alias("target_id"))
-    return classes.drop("values"), c, members
-
-
 def _banded(t: DataFrame, c: DataFrame, *keys: tuple[str, float], within: tuple[str, ...] = (), octaves: tuple[float, float] | None = None) -> DataFrame:
     """Pairs of classes and controls in the same or neighbouring bands of every key, and the same values of within.
 
@@ -277,89 +270,205 @@ def _due(members: DataFrame, claims: DataFrame, ratio: int, at: DataFrame, level
     return cut(stuck.unionByName(at.filter(F.col("level") < everyone)).distinct())
 
 
-def _shares(controls: int) -> list[float]:
-    """Growing shares of the tolerances for lists of so many controls; the last is 1, the whole."""
-    out = [NEAR, 1.0]
-    while controls > DENSE:
-        out.insert(0, out[0] / 4)
-        controls /= 4
-    return out
+def _regions(t: DataFrame, c: DataFrame, width: float, names: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Targets, and controls for each region that may want them, with region: runs of bands of magnitude with about so many controls.
 
+    Targets of different values of names are in different regions. Those without a magnitude have a region with all controls.
+    """
+    width *= 1 + 1e-9
+    t = t.withColumn("bright", _has("tmag")).withColumn("band", F.floor(F.col("t_tmag") / width))
+    here = c.filter("c_tmag is not null").groupBy(*names, F.floor(F.col("c_tmag") / width).alias("band")).agg(F.count("*").alias("n"))
+    bands = t.select(*names, "bright", "band").distinct().join(here, [*names, "band"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bands = running(bands, [F.col(x) for x in (*names, "bright", "band")], upto="n")
+    # as text, so that no two values are taken for one
+    bands = cut(bands.withColumn("part", F.floor((F.col("upto") - F.col("n")) / rows)).select(*names, "bright", "band", F.to_json(F.struct(*names, "bright", "part")).alias("region")))
+    t = t.join(bands.filter("bright").select(*names, "band", F.col("region").alias("r")), [*names, "band"], "left")
+    t = t.join(bands.filter("not bright").select(*names, F.col("region").alias("whole")), names, "left") if names else t.crossJoin(bands.filter("not bright").agg(F.first("region").alias("whole")))
+    t = t.withColumn("region", F.when(F.col("bright"), F.col("r")).otherwise(F.col("whole"))).drop("r", "whole", "bright", "band")
+    near = bands.filter("bright").withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1))))).select(*names, "band", "region").distinct()
+    some = c.filter("c_tmag is not null").withColumn("band", F.floor(F.col("c_tmag") / width)).join(near, [*names, "band"])
+    dark = bands.filter("not bright").select(*names, "region")
+    every = c.join(dark, names) if names else c.crossJoin(dark)
+    keep = ["control_id", *(f"c_{n}" for n in CRITERIA), "region"]
+    return t, some.select(*keep).unionByName(every.select(*keep)).distinct()
+
+
+class _Free:
+    """Free controls of one region, by magnitude, of which targets in ascending order take the best."""
+
+    def __init__(self, controls: pa.Table, bands: tuple[float, float, float, float], strict: bool):
+        self.bands, self.strict, self.looked, self.gone = bands, strict, 0, 0
+        value = lambda n: controls[n].to_numpy().astype(np.float64)  # noqa: E731  (null is NaN, which passes nothing)
+        self.ids, self.until = controls["control_id"].to_numpy(), controls["until"].to_numpy()
+        self.values = [value(f"c_{n}") for n in CRITERIA]
+        self.free = np.ones(len(self.ids), bool)
+        self._keep(np.lexsort((self.ids, self.values[0])))
+        self.repeated = len(np.unique(self.ids)) < len(self.ids)
+
+    def _keep(self, which: np.ndarray) -> None:
+        self.ids, self.until, self.free = self.ids[which], self.until[which], self.free[which]
+        self.values = [v[which] for v in self.values]
+        self.gone = 0
+
+    def passing(self, at: slice, seq: int, t: tuple, fallback: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(places, scores) of the free controls of at that pass, and under strict bands the places of those that only parallax rules out."""
+        tmag, color, teff, parallax = self.bands
+        within = np.less if self.strict else np.less_equal
+        mag, col, temp, plx = (v[at] for v in self.values)
+        self.looked += len(mag)
+        ok = self.free[at] & (self.until[at] >= seq)
+        score = 0.0
+        if t[0] is not None:
+            d = np.abs(mag - t[0])
+            ok &= within(d, tmag)
+            score = d / tmag
+        if t[1] is not None:
+            d = np.abs(col - t[1])
+            if fallback:
+                if t[2] is not None:
+                    ok &= np.abs(temp - t[2]) < teff
+                d = d / color
+                score = score + np.where(np.isnan(d), 1.0, d)
+            else:
+                ok &= within(d, color)
+                score = score + d / color
+        elif t[2] is not None:
+            d = np.abs(temp - t[2])
+            ok &= within(d, teff)
+            score = score + d / teff
+        unfit = None
+        if t[3] is not None:
+            away = np.abs(plx - t[3]) / t[3]
+            fits = within(away, parallax)
+            unfit = np.flatnonzero(ok & ~fits) + at.start if self.strict else None
+            ok &= fits
+            score = score + away / parallax
+        found = np.flatnonzero(ok)
+        return found + at.start, score[found] if isinstance(score, np.ndarray) else np.zeros(len(found)), unfit
+
+    def best(self, seq: int, t: tuple, most: int, fallback: bool = False) -> tuple[list[tuple[int, float]], int | None]:
+        """The best controls, (place, score), and the place of a free one that only parallax rules out, if all were looked at."""
+        n, h = len(self.ids), DENSE
+        i = int(np.searchsorted(self.values[0], t[0])) if t[0] is not None else 0
+        while True:
+            low, high = (max(0, i - h), min(n, i + h)) if t[0] is not None else (0, n)
+            at, score, unfit = self.passing(slice(low, high), seq, t, fallback)
+            if most == 1 and len(at):
+                k = at[score == score.min()]
+                k = k[np.argmin(self.ids[k])]
+                found = [(int(k), float(score.min()))]
+            else:
+                found = []
+                for k in np.lexsort((self.ids[at], score)).tolist():
+                    if not self.repeated or self.ids[at[k]] not in [self.ids[x] for x, _ in found]:
+                        found.append((int(at[k]), float(score[k])))
+                    if len(found) == most:
+                        break
+            # what was not looked at differs in magnitude by so much at least
+            edge = min(t[0] - self.values[0][low - 1] if low else np.inf, self.values[0][high] - t[0] if high < n else np.inf) if t[0] is not None else np.inf
+            if edge > self.bands[0] or len(found) == most and found[-1][1] < edge / self.bands[0]:
+                return found, int(unfit[0]) if unfit is not None and len(unfit) else None
+            h *= 8
+
+    def take(self, places: list[int], seq: int) -> None:
+        for k in places:
+            mine = np.flatnonzero(self.ids == self.ids[k]) if self.repeated else k
+            self.free[mine] = False
+        self.gone += len(places)
+        if self.gone > 32 + 2 * len(self.ids) ** 0.5:
+            self._keep(np.flatnonzero(self.free & (self.until >= seq)))
+
+
+def _taken(targets: pa.Table, controls: pa.Table, most: int, bands: tuple[float, float, float, float], strict: bool) -> pa.Table:
+    """What the targets of one region take, one after the other, as if there were no other region: match_rank from 1.
+
+    A target that takes nothing only because a control is free that does not fit has a row of match_rank 0 with that control. One
+    row of match_rank -1 has as its score how many pairs were looked at.
+    """
+    targets = targets.sort_by("seq")
+    free, out, none = _Free(controls, bands, strict), [], set()
+    names = ["seq", "target_id", *(f"t_{n}" for n in CRITERIA)]
+    # a few at a time as numbers of Python
+    rows = (row for i in range(0, len(targets), CHUNK) for row in zip(*(targets[n].slice(i, CHUNK).to_pylist() for n in names)))
+    for seq, target, *t in rows:
+        if not free.free.any():
+            break
+        t = tuple(t)
+        # where nothing is free for some values, nothing is for later targets
+        if t in none:
+            continue
+        found, unfit = free.best(seq, t, most)
+        if not found and strict and t[1] is not None:
+            if unfit is None:
+                found, _ = free.best(seq, t, most, fallback=True)
+            else:
+                out.append((seq, target, int(free.ids[unfit]), 0, 0.0))
+                continue
+        if not found:
+            none.add(t)
+            continue
+        out += [(seq, target, int(free.ids[k]), rank, score) for rank, (k, score) in enumerate(found, 1)]
+        free.take([k for k, _ in found], seq)
+    out.append((None, None, None, -1, float(free.looked)))
+    region = (targets if len(targets) else controls)["region"][0].as_py()
+    kinds = (pa.int64(), targets["target_id"].type, controls["control_id"].type, pa.int32(), pa.float64())
+    return pa.table([*(pa.array(x, k) for x, k in zip(zip(*out), kinds)), pa.array([region] * len(out))], ["seq", "target_id", "control_id", "match_rank", "score", "region"])
 
-def _in_batches(classes: DataFrame, c: DataFrame, members: DataFrame, ratio: int, group_rows: int, plain: Callable, fallback: Callable | None = None) -> DataFrame:
-    """What assign() gives, by batches of targets in order of id, each of which has the controls that those before it left.
 
-    plain gives the edges of some classes to some controls within a share of the tolerances, fallback the fallback edges. All
-    targets of an id are in one batch.
+def _settled(now: DataFrame, free: DataFrame, most: int, bands: tuple[float, float, float, float], strict: bool) -> DataFrame:
+    """Rows of _taken() of all regions, once no control is taken twice.
+
+    What a target takes in its region is gone by its turn in the whole order too, whoever has it, so where several regions
+    take a control all but the first target lose it, and from the first such target on a region settles again.
     """
-    free = cut(c)
-    order = cut(running(members.groupBy("target_id").agg(F.count("*").alias("n")), [F.col("target_id")], upto="n"))
-    members = cut(members.join(order.select("target_id", "upto"), "target_id"))
-    n_classes, n_members, n_free = classes.count(), members.count(), free.select("control_id").distinct().count()
-    most, aim = (max(least, each * (n_members + n_free)) for least, each in ((PAIRS, PAIRS_A_ROW), (EDGES, EDGES_A_ROW)))
-    size, start, found = max(1, most // max(1, n_free)), 0, []
+    kind = f"seq long, target_id {dict(now.dtypes)['target_id']}, control_id {dict(free.dtypes)['control_id']}, match_rank int, score double, region string"
+    settle = lambda x, y: _taken(x, y, most, bands, strict)
+    claims = cut(now.groupBy("region").cogroup(free.withColumn("until", F.lit(NO_BOUND)).groupBy("region")).applyInArrow(settle, kind))
     while True:
-        if n_classes * n_free <= most:
-            size = n_members
-        now = members.filter((F.col("upto") > start) & (F.col("upto") <= start + size)).drop("upto")
-        mine = cut(classes.join(now.select("class").distinct(), "class", "left_semi"))
-        of = lambda due: mine.join(due, "class", "left_semi")  # noqa: B023, E731
-        shares = _shares(n_free)
-        more = [lambda due, low=low, high=high, free=free: plain(of(due), free, high).filter(F.col("score") > low) for low, high in zip(shares, shares[1:])]
-        levels = len(more)
-        if fallback:
-            more.append(lambda due, free=free: fallback(of(due), free))
-        claims, seen = _assign(plain(mine, free, shares[0]), ratio, now, more, group_rows, levels)
-        found.append(claims)
-        start += size
-        if start >= n_members:
-            return reduce(DataFrame.unionByName, found)
-        free = cut(free.join(claims.select("control_id"), "control_id", "left_anti"))
-        before, n_free = n_free, free.select("control_id").distinct().count()
-        if not n_free:
-            return reduce(DataFrame.unionByName, found)
-        # what is free shrinks, and lists with it
-        seen = max(1, seen * n_free // before)
-        size = max(1, int(size * min(4.0, max(0.25, aim / seen))))
-
+        until = claims.filter("match_rank > 0").groupBy("control_id").agg(F.min("seq").alias("until"))
+        lost = cut(claims.filter("match_rank >= 0").join(until, "control_id").filter("seq > until").groupBy("region").agg(F.min("seq").alias("first")))  # a row a region
+        if lost.isEmpty():
+            return claims
+        lost = F.broadcast(lost)
+        again = now.join(lost, "region").filter("seq >= first").drop("first")
+        left = free.join(lost.select("region"), "region", "left_semi").join(until, "control_id", "left").withColumn("until", F.coalesce("until", F.lit(NO_BOUND)))
+        new = again.groupBy("region").cogroup(left.groupBy("region")).applyInArrow(settle, kind)
+        claims = cut(claims.join(lost, "region", "left").filter("match_rank < 0 or first is null or seq < first").drop("first").unionByName(new))
+
+
+def _in_turn(targets: DataFrame, pool: DataFrame, ratio: int, bands: tuple[float, float, float, float], strict: bool, within: tuple[str, ...], group_rows: int) -> DataFrame:
+    """(target_id, control_id, match_rank, score): targets in order of id take their best unused controls, ratio each.
 
-def matched(targets: DataFrame, pool: DataFrame, ratio: int = 1, *, tmag: float = 1.0, color: float = 0.35, teff: float = 400.0, parallax: float = 0.5, within: tuple[str, ...] = (), group_rows: int = GROUP) -> DataFrame:
-    """assign(candidates(...), ratio), with lists that are opened near first and never spelled out for each target."""
+    They are settled in batches, each of which has the controls that those before it left, and within a batch by regions of
+    magnitude. Under strict bands temperature stands in for colour where no control of a target's colour is free.
+    """
     if ratio < 1:
         raise ValueError("ratio must be at least 1")
-    classes, c, members = _sides(targets, pool, within)
-    edges = lambda some, free, share: _loose(some, free, tmag, color, teff, parallax, False, within, share)
-    return _in_batches(classes, c, members, ratio, group_rows, edges)
-
+    t, c = _rows(targets, pool, within)
+    names = [f"in_{w}" for w in within]
+    t = running(t, [F.col(x) for x in ("id", *(f"t_{n}" for n in CRITERIA), *names)], seq=F.lit(1)).withColumnRenamed("id", "target_id")
+    t, free = _regions(cut(t), c, bands[0], names, group_rows)
+    t, free = cut(t), cut(free)
+    n, n_free = t.count(), free.select("control_id").distinct().count()
+    most, aim = (max(least, each * (n + n_free)) for least, each in ((PAIRS, PAIRS_A_ROW), (EDGES, EDGES_A_ROW)))
+    size, start, found = min(group_rows, max(1, most // max(1, n_free))), 0, []
+    while True:
+        claims = _settled(t.filter((F.col("seq") > start) & (F.col("seq") <= start + size)), free, ratio, bands, strict)
+        taken = claims.filter("match_rank > 0")
+        found.append(taken.select("target_id", "control_id", "match_rank", "score"))
+        start += size
+        if start >= n:
+            return reduce(DataFrame.unionByName, found)
+        free = cut(free.join(taken.select("control_id"), "control_id", "left_anti"))
+        if free.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        looked = claims.filter("match_rank < 0").agg(F.sum("score")).first()[0] or 0
+        size = min(group_rows, max(1, int(size * min(4.0, max(0.25, aim / max(1.0, looked))))))
 
-def _strict(classes: DataFrame, c: DataFrame, tmag: float, color: float, teff: float, parallax: float, fallback: bool, share: float = 1.0) -> DataFrame:
-    """(class, control_id, score, fallback, fits) under strict bands.
 
-    Where no free control has a target's colour, its temperature decides (fallback), and without one its magnitude alone.
-    Parallax is asked of what these leave, so a control that only lacks it still counts as free (fits is false)
-    where there is a fallback. A value that the control lacks counts one in the score.
-    """
-    plx = F.col("t_parallax")
-    away = _delta("parallax") / plx
-    fits = plx.isNull() | F.coalesce(away < parallax, F.lit(False))
-    score = F.when(_has("tmag"), _delta("tmag") / tmag).otherwise(0.0)
-    score = score + F.when(_has("bp_rp"), F.coalesce(_delta("bp_rp") / color, F.lit(1.0))).when(_has("teff"), F.coalesce(_delta("teff") / teff, F.lit(1.0))).otherwise(0.0)
-    score = score + F.when(plx.isNotNull(), F.coalesce(away / parallax, F.lit(1.0))).otherwise(0.0)
-    modes = []
-    for bright, first in ((_has("tmag"), [("tmag", tmag)]), (~_has("tmag"), [])):
-        if fallback:
-            modes += [(bright & _has("bp_rp") & _has("teff"), [*first, ("teff", teff)]), (bright & _has("bp_rp") & ~_has("teff"), first)]
-        else:
-            modes += [(bright & _has("bp_rp"), [*first, ("bp_rp", color)]), (bright & ~_has("bp_rp") & _has("teff"), [*first, ("teff", teff)]), (bright & ~_has("bp_rp") & ~_has("teff"), first)]
-    parts = []
-    for pairs, keys in _by_mode(classes, c, modes, share, parallax, ()):
-        for name, tolerance in keys:
-            pairs = pairs.filter(_delta(name) < tolerance)
-        parts.append(pairs)
-    out = reduce(DataFrame.unionByName, parts).select("class", "control_id", score.alias("score"), F.lit(fallback).alias("fallback"), fits.alias("fits"))
-    if fallback:
-        out = out.filter("fits")
-    return out.filter(F.col("score") <= share) if share < 1 else out
+def matched(targets: DataFrame, pool: DataFrame, ratio: int = 1, *, tmag: float = 1.0, color: float = 0.35, teff: float = 400.0, parallax: float = 0.5, within: tuple[str, ...] = (), group_rows: int = REGION) -> DataFrame:
+    """assign(candidates(...), ratio), without ever spelling out the candidates."""
+    return _in_turn(targets, pool, ratio, (tmag, color, teff, parallax), False, within, group_rows)
 
 
 def eligible(targets: DataFrame) -> DataFrame:
@@ -367,15 +476,13 @@ def eligible(targets: DataFrame) -> DataFrame:
     return targets.filter(truthy(F.col("has_tess_lightcurve"))) if "has_tess_lightcurve" in targets.columns else targets
 
 
-def matched_pairs(targets: DataFrame, pool: DataFrame, *, tmag: float = 0.5, color: float = 0.15, teff: float = 300.0, parallax: float = 0.5, group_rows: int = GROUP) -> DataFrame:
+def matched_pairs(targets: DataFrame, pool: DataFrame, *, tmag: float = 0.5, color: float = 0.15, teff: float = 300.0, parallax: float = 0.5, group_rows: int = REGION) -> DataFrame:
     """(target_id, control_id, match_rank, match_quality_score): pairs one to one under strict bands, in order of the targets' ids.
 
     Colour, or temperature where a target has no colour or its free controls of that colour are used up. A
     criterion whose column one side lacks is skipped.
     """
-    classes, c, members = _sides(eligible(targets), usable(pool))
-    edges = lambda some, free, share=1.0, fallback=False: _strict(some, free, tmag, color, teff, parallax, fallback, share)
-    return _in_batches(classes, c, members, 1, group_rows, edges, lambda some, free: edges(some, free, fallback=True)).withColumnRenamed("score", "match_quality_score")
+    return _in_turn(eligible(targets), usable(pool), 1, (tmag, color, teff, parallax), True, (), group_rows).withColumnRenamed("score", "match_quality_score")
 
 
 def unmatched(targets: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -153,3 +153,36 @@ def test_candidates_are_joined_once(spark):
     t, c = (spark.createDataFrame([(i, 8.0, 0.5, 5000.0, 2.0)], KIND) for i in (1, 2))
     out = matching.candidates(t, c)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1 and rows(out.withColumn("match_rank", F.lit(1))) == [(1, 2, 1)]
+
+
+def test_controls_are_matched_without_a_table_of_pairs(spark, monkeypatch):
+    """Where all is within reach of all, what is shuffled is the two sides."""
+    monkeypatch.setattr(matching, "_banded", lambda *a, **b: pytest.fail("pairs are joined"))
+    targets = [(i, 8.0 + i % 7 / 100, None, None, None) for i in range(60)]
+    pool = [(1000 + i, 8.0 + i % 11 / 100, None, None, None) for i in range(50)]
+    t, c = (spark.createDataFrame(x, KIND) for x in (targets, pool))
+    for got, tol in ((matching.matched_pairs(t, c), 0.5), (matching.matched(t, c), 1.0)):
+        assert rows(got) == in_turn([(x[0], y[0], abs(y[1] - x[1]) / tol, False, True) for x in targets for y in pool], 1)
+
+
+@pytest.mark.parametrize("group_rows", [3, 1000])
+def test_regions_and_batches_give_the_greedy_order(spark, monkeypatch, group_rows):
+    """Regions of a few controls next to one another, targets without a magnitude among them, two controls each, ids that repeat."""
+    monkeypatch.setattr(matching, "DENSE", 2)
+    rng = random.Random(group_rows)
+    maybe = lambda x: None if rng.random() < 0.2 else x
+    star = lambda i: (i, maybe(round(rng.uniform(0, 8), 1)), maybe(rng.randrange(4) / 4), None, maybe(float(rng.randrange(1, 5))), "ab"[i % 2])
+    targets, pool = [star(i // 2) for i in range(80)], [star(1000 + i // 2) for i in range(90)]
+    used, want = set(), []
+    for t in sorted(targets, key=lambda t: [(x is not None, x) for x in t]):
+        near = lambda k, tol: t[k] is None or c[k] is not None and abs(c[k] - t[k]) <= tol  # noqa: B023, E731
+        best = {}
+        for c in pool:
+            if c[0] not in used and c[5] == t[5] and near(1, 1.0) and near(2, 0.35) and near(4, 0.5 * (t[4] or 1)):
+                score = sum(abs(c[k] - t[k]) / tol for k, tol in ((1, 1.0), (2, 0.35), (4, 0.5 * (t[4] or 1))) if t[k] is not None)
+                best[c[0]] = min(score, best.get(c[0], score))
+        for rank, (_, c) in enumerate(sorted((s, c) for c, s in best.items())[:2], 1):
+            used.add(c)
+            want.append((t[0], c, rank))
+    t, c = (spark.createDataFrame(x, KIND + ", field string") for x in (targets, pool))
+    assert rows(matching.matched(t, c, 2, within=("field",), group_rows=group_rows)) == sorted(want)
