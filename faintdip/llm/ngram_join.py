@@ -34,14 +34,17 @@ OFTEN, SOME, FREQUENT = 2, 1 << 16, 1 << 19
 #: shingles that the sketches beside them would outweigh the texts. Of more sets than ALIKE with one key and size class a task
 #: passes on one, and so many with one key are compared pair by pair.
 COUNTS, SKETCHED, ALIKE, COMPARED = 32, 85, 16, 512
+#: Below that percentage: how many first shingles two sets share at least if both are of size class LONG or more, as each sends so many
+#: more but one. Sets that met by chance share fewer. Only the pairs of up to PAIRED sets with one key are counted, COUNTED at a time.
+SHARED, LONG, PAIRED, COUNTED = 3, 10, 32, 1 << 20
 
 
-def first_shingles(e: np.ndarray, at: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_shingles(e: np.ndarray, at: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray], shared: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the first shingles of each set, the set of each, and the set's size class.
 
     Similar sets overlap in percent / 100 of the larger at least, so each has a common shingle
-    among all but that many less one, in any order that is the same for all sets. Sizes of similar
-    sets are in the same class or in neighbouring ones.
+    among all but that many less one, in any order that is the same for all sets, and one more for each one more. Sizes of similar
+    sets are in the same class or in neighbouring ones. Sets of class LONG or more send so many that similar ones have shared in common.
     """
     n = np.diff(at)
     of = np.repeat(np.arange(len(n)), n)
@@ -51,12 +54,18 @@ def first_shingles(e: np.ndarray, at: np.ndarray, percent: int, frequent: tuple[
         last = np.where(known[where] == e, rank[where], 0).astype(np.int64)
         if last.any():
             e = e[np.argsort(of * 64 + last, kind="stable")]
-    first = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-    set_of = np.repeat(np.arange(len(n)), first)
     size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(max(100 / percent, 1.01)) + 1e-9).astype(np.int64)
+    least = (percent * n + 99) // 100
+    first = np.where(n > 0, n - least + needed(size_class, np.minimum(shared, least)), 0)
+    set_of = np.repeat(np.arange(len(n)), first)
     return mix(e[at[:-1][set_of] + ranges(first)] + np.uint64(5)), set_of, size_class[set_of]
 
 
+def needed(size_class: np.ndarray, shared):
+    """How many first shingles a set of that size class has in common with any similar one that is not smaller."""
+    return np.where(size_class >= LONG, shared, 1)
+
+
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts of a slice, sorted within each text, and where each text's begin."""
     n = len(off) - 1
@@ -118,6 +127,14 @@ def alike(run: np.ndarray, classes: np.ndarray, some: np.ndarray, percent: int)
     return tuple(map(np.concatenate, zip(*found))) if found else (at[:0], at[:0])
 
 
+def added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair (a, b) once, with its sum of n."""
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[new], b[new], np.add.reduceat(n, new) if len(a) else n
+
+
 def totals(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum modulo 2**64 of each run values[at[i]:at[i + 1]]."""
     sums = np.zeros(len(values) + 1, np.uint64)
@@ -226,9 +243,10 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
     its documents share, and hangs the others on it directly, so a key that a third of all
     documents share is a few entries a task. Such a document stands for sets unlike its own, so all that meet it are joined, and
     so are all of a key with more than COMPARED entries. The other sets with a key are joined where their sketches let them be
-    similar; without sketches, all are.
+    similar; without sketches, where they share as many first shingles as similar sets do (with more than PAIRED entries of a key, all are).
     """
     sketched = percent >= SKETCHED
+    shared = 1 if sketched else SHARED
     stands = 1 << 15  # in an entry's size class
 
     def packed(keys, owners, classes, of, some, same):
@@ -238,7 +256,7 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
         first = np.ones(len(keys), bool)
         first[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
         begin, run = np.flatnonzero(first), np.cumsum(first) - 1
-        many = np.diff(np.append(begin, len(keys))) > (ALIKE if sketched else 1)
+        many = np.diff(np.append(begin, len(keys))) > ALIKE
         root = owners[begin][run]
         pairs = np.unique(np.concatenate([np.stack([owners, root], 1)[many[run] & (owners != root)], same]), axis=0)
         keep = first | ~many[run]
@@ -250,12 +268,14 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.array([0])
         # 40 bits beside the bucket tell keys apart; a chance match only costs a comparison
         rest = (keys // np.uint64(buckets) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        small = np.int32 if len(owners) and owners.min() > -(1 << 31) and owners.max() < 1 << 31 else np.int64
-        rows = [(int(bucket[a]), rest[a:b].tobytes(), owners[a:b].astype(small).tobytes(), classes[a:b].astype(np.uint16).tobytes(), some[of[a:b]].tobytes()) for a, b in zip(cut, cut[1:])]
+        base = int(owners.min()) if len(owners) else 0
+        small = np.int32 if len(owners) and int(owners.max()) - base < 1 << 31 else np.int64
+        base = base if small is np.int32 else 0
+        rows = [(int(bucket[a]), rest[a:b].tobytes(), (owners[a:b] - base).astype(small).tobytes(), classes[a:b].astype(np.uint16).tobytes(), some[of[a:b]].tobytes(), base) for a, b in zip(cut, cut[1:])]
         for k in range(0, len(pairs), 1 << 16):
             two = np.ascontiguousarray(pairs[k : k + (1 << 16)].T)
-            rows.append((-1 - int(two.sum() % buckets), two[0].tobytes(), two[1].tobytes(), None, None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names) if rows else None
+            rows.append((-1 - int(two.sum() % buckets), two[0].tobytes(), two[1].tobytes(), None, None, 0))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names) if rows else None
 
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT entries
 
@@ -286,7 +306,7 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
                 if not len(e):
                     continue
                 at = np.concatenate([[0], np.cumsum(n[use])])
-                keys, owners, classes = first_shingles(e, at, percent, sent.value)
+                keys, owners, classes = first_shingles(e, at, percent, sent.value, shared)
                 some = sketches(e, at) if sketched else np.zeros((len(at) - 1, 0), np.uint8)
                 held.append((keys, ids[i : i + len(off) - 1][use][owners], classes, owners, some))
                 many += len(e)
@@ -298,11 +318,13 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
         held = []
         release()
 
+    nothing = (np.zeros(0, np.int64),) * 3
+
     def met(rows):
-        """Edges of one bucket's rows."""
+        """Edges of one bucket's rows, and pairs with how much they add to the first shingles that they share."""
         if rows[0]["bucket"] < 0:
-            return np.concatenate([np.stack([np.frombuffer(r["keys"], np.int64), np.frombuffer(r["owners"], np.int64)], 1) for r in rows])
-        owners = np.concatenate([np.frombuffer(r["owners"], np.int32 if 5 * len(r["owners"]) == 4 * len(r["keys"]) else np.int64).astype(np.int64) for r in rows])
+            return np.concatenate([np.stack([np.frombuffer(r["keys"], np.int64), np.frombuffer(r["owners"], np.int64)], 1) for r in rows]), nothing
+        owners = np.concatenate([np.frombuffer(r["owners"], np.int32 if 5 * len(r["owners"]) == 4 * len(r["keys"]) else np.int64).astype(np.int64) + r["base"] for r in rows])
         classes = np.concatenate([np.frombuffer(r["classes"], np.uint16) for r in rows]).astype(np.int64)
         keys = np.zeros((len(owners), 8), np.uint8)
         keys[:, :5] = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, 5)
@@ -312,39 +334,67 @@ def meetings(docs: DataFrame, size: int, percent: int, buckets: int, frequent: t
         keys, owners, classes, standing = keys[order], owners[order], classes[order], standing[order]
         first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] - classes[:-1] > 1)])
         begin, run = np.flatnonzero(first), np.cumsum(first) - 1
-        if not sketched:  # a run of near sizes hangs on its first document
-            return np.stack([owners, owners[begin][run]], 1)
-        whole = (np.maximum.reduceat(standing, begin) | (np.diff(np.append(begin, len(keys))) > COMPARED))[run]
+        whole = (np.maximum.reduceat(standing, begin) | (np.diff(np.append(begin, len(keys))) > (COMPARED if sketched else PAIRED)))[run]
         hung = np.stack([owners, owners[begin][run]], 1)[whole]
         # single entries meet nothing
         size = np.diff(np.append(begin, len(keys)))[run]
         left = np.flatnonzero(~whole & (size > 1))
-        some = np.frombuffer(b"".join(r["sketches"] for r in rows), np.uint8).reshape(-1, COUNTS // 2)[order[left]]
-        a, b = alike(run[left], classes[left], some, percent)
-        return np.concatenate([hung, np.stack([owners[left[a]], owners[left[b]]], 1)])
+        if sketched:
+            some = np.frombuffer(b"".join(r["sketches"] for r in rows), np.uint8).reshape(-1, COUNTS // 2)[order[left]]
+            a, b = alike(run[left], classes[left], some, percent)
+            return np.concatenate([hung, np.stack([owners[left[a]], owners[left[b]]], 1)]), nothing
+        owners, classes, run = owners[left], classes[left], run[left]
+        near, at, k = [nothing], np.arange(len(run)), 0
+        while len(at):
+            k += 1
+            at = at[at + k < len(run)]
+            at = at[(run[at] == run[at + k]) & (classes[at + k] - classes[at] <= 1)]
+            x, y = owners[at], owners[at + k]
+            # classes rise within a run; a pair that needs fewer has the others beforehand
+            near.append((np.maximum(x, y), np.minimum(x, y), 1 + shared - needed(classes[at], shared)))
+        return hung, added(*map(np.concatenate, zip(*near)))
 
     def meet(batches):
         held: list = []
+        pairs, waiting = [], 0
 
         def edges():
-            node, least = small_components(*met(held).T)
+            nonlocal waiting
+            two, found = met(held)
+            if len(found[0]):
+                pairs.append(found)
+                waiting += len(found[0])
+            node, least = small_components(*two.T)
             some = node != least
-            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(least[some])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(least[some]), pa.array(np.full(int(some.sum()), shared))], ["a", "b", "n"])
+
+        def counted():
+            nonlocal pairs, waiting
+            found = added(*map(np.concatenate, zip(*pairs)))
+            pairs, waiting = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "n"])
 
         for batch in batches:
             for row in batch.to_pylist():  # sorted by bucket: one is held at a time
                 if held and held[-1]["bucket"] != row["bucket"]:
                     yield edges()
                     held = []
+                    if waiting > COUNTED:
+                        yield counted()
                 held.append(row)
         if held:
             yield edges()
+        if pairs:
+            yield counted()
         held = []
         release()
 
-    names = ["bucket", "keys", "owners", "classes", "sketches"]
-    runs = docs.mapInArrow(send, "bucket long, keys binary, owners binary, classes binary, sketches binary")
-    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    names = ["bucket", "keys", "owners", "classes", "sketches", "base"]
+    runs = docs.mapInArrow(send, "bucket long, keys binary, owners binary, classes binary, sketches binary, base long")
+    found = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, n long")
+    if sketched:
+        return found.select("a", "b")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= shared).select("a", "b")
 
 
 class Forest:

@@ -86,3 +86,35 @@ def test_all_pairs_of_random_near_copies(spark, monkeypatch, alike, compared):
     for percent in (80, 90):
         got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, words=2, percent=percent).collect()}
         assert got == linked(rows, 2, percent)
+
+
+def test_texts_that_share_a_shingle_by_chance_stay_apart_without_sketches(spark):
+    """The same chain below the percentage of sketches: two shared shingles are fewer than similar texts share."""
+    from faintdip.llm.ngram_join import meetings
+
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(80)) + " " + " ".join(f"c{j}" for j in (i, i + 1))
+    rows = [(i + (i % 3 << 40), text(i)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert not meetings(docs, 1, 80, 8, NONE).collect()
+    near = spark.createDataFrame([*rows, (1 << 50, text(7) + " more")], "doc_id long, text string").coalesce(2)
+    assert {(r["a"], r["b"]) for r in meetings(near, 1, 80, 8, NONE).collect()} == {(1 << 50, rows[7][0])}
+
+
+@pytest.mark.parametrize("shared, paired, counted", [(1, 32, 1), (3, 2, 1), (4, 64, 1 << 20)])
+def test_counted_pairs_of_random_near_copies(spark, monkeypatch, shared, paired, counted):
+    from faintdip.llm import ngram_join
+
+    for name, value in (("SHARED", shared), ("PAIRED", paired), ("COUNTED", counted), ("ALIKE", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(shared)
+    bases = [[f"v{x}" for x in rng.integers(0, 90, n)] for n in rng.integers(3, 90, 12)]
+    rows = []
+    for i in rng.permutation(150).tolist():
+        w = list(bases[int(rng.integers(12))])
+        for _ in range(int(rng.integers(0, 1 + len(w) // 9))):
+            w[int(rng.integers(len(w)))] = f"n{rng.integers(50)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent in (60, 80):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, words=2, percent=percent).collect()}
+        assert got == linked(rows, 2, percent)
