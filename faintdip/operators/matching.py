@@ -87,7 +87,9 @@ def _banded(t: DataFrame, c: DataFrame, *keys: tuple[str, float], within: tuple[
         t = t.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
         c = c.withColumn("cell", F.pmod(F.xxhash64("control_id"), F.lit(CELLS)).cast("int"))
         names.append("cell")
-    return t.join(c, names).drop(*names)
+    # the sides are small where their pairs are many: partitions of a given number are not coalesced by size
+    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return t.repartition(parts, *names).join(c.repartition(parts, *names), names).drop(*names)
 
 
 def _has(n: str) -> Column:

@@ -186,3 +186,11 @@ def test_regions_and_batches_give_the_greedy_order(spark, monkeypatch, group_row
             want.append((t[0], c, rank))
     t, c = (spark.createDataFrame(x, KIND + ", field string") for x in (targets, pool))
     assert rows(matching.matched(t, c, 2, within=("field",), group_rows=group_rows)) == sorted(want)
+
+
+def test_candidates_are_dealt_to_all_partitions(spark):
+    """However small the two sides are, their pairs are not left to a few tasks."""
+    t, c = (spark.createDataFrame([(k * 1000 + i, i % 40 / 4, None, None, None) for i in range(400)], KIND) for k in (1, 2))
+    out = matching.candidates(t, c)
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+    assert out.count() == sum(abs(i % 40 - j % 40) <= 4 for i in range(400) for j in range(400))
